@@ -20,7 +20,7 @@ def csv_name(name: str) -> str:
 def blank_missing(df: DataFrame) -> DataFrame:
     """NaN written as an empty field."""
     fractions = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return df.select(*[missing_to_null(col(c)).alias(c) if c in fractions else col(c) for c in df.columns])
+    return df.select(*[F.when(~F.isnan(col(c)), col(c)).alias(c) if c in fractions else col(c) for c in df.columns])
 
 
 def _blank_spectrum(spectra: SpectralFrame) -> SpectralFrame:
