@@ -5,6 +5,12 @@ from __future__ import annotations
 N_BANDS = 64
 TENS = [4 * i for i in range(16)]
 
+def even(expression: str, digits: int) -> str:
+    """Rounded the way numeric arrays are: scaled, halves to even, scaled back."""
+    scale = float(10**digits)
+    return f"(round_even(({expression}) * {scale}, 0) / {scale} + 0.0)"
+
+
 def r(expression: str, digits: int) -> str:
     """Rounded; the addition turns -0.0 into 0.0."""
     return f"(round({expression}, {digits}) + 0.0)"
@@ -109,11 +115,11 @@ NO_SPECTRA = "case when label <= 2 then null else vec_id end"
 def summary(source: str, properties: dict[str, str]) -> str:
     parts = []
     for name, x in properties.items():
-        parts.append(f"""select '{name}' as property, count(x) as count, {r('min(x)', 4)} as min,
-    {r('avg(x)', 4)} as mean, {r('stddev_samp(x)', 4)} as std, {r('quantile_cont(x, 0.5)', 4)} as median,
-    {r('quantile_cont(x, 0.75) - quantile_cont(x, 0.25)', 4)} as iqr, {r('max(x)', 4)} as max,
-    case when count(x) < 3 then null when min(x) = max(x) then 0.0 else {r('skewness(x)', 4)} end as skewness,
-    case when count(x) < 4 then null when min(x) = max(x) then 0.0 else {r('kurtosis(x)', 4)} end as kurtosis
+        parts.append(f"""select '{name}' as property, count(x) as count, {even('min(x)', 4)} as min,
+    {even('avg(x)', 4)} as mean, {even('stddev_samp(x)', 4)} as std, {even('quantile_cont(x, 0.5)', 4)} as median,
+    {even('quantile_cont(x, 0.75) - quantile_cont(x, 0.25)', 4)} as iqr, {even('max(x)', 4)} as max,
+    case when count(x) < 3 then null when min(x) = max(x) then 0.0 else {even('skewness(x)', 4)} end as skewness,
+    case when count(x) < 4 then null when min(x) = max(x) then 0.0 else {even('kurtosis(x)', 4)} end as kurtosis
     from (select cast({x} as double) as x from ({source}))""")
     return "\nunion all\n".join(parts)
 
@@ -228,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
             where instrument_txt in (1, 4, 7)) where (400 + 2.5 * (pos - 1)) % 2 = 0""",
         "band_range_thin": f"select id, {bands([i for i in TENS if 420 <= 400 + 2.5 * i <= 530])} from ({spectra()})",
         "export_projection": f"select id, instrument_txt, {bands(TENS)} from ({spectra()})",
-        "preview_rows": f"select *, {r('p_retailprice / 3', 5)} as third from (select * replace ({r('p_retailprice', 5)} as p_retailprice) from part) order by p_partkey limit 10",
+        "preview_rows": f"select *, {even('p_retailprice / 3', 5)} as third from (select * replace ({even('p_retailprice', 5)} as p_retailprice) from part) order by p_partkey limit 10",
         "soil_preview": SOIL,
         "soil_name_clash": f"""select l.id, l.age_index, l.order_n, s.segment_txt from ({lab()}) l
             join ({SITE}) s on l.id = s.id where l.age_index is not null""",

@@ -13,6 +13,12 @@ def missing_to_null(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+def round_half_even(x: Column, decimals: int) -> Column:
+    """Scale, round halves to even, scale back: the rounding of numeric arrays, to the last bit. No negative zero."""
+    scale = F.lit(float(10**decimals))
+    return F.rint(x * scale) / scale + F.lit(0.0)
+
+
 def transformed(x: Column, transform: str) -> Column:
     """sqrt(x) or ln(1+x); NULL outside the domain."""
     x = x.cast("double")

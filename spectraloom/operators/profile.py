@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectraloom.functions.expressions import missing_to_null, sample_kurtosis, sample_skewness
+from spectraloom.functions.expressions import missing_to_null, round_half_even, sample_kurtosis, sample_skewness
 from spectraloom.functions.names import col
 from spectraloom.operators.filters import present
 from spectraloom.operators.spectra import SpectralFrame
@@ -32,7 +33,7 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
 
 
-def _moments(values: DataFrame, accuracy: int) -> DataFrame:
+def _moments(values: DataFrame, accuracy: int) -> pa.Table:
     """One row per property: exact moments, and for each quartile a bracket sure to hold it.
 
     The quantile sketch is off by at most ``n / accuracy`` ranks, so two of those to either side are enough once that
@@ -40,86 +41,95 @@ def _moments(values: DataFrame, accuracy: int) -> DataFrame:
     """
     x = F.col("value")
     ends = [p + side * 2 / accuracy for p in QUARTILES for side in (-1, 1)]
-    sketch = F.percentile_approx(x, ends, accuracy)
-    small = F.col("count") <= 5 * accuracy
     stats = values.groupBy("property").agg(
         F.count(x).alias("count"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.max(x).alias("max"), sample_skewness(x).alias("skewness"), sample_kurtosis(x).alias("kurtosis"),
-        sketch.alias("_ends"),
+        F.percentile_approx(x, ends, accuracy).alias("ends"),
     )
-    brackets = [
-        F.struct(
-            F.lit(i).alias("quartile"),
-            F.when(small, F.col("min")).otherwise(F.get("_ends", F.lit(2 * i))).alias("lo"),
-            F.when(small, F.col("max")).otherwise(F.get("_ends", F.lit(2 * i + 1))).alias("hi"),
-        )
-        for i in range(len(QUARTILES))
-    ]
-    return stats.withColumn("_brackets", F.array(*brackets)).drop("_ends")
-
-
-def _quartiles(values: DataFrame, stats: DataFrame) -> DataFrame:
+    small = F.col("count") <= 5 * accuracy
+    lo = [F.when(small, F.col("min")).otherwise(F.get("ends", F.lit(2 * i))) for i in range(len(QUARTILES))]
+    hi = [F.when(small, F.col("max")).otherwise(F.get("ends", F.lit(2 * i + 1))) for i in range(len(QUARTILES))]
+    return stats.withColumns({"lo": F.array(*lo), "hi": F.array(*hi)}).drop("ends").toArrow()
+
+
+def _quartiles(values: DataFrame, moments: list[dict]) -> DataFrame:
     """Exact quartiles by linear interpolation between order statistics, one row per property.
 
     Values below a bracket are only counted, values inside are counted per distinct value, values above are dropped:
     what is ranked is a small fraction of a large group, and a value that repeats is one row.
     """
-    # One row per numeric column of the schema: bounded whatever the data.
-    brackets = F.broadcast(stats.select("property", F.inline("_brackets")))
+    brackets = F.create_map(
+        *[
+            part
+            for row in moments
+            for part in (
+                F.lit(row["property"]),
+                F.array(
+                    *[
+                        F.struct(F.lit(i).alias("quartile"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
+                                 F.lit(p * (row["count"] - 1)).alias("place"))
+                        for i, (p, lo, hi) in enumerate(zip(QUARTILES, row["lo"], row["hi"]))
+                    ]
+                ),
+            )
+        ]
+    )
+    value = F.col("value")
     counted = (
-        values.join(brackets, "property")
-        .where(F.col("value") <= F.col("hi"))
-        .groupBy("property", "quartile", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value"))
+        values.select("property", "value", F.inline(F.element_at(brackets, F.col("property"))))
+        .where(value <= F.col("hi"))
+        .groupBy("property", "quartile", "place", F.when(value >= F.col("lo"), value).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = F.sum("n").over(Window.partitionBy("property", "quartile").orderBy(F.col("value").asc_nulls_first()))
-    ranked = counted.withColumn("after", upto).withColumn("before", F.col("after") - F.col("n"))
-
-    share = F.get(F.array(*map(F.lit, QUARTILES)), F.col("quartile"))
-    place = share * (F.col("count") - 1)
-    ranked = ranked.join(F.broadcast(stats.select("property", "count")), "property").withColumn("place", place)
+    order = Window.partitionBy("property", "quartile", "place").orderBy(value.asc_nulls_first())
+    ranked = counted.withColumn("after", F.sum("n").over(order)).withColumn("before", F.col("after") - F.col("n"))
 
-    def order_statistic(rank):
-        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("after")), F.col("value")))
+    def order_statistic(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("after")), value))
 
-    lower, upper = F.floor("place"), F.ceil("place")
-    found = ranked.groupBy("property", "quartile").agg(
-        order_statistic(lower).alias("a"), order_statistic(upper).alias("b"), F.max("place").alias("place")
+    found = ranked.groupBy("property", "quartile", "place").agg(
+        order_statistic(F.floor("place")).alias("a"), order_statistic(F.ceil("place")).alias("b")
     )
     missed = F.raise_error(F.lit("a quartile fell outside its bracket")).cast("double")
-    found = found.withColumn(
-        "q",
-        F.when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(
-            F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))
-        ),
-    )
+    between = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))
+    found = found.withColumn("q", F.when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(between))
+    names = ("q25", "median", "q75")
     return found.groupBy("property").agg(
-        *[F.max(F.when(F.col("quartile") == i, F.col("q"))).alias(name) for i, name in enumerate(("q25", "median", "q75"))]
+        *[F.max(F.when(F.col("quartile") == i, F.col("q"))).alias(name) for i, name in enumerate(names)]
     )
 
 
 def summary_stats(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
     """One row per numeric property in the order given, rounded; missing values are left out.
 
-    All quantiles are exact. The input is read twice, only the columns asked for; when it is expensive to compute,
-    pass it through ``plans.lineage.cut`` first.
+    All quantiles are exact. The columns asked for are read twice: once here, for moments and brackets (one row per
+    property comes to the driver), and once for the quartiles when the result is used. When the input is expensive to
+    compute, pass it through ``plans.lineage.cut`` first.
     """
     names = numeric_columns(df, columns)
     if not names:
         raise ValueError("the selected properties are not numeric")
     values = _long(df, names)
-    stats = _moments(values, accuracy)
-    order = F.posexplode(F.array(*map(F.lit, names))).alias("_position", "property")
-    every = df.sparkSession.range(1).select(order)
-    summary = (
-        F.broadcast(every)
-        .join(stats.drop("_brackets"), "property", "left")
-        .join(_quartiles(values, stats), "property", "left")
-        .withColumn("count", F.coalesce("count", F.lit(0)))
-        .withColumn("iqr", F.col("q75") - F.col("q25"))
-        .orderBy("_position")
+    moments = {row["property"]: row for row in _moments(values, accuracy).to_pylist()}
+    measures = ("min", "mean", "std", "max", "skewness", "kurtosis")
+    rows = [
+        (i, name, moments[name]["count"], *[moments[name][m] for m in measures]) if name in moments
+        else (i, name, 0, *[None for _ in measures])
+        for i, name in enumerate(names)
+    ]
+    schema = pa.schema(
+        [("_position", pa.int32()), ("property", pa.string()), ("count", pa.int64()), *[(m, pa.float64()) for m in measures]]
     )
-    rounded = [F.col("count")] + [F.bround(F.col(s), DECIMALS).alias(s) for s in STATISTICS if s != "count"]
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    summary = df.sparkSession.createDataFrame(table)
+    if moments:
+        summary = summary.join(_quartiles(values, list(moments.values())), "property", "left")
+    else:
+        summary = summary.withColumns({q: F.lit(None).cast("double") for q in ("q25", "median", "q75")})
+    summary = summary.withColumn("iqr", F.col("q75") - F.col("q25"))
+    # As many rows as columns were asked for.
+    summary = summary.coalesce(1).sortWithinPartitions("_position")
+    rounded = [round_half_even(F.col(s), DECIMALS).alias(s) if s != "count" else F.col(s) for s in STATISTICS]
     return summary.select("property", *rounded)
 
 
@@ -156,5 +166,5 @@ def preview(df: DataFrame, rows: int = 10, columns: int = 10, decimals: int = 5,
     head = df.orderBy(col(order_by)).limit(rows) if order_by else df.limit(rows)
     fractions = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FractionalType, T.DecimalType))}
     return head.select(
-        *[F.bround(col(c), decimals).alias(c) if c in fractions else col(c) for c in df.columns[:columns]]
+        *[round_half_even(col(c).cast("double"), decimals).alias(c) if c in fractions else col(c) for c in df.columns[:columns]]
     )

@@ -105,7 +105,7 @@ def _bounds(keyed: DataFrame, quotas: DataFrame, few: bool) -> DataFrame:
 def _held(per_group: DataFrame, few: bool) -> DataFrame:
     """Fix a small per-group table, so that later reads agree and do not compute it again."""
     if few:
-        return per_group.sparkSession.createDataFrame(per_group.collect(), per_group.schema)
+        return per_group.sparkSession.createDataFrame(per_group.toArrow())
     return cut(per_group)
 
 
