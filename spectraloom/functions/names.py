@@ -41,6 +41,12 @@ def col(name: str) -> Column:
     return F.col(q(name))
 
 
+def number_array(values: Iterable[float]) -> Column:
+    """A constant array. One parsed expression: building thousands of literal columns one by one takes seconds."""
+    items = ", ".join(str(v) if isinstance(v, int) else f"{v!r}D" for v in values)
+    return F.expr(f"array({items})")
+
+
 def column_family(name: str) -> str:
     """``levels``, ``range`` or ``plain`` by the name's suffix."""
     if name.endswith(CATEGORICAL_SUFFIXES):

@@ -122,40 +122,24 @@ def describe_columns(columns: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def chosen_files(registry: DataFrame, readable: DataFrame) -> DataFrame:
-    """The file each role stands for: the first listed for site and lab, the last readable one for a spectral range.
-
-    ``readable`` has the ``public_url`` of the files whose schema could be read.
-    """
-    rows = classified(registry)
-    soil = F.col("role").isin(SITE_MARK, LAB_MARK)
-    first = rows.where(soil).groupBy("dataset_code", "role").agg(F.min_by("public_url", "line_no").alias("public_url"))
-    last = (
-        rows.where(~soil)
-        .join(readable.select("public_url").distinct(), "public_url", "left_semi")
-        .groupBy("dataset_code", "role")
-        .agg(F.max_by("public_url", "line_no").alias("public_url"))
-    )
-    return first.join(readable.select("public_url").distinct(), "public_url", "left_semi").unionByName(last)
-
-
 def build_catalog(registry: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per dataset and role: ``url``, column list or band range, descriptive columns.
 
-    ``columns`` has ``(public_url, column)`` for every readable file.
+    ``columns`` has ``(public_url, column)`` for every readable file. A role stands for the first file listed for site
+    and lab (none, when that one is unreadable), and for the last readable one of a spectral range.
     """
-    files = chosen_files(registry, columns)
-    described = describe_columns(columns, "public_url")
+    described = describe_columns(columns, "public_url").withColumn("readable", F.lit(True))
+    files = classified(registry).join(described, "public_url", "left")
     soil = F.col("role").isin(SITE_MARK, LAB_MARK)
-    return files.join(described, "public_url").select(
+    content = ("public_url", "columns", "scan_min", "scan_max", "scan_count", "meta_columns", "readable")
+    rank = F.when(soil, -F.col("line_no")).when(F.col("readable"), F.col("line_no"))
+    chosen = files.groupBy("dataset_code", "role").agg(F.max_by(F.struct(*content), rank).alias("file"))
+    return chosen.where(F.col("file.readable")).select(
         "dataset_code",
         "role",
-        F.col("public_url").alias("url"),
-        F.when(soil, F.col("columns")).alias("columns"),
-        F.when(~soil, F.col("scan_min")).alias("scan_min"),
-        F.when(~soil, F.col("scan_max")).alias("scan_max"),
-        F.when(~soil, F.col("scan_count")).alias("scan_count"),
-        F.when(~soil, F.col("meta_columns")).alias("meta_columns"),
+        F.col("file.public_url").alias("url"),
+        F.when(soil, F.col("file.columns")).alias("columns"),
+        *[F.when(~soil, F.col(f"file.{c}")).alias(c) for c in ("scan_min", "scan_max", "scan_count", "meta_columns")],
     )
 
 

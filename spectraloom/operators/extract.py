@@ -133,7 +133,7 @@ def _hot_keys(spec: ExtractSpec, **tables: DataFrame) -> dict[str, dict]:
     """Hot keys of each table with their share. NULL keys only matter where rows with one reach a shuffle."""
     if spec.hot_keys is not None:
         return {name: dict.fromkeys(spec.hot_keys.get(name, ()), spec.skew.share) for name in tables}
-    hot = {name: frequent_keys(df, spec.id_col, spec.skew) for name, df in tables.items()}
+    hot = frequent_keys(tables, spec.id_col, spec.skew)
     for name, keys in hot.items():
         if name != "spectra" or spec.how != "full":
             keys.pop(None, None)
@@ -187,8 +187,7 @@ def extract(star: Star, spec: ExtractSpec) -> SpectralFrame:
     salts = salt_count(lab, hot_soil, hot["spectra"])
     matched = every = list({**hot_soil, **hot["spectra"]})
     if spec.how != "inner":
-        found = [present_keys(df, key, every) for df in (site, lab, spectra.df)]
-        matched = [k for k in every if all(k in keys for keys in found)]
+        matched = present_keys([site, lab, spectra.df], key, every)
     soil = _soil(site, lab, spec, hot, salts)
     if "_salt" not in soil.columns:
         soil = soil.withColumn("_salt", F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spectraloom.functions.expressions import missing_to_null, round_half_even, sample_kurtosis, sample_skewness
-from spectraloom.functions.names import col
+from spectraloom.functions.names import col, number_array
 from spectraloom.operators.filters import present
 from spectraloom.operators.spectra import SpectralFrame
 
@@ -28,12 +28,12 @@ def numeric_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(property, value)`` with missing values left out."""
-    pairs = [F.struct(F.lit(c).alias("property"), missing_to_null(col(c).cast("double")).alias("value")) for c in columns]
+    """``(property, value)`` with properties by position and missing values left out."""
+    pairs = [F.struct(F.lit(i).alias("property"), missing_to_null(col(c).cast("double")).alias("value")) for i, c in enumerate(columns)]
     return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
 
 
-def _moments(values: DataFrame, accuracy: int) -> pa.Table:
+def _moments(values: DataFrame, accuracy: int) -> list[dict]:
     """One row per property: exact moments, and for each quartile a bracket sure to hold it.
 
     The quantile sketch is off by at most ``n / accuracy`` ranks, so two of those to either side are enough once that
@@ -46,57 +46,50 @@ def _moments(values: DataFrame, accuracy: int) -> pa.Table:
         F.max(x).alias("max"), sample_skewness(x).alias("skewness"), sample_kurtosis(x).alias("kurtosis"),
         F.percentile_approx(x, ends, accuracy).alias("ends"),
     )
-    small = F.col("count") <= 5 * accuracy
-    lo = [F.when(small, F.col("min")).otherwise(F.get("ends", F.lit(2 * i))) for i in range(len(QUARTILES))]
-    hi = [F.when(small, F.col("max")).otherwise(F.get("ends", F.lit(2 * i + 1))) for i in range(len(QUARTILES))]
-    return stats.withColumns({"lo": F.array(*lo), "hi": F.array(*hi)}).drop("ends").toArrow()
+    rows = stats.toArrow().to_pylist()
+    for row in rows:
+        small = row["count"] <= 5 * accuracy
+        row["brackets"] = [(row["min"], row["max"])] if small else list(zip(row["ends"][::2], row["ends"][1::2]))
+    return rows
 
 
-def _quartiles(values: DataFrame, moments: list[dict]) -> DataFrame:
+def _quartiles(values: DataFrame, moments: list[dict], size: int) -> DataFrame:
     """Exact quartiles by linear interpolation between order statistics, one row per property.
 
-    Values below a bracket are only counted, values inside are counted per distinct value, values above are dropped:
-    what is ranked is a small fraction of a large group, and a value that repeats is one row.
+    The brackets' ends cut the values into zones that follow each other. Between brackets a zone is only counted,
+    inside them each distinct value is: what is ranked is a small fraction of a large group, and a value that repeats
+    is one row.
     """
-    brackets = F.create_map(
-        *[
-            part
-            for row in moments
-            for part in (
-                F.lit(row["property"]),
-                F.array(
-                    *[
-                        F.struct(F.lit(i).alias("quartile"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
-                                 F.lit(p * (row["count"] - 1)).alias("place"))
-                        for i, (p, lo, hi) in enumerate(zip(QUARTILES, row["lo"], row["hi"]))
-                    ]
-                ),
-            )
-        ]
-    )
-    value = F.col("value")
-    counted = (
-        values.select("property", "value", F.inline(F.element_at(brackets, F.col("property"))))
-        .where(value <= F.col("hi"))
-        .groupBy("property", "quartile", "place", F.when(value >= F.col("lo"), value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    order = Window.partitionBy("property", "quartile", "place").orderBy(value.asc_nulls_first())
+    value, place = F.col("value"), F.col("property")
+    by_property = {row["property"]: row for row in moments}
+
+    def constant(numbers) -> Column:
+        """A number per property, looked up by the row's property."""
+        return F.get(number_array([float(numbers(by_property[i])) if i in by_property else 0.0 for i in range(size)]), place)
+
+    zone, inside = F.lit(0), F.lit(False)
+    for k in range(max(len(row["brackets"]) for row in moments)):
+        lo = constant(lambda row: row["brackets"][min(k, len(row["brackets"]) - 1)][0])
+        hi = constant(lambda row: row["brackets"][min(k, len(row["brackets"]) - 1)][1])
+        zone = zone + (value >= lo).cast("int") + (value > hi).cast("int")
+        inside = inside | ((value >= lo) & (value <= hi))
+    counted = values.groupBy("property", zone.alias("zone"), F.when(inside, value).alias("value"))
+    counted = counted.agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("property").orderBy("zone", "value")
     ranked = counted.withColumn("after", F.sum("n").over(order)).withColumn("before", F.col("after") - F.col("n"))
 
     def order_statistic(rank: Column) -> Column:
         return F.max(F.when((F.col("before") <= rank) & (rank < F.col("after")), value))
 
-    found = ranked.groupBy("property", "quartile", "place").agg(
-        order_statistic(F.floor("place")).alias("a"), order_statistic(F.ceil("place")).alias("b")
-    )
+    statistics, results = [], []
     missed = F.raise_error(F.lit("a quartile fell outside its bracket")).cast("double")
-    between = F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - F.floor("place"))
-    found = found.withColumn("q", F.when(F.col("a").isNull() | F.col("b").isNull(), missed).otherwise(between))
-    names = ("q25", "median", "q75")
-    return found.groupBy("property").agg(
-        *[F.max(F.when(F.col("quartile") == i, F.col("q"))).alias(name) for i, name in enumerate(names)]
-    )
+    for p, name in zip(QUARTILES, ("q25", "median", "q75")):
+        rank = constant(lambda row: p * (row["count"] - 1))
+        statistics += [order_statistic(F.floor(rank)).alias(f"{name}_a"), order_statistic(F.ceil(rank)).alias(f"{name}_b")]
+        a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+        between = a + (b - a) * (rank - F.floor(rank))
+        results.append(F.when(a.isNull() | b.isNull(), missed).otherwise(between).alias(name))
+    return ranked.groupBy("property").agg(*statistics).select("property", *results)
 
 
 def summary_stats(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
@@ -110,10 +103,10 @@ def summary_stats(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURAC
     if not names:
         raise ValueError("the selected properties are not numeric")
     values = _long(df, names)
-    moments = {row["property"]: row for row in _moments(values, accuracy).to_pylist()}
+    moments = {row["property"]: row for row in _moments(values, accuracy)}
     measures = ("min", "mean", "std", "max", "skewness", "kurtosis")
     rows = [
-        (i, name, moments[name]["count"], *[moments[name][m] for m in measures]) if name in moments
+        (i, name, moments[i]["count"], *[moments[i][m] for m in measures]) if i in moments
         else (i, name, 0, *[None for _ in measures])
         for i, name in enumerate(names)
     ]
@@ -123,7 +116,8 @@ def summary_stats(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURAC
     table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
     summary = df.sparkSession.createDataFrame(table)
     if moments:
-        summary = summary.join(_quartiles(values, list(moments.values())), "property", "left")
+        quartiles = _quartiles(values, list(moments.values()), len(names)).withColumnRenamed("property", "_position")
+        summary = summary.join(quartiles, "_position", "left")
     else:
         summary = summary.withColumns({q: F.lit(None).cast("double") for q in ("q25", "median", "q75")})
     summary = summary.withColumn("iqr", F.col("q75") - F.col("q25"))
@@ -142,7 +136,7 @@ def band_profile(spectra: SpectralFrame) -> DataFrame:
     x = missing_to_null(F.col("value"))
     exploded = spectra.df.select(F.posexplode(col(spectra.column)).alias("pos", "value"))
     profile = exploded.groupBy("pos").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
-    axis = F.array(*map(F.lit, spectra.axis))
+    axis = number_array(spectra.axis)
     return profile.select(
         F.get(axis, F.col("pos")).alias("band"),
         "n",

@@ -7,11 +7,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions.expressions import missing_to_null
-from spectraloom.functions.names import band_label, col
+from spectraloom.functions.names import band_label, col, number_array
 from spectraloom.operators.spectra import SpectralFrame, pack_bands, split_roles
 
 
@@ -62,15 +62,14 @@ def resample(spectra: SpectralFrame, step: float, lo: float | None = None, hi: f
     if len(set(labels)) < len(labels):
         raise ValueError("the step is too fine for two-decimal band names")
 
-    left = F.array(*[F.lit(i) for i, _ in plan.nodes])
-    weight = F.array(*[F.lit(w) for _, w in plan.nodes])
     y = col(spectra.column)
 
-    def value(i, w):
-        at = missing_to_null(F.get(y, i))
-        return F.when(w == 0, at).otherwise(at + (missing_to_null(F.get(y, i + 1)) - at) * w)
+    def value(i: Column, w: Column) -> Column:
+        at = F.get(y, i)
+        return missing_to_null(F.when(w == 0, at).otherwise(at + (F.get(y, i + 1) - at) * w))
 
-    values = F.when(y.isNotNull(), F.zip_with(left, weight, value)).alias(spectra.column)
+    nodes, weights = zip(*plan.nodes)
+    values = F.when(y.isNotNull(), F.zip_with(number_array(nodes), number_array(weights), value)).alias(spectra.column)
     df = spectra.df.select(*map(col, spectra.metadata), values)
     return SpectralFrame(df, plan.axis, labels, spectra.column)
 

@@ -76,7 +76,7 @@ def _by_group(df: DataFrame, per_group: DataFrame, few: bool) -> DataFrame:
     """
     if few:
         return df.join(F.broadcast(per_group), "_g")
-    hot = frequent_keys(df, "_g")
+    hot = frequent_keys({"rows": df}, "_g")["rows"]
     hot.pop(None, None)
     if not hot:
         return df.join(per_group, "_g")
@@ -172,5 +172,7 @@ def sample(
     few = groups <= BROADCAST_GROUPS
     share = F.greatest(F.lit(1).cast("long"), F.bround(F.lit(target) * F.col("size") / F.lit(total)).cast("long"))
     quotas = sizes.where(F.col("_g").isNotNull()).select("_g", share.alias("quota"))
-    content = F.lower(F.lpad(F.hex(F.xxhash64(*map(col, df.columns))), 16, "0"))
-    return _take(df.withColumn("_g", group), df.columns, _held(quotas, few), [row_hash(identity, seed), content], few)
+    hashes = [row_hash(identity, seed)]
+    if set(identity) != set(df.columns):
+        hashes.append(F.lower(F.lpad(F.hex(F.xxhash64(*map(col, df.columns))), 16, "0")))
+    return _take(df.withColumn("_g", group), df.columns, _held(quotas, few), hashes, few)

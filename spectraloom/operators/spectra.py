@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.names import Band, band_label, col, numeric_bands, scan_bands
+from spectraloom.functions.names import Band, band_label, col, number_array, numeric_bands, q, scan_bands
 
 # How far a band may lie off the grid, and the default band range.
 GRID_TOLERANCE = 0.001
@@ -39,15 +39,15 @@ class SpectralFrame:
     def wide(self, keep: Sequence[str] | None = None) -> DataFrame:
         """Kept descriptive columns (default all), then every band ascending."""
         kept = self.metadata if keep is None else [c for c in keep if c in self.metadata]
-        bands = [F.get(col(self.column), F.lit(i)).alias(label) for i, label in enumerate(self.labels)]
-        return self.df.select(*map(col, kept), *bands)
+        bands = [f"get({q(self.column)}, {i}) AS {q(label)}" for i, label in enumerate(self.labels)]
+        return self.df.selectExpr(*map(q, kept), *bands)
 
     def take(self, positions: Sequence[int]) -> SpectralFrame:
         """Only the bands at these positions."""
         if list(positions) == list(range(len(self.axis))):
             return self
-        wanted = F.array(*[F.lit(i) for i in positions]).cast("array<int>")
-        spectrum = F.transform(wanted, lambda i: F.get(col(self.column), i)).alias(self.column)
+        spectrum = F.transform(number_array(positions), lambda i: F.get(col(self.column), i.cast("int")))
+        spectrum = spectrum.alias(self.column)
         return replace(
             self,
             df=self.df.select(*map(col, self.metadata), spectrum),
@@ -83,8 +83,8 @@ def pack_bands(df: DataFrame, bands: Sequence[Band], keep: Sequence[str], column
     labels = [band.label for band in bands]
     if len(set(labels)) < len(labels):
         raise ValueError("two columns stand for the same band")
-    values = F.array(*[col(band.column).cast("double") for band in bands]) if bands else F.array().cast("array<double>")
-    packed = df.select(*map(col, keep), values.alias(column))
+    values = ", ".join(f"CAST({q(band.column)} AS DOUBLE)" for band in bands)
+    packed = df.selectExpr(*map(q, keep), f"CAST(array({values}) AS ARRAY<DOUBLE>) AS {q(column)}")
     return SpectralFrame(packed, tuple(band.value for band in bands), tuple(labels), column)
 
 

@@ -9,13 +9,14 @@ every a, so each pair meets in exactly one cell. Only rows of hot keys are copie
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.names import col, q
+from spectraloom.functions.names import col
 
 # How many candidates the frequent-items sketch returns, and how many it tracks meanwhile. It cannot miss a key
 # holding more than about 1/2000 of the rows.
@@ -31,26 +32,32 @@ class SkewPolicy:
     min_rows: int = 100_000
 
 
-def frequent_keys(df: DataFrame, key: str, policy: SkewPolicy = SkewPolicy()) -> dict[object, float]:
-    """Hot keys, NULL among them, and their share of the rows.
+def frequent_keys(tables: Mapping[str, DataFrame], key: str, policy: SkewPolicy = SkewPolicy()) -> dict[str, dict]:
+    """Hot keys of each table, NULL among them, with their share of its rows.
 
-    One scan of the key column with a bounded sketch per task. Nothing depends on the sketch being exact: any set of
-    keys gives the same join result.
+    One job that scans the key columns, with a bounded sketch per task. Nothing depends on the sketch being exact: any
+    set of keys gives the same join result.
     """
-    if df.isStreaming:
-        return {}
-    sketch = F.expr(f"approx_top_k({q(key)}, {CANDIDATES}, {TRACKED})")
-    found = df.select(col(key)).agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).first()
-    least = max(policy.min_rows, policy.share * found.n)
-    return {t["item"]: t["count"] / found.n for t in found.top if t["count"] >= least}
-
-
-def present_keys(df: DataFrame, key: str, wanted: Sequence[object]) -> set:
-    """Which of a short list of keys occur in the table."""
+    hot: dict[str, dict] = {name: {} for name in tables}
+    keys = [df.select(F.lit(name).alias("t"), col(key).alias("k")) for name, df in tables.items() if not df.isStreaming]
+    if not keys:
+        return hot
+    sketch = F.expr(f"approx_top_k(k, {CANDIDATES}, {TRACKED})")
+    every = reduce(DataFrame.unionAll, keys)
+    for found in every.groupBy("t").agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).collect():
+        least = max(policy.min_rows, policy.share * found.n)
+        hot[found.t] = {t["item"]: t["count"] / found.n for t in found.top if t["count"] >= least}
+    return hot
+
+
+def present_keys(tables: Sequence[DataFrame], key: str, wanted: Sequence[object]) -> list:
+    """Which of a short list of keys occur in all tables."""
     wanted = [k for k in wanted if k is not None]
     if not wanted:
-        return set()
-    return {row[0] for row in df.where(col(key).isin(wanted)).select(col(key)).distinct().collect()}
+        return []
+    found = [df.where(col(key).isin(wanted)).select(F.lit(i).alias("t"), col(key).alias("k")) for i, df in enumerate(tables)]
+    seen = {(row.k, row.t) for row in reduce(DataFrame.unionAll, found).distinct().collect()}
+    return [k for k in wanted if all((k, i) in seen for i in range(len(tables)))]
 
 
 def add_salt(df: DataFrame, name: str, salts: int) -> DataFrame:

@@ -29,6 +29,7 @@ def local_session(cores: int | str = "*", memory: str = "12g", shuffle_partition
         SparkSession.builder.master(f"local[{cores}]")
         .appName("spectraloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )

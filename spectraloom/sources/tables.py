@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spectraloom.functions.names import DEFAULT_ID, check_names, col
+from spectraloom.functions.names import DEFAULT_ID, check_names, col, q
 from spectraloom.operators.extract import Star
 from spectraloom.operators.spectra import SpectralFrame, split_roles
 
@@ -60,7 +60,8 @@ def pack_text_bands(df: DataFrame, column: str = "spectrum") -> SpectralFrame:
         raise ValueError("no spectral bands after the ID column: their names must be plain numbers")
     if len({band.value for band in bands}) < len(bands):
         raise ValueError("two columns stand for the same band")
-    values = F.transform(F.array(*[col(band.column) for band in bands]), number_or_missing).alias(column)
+    written = F.expr(f"array({', '.join(q(band.column) for band in bands)})")
+    values = F.transform(written, number_or_missing).alias(column)
     packed = df.select(*map(col, keep), values)
     return SpectralFrame(packed, tuple(b.value for b in bands), tuple(b.label for b in bands), column)
 
