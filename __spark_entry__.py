@@ -135,7 +135,8 @@ def plain(df: DataFrame) -> DataFrame:
 def long(spectra: SpectralFrame, *keep: str, digits: int | None = None) -> DataFrame:
     """One row per band: kept columns, ``band`` and ``value``."""
     axis = F.array(*map(F.lit, spectra.axis))
-    rows = spectra.df.select(*map(col, keep), F.posexplode(col(spectra.column)).alias("pos", "value"))
+    rows = spectra.df.select(*map(col, keep), F.posexplode_outer(col(spectra.column)).alias("pos", "value"))
+    rows = rows.where(F.col("pos").isNotNull())
     value = F.col("value") if digits is None else F.bround("value", digits)
     return plain(rows.select(*map(col, keep), F.get(axis, F.col("pos")).alias("band"), value.alias("value")))
 

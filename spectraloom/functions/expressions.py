@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ def missing_to_null(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(x)`` with ``x`` computed once per row.
+
+    A lambda that refers to a computed column would compute it again for every element once the optimizer has merged
+    the two projections.
+    """
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def round_half_even(x: Column, decimals: int) -> Column:
     """Scale, round halves to even, scale back: the rounding of numeric arrays, to the last bit. No negative zero."""
     scale = F.lit(float(10**decimals))

@@ -34,22 +34,28 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _moments(values: DataFrame, accuracy: int) -> list[dict]:
-    """One row per property: exact moments, and for each quartile a bracket sure to hold it.
+    """One row per property: exact moments, and brackets sure to hold the quartiles.
 
-    The quantile sketch is off by at most ``n / accuracy`` ranks, so two of those to either side are enough once that
-    is several ranks; smaller groups are bracketed by their extremes.
+    Groups of moderate size are bracketed by their extremes. For larger ones a quantile sketch is off by at most
+    ``n / accuracy`` ranks, which is several: twice that to either side is enough. The sketch gets a pass of its own
+    because it would take the other aggregates out of generated code.
     """
-    x = F.col("value")
-    ends = [p + side * 2 / accuracy for p in QUARTILES for side in (-1, 1)]
-    stats = values.groupBy("property").agg(
+    x, group = F.col("value"), values.groupBy("property")
+    moments = group.agg(
         F.count(x).alias("count"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.max(x).alias("max"), sample_skewness(x).alias("skewness"), sample_kurtosis(x).alias("kurtosis"),
-        F.percentile_approx(x, ends, accuracy).alias("ends"),
     )
-    rows = stats.toArrow().to_pylist()
+    rows = moments.toArrow().to_pylist()
+    large = [row["property"] for row in rows if row["count"] > 5 * accuracy]
+    ends = {}
+    if large:
+        wanted = [p + side * 2 / accuracy for p in QUARTILES for side in (-1, 1)]
+        sketch = values.where(F.col("property").isin(large)).groupBy("property")
+        sketch = sketch.agg(F.percentile_approx(x, wanted, accuracy).alias("ends"))
+        ends = {row["property"]: row["ends"] for row in sketch.toArrow().to_pylist()}
     for row in rows:
-        small = row["count"] <= 5 * accuracy
-        row["brackets"] = [(row["min"], row["max"])] if small else list(zip(row["ends"][::2], row["ends"][1::2]))
+        found = ends.get(row["property"])
+        row["brackets"] = list(zip(found[::2], found[1::2])) if found else [(row["min"], row["max"])]
     return rows
 
 
@@ -75,8 +81,8 @@ def _quartiles(values: DataFrame, moments: list[dict], size: int) -> DataFrame:
         inside = inside | ((value >= lo) & (value <= hi))
     counted = values.groupBy("property", zone.alias("zone"), F.when(inside, value).alias("value"))
     counted = counted.agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("property").orderBy("zone", "value")
-    ranked = counted.withColumn("after", F.sum("n").over(order)).withColumn("before", F.col("after") - F.col("n"))
+    so_far = Window.partitionBy("property").orderBy("zone", "value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("after", F.sum("n").over(so_far)).withColumn("before", F.col("after") - F.col("n"))
 
     def order_statistic(rank: Column) -> Column:
         return F.max(F.when((F.col("before") <= rank) & (rank < F.col("after")), value))
@@ -95,9 +101,9 @@ def _quartiles(values: DataFrame, moments: list[dict], size: int) -> DataFrame:
 def summary_stats(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
     """One row per numeric property in the order given, rounded; missing values are left out.
 
-    All quantiles are exact. The columns asked for are read twice: once here, for moments and brackets (one row per
-    property comes to the driver), and once for the quartiles when the result is used. When the input is expensive to
-    compute, pass it through ``plans.lineage.cut`` first.
+    All quantiles are exact. The columns asked for are read here for the moments, and in large tables for a sketch (one
+    row per property comes to the driver), and again for the quartiles when the result is used. When the input is
+    expensive to compute, pass it through ``plans.lineage.cut`` first.
     """
     names = numeric_columns(df, columns)
     if not names:
@@ -134,7 +140,9 @@ def band_profile(spectra: SpectralFrame) -> DataFrame:
     column would cost far more in planning and code generation than in reading.
     """
     x = missing_to_null(F.col("value"))
-    exploded = spectra.df.select(F.posexplode(col(spectra.column)).alias("pos", "value"))
+    # The outer form, because for the inner one the optimizer adds a filter that computes the spectrum a second time.
+    exploded = spectra.df.select(F.posexplode_outer(col(spectra.column)).alias("pos", "value"))
+    exploded = exploded.where(F.col("pos").isNotNull())
     profile = exploded.groupBy("pos").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
     axis = number_array(spectra.axis)
     return profile.select(

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.expressions import missing_to_null
+from spectraloom.functions.expressions import bound, missing_to_null
 from spectraloom.functions.names import band_label, col, number_array
 from spectraloom.operators.spectra import SpectralFrame, pack_bands, split_roles
 
@@ -62,14 +62,16 @@ def resample(spectra: SpectralFrame, step: float, lo: float | None = None, hi: f
     if len(set(labels)) < len(labels):
         raise ValueError("the step is too fine for two-decimal band names")
 
-    y = col(spectra.column)
+    nodes, weights = (number_array(part) for part in zip(*plan.nodes))
 
-    def value(i: Column, w: Column) -> Column:
-        at = F.get(y, i)
-        return missing_to_null(F.when(w == 0, at).otherwise(at + (F.get(y, i + 1) - at) * w))
+    def interpolated(y: Column) -> Column:
+        def value(i: Column, w: Column) -> Column:
+            at = F.get(y, i)
+            return missing_to_null(F.when(w == 0, at).otherwise(at + (F.get(y, i + 1) - at) * w))
 
-    nodes, weights = zip(*plan.nodes)
-    values = F.when(y.isNotNull(), F.zip_with(number_array(nodes), number_array(weights), value)).alias(spectra.column)
+        return F.when(y.isNotNull(), F.zip_with(nodes, weights, value))
+
+    values = bound(col(spectra.column), interpolated).alias(spectra.column)
     df = spectra.df.select(*map(col, spectra.metadata), values)
     return SpectralFrame(df, plan.axis, labels, spectra.column)
 

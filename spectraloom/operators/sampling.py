@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,7 +57,8 @@ def target_size(rows: int, n: int = 0, pct: float = 0) -> int:
 
 
 def _running(counts: DataFrame, key: str) -> DataFrame:
-    upto = F.sum("n").over(Window.partitionBy("_g").orderBy(key))
+    so_far = Window.partitionBy("_g").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("n").over(so_far)
     return counts.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("n"))
 
 
@@ -69,44 +72,68 @@ def _cut(counts: DataFrame, key: str, quota: str) -> DataFrame:
     )
 
 
-def _by_group(df: DataFrame, per_group: DataFrame, few: bool) -> DataFrame:
-    """Attach one row per group; a hot group is split unless the small side is broadcast.
+class PerGroup:
+    """A table with one row per group ``_g``: held on the driver for few groups, checkpointed for many.
 
-    ``few`` is the outcome of the caller's count of the groups.
+    Either way it is fixed, so that later reads agree and do not compute it again.
     """
-    if few:
-        return df.join(F.broadcast(per_group), "_g")
-    hot = frequent_keys({"rows": df}, "_g")["rows"]
-    hot.pop(None, None)
-    if not hot:
-        return df.join(per_group, "_g")
-    salts = salt_count(df, hot, {})
-    salted, single = add_salt(df, "_salt", salts), per_group.withColumn("_none", F.lit(0))
-    joined = salted_join(salted, single, "_g", "inner", list(hot), [], list(hot), salts, "_salt", "_none")
-    return joined.drop("_salt", "_none")
-
-
-def _bounds(keyed: DataFrame, quotas: DataFrame, few: bool) -> DataFrame:
-    """``(_g, bound, tie, tie_rest)``: take hashes below ``bound``, and ``tie_rest`` of the rows hashed to ``tie``."""
+
+    def __init__(self, df: DataFrame, rows: pa.Table | None):
+        self.df, self.rows, self.few = df, rows, rows is not None
+
+    @staticmethod
+    def held(spark: SparkSession, rows: pa.Table) -> PerGroup:
+        return PerGroup(spark.createDataFrame(rows), rows)
+
+    @staticmethod
+    def of(df: DataFrame, few: bool) -> PerGroup:
+        return PerGroup.held(df.sparkSession, df.toArrow()) if few else PerGroup(cut(df), None)
+
+    def having(self, column: str) -> PerGroup:
+        """The groups in which ``column`` is not NULL."""
+        if self.few:
+            return PerGroup.held(self.df.sparkSession, self.rows.filter(self.rows[column].is_valid()))
+        return PerGroup(self.df.where(F.col(column).isNotNull()), None)
+
+    def is_empty(self) -> bool:
+        return self.rows.num_rows == 0 if self.few else self.df.isEmpty()
+
+    def attach(self, df: DataFrame, *columns: str) -> DataFrame:
+        """Add columns of the row's group; rows of other groups drop out. A hot group is split unless broadcast."""
+        if self.few and self.rows.num_rows == 1:
+            row = self.rows.to_pylist()[0]
+            return df.where(F.col("_g") == F.lit(row["_g"])).withColumns({c: F.lit(row[c]) for c in columns})
+        per_group = self.df.select("_g", *columns)
+        if self.few:
+            return df.join(F.broadcast(per_group), "_g")
+        hot = frequent_keys({"rows": df}, "_g")["rows"]
+        hot.pop(None, None)
+        if not hot:
+            return df.join(per_group, "_g")
+        salts = salt_count(df, hot, {})
+        salted, single = add_salt(df, "_salt", salts), per_group.withColumn("_none", F.lit(0))
+        joined = salted_join(salted, single, "_g", "inner", list(hot), [], list(hot), salts, "_salt", "_none")
+        return joined.drop("_salt", "_none")
+
+
+def _bounds(keyed: DataFrame, quotas: PerGroup) -> DataFrame:
+    """``(_g, bound, tie, quota)``: take hashes below ``bound``, and ``quota`` of the rows hashed to ``tie``."""
     prefix = F.substring("_h", 1, PREFIX)
     prefixes = keyed.groupBy("_g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    coarse = _cut(_by_group(prefixes, quotas, few), "p", "quota")
+    coarse = PerGroup.of(_cut(quotas.attach(prefixes, "quota"), "p", "quota"), quotas.few)
+    edges = coarse.having("edge")
 
     # Only the prefix in which a quota ends is looked at closer. Copies of a row collapse before they are ranked.
-    edges = coarse.where(F.col("edge").isNotNull()).select("_g", "edge", "rest")
-    hashes = _by_group(keyed, edges, few).where(prefix == F.col("edge"))
+    hashes = edges.attach(keyed, "edge", "rest").where(prefix == F.col("edge"))
     hashes = hashes.groupBy("_g", "_h", "rest").agg(F.count(F.lit(1)).alias("n"))
-    fine = _cut(hashes, "_h", "rest").toDF("_g", "fine", "tie", "tie_rest")
-
-    last = F.concat(F.coalesce("fine", "full"), F.lit(PAST))
-    return coarse.join(fine, "_g", "left").select("_g", F.coalesce(last, F.lit("")).alias("bound"), "tie", "tie_rest")
+    fine = _cut(hashes, "_h", "rest").toDF("_g", "fine", "tie", "quota")
+    last = F.coalesce("fine", "full")
+    return coarse.df.join(fine, "_g", "left").select("_g", _past(last).alias("bound"), "tie", "quota")
 
 
-def _held(per_group: DataFrame, few: bool) -> DataFrame:
-    """Fix a small per-group table, so that later reads agree and do not compute it again."""
-    if few:
-        return per_group.sparkSession.createDataFrame(per_group.toArrow())
-    return cut(per_group)
+def _past(last: Column | str) -> Column:
+    """What sorts after all hashes that start with ``last``, and before all others; nothing is below a NULL's."""
+    return F.coalesce(F.concat(last, F.lit(PAST)), F.lit(""))
 
 
 def _copies(ties: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -128,24 +155,18 @@ def _copies(ties: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _take(df: DataFrame, columns: Sequence[str], quotas: DataFrame, hashes: Sequence[Column], few: bool) -> DataFrame:
+def _take(df: DataFrame, columns: Sequence[str], quotas: PerGroup, hashes: Sequence[Column]) -> DataFrame:
     """``quota`` rows of each group ``_g`` by hash order; later hashes settle ties of earlier ones."""
     if not hashes:
-        return _copies(_by_group(df, quotas, few), columns)
+        return _copies(quotas.attach(df, "quota"), columns)
     keyed = df.withColumn("_h", hashes[0])
-    bounds = _held(_bounds(keyed.select("_g", "_h"), quotas, few), few)
-    first = bounds.take(2)
-    if len(first) == 1:
-        # One group, as in a plain random sample: its bound is a constant.
-        taken = keyed.where((F.col("_g") == F.lit(first[0]["_g"])) & (F.col("_h") < F.lit(first[0]["bound"])))
-    else:
-        taken = _by_group(keyed, bounds.select("_g", "bound"), few).where(F.col("_h") < F.col("bound"))
-    taken = taken.select(*map(col, columns))
-    ties = bounds.where(F.col("tie").isNotNull()).select("_g", "tie", F.col("tie_rest").alias("quota"))
-    if ties.isEmpty():
+    bounds = PerGroup.of(_bounds(keyed.select("_g", "_h"), quotas), quotas.few)
+    taken = bounds.attach(keyed, "bound").where(F.col("_h") < F.col("bound")).select(*map(col, columns))
+    ties = bounds.having("tie")
+    if ties.is_empty():
         return taken
-    tied = _by_group(keyed, ties.select("_g", "tie"), few).where(F.col("_h") == F.col("tie")).drop("_h", "tie")
-    return taken.unionByName(_take(tied, columns, ties.select("_g", "quota"), hashes[1:], few))
+    tied = ties.attach(keyed, "tie").where(F.col("_h") == F.col("tie")).drop("_h", "tie")
+    return taken.unionByName(_take(tied, columns, ties, hashes[1:]))
 
 
 def sample(
@@ -164,15 +185,27 @@ def sample(
     """
     identity = list(identity or identity_columns(df))
     group = (F.lit(0) if by is None else col(by)).alias("_g")
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    total, groups = sizes.agg(F.sum("size"), F.count(F.lit(1))).first()
-    target = target_size(total or 0, n, pct)
-    if target >= (total or 0):
+    if by is None:
+        total = df.count()
+    else:
+        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+        rows = sizes.limit(BROADCAST_GROUPS + 1).toArrow()
+        few = rows.num_rows <= BROADCAST_GROUPS
+        total = (pc.sum(rows["size"]).as_py() if few else sizes.agg(F.sum("size")).first()[0]) or 0
+    target = target_size(total, n, pct)
+    if target >= total:
         return df
-    few = groups <= BROADCAST_GROUPS
-    share = F.greatest(F.lit(1).cast("long"), F.bround(F.lit(target) * F.col("size") / F.lit(total)).cast("long"))
-    quotas = sizes.where(F.col("_g").isNotNull()).select("_g", share.alias("quota"))
+
+    if by is None:
+        quotas = PerGroup.held(df.sparkSession, pa.table({"_g": pa.array([0], pa.int32()), "quota": [target]}))
+    elif few:
+        rows = rows.filter(rows["_g"].is_valid())
+        shares = [max(1, round(target * size / total)) for size in rows["size"].to_pylist()]
+        quotas = PerGroup.held(df.sparkSession, rows.select(["_g"]).append_column("quota", pa.array(shares, pa.int64())))
+    else:
+        share = F.greatest(F.lit(1).cast("long"), F.bround(F.lit(target) * F.col("size") / F.lit(total)).cast("long"))
+        quotas = PerGroup.of(sizes.where(F.col("_g").isNotNull()).select("_g", share.alias("quota")), few)
     hashes = [row_hash(identity, seed)]
     if set(identity) != set(df.columns):
         hashes.append(F.lower(F.lpad(F.hex(F.xxhash64(*map(col, df.columns))), 16, "0")))
-    return _take(df.withColumn("_g", group), df.columns, _held(quotas, few), hashes, few)
+    return _take(df.withColumn("_g", group), df.columns, quotas, hashes)

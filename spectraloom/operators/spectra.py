@@ -43,11 +43,12 @@ class SpectralFrame:
         return self.df.selectExpr(*map(q, kept), *bands)
 
     def take(self, positions: Sequence[int]) -> SpectralFrame:
-        """Only the bands at these positions."""
+        """Only the bands at these ascending positions."""
         if list(positions) == list(range(len(self.axis))):
             return self
-        spectrum = F.transform(number_array(positions), lambda i: F.get(col(self.column), i.cast("int")))
-        spectrum = spectrum.alias(self.column)
+        wanted = set(positions)
+        mask = number_array(int(i in wanted) for i in range(len(self.axis)))
+        spectrum = F.filter(col(self.column), lambda _, i: F.get(mask, i) == 1).alias(self.column)
         return replace(
             self,
             df=self.df.select(*map(col, self.metadata), spectrum),

@@ -105,7 +105,7 @@ def salted_join(
     def grid(df: DataFrame, own: str, own_salt: str, own_hot: Sequence, other: str, other_hot: Sequence) -> DataFrame:
         copied = [k for k in other_hot if k in set(matched)]
         df = df.withColumn(own, F.when(among(own_hot) | partnerless, col(own_salt)).otherwise(F.lit(0)))
-        return df.withColumn(other, F.explode(F.when(among(copied), every_cell).otherwise(one_cell)) if copied else F.lit(0))
+        return df.withColumn(other, F.explode_outer(F.when(among(copied), every_cell).otherwise(one_cell)) if copied else F.lit(0))
 
     left = grid(left, "_a", left_salt, hot_left, "_b", hot_right).withColumn("_in_left", F.lit(True))
     right = grid(right, "_b", right_salt, hot_right, "_a", hot_left).withColumn("_in_right", F.lit(True))
