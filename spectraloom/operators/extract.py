@@ -26,7 +26,11 @@ JOINS = ("inner", "full", "left")
 
 @dataclass(frozen=True)
 class Star:
-    """The three linked tables of a dataset. Spectra may be wide or already packed."""
+    """The three linked tables of a dataset. Spectra may be wide or already packed.
+
+    The tables should be as read from files, or checkpointed: hot keys are split by row position, which a scan repeats
+    exactly when a task is run again.
+    """
 
     site: DataFrame
     lab: DataFrame

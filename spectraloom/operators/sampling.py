@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from spectraloom.functions.names import col, column_family
 from spectraloom.plans.lineage import cut
-from spectraloom.plans.skew import add_salt, frequent_keys, salt_count, salted_join
+from spectraloom.plans.skew import frequent_keys
 
 # Fixed value: the seed of every sample.
 SEED = 42
@@ -99,21 +99,22 @@ class PerGroup:
         return self.rows.num_rows == 0 if self.few else self.df.isEmpty()
 
     def attach(self, df: DataFrame, *columns: str) -> DataFrame:
-        """Add columns of the row's group; rows of other groups drop out. A hot group is split unless broadcast."""
+        """Add columns of the row's group; rows of other groups drop out.
+
+        With many groups the hot ones, of which there are few, are broadcast and the others joined by a shuffle.
+        """
         if self.few and self.rows.num_rows == 1:
             row = self.rows.to_pylist()[0]
             return df.where(F.col("_g") == F.lit(row["_g"])).withColumns({c: F.lit(row[c]) for c in columns})
         per_group = self.df.select("_g", *columns)
         if self.few:
             return df.join(F.broadcast(per_group), "_g")
-        hot = frequent_keys({"rows": df}, "_g")["rows"]
-        hot.pop(None, None)
+        hot = [g for g in frequent_keys({"rows": df}, "_g")["rows"] if g is not None]
         if not hot:
             return df.join(per_group, "_g")
-        salts = salt_count(df, hot, {})
-        salted, single = add_salt(df, "_salt", salts), per_group.withColumn("_none", F.lit(0))
-        joined = salted_join(salted, single, "_g", "inner", list(hot), [], list(hot), salts, "_salt", "_none")
-        return joined.drop("_salt", "_none")
+        is_hot = F.col("_g").isin(hot)
+        hot_rows = df.where(is_hot).join(F.broadcast(per_group.where(is_hot)), "_g")
+        return hot_rows.unionByName(df.where(~is_hot).join(per_group.where(~is_hot), "_g"))
 
 
 def _bounds(keyed: DataFrame, quotas: PerGroup) -> DataFrame:

@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
         shuffle_partitions=4,
         **{
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
+            "spark.sql.maxMetadataStringLength": "5000",  # plan texts are searched for pushed filters
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },
     )

@@ -1,0 +1,90 @@
+"""Small tables with the shapes and corner cases of library files."""
+
+import datetime as dt
+
+from pyspark.sql import types as T
+
+from spectraloom.functions.names import DEFAULT_ID
+
+NAN = float("nan")
+
+
+def site(spark):
+    schema = T.StructType(
+        [
+            T.StructField(DEFAULT_ID, T.StringType()),
+            T.StructField("id.layer_uuid_c", T.StringType()),
+            T.StructField("country_code", T.StringType()),
+            T.StructField("landuse_txt", T.StringType()),
+            T.StructField("year_uint16", T.IntegerType()),
+            T.StructField("irrigated_logical", T.BooleanType()),
+            T.StructField("depth.upper_cm", T.DoubleType()),
+            T.StructField("latitude_dd", T.DoubleType()),
+            T.StructField("elevation_m", T.StringType()),
+            T.StructField("date_iso", T.DateType()),
+        ]
+    )
+    day = dt.date(2020, 1, 1)
+    rows = [
+        ("a", "u1", "IT", "l'Aquila", 2009, True, 0.0, 42.0, "700", day),
+        ("b", "u2", "IT", "crop", 2012, False, 10.0, 43.0, "10.5", day),
+        ("c", "u3", "US", "crop", 2012, None, 20.0, None, "0", None),
+        ("d", "u4", None, None, None, True, None, -1.0, None, day),
+        (None, "u5", "US", "grass", 2009, True, 5.0, 1.0, "3", day),
+        ("e", "u6", "DE", "grass", 2015, False, 10.0, 50.0, "100", day),
+        ("e", "u7", "DE", "grass", 2015, False, 20.0, 50.0, "100", day),
+    ]
+    return spark.createDataFrame(rows, schema)
+
+
+def lab(spark):
+    schema = T.StructType(
+        [
+            T.StructField(DEFAULT_ID, T.StringType()),
+            T.StructField("carbon_w.pct", T.DoubleType()),
+            T.StructField("clay_w.pct", T.DoubleType()),
+            T.StructField("ph_index", T.DoubleType()),
+            T.StructField("count_n", T.IntegerType()),
+            T.StructField("method_txt", T.StringType()),
+        ]
+    )
+    rows = [
+        ("a", 1.0, 20.0, 7.0, 1, "dry"),
+        ("a", 2.0, None, 7.0, None, "dry"),
+        ("b", None, 30.0, 7.0, 2, "wet"),
+        ("c", NAN, 10.0, 7.0, 3, "wet"),
+        ("d", -1.0, 5.0, 7.0, 4, None),
+        ("e", -2.0, 15.0, 7.0, 5, "dry"),
+        ("x", 9.0, 25.0, 7.0, 6, "dry"),
+        (None, 8.0, 25.0, 7.0, 7, "dry"),
+    ]
+    return spark.createDataFrame(rows, schema)
+
+
+BANDS = [f"scan_mir.{v}_abs" for v in range(600, 641, 2)]
+ODD_BANDS = ["scan_mir.642_bc.abs", "scan_visnir.350.5_ref", "scan_mir.601.9995_abs", "scan_mir.601_abs", "scan_mir.bad_abs"]
+
+
+def spectra(spark):
+    names = [DEFAULT_ID, "id.scan_local_c", "id.layer_uuid", "instrument_txt"]
+    schema = T.StructType(
+        [T.StructField(n, T.StringType()) for n in names]
+        + [T.StructField(n, T.DoubleType()) for n in [*ODD_BANDS, *BANDS]]
+    )
+
+    def row(key, scan, instrument, base, gap=None):
+        values = [base + i / 100 for i in range(len(ODD_BANDS) + len(BANDS))]
+        if gap is not None:
+            values[len(ODD_BANDS) + gap] = None
+            values[len(ODD_BANDS) + gap + 1] = NAN
+        return (key, scan, "v", instrument, *values)
+
+    rows = [
+        row("a", "s1", "alpha", 0.0),
+        row("a", "s2", "beta", 1.0),
+        row("b", "s3", "alpha", 2.0, gap=2),
+        row("e", "s4", "alpha", 3.0),
+        row("z", "s5", "beta", 4.0),
+        row(None, "s6", "beta", 5.0),
+    ]
+    return spark.createDataFrame(rows, schema)
