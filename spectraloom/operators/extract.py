@@ -19,7 +19,7 @@ from spectraloom.operators.filters import (
     validate_site_filters,
 )
 from spectraloom.operators.spectra import DEFAULT_RANGE, SpectralFrame, thin
-from spectraloom.plans.skew import SkewPolicy, add_salt, frequent_keys, present_keys, salt_count, salted_join
+from spectraloom.plans.skew import CELL, SkewPolicy, drop_unpaired, frequent_keys, present_keys, salt_count, spread
 
 JOINS = ("inner", "full", "left")
 
@@ -144,22 +144,9 @@ def _hot_keys(spec: ExtractSpec, **tables: DataFrame) -> dict[str, dict]:
     return hot
 
 
-def _soil(site: DataFrame, lab: DataFrame, spec: ExtractSpec, hot: dict[str, dict], salts: int) -> DataFrame:
-    """Sites and laboratory values in one inner join that carries the site columns along.
-
-    With hot keys the result has a ``_salt`` column for a following join.
-    """
-    key = spec.id_col
-    site = without_clashes(site, lab, key)
-    if not hot["lab"] and not hot["site"]:
-        return lab.join(site, key, "inner")
-    lab = add_salt(lab.where(col(key).isNotNull()), "_lab_salt", salts)
-    site = add_salt(site.where(col(key).isNotNull()), "_site_salt", salts)
-    every = list({**hot["lab"], **hot["site"]})
-    soil = salted_join(
-        lab, site, key, "inner", list(hot["lab"]), list(hot["site"]), every, salts, "_lab_salt", "_site_salt"
-    )
-    return soil.withColumn("_salt", (col("_lab_salt") + col("_site_salt")) % salts).drop("_lab_salt", "_site_salt")
+def _join_soil(lab: DataFrame, site: DataFrame, on: list[str]) -> DataFrame:
+    """Sites and laboratory values in one inner join that carries the site columns along."""
+    return lab.join(site, on, "inner")
 
 
 def soil_table(star: Star, spec: ExtractSpec) -> DataFrame:
@@ -167,9 +154,14 @@ def soil_table(star: Star, spec: ExtractSpec) -> DataFrame:
     _check(star, spec, with_spectra=False)
     if not lab_properties(star.lab, spec):
         raise ValueError("select at least one soil property")
-    site, lab = select_site(star.site, spec), select_lab(star.lab, spec)
+    key, lab = spec.id_col, select_lab(star.lab, spec)
+    site = without_clashes(select_site(star.site, spec), lab, key)
     hot = _hot_keys(spec, lab=lab, site=site)
-    return _soil(site, lab, spec, hot, salt_count(lab, hot["lab"], hot["site"])).drop("_salt")
+    if not any(hot.values()):
+        return _join_soil(lab, site, [key])
+    salts = salt_count(lab, hot)
+    lab, site = spread(lab, "lab", key, hot, hot, salts), spread(site, "site", key, hot, hot, salts)
+    return _join_soil(lab, site, [key, CELL]).drop(CELL)
 
 
 def extract(star: Star, spec: ExtractSpec) -> SpectralFrame:
@@ -179,27 +171,30 @@ def extract(star: Star, spec: ExtractSpec) -> SpectralFrame:
     soil row. The spectrum is NULL where there is none.
     """
     _check(star, spec, with_spectra=True)
-    key = spec.id_col
-    site, lab = select_site(star.site, spec), select_lab(star.lab, spec)
+    key, lab = spec.id_col, select_lab(star.lab, spec)
+    site = without_clashes(select_site(star.site, spec), lab, key)
     spectra = select_spectra(star.spectra, spec)
-    hot = _hot_keys(spec, lab=lab, site=site, spectra=spectra.df)
+    spectral = without_clashes(without_clashes(spectra.df, lab, key), site, key)
+    hot = _hot_keys(spec, lab=lab, site=site, spectra=spectral)
     if not any(hot.values()):
-        soil = _soil(site, lab, spec, hot, 1)
-        return spectra.with_df(soil.join(without_clashes(spectra.df, soil, key), key, spec.how))
-
-    hot_soil = {**hot["lab"], **hot["site"]}
-    salts = salt_count(lab, hot_soil, hot["spectra"])
-    matched = every = list({**hot_soil, **hot["spectra"]})
-    if spec.how != "inner":
-        matched = present_keys([site, lab, spectra.df], key, every)
-    soil = _soil(site, lab, spec, hot, salts)
-    if "_salt" not in soil.columns:
-        soil = soil.withColumn("_salt", F.lit(0))
-    right = add_salt(without_clashes(spectra.df, soil, key), "_spectra_salt", salts)
-    joined = salted_join(
-        soil, right, key, spec.how, list(hot_soil), list(hot["spectra"]), matched, salts, "_salt", "_spectra_salt"
+        return spectra.with_df(_join_soil(lab, site, [key]).join(spectral, key, spec.how))
+
+    salts, on = salt_count(lab, hot), [key, CELL]
+    # Copies along or onto the spectra's axis need partners to meet: in an outer join, only keys that are in all tables.
+    every = list({k: None for keys in hot.values() for k in keys})
+    matched = every if spec.how == "inner" else present_keys([lab, site, spectral], key, every)
+    meeting = {name: [k for k in keys if k in matched] for name, keys in hot.items()}
+    soil_copies = {"lab": hot["lab"], "site": hot["site"], "spectra": meeting["spectra"]}
+    soil = _join_soil(
+        spread(lab, "lab", key, hot, soil_copies, salts), spread(site, "site", key, hot, soil_copies, salts), on
     )
-    return spectra.with_df(joined.drop("_salt", "_spectra_salt"))
+    spectral = spread(spectral, "spectra", key, hot, meeting, salts)
+    if spec.how == "inner":
+        joined = soil.join(spectral, on, "inner")
+    else:
+        marked = soil.withColumn("_in_soil", F.lit(True)), spectral.withColumn("_in_spectra", F.lit(True))
+        joined = drop_unpaired(marked[0].join(marked[1], on, spec.how), key, matched, "_in_soil", "_in_spectra")
+    return spectra.with_df(joined.drop(CELL, "_in_soil", "_in_spectra"))
 
 
 def export_columns(df: DataFrame, keep: list[str] | None = None) -> DataFrame:

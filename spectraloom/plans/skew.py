@@ -1,15 +1,19 @@
-"""Equi-joins in which one key may hold a large share of the rows.
+"""Equi-joins of several tables on one key that may hold a large share of the rows.
 
-Without hot keys this is Spark's own join: broadcast when a side is small, else sort-merge with AQE. For hot keys AQE is
-not enough: it cannot split either side of a full join, nor the right side of a left join. Their rows are therefore
-spread over a grid of (a, b) cells: a left row picks one a and visits every b, a right row picks one b and visits
-every a, so each pair meets in exactly one cell. Only rows of hot keys are copied.
+Without hot keys these are Spark's own joins: broadcast when a side is small, else sort-merge with AQE. For hot keys AQE
+is not enough: it cannot split either side of a full join, nor the right side of a left join. Their rows are therefore
+spread over a grid of cells with one axis per table. A row picks one cell on its own table's axis if its key is hot
+there, and is copied along every other axis on which its key is hot, so rows that belong together meet in exactly one
+cell. Rows of other keys stay single, in cell 0.
+
+All joins of the tables use the same columns, key and cell number, so that a table, or the result of a first join, is shuffled
+once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -23,6 +27,9 @@ from spectraloom.functions.names import col
 CANDIDATES = 200
 TRACKED = 10_000
 
+# The column that numbers a row's cell, and joins on beside the key.
+CELL = "_cell"
+
 
 @dataclass(frozen=True)
 class SkewPolicy:
@@ -68,50 +75,45 @@ def add_salt(df: DataFrame, name: str, salts: int) -> DataFrame:
     return df.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
 
 
-def salt_count(df: DataFrame, hot_left: dict, hot_right: dict) -> int:
-    """Cells per hot key, so that a cell holds about as many rows as an ordinary shuffle partition."""
-    share = max([*hot_left.values(), *hot_right.values()], default=0.0)
+def salt_count(df: DataFrame, hot: Mapping[str, Mapping[object, float]]) -> int:
+    """Cells per axis, so that a cell holds about as many rows as an ordinary shuffle partition."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = max(2, math.ceil(share * partitions))
-    both_hot = set(hot_left) & set(hot_right)
-    return max(2, math.ceil(math.sqrt(cells))) if both_hot else cells
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str,
-    hot_left: Sequence[object],
-    hot_right: Sequence[object],
-    matched: Sequence[object],
-    salts: int,
-    left_salt: str,
-    right_salt: str,
-) -> DataFrame:
-    """Join two salted tables on ``key``; ``how`` is inner, left or full.
-
-    ``matched`` lists the hot keys that occur on both sides; an inner join may pass all of them. Rows of the others,
-    and rows with a NULL key, have no partner and are spread without copies.
+    cells = 2
+    for key in {k for keys in hot.values() for k in keys}:
+        shares = [keys[key] for keys in hot.values() if key in keys]
+        cells = max(cells, math.ceil((max(shares) * partitions) ** (1 / len(shares))))
+    return cells
+
+
+def among(key: str, keys: Iterable[object]) -> Column:
+    keys = [k for k in keys if k is not None]
+    return F.coalesce(col(key).isin(keys), F.lit(False)) if keys else F.lit(False)
+
+
+def spread(df: DataFrame, own: str, key: str, hot: Mapping[str, Iterable], copied: Mapping[str, Iterable], salts: int) -> DataFrame:
+    """Add the cell's number to the rows of one table.
+
+    ``hot`` names the hot keys of every table, ``copied`` those along whose axis this table's rows are to be copied.
+    Rows without a key have no partner and are spread without copies.
     """
-    partnerless = col(key).isNull()
-    every_cell = F.sequence(F.lit(0), F.lit(salts - 1))
-    one_cell = F.array(F.lit(0))
-
-    def among(keys: Sequence[object]) -> Column:
-        keys = [k for k in keys if k is not None]
-        return F.coalesce(col(key).isin(keys), F.lit(False)) if keys else F.lit(False)
-
-    def grid(df: DataFrame, own: str, own_salt: str, own_hot: Sequence, other: str, other_hot: Sequence) -> DataFrame:
-        copied = [k for k in other_hot if k in set(matched)]
-        df = df.withColumn(own, F.when(among(own_hot) | partnerless, col(own_salt)).otherwise(F.lit(0)))
-        return df.withColumn(other, F.explode_outer(F.when(among(copied), every_cell).otherwise(one_cell)) if copied else F.lit(0))
-
-    left = grid(left, "_a", left_salt, hot_left, "_b", hot_right).withColumn("_in_left", F.lit(True))
-    right = grid(right, "_b", right_salt, hot_right, "_a", hot_left).withColumn("_in_right", F.lit(True))
-    joined = left.join(right, [key, "_a", "_b"], how)
-    if how != "inner":
-        # A matched key has partners for all its rows, so an unpaired copy of one is an empty cell, not a result.
-        paired = col("_in_left").isNotNull() & col("_in_right").isNotNull()
-        joined = joined.where(~among(matched) | paired)
-    return joined.drop("_a", "_b", "_in_left", "_in_right")
+    axes = [name for name, keys in hot.items() if keys]
+    df = df.withColumn(CELL, F.lit(0).cast("long"))
+    if own in axes:
+        here = among(key, hot[own]) | col(key).isNull()
+        position = F.when(here, col("_salt") * salts ** axes.index(own)).otherwise(F.lit(0))
+        df = add_salt(df, "_salt", salts).withColumn(CELL, col(CELL) + position).drop("_salt")
+    for i, axis in enumerate(axes):
+        keys = [k for k in copied.get(axis, ()) if k is not None]
+        if axis != own and keys:
+            step = salts**i
+            every = F.sequence(F.lit(0), F.lit((salts - 1) * step), F.lit(step))
+            copies = F.explode_outer(F.when(among(key, keys), every).otherwise(F.array(F.lit(0))))
+            df = df.withColumn("_copy", copies).withColumn(CELL, col(CELL) + col("_copy")).drop("_copy")
+    return df
+
+
+def drop_unpaired(joined: DataFrame, key: str, matched: Iterable[object], left_mark: str, right_mark: str) -> DataFrame:
+    """After an outer join: a key that occurs on both sides has partners for all its rows, so an unpaired copy of one is
+    an empty cell and not a result."""
+    paired = col(left_mark).isNotNull() & col(right_mark).isNotNull()
+    return joined.where(~among(key, matched) | paired)

@@ -185,6 +185,20 @@ def test_one_shuffle_per_table(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_salted_joins_share_one_shuffle_too(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        star = Star(*[df.select("*") for df in (
+            spark.range(50).selectExpr("id AS k", "id AS site_id"), spark.range(90).selectExpr("id % 50 AS k", "id AS prop"),
+        )], from_array(spark.range(40).selectExpr("id AS k", "array(1D, 2D) AS spectrum"), [400, 402]))
+        spec = ExtractSpec(lab=("prop",), site=("site_id",), id_col="k", hot_keys={"lab": (7,), "spectra": (8,)})
+        df = extract(star, spec).df
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        assert df.count() == 80
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bucketed_tables_join_without_shuffle(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
