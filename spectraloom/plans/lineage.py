@@ -21,7 +21,7 @@ def cut(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     if folder:
         context.setCheckpointDir(folder)
-    elif context._jsc.sc().getCheckpointDir().isEmpty():
+    elif context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spectraloom-"))

@@ -39,7 +39,7 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     line = spark.read.text(path).first()
     if line is None:
         raise ValueError(f"{path} is empty")
-    names = next(csv.reader([line[0].lstrip("﻿")]))
+    names = next(csv.reader([line[0].lstrip("\ufeff")]))
     repeated = sorted({n for n in names if names.count(n) > 1})
     if repeated:
         raise ValueError(f"columns occur more than once: {repeated}")
