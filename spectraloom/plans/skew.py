@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from spectraloom.functions.names import col
 
 # How many candidates the frequent-items sketch returns, and how many it tracks meanwhile. It cannot miss a key
-# holding more than about 1/2000 of the rows.
+# holding more than about 1/500 of the rows.
 CANDIDATES = 200
-TRACKED = 10_000
+TRACKED = 2_000
 
 # The column that numbers a row's cell, and joins on beside the key.
 CELL = "_cell"

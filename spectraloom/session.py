@@ -30,6 +30,8 @@ def local_session(cores: int | str = "*", memory: str = "12g", shuffle_partition
         .appName("spectraloom")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Recording where each Column was made costs more than planning it.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from spectraloom.functions.expressions import missing_to_null
 from spectraloom.functions.names import col
 from spectraloom.operators.spectra import SpectralFrame
+from spectraloom.sources.tables import CSV_OPTIONS
 
 
 def csv_name(name: str) -> str:
@@ -39,7 +40,8 @@ def write_csv(
     """
     wide = _blank_spectrum(data).wide(keep) if isinstance(data, SpectralFrame) else blank_missing(data)
     wide = wide.coalesce(1) if single_file else wide
-    wide.write.mode("overwrite").csv(csv_name(path), header=True, emptyValue="")
+    kept_as_is = {"emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    wide.write.mode("overwrite").csv(csv_name(path), **CSV_OPTIONS, **kept_as_is)
 
 
 def write_parquet(spectra: SpectralFrame, path: str) -> None:

@@ -18,6 +18,9 @@ MISSING_WORDS = (
     "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Quotes inside quoted fields are doubled, as spreadsheet and data frame tools write them.
+CSV_OPTIONS = {"header": True, "escape": '"'}
+
 
 def read_star(spark: SparkSession, site: str, lab: str, spectra: str) -> Star:
     """The three tables of a dataset, lazily: the scans later read only the columns and row groups they need."""
@@ -26,7 +29,7 @@ def read_star(spark: SparkSession, site: str, lab: str, spectra: str) -> Star:
 
 def read_csv_twin(spark: SparkSession, path: str) -> DataFrame:
     """The compressed CSV twin of a Parquet file. Gzip cannot be split: prefer the Parquet file."""
-    return spark.read.csv(path, header=True, inferSchema=True)
+    return spark.read.csv(path, inferSchema=True, **CSV_OPTIONS)
 
 
 def column_names(spark: SparkSession, path: str) -> list[str]:
@@ -70,18 +73,22 @@ def text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
-def read_spectra_csv(spark: SparkSession, path: str, infer_metadata: bool = False) -> SpectralFrame:
+def read_spectra_csv(
+    spark: SparkSession, path: str, infer_metadata: bool = False, multi_line: bool = False
+) -> SpectralFrame:
     """An uploaded CSV: first column the sample ID, number-named columns the bands (in any order).
 
     Only the header is read here. Metadata stays text, which an export writes back unchanged; ``infer_metadata`` gives
-    it types at the price of one more pass over the file.
+    it types at the price of one more pass over the file. Fields with line breaks need ``multi_line``, which keeps a
+    file from being split.
     """
     names = csv_header(spark, path)
-    spectra = pack_text_bands(spark.read.schema(text_schema(names)).csv(path, header=True, enforceSchema=False))
+    options = {"enforceSchema": False, "multiLine": multi_line, **CSV_OPTIONS}
+    spectra = pack_text_bands(spark.read.schema(text_schema(names)).csv(path, **options))
     if not infer_metadata:
         return spectra
     keep, _ = split_roles(names)
-    inferred = spark.read.csv(path, header=True, inferSchema=True).schema
+    inferred = spark.read.csv(path, inferSchema=True, multiLine=multi_line, **CSV_OPTIONS).schema
     types = {name: inferred[i].dataType for i, name in enumerate(names)}
     typed = [col(c).cast(types[c]).alias(c) for c in keep]
     return spectra.with_df(spectra.df.select(*typed, col(spectra.column)))

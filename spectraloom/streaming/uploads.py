@@ -11,12 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spectraloom.operators.resample import resample
 from spectraloom.operators.spectra import SpectralFrame
-from spectraloom.sources.tables import pack_text_bands, text_schema
+from spectraloom.sources.tables import CSV_OPTIONS, pack_text_bands, text_schema
 
 
 def stream_spectra_csv(spark: SparkSession, folder: str, header: list[str]) -> SpectralFrame:
     """Uploads that share one header, as an unbounded table."""
-    files = spark.readStream.schema(text_schema(header)).csv(folder, header=True, enforceSchema=False)
+    files = spark.readStream.schema(text_schema(header)).csv(folder, enforceSchema=False, **CSV_OPTIONS)
     return pack_text_bands(files)
 
 

@@ -152,6 +152,20 @@ def test_hot_keys_are_found_and_spread(spark):
     assert frequent_keys({"lab": star.lab}, "k") == {"lab": {}}
 
 
+def test_no_hot_key_is_missed_among_many_others(spark):
+    """Keys with 1.5 to 20 percent of the rows, and 200 000 others that occur once or twice."""
+    shares = {-1: 20, -2: 8, -3: 3, -4: 2, -5: 1.5}
+    bounds, low = [], 0
+    for key, share in shares.items():
+        bounds.append(f"WHEN h < {low + share * 100} THEN {key}")
+        low += share * 100
+    df = spark.range(0, 400_000, 1, 16).withColumn("h", F.expr("pmod(xxhash64(id), 10000)"))
+    df = df.withColumn("k", F.expr(f"CASE {' '.join(bounds)} ELSE id DIV 2 END"))
+    hot = frequent_keys({"t": df}, "k", SkewPolicy(share=0.012, min_rows=1000))["t"]
+    assert set(hot) == set(shares)
+    assert all(abs(hot[k] - share / 100) < 0.003 for k, share in shares.items())
+
+
 def test_hot_rows_land_in_many_partitions(spark):
     """A key with almost all rows: without salting all its joined rows would sit in one partition."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")

@@ -171,6 +171,14 @@ def test_nan_is_written_empty(spark, tmp_path):
     assert text.splitlines() == ["k,x,n", "a,,1", "b,2.5,"]
 
 
+def test_text_survives_a_round_trip(spark, tmp_path):
+    rows = [("a", ' padded "quoted", with comma '), ("b", "two\nlines")]
+    source = from_array(spark.createDataFrame(rows, "sample string, note string").selectExpr("*", "array(1D, 2D) AS spectrum"), [400, 402])
+    write_csv(source, str(tmp_path / "text"), single_file=True)
+    found = read_spectra_csv(spark, str(tmp_path / "text.csv"), multi_line=True)
+    assert sorted((r["sample"], r.note) for r in found.df.collect()) == rows
+
+
 def test_csv_name():
     assert (csv_name("a"), csv_name("a.csv")) == ("a.csv", "a.csv")
 
