@@ -169,7 +169,8 @@ def catalog_column_lists(t: Tables) -> DataFrame:
 
 
 def catalog_build(t: Tables) -> DataFrame:
-    return joined(catalog.build_catalog(t.registry(), t.file_columns()), "columns", "meta_columns")
+    built = joined(catalog.build_catalog(t.registry(), t.file_columns()), "columns", "meta_columns")
+    return built.withColumn("scan_count", F.col("scan_count").cast("double"))
 
 
 def catalog_documents(t: Tables) -> DataFrame:
@@ -362,7 +363,7 @@ def sample_n(t: Tables) -> DataFrame:
 
 
 def sample_pct(t: Tables) -> DataFrame:
-    return sampling.sample(t.orders, pct=12.5, identity=["o_orderkey"])
+    return sampling.sample(t.orders.drop("o_orderdate"), pct=12.5, identity=["o_orderkey"])
 
 
 def sample_stratified(t: Tables) -> DataFrame:

@@ -194,7 +194,7 @@ def oracle_sql() -> dict[str, str]:
         "catalog_band_names": BAND_NAMES,
         "catalog_band_range": f"select public_url, scan_min, scan_max, scan_count from ({DESCRIBED})",
         "catalog_column_lists": f"select public_url, columns, meta_columns from ({DESCRIBED})",
-        "catalog_build": CATALOG,
+        "catalog_build": f"select * replace (cast(scan_count as double) as scan_count) from ({CATALOG})",
         "catalog_documents": f"""with built as ({CATALOG})
             select dataset_code, coalesce(string_agg(role, ',' order by role)
                 filter (where role in ('mir', 'visnir', 'nir')), '') as spectra_types,
@@ -286,7 +286,7 @@ def oracle_sql() -> dict[str, str]:
         "band_extent": f"""select count(*) as bands, min(band) as x_min, max(band) as x_max, min(lower) as y_min,
             max(upper) as y_max from ({profile(spectra())})""",
         "sample_n": sampled("select * from customer", "* exclude (rn, total)", "c_custkey", "200"),
-        "sample_pct": sampled("select * from orders", "* exclude (rn, total)", "o_orderkey", "greatest(1, floor(total * 12.5 / 100))"),
+        "sample_pct": sampled("select * exclude (o_orderdate) from orders", "* exclude (rn, total)", "o_orderkey", "greatest(1, floor(total * 12.5 / 100))"),
         "sample_stratified": stratified("select * from customer", "* exclude (rn, total, size)", "c_custkey", "c_mktsegment", "333"),
         "sample_stratified_pct": stratified(
             "select doc_id, lang, n_chars, case when lang <> 'en' then source end as source_c from documents",

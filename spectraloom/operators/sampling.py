@@ -123,6 +123,8 @@ def _bounds(keyed: DataFrame, quotas: PerGroup) -> DataFrame:
     prefixes = keyed.groupBy("_g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
     coarse = PerGroup.of(_cut(quotas.attach(prefixes, "quota"), "p", "quota"), quotas.few)
     edges = coarse.having("edge")
+    if edges.is_empty():
+        return coarse.df.selectExpr("_g", f"coalesce(full || '{PAST}', '') AS bound", "CAST(NULL AS STRING) AS tie", "rest AS quota")
 
     # Only the prefix in which a quota ends is looked at closer. Copies of a row collapse before they are ranked.
     hashes = edges.attach(keyed, "edge", "rest").where(prefix == F.col("edge"))
