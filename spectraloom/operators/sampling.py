@@ -184,7 +184,8 @@ def sample(
 
     ``identity`` names the columns that identify a row (default: all that are not nested); the same rows are drawn
     however the data is partitioned. With ``by`` a group's share is rounded, so the total may differ from ``n``, and
-    rows without a group are left out. Counting takes narrow jobs over identity and group; the sample itself is lazy.
+    rows without a group are left out. Up to three narrow jobs over identity and group find where each quota ends; the
+    sample itself is lazy. When the input is expensive to compute, pass it through ``plans.lineage.cut`` first.
     """
     identity = list(identity or identity_columns(df))
     group = (F.lit(0) if by is None else col(by)).alias("_g")
