@@ -127,8 +127,8 @@ def summary_stats(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURAC
     else:
         summary = summary.withColumns({q: F.lit(None).cast("double") for q in ("q25", "median", "q75")})
     summary = summary.withColumn("iqr", F.col("q75") - F.col("q25"))
-    # As many rows as columns were asked for.
-    summary = summary.coalesce(1).sortWithinPartitions("_position")
+    # As many rows as columns were asked for. The shuffle keeps the work before it in its own, parallel stage.
+    summary = summary.repartition(1).sortWithinPartitions("_position")
     rounded = [round_half_even(F.col(s), DECIMALS).alias(s) if s != "count" else F.col(s) for s in STATISTICS]
     return summary.select("property", *rounded)
 

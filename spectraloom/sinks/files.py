@@ -39,7 +39,7 @@ def write_csv(
     and is meant for extracts that fit a desktop tool.
     """
     wide = _blank_spectrum(data).wide(keep) if isinstance(data, SpectralFrame) else blank_missing(data)
-    wide = wide.coalesce(1) if single_file else wide
+    wide = wide.repartition(1) if single_file else wide
     kept_as_is = {"emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     wide.write.mode("overwrite").csv(csv_name(path), **CSV_OPTIONS, **kept_as_is)
 

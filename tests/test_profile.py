@@ -60,6 +60,14 @@ def test_summary_with_brackets_equals_pandas(spark, random_frame, accuracy):
     compare(spark, random_frame, accuracy=accuracy)
 
 
+def test_quartiles_are_found_in_parallel(spark, random_frame):
+    """Only the finished rows pass one task: nothing but an exchange lies below the final sort."""
+    table = spark.createDataFrame(random_frame[["normal", "ties"]])
+    lines = summary_stats(table, ["normal", "ties"])._jdf.queryExecution().executedPlan().toString().splitlines()
+    sort = next(i for i, line in enumerate(lines) if "Sort [_position" in line)
+    assert "Exchange SinglePartition" in lines[sort + 1] and not any("Coalesce" in line for line in lines)
+
+
 def test_summary_of_nothing(spark):
     empty = spark.createDataFrame([], "a double, b int")
     found = summary_stats(empty, ["b", "a"]).collect()
