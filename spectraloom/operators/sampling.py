@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from spectraloom.functions.names import col, column_family
 from spectraloom.plans.lineage import cut
-from spectraloom.plans.skew import frequent_keys
+from spectraloom.plans.skew import SkewPolicy
 
 # Fixed value: the seed of every sample.
 SEED = 42
@@ -28,6 +28,8 @@ PREFIX = 4
 PAST = "g"
 # Up to this many groups the bounds are held on the driver and broadcast; beyond, they are joined.
 BROADCAST_GROUPS = 10_000
+# Which of many groups are broadcast all the same: at most a hundred, by the share.
+HOT = SkewPolicy()
 # Copies of one row written out per task.
 COPIES_PER_TASK = 1_000_000
 
@@ -75,53 +77,74 @@ def _cut(counts: DataFrame, key: str, quota: str) -> DataFrame:
 class PerGroup:
     """A table with one row per group ``_g``: held on the driver for few groups, checkpointed for many.
 
-    Either way it is fixed, so that later reads agree and do not compute it again.
+    Either way it is fixed, so that later reads agree and do not compute it again. ``hot`` lists the large ones of many
+    groups, of which there are few.
     """
 
-    def __init__(self, df: DataFrame, rows: pa.Table | None):
-        self.df, self.rows, self.few = df, rows, rows is not None
+    def __init__(self, df: DataFrame, rows: pa.Table | None, hot: Sequence[object] = ()):
+        self.df, self.rows, self.hot = df, rows, hot
 
     @staticmethod
     def held(spark: SparkSession, rows: pa.Table) -> PerGroup:
         return PerGroup(spark.createDataFrame(rows), rows)
 
-    @staticmethod
-    def of(df: DataFrame, few: bool) -> PerGroup:
-        return PerGroup.held(df.sparkSession, df.toArrow()) if few else PerGroup(cut(df), None)
+    def like(self, df: DataFrame) -> PerGroup:
+        """Another table on the same groups, or some of them."""
+        few = self.rows is not None
+        return PerGroup.held(df.sparkSession, df.toArrow()) if few else PerGroup(cut(df), None, self.hot)
 
     def having(self, column: str) -> PerGroup:
         """The groups in which ``column`` is not NULL."""
-        if self.few:
+        if self.rows is not None:
             return PerGroup.held(self.df.sparkSession, self.rows.filter(self.rows[column].is_valid()))
-        return PerGroup(self.df.where(F.col(column).isNotNull()), None)
+        return PerGroup(self.df.where(F.col(column).isNotNull()), None, self.hot)
 
     def is_empty(self) -> bool:
-        return self.rows.num_rows == 0 if self.few else self.df.isEmpty()
+        return self.df.isEmpty() if self.rows is None else self.rows.num_rows == 0
 
     def attach(self, df: DataFrame, *columns: str) -> DataFrame:
         """Add columns of the row's group; rows of other groups drop out.
 
-        With many groups the hot ones, of which there are few, are broadcast and the others joined by a shuffle.
+        Few groups are broadcast, and so are the hot ones of many, while the others are joined by a shuffle.
         """
-        if self.few and self.rows.num_rows == 1:
+        per_group = self.df.select("_g", *columns)
+        if self.rows is not None and self.rows.num_rows == 1:
             row = self.rows.to_pylist()[0]
             return df.where(F.col("_g") == F.lit(row["_g"])).withColumns({c: F.lit(row[c]) for c in columns})
-        per_group = self.df.select("_g", *columns)
-        if self.few:
+        if self.rows is not None:
             return df.join(F.broadcast(per_group), "_g")
-        hot = [g for g in frequent_keys({"rows": df}, "_g")["rows"] if g is not None]
-        if not hot:
+        if not self.hot:
             return df.join(per_group, "_g")
-        is_hot = F.col("_g").isin(hot)
+        is_hot = F.col("_g").isin(list(self.hot))
         hot_rows = df.where(is_hot).join(F.broadcast(per_group.where(is_hot)), "_g")
         return hot_rows.unionByName(df.where(~is_hot).join(per_group.where(~is_hot), "_g"))
 
 
+def _quotas(df: DataFrame, group: Column, n: int, pct: float) -> PerGroup | None:
+    """How many rows each group gives; None when the sample is the whole table."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
+    rows = sizes.limit(BROADCAST_GROUPS + 1).toArrow()
+    few = rows.num_rows <= BROADCAST_GROUPS
+    sizes = sizes if few else cut(sizes)
+    total = (pc.sum(rows["size"]).as_py() if few else sizes.agg(F.sum("size")).first()[0]) or 0
+    target = target_size(total, n, pct)
+    if target >= total:
+        return None
+    if few:
+        rows = rows.filter(rows["_g"].is_valid())
+        shares = [max(1, round(target * size / total)) for size in rows["size"].to_pylist()]
+        return PerGroup.held(df.sparkSession, rows.select(["_g"]).append_column("quota", pa.array(shares, pa.int64())))
+    known = sizes.where(F.col("_g").isNotNull())
+    share = F.greatest(F.lit(1).cast("long"), F.bround(F.lit(target) * F.col("size") / F.lit(total)).cast("long"))
+    hot = known.where(F.col("size") >= max(HOT.min_rows, HOT.share * total)).select("_g").collect()
+    return PerGroup(known.select("_g", share.alias("quota")), None, [row[0] for row in hot])
+
+
 def _bounds(keyed: DataFrame, quotas: PerGroup) -> DataFrame:
     """``(_g, bound, tie, quota)``: take hashes below ``bound``, and ``quota`` of the rows hashed to ``tie``."""
     prefix = F.substring("_h", 1, PREFIX)
     prefixes = keyed.groupBy("_g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    coarse = PerGroup.of(_cut(quotas.attach(prefixes, "quota"), "p", "quota"), quotas.few)
+    coarse = quotas.like(_cut(quotas.attach(prefixes, "quota"), "p", "quota"))
     edges = coarse.having("edge")
     if edges.is_empty():
         return coarse.df.selectExpr("_g", f"coalesce(full || '{PAST}', '') AS bound", "CAST(NULL AS STRING) AS tie", "rest AS quota")
@@ -163,7 +186,7 @@ def _take(df: DataFrame, columns: Sequence[str], quotas: PerGroup, hashes: Seque
     if not hashes:
         return _copies(quotas.attach(df, "quota"), columns)
     keyed = df.withColumn("_h", hashes[0])
-    bounds = PerGroup.of(_bounds(keyed.select("_g", "_h"), quotas), quotas.few)
+    bounds = quotas.like(_bounds(keyed.select("_g", "_h"), quotas))
     taken = bounds.attach(keyed, "bound").where(F.col("_h") < F.col("bound")).select(*map(col, columns))
     ties = bounds.having("tie")
     if ties.is_empty():
@@ -191,24 +214,13 @@ def sample(
     group = (F.lit(0) if by is None else col(by)).alias("_g")
     if by is None:
         total = df.count()
+        target = target_size(total, n, pct)
+        whole = pa.table({"_g": pa.array([0], pa.int32()), "quota": pa.array([target], pa.int64())})
+        quotas = PerGroup.held(df.sparkSession, whole) if target < total else None
     else:
-        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-        rows = sizes.limit(BROADCAST_GROUPS + 1).toArrow()
-        few = rows.num_rows <= BROADCAST_GROUPS
-        total = (pc.sum(rows["size"]).as_py() if few else sizes.agg(F.sum("size")).first()[0]) or 0
-    target = target_size(total, n, pct)
-    if target >= total:
+        quotas = _quotas(df, group, n, pct)
+    if quotas is None:
         return df
-
-    if by is None:
-        quotas = PerGroup.held(df.sparkSession, pa.table({"_g": pa.array([0], pa.int32()), "quota": [target]}))
-    elif few:
-        rows = rows.filter(rows["_g"].is_valid())
-        shares = [max(1, round(target * size / total)) for size in rows["size"].to_pylist()]
-        quotas = PerGroup.held(df.sparkSession, rows.select(["_g"]).append_column("quota", pa.array(shares, pa.int64())))
-    else:
-        share = F.greatest(F.lit(1).cast("long"), F.bround(F.lit(target) * F.col("size") / F.lit(total)).cast("long"))
-        quotas = PerGroup.of(sizes.where(F.col("_g").isNotNull()).select("_g", share.alias("quota")), few)
     hashes = [row_hash(identity, seed)]
     if set(identity) != set(df.columns):
         hashes.append(F.lower(F.lpad(F.hex(F.xxhash64(*map(col, df.columns))), 16, "0")))

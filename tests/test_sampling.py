@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.operators import sampling
 from spectraloom.operators.sampling import group_choices, sample, target_size
+from spectraloom.plans.skew import SkewPolicy
 
 
 @pytest.fixture(scope="module")
@@ -70,7 +71,7 @@ def test_stratified(table, target):
 def test_stratified_by_many_groups(table, monkeypatch):
     """Beyond the broadcast limit the bounds are checkpointed and joined, with a hot group split."""
     monkeypatch.setattr(sampling, "BROADCAST_GROUPS", 2)
-    monkeypatch.setattr(sampling, "frequent_keys", lambda tables, key: {name: {"big": 0.33} for name in tables})
+    monkeypatch.setattr(sampling, "HOT", SkewPolicy(share=0.2, min_rows=100))
     assert ids(sample(table, n=500, by="group_c", identity=["id"])) == stratified_wanted(table, 500)
 
 
