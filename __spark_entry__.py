@@ -493,12 +493,27 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+try:
+    import corpus_pipeline
+    from spectraloom.llm import queries as llm
+except ModuleNotFoundError as error:  # the folder of training-data operators may be left out
+    if error.name not in {"corpus_pipeline", "spectraloom.llm"}:
+        raise
+    llm = corpus_pipeline = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def runner(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, folder: query(Tables(spark, folder))
 
-    return {name: runner(query) for name, query in QUERIES.items()}
+    found = {name: runner(query) for name, query in QUERIES.items()}
+    return found | (llm.QUERIES | {"pipeline": corpus_pipeline.run} if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    found = oracle_queries.oracle_sql()
+    if llm:
+        found |= llm.SQL
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

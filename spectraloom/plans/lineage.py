@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder the cluster names for checkpoints."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; where none is named, one in the warehouse, which is shared as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: it survives the loss of executors.
-
-    Only a local session without such a folder gets one of its own.
-    """
+    """A reliable checkpoint in the shared folder: it survives the loss of executors."""
     context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if folder:
-        context.setCheckpointDir(folder)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spectraloom-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

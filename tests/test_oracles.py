@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as entry_module
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+# Queries of the training-data operators have tests of their own in tests/llm.
+QUERIES, SQL = {name: entry_module.queries()[name] for name in entry_module.QUERIES}, entry_module.oracle_queries.oracle_sql()
 
 
 @pytest.fixture(scope="session")
