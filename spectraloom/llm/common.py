@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,24 +45,45 @@ def running_totals(numbers: Column, block: int = 64) -> Column:
     return bind(numbers, lambda a: bind(blocks(a), lambda sums: bind(before(sums), lambda offsets: each(a, offsets))))
 
 
-class Memo(dict):
-    """Results by word, computed for a batch at a time and forgotten all at once when there are too many.
+SPAN = "struct<start:bigint,end:bigint,value:string,before:string,after:string,scope:bigint>"
+
+
+def spans(text: Column, pattern: str, context: int = 0, hint: Column | None = None, scopes: bool = False) -> Column:
+    """Matches of a pattern that never matches nothing: leftmost, not overlapping, in code points, end exclusive.
 
-    ``compute`` gets a list of words that are not known and returns their results in order.
+    Each has up to ``context`` characters of its surroundings between the neighbouring matches and, with ``scopes``, the
+    number of blank lines before it (no match may hold a line break then). Rows where ``hint`` is false have no matches.
     """
+    regex, nothing, zero = F.lit(pattern), F.array().cast(f"array<{SPAN}>"), F.lit(0).cast("long")
+
+    def struct(gaps: Column, begins: Column, blanks: Column | None, value: Column, i: Column) -> Column:
+        gap = F.get(gaps, i)
+        start = F.get(begins, i) + F.char_length(gap)
+        before = F.right(gap, F.lit(context)) if context else F.lit("")
+        after = F.left(F.get(gaps, i + 1), F.lit(context)) if context else F.lit("")
+        scope = zero if blanks is None else F.get(blanks, i) + blank_lines(gap)
+        end = start + F.char_length(value)
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), before.alias("before"), after.alias("after"), scope.alias("scope"))
+
+    def placed(values: Column, gaps: Column) -> Column:
+        own = F.slice(gaps, 1, F.size(values))
+        begins = running_totals(F.zip_with(own, values, lambda g, v: (F.char_length(g) + F.char_length(v)).cast("long")))
+        if not scopes:
+            return bind(begins, lambda at: F.transform(values, lambda v, i: struct(gaps, at, None, v, i)))
+        blanks = running_totals(F.transform(own, blank_lines))
+        return bind(begins, lambda at: bind(blanks, lambda no: F.transform(values, lambda v, i: struct(gaps, at, no, v, i))))
+
+    def of(values: Column) -> Column:
+        return F.when(F.size(values) == 0, nothing).otherwise(bind(F.split(text, pattern, -1), lambda gaps: placed(values, gaps)))
+
+    found = bind(F.regexp_extract_all(text, regex, F.lit(0)), of)
+    return found if hint is None else F.when(hint, found).otherwise(nothing)
+
+
+def blank_lines(gap: Column) -> Column:
+    return (F.size(F.split(gap, "\n(?=[ \t\r]*\n)", -1)) - 1).cast("long")
+
 
-    def __init__(self, compute, limit: int = 400_000):
-        super().__init__()
-        self.compute, self.limit = compute, limit
-
-    def learn(self, texts: Iterable[list[str]]) -> None:
-        """Afterwards every word of these texts is known."""
-        words = set()
-        for text in texts:
-            words.update(text)
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > self.limit:
-            self.clear()
-            missing = list(words)
-        if missing:
-            self.update(zip(missing, self.compute(missing)))
+def written(found: Column) -> Column:
+    """Spans as ``kind:start:end``, comma-joined."""
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import packing, simhash
+from spectraloom.llm import ctph, packing, pii, secrets, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,16 +24,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, folder, "documents")))
+
+
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
+
+
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return ctph.compare_edits(table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
+    "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
 
