@@ -181,11 +181,11 @@ def dealt(docs: DataFrame, cuts: list[int], ranges: int) -> DataFrame:
     @F.arrow_udf(places)
     def place(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for ids in batches:
-            own = np.searchsorted(limits, ids.fill_null(0).to_numpy(zero_copy_only=False))
-            rows = [
-                None if i is None else [{"range": r, "guest": False}] + [{"range": (r + 1) % len(limits), "guest": True}] * (i == limits[r])
-                for i, r in zip(ids.to_pylist(), own.tolist())
-            ]
+            own = np.searchsorted(limits, ids.fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            rows = []
+            for i, place in zip(ids.to_pylist(), own):
+                guest = [{"range": (place + 1) % len(cuts), "guest": True}] if i == cuts[min(place, len(cuts) - 1)] else []
+                rows.append(None if i is None else [{"range": place, "guest": False}, *guest])
             yield pa.array(rows, pa.list_(pa.struct([("range", pa.int64()), ("guest", pa.bool_())])))
 
     # Rows without an identifier have no successor, so they may go anywhere.
