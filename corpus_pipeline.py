@@ -1,32 +1,68 @@
-"""Documents to packed training sequences, in stages that each call one operator of ``spectraloom.llm``."""
+"""Documents to packed training sequences, in stages that each call one operator of ``spectraloom.llm``.
+
+All stages but the last return the columns of the documents they get, whatever these are; ``doc_id, text`` and, for
+learning, ``lang`` must be among them.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spectraloom.llm import packing, simhash
+from spectraloom.llm import langid, packing, secrets, simhash, toxicity
+from spectraloom.llm.common import fresh
 from spectraloom.llm.queries import tokenizer_path
 from spectraloom.plans.lineage import shared_folder
 
+#: Documents whose language is less certain are rejected; unmixed prose scores above 0.9.
+LEAST_CERTAIN = 0.4
+TOXIC = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that could be told. Texts without letters go; where no document says its language, only they."""
+    model = langid.learn_languages(langid.taught(docs))
+    if not model.languages:
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    found = fresh(docs, "found")
+    told = docs.withColumn(found, langid.predicted(F.col("text"), model, docs))
+    sure = (F.col(found)["lang_pred"] != langid.UNKNOWN) & (F.col(found)["score"] >= LEAST_CERTAIN)
+    return told.where(sure).drop(found)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, does not call toxic."""
+    net = toxicity.learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = fresh(docs, "score")
+    return docs.withColumn(score, toxicity.scored(F.col("text"), net, docs)).where(F.col(score) < TOXIC).drop(score)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return simhash.keep_one(docs)
 
 
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secrets.redact(docs, length_column="n_chars" if "n_chars" in docs.columns else None)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("language", language),
+    ("toxicity", not_toxic),
     ("near_duplicates", near_duplicates),
+    ("secrets", without_secrets),
     ("packing", packed),
 ]
 
-# Fingerprints, learned models and tokenizers are beyond SQL: the stages are tested against brute force instead.
+# Learned models, fingerprints and tokenizers are beyond SQL: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 

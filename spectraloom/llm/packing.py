@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain, count
+from itertools import count
 from unicodedata import is_normalized
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from spectraloom.llm.units import UnitTable, blocks, byte_classes
+from spectraloom.llm.units import Lists, UnitTable, blocks, by_classes, byte_classes
 
 WINDOW = 2048
 END_ID = 1
@@ -50,8 +50,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units = UnitTable(byte_classes(glue=b"'"), self.learn)
-        self.forget()
+        self.units, self.ids = UnitTable(by_classes(byte_classes(glue=b"'")), self.learn), Lists()
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -61,33 +60,21 @@ class WordTokenizer:
 
     def forget(self) -> None:
         self.units.forget()
-        self.ids, self.counts, self.begins, self.filled, self.units_known = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0, 0
+        self.ids.clear()
 
     def learn(self, units: list[bytes]) -> np.ndarray:
         model, plain = self.tokenizer.model, list(map(plain_piece, units))
         found = [[t.id for t in model.tokenize(p)] if p else None for p in plain]
         rest = iter(self.tokenizer.encode_batch_fast([u.decode() for u, p in zip(units, plain) if not p], add_special_tokens=False))
-        found = [next(rest).ids if ids is None else ids for ids in found]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), "<u4", counts.sum())
-        self.ids = grown(self.ids, self.filled + len(flat))
-        self.counts, self.begins = grown(self.counts, self.units_known + len(units)), grown(self.begins, self.units_known + len(units))
-        numbers = np.arange(self.units_known, self.units_known + len(units))
-        self.counts[numbers], self.begins[numbers] = counts, self.filled + np.cumsum(counts) - counts
-        self.ids[self.filled : self.filled + len(flat)] = flat
-        self.filled, self.units_known = self.filled + len(flat), self.units_known + len(units)
-        return numbers
+        return self.ids.add([next(rest).ids if ids is None else ids for ids in found])
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for data, begins in blocks(texts):
-            if self.filled > KNOWN_IDS:
+            if self.ids.filled > KNOWN_IDS:
                 self.forget()
             data = data.lower()  # bytes.lower: ASCII only
             starts, ends = self.units.split(data)
-            numbers = self.units.numbers(data, starts, ends)
-            counts = self.counts[numbers]
-            after = np.cumsum(counts)
-            ids = self.ids[np.repeat(self.begins[numbers] - (after - counts), counts) + np.arange(counts.sum())]
+            ids, after = self.ids.joined(self.units.numbers(data, starts, ends))
             bounds = np.append(0, after)[np.searchsorted(starts, np.append(begins, len(data) + 1))]
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 yield ids[a:b]
@@ -116,11 +103,6 @@ def plain_piece(unit: bytes) -> str | None:
     return None
 
 
-def grown(array: np.ndarray, size: int) -> np.ndarray:
-    """The array, with room for ``size`` elements."""
-    return array if size <= len(array) else np.concatenate([array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)])
-
-
 class OpenWindows:
     """Open windows by remaining room. A node of the tree counts the windows below it."""
 

@@ -9,6 +9,7 @@ Keys hold the whole word, so no two words are ever mixed up.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +35,14 @@ def byte_classes(glue: bytes = b"") -> np.ndarray:
     return table
 
 
-class UnitTable:
-    """Numbers of units. ``learn`` gets new units and returns their numbers; ``forget`` is told that all are given up."""
+Spans = tuple[np.ndarray, np.ndarray]
 
-    def __init__(self, classes: np.ndarray, learn: Callable[[list[bytes]], np.ndarray], slots: int = 1 << 21, long_units: int = 200_000):
-        self.classes, self.learn, self.slots, self.long_units = classes, learn, slots, long_units
-        self.masks = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
-        self.forget()
 
-    def forget(self) -> None:
-        self.keys = [np.zeros(self.slots, np.uint64) for _ in range(3)]
-        self.number = np.zeros(self.slots, np.int64)
-        self.long: dict[bytes, int] = {}
+def by_classes(classes: np.ndarray) -> Callable[[bytes], Spans]:
+    """Splitting at changes of class; white space is left out."""
 
-    def split(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the units."""
-        kind = self.classes[np.frombuffer(data, np.uint8)]
+    def split(data: bytes) -> Spans:
+        kind = classes[np.frombuffer(data, np.uint8)]
         before = np.empty_like(kind)
         before[:1], before[1:] = SPACE, kind[:-1]
         new = ((kind != before) | (kind == DIGIT)) & (kind != SPACE)
@@ -58,6 +51,35 @@ class UnitTable:
         begins = new[marks]
         return marks[begins], np.append(marks[1:], len(data))[begins]
 
+    return split
+
+
+def between(joined: np.ndarray) -> Callable[[bytes], Spans]:
+    """Splitting between all neighbouring bytes that are not ``joined`` (a table of both); nothing is left out."""
+
+    def split(data: bytes) -> Spans:
+        own = np.frombuffer(data, np.uint8)
+        if not len(own):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cuts = np.flatnonzero(~joined[own[:-1], own[1:]]) + 1
+        return np.append(0, cuts), np.append(cuts, len(data))
+
+    return split
+
+
+class UnitTable:
+    """Numbers of units. ``learn`` gets new units and returns their numbers."""
+
+    def __init__(self, split: Callable[[bytes], Spans], learn: Callable[[list[bytes]], np.ndarray], slots: int = 1 << 21, long_units: int = 200_000):
+        self.split, self.learn, self.slots, self.long_units = split, learn, slots, long_units
+        self.masks = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = [np.zeros(self.slots, np.uint64) for _ in range(3)]
+        self.number = np.zeros(self.slots, np.int64)
+        self.long: dict[bytes, int] = {}
+
     def numbers(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         padded = np.frombuffer(data + bytes(32), np.uint8)
         words = np.ndarray(len(data) + 25, "<u8", padded.data, strides=(1,))
@@ -92,8 +114,44 @@ class UnitTable:
         return result
 
 
-def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[bytes, np.ndarray]]:
-    """Texts (NULL: empty) joined by line breaks to blocks of about ``size`` bytes, and where each one begins."""
+class Lists:
+    """Lists of small numbers, one after another."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.values, self.filled = np.zeros(1 << 16, "<u4"), 0
+        self.counts, self.begins, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, lists: list) -> np.ndarray:
+        """The numbers of these lists."""
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), "<u4", counts.sum())
+        self.values, self.size = grown(self.values, self.filled + len(flat)), self.size + len(lists)
+        self.counts, self.begins = grown(self.counts, self.size), grown(self.begins, self.size)
+        numbers = np.arange(self.size - len(lists), self.size)
+        self.counts[numbers], self.begins[numbers] = counts, self.filled + np.cumsum(counts) - counts
+        self.values[self.filled : self.filled + len(flat)] = flat
+        self.filled += len(flat)
+        return numbers
+
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """These lists in a row, and where each one ends."""
+        counts = self.counts[numbers]
+        ends = np.cumsum(counts)
+        return self.values[np.repeat(self.begins[numbers] - (ends - counts), counts) + np.arange(counts.sum())], ends
+
+
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, with room for ``size`` elements along its first axis."""
+    if size <= len(array):
+        return array
+    return np.concatenate([array, np.zeros((max(size, 2 * len(array)) - len(array), *array.shape[1:]), array.dtype)])
+
+
+def blocks(texts: pa.Array, size: int = BLOCK, separator: bytes = b"\n") -> Iterator[tuple[bytes, np.ndarray]]:
+    """Texts (NULL: empty) joined to blocks of about ``size`` bytes, and where each one begins."""
     joined, begins, at = [], [], 0
     for text in texts.cast(pa.binary()).to_pylist():
         text = text or b""
@@ -101,7 +159,7 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[bytes, np.ndarr
         begins.append(at)
         at += len(text) + 1
         if at >= size:
-            yield b"\n".join(joined), np.array(begins)
+            yield separator.join(joined), np.array(begins)
             joined, begins, at = [], [], 0
     if joined:
-        yield b"\n".join(joined), np.array(begins)
+        yield separator.join(joined), np.array(begins)
