@@ -5,7 +5,7 @@ word are known by their parts. Filters over one, two and three words in a row ar
 text, and a logistic layer weighs the maxima. Thresholds are calibrated by language on labelled rows kept out of the
 training; a language is guessed from the text's own function words, and the score is shifted so that 0.5 is its threshold.
 
-Training takes a bounded sample of labelled documents (``SAMPLE`` rows of either label at most, about); scoring covers every
+Training takes a bounded sample of labelled documents (about ``SAMPLE`` rows of either label); scoring covers every
 document's whole text.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -114,18 +115,38 @@ class ConvNet:
         return float(np.maximum(self.pooled(vectors)[0] + self.biases, 0) @ self.weights + self.bias)
 
 
+def guess(words: list[str]) -> int:
+    """Number of the language with the most function words in the text; 0 without any."""
+    counts = np.bincount([GUESS[w] for w in words if w in GUESS], minlength=GUESSES)
+    return int(counts.argmax()) if counts.any() else 0
+
+
+class Encoded(NamedTuple):
+    """A text's distinct words as hashes of their parts, one word after another, the number of parts of each, the text as
+    numbers of these words, and its language as guessed."""
+
+    parts: np.ndarray
+    counts: np.ndarray
+    order: np.ndarray
+    language: int
+
+
+def encoded(text: str) -> Encoded:
+    words = letters(text.lower())
+    places = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    parts = [features(w) for w in places]
+    return Encoded(
+        np.array([h for p in parts for h in p], np.int32), np.array(list(map(len, parts)), np.int32), np.array([places[w] for w in words], np.int32), guess(words)
+    )
+
+
 class Text:
-    """The words of a text as rows of embeddings, each distinct word once."""
-
-    def __init__(self, net: ConvNet, words: list[str], known: dict[str, list[int]]):
-        places = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        for word in places:
-            if word not in known:
-                known[word] = net.parts(word) or [0]
-        self.rows = np.array([r for w in places for r in known[w]], np.int64)
-        self.ends = np.cumsum([len(known[w]) for w in places], dtype=np.int64)
+    """The words of a text as rows of embeddings, each distinct word once. Unknown parts have row 0."""
+
+    def __init__(self, text: Encoded, rows: np.ndarray):
+        self.rows, self.order = rows[text.parts], text.order
+        self.ends = np.cumsum(text.counts, dtype=np.int64)
         self.begins = np.append(0, self.ends)[:-1]
-        self.order = np.array([places[w] for w in words], np.int64)
 
     def vectors(self, net: ConvNet) -> np.ndarray:
         if not len(self.order):
@@ -182,12 +203,6 @@ class Trainer:
         net.bias -= RATE * error / np.sqrt(self.seen["bias"])
 
 
-def guess(words: list[str]) -> int:
-    """Number of the language with the most function words in the text; 0 without any."""
-    counts = np.bincount([GUESS[w] for w in words if w in GUESS], minlength=GUESSES)
-    return int(counts.argmax()) if counts.any() else 0
-
-
 def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     """The logit that separates the labels with the fewest errors; of equal ones the middle of the widest gap."""
     order = np.argsort(logits, kind="stable")
@@ -199,20 +214,26 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 0) -> ConvNet:
+def train(texts: list[Encoded], labels: list[int], seed: int = 0) -> ConvNet:
     """A net of labelled texts; every ``CALIBRATION``-th one is kept for the thresholds. Without both labels: a net that says 0."""
-    documents = [letters(t.lower()) for t in texts]
-    hashes = [list({h for w in set(words) for h in features(w)}) for words in documents]
-    frequent = np.bincount(np.concatenate([np.array(h, np.int64) for h in hashes]), minlength=BUCKETS) if hashes else np.zeros(1)
-    net = ConvNet.new(np.flatnonzero(frequent >= LEAST_DOCUMENTS).tolist(), seed)
+    documents = np.zeros(BUCKETS, np.int64)
+    for text in texts:
+        documents[np.unique(text.parts)] += 1
+    known = np.flatnonzero(documents >= LEAST_DOCUMENTS)
+    net = ConvNet.new(known.tolist(), seed)
     if len(set(labels)) < 2:
         net.weights[:], net.bias = 0, 5.0 if labels and labels[0] else -5.0
         return net
-    known: dict[str, list[int]] = {}
-    inputs = [Text(net, words, known) for words in documents]
+    rows = np.zeros(BUCKETS, np.int32)
+    rows[known] = np.arange(1, len(known) + 1)
+    inputs = [Text(text, rows) for text in texts]
     kept = [i for i in range(len(texts)) if i % CALIBRATION == CALIBRATION - 1]
     learned = [i for i in range(len(texts)) if i % CALIBRATION != CALIBRATION - 1]
     toxic = sum(labels[i] for i in learned)
+    # A text without words is clean: it is among the examples of either kind.
+    texts, labels = [*texts, encoded("")], [*labels, 0]
+    inputs.append(Text(texts[-1], rows))
+    learned, kept = learned + [len(texts) - 1] * max(1, len(learned) // 100), kept + [len(texts) - 1] * bool(kept)
     if not kept or toxic in (0, len(learned)):
         kept = learned = list(range(len(texts)))
         toxic = sum(labels)
@@ -222,7 +243,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> ConvNet:
         for i in random.permutation(learned):
             trainer.step(inputs[i], labels[i], weight[labels[i]])
     logits = np.array([net.logit(inputs[i].vectors(net)) for i in kept])
-    truth, language = np.array([labels[i] for i in kept]), np.array([guess(documents[i]) for i in kept])
+    truth, language = np.array([labels[i] for i in kept]), np.array([texts[i].language for i in kept])
     common = best_threshold(logits, truth)
     for name in range(GUESSES):
         own = language == name
@@ -272,8 +293,8 @@ class Scorer:
 # ---- on tables ----------------------------------------------------------------------------------------------------
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, divisor: int = 5, held: int = 0) -> tuple[list[str], list[int]]:
-    """Texts and labels of about ``sample`` documents of either label, drawn by a hash of ``doc_id``, in order of it.
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, divisor: int = 5, held: int = 0) -> tuple[list[Encoded], list[int]]:
+    """Encoded texts and labels of about ``sample`` documents of either label, drawn by a hash of ``doc_id``, in order of it.
 
     Only labels whose crc32 of ``doc_id`` modulo ``divisor`` isn't ``held`` are read. A document labelled both ways is
     toxic; rows with the same ``doc_id`` and text count once.
@@ -287,9 +308,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, di
         return [], []
     # At most about 2 * sample rows, so this side may be broadcast.
     chosen = F.broadcast(own.where(drawn[0] if len(drawn) == 1 else drawn[0] | drawn[1]))
-    rows = docs.select("doc_id", "text").dropna().join(chosen, "doc_id").distinct().collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return [r["text"] for r in rows], [r["toxic"] for r in rows]
+    rows = docs.select("doc_id", "text").dropna().join(chosen, "doc_id").distinct()
+
+    @F.arrow_udf("struct<parts:array<int>,counts:array<int>,order:array<int>,language:int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("parts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("order", pa.list_(pa.int32())), ("language", pa.int32())])
+        for texts in batches:
+            yield pa.array([encoded(t)._asdict() for t in texts.to_pylist()], kind)
+
+    found = rows.select("doc_id", "toxic", F.xxhash64("text").alias("hash"), encode("text").alias("e")).select("doc_id", "toxic", "hash", "e.*").toArrow()
+    found = found.sort_by([("doc_id", "ascending"), ("hash", "ascending")])
+    lists = [[x.values.to_numpy(zero_copy_only=False) for x in found[c]] for c in ("parts", "counts", "order")]
+    return [Encoded(*x) for x in zip(*lists, found["language"].to_pylist())], found["toxic"].to_pylist()
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ConvNet:
