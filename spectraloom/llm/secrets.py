@@ -101,13 +101,15 @@ def linked(rows: DataFrame, reach: int = REACH) -> DataFrame:
     return seen.where(complete).groupBy("key").agg(F.collect_list(part).alias("weak"))
 
 
-def with_links(docs: DataFrame, text: Column, key: str, weak: str, reach: int) -> DataFrame:
-    """``docs`` with the text's hash as ``key`` and the array of its linked weak parts as ``weak``."""
-    keyed = docs.withColumn(key, F.sha2(text, 256))
+def with_links(rows: DataFrame, texts: DataFrame, key: str, weak: str, reach: int) -> DataFrame:
+    """``rows`` with the array ``weak`` of the linked weak parts of their text; ``key`` holds a hash of it.
+
+    ``texts`` has ``key, text``.
+    """
     # Stored, so that the join sees its size and can split the rows of a frequent text.
-    links = cut(linked(parts(keyed.select(text.alias("text"), F.col(key).alias("key"))), reach)).withColumnsRenamed({"key": key, "weak": weak})
+    links = cut(linked(parts(texts), reach)).withColumnsRenamed({"key": key, "weak": weak})
     nothing = F.array().cast("array<struct<start:bigint,nth:int,kind:string,end:bigint,scope:bigint>>")
-    return keyed.join(links, key, "left").withColumn(weak, F.coalesce(weak, nothing))
+    return rows.join(links, key, "left").withColumn(weak, F.coalesce(weak, nothing))
 
 
 def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", reach: int = REACH) -> DataFrame:
@@ -117,9 +119,10 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     empty and has no spans. Positions count code points, ends are exclusive.
     """
     text = F.coalesce(docs[text_column], F.lit(""))
-    rows = docs.select(docs[id_column].alias("doc_id"), text.alias("text"))
+    texts = docs.select(docs[id_column].alias("doc_id"), text.alias("text")).withColumn("key", F.sha2("text", 256))
+    # Base spans are found before the join, which then moves no texts.
     base = F.array_sort(F.concat(*[detected(F.col("text"), k) for k in BASE]))
-    rows = with_links(rows, F.col("text"), "key", "weak", reach).select("doc_id", base.alias("base"), "weak")
+    rows = with_links(texts.select("doc_id", base.alias("base"), "key"), texts.select("key", "text"), "key", "weak", reach)
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", "weak")).alias("spans"))
 
 
@@ -151,7 +154,9 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
     key, weak, found = fresh(docs, "key"), fresh(docs, "weak"), fresh(docs, "found")
     text = F.coalesce(F.col(text_column), F.lit(""))
     base = F.concat(*[detected(text, k) for k in BASE])
-    rows = with_links(docs, text, key, weak, reach).withColumn(found, F.array_sort(F.concat(base, F.col(weak))))
+    keyed = docs.withColumn(key, F.sha2(text, 256))
+    texts = keyed.select(F.col(key).alias("key"), text.alias("text"))
+    rows = with_links(keyed, texts, key, weak, reach).withColumn(found, F.array_sort(F.concat(base, F.col(weak))))
     changed = F.size(found) > 0
     rows = rows.withColumn(text_column, F.when(changed, masked(F.col(text_column), F.col(found))).otherwise(F.col(text_column)))
     if length_column:
