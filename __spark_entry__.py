@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 from pathlib import Path
 
@@ -20,10 +21,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import oracle_queries
 from spectraloom.functions.names import DEFAULT_ID, band_label, col, scan_bands
-from spectraloom.operators import catalog, checks, overview, profile, sampling
-from spectraloom.operators.extract import ExtractSpec, Star, export_columns, extract, select_lab, select_site, select_spectra, soil_table
+from spectraloom.operators import catalog, checks, overview, preprocess, profile, sampling
+from spectraloom.operators.extract import ExtractSpec, Star, export_columns, extract, find_hot_keys, select_lab, select_site, select_spectra, soil_table
 from spectraloom.operators.filters import Among, Between
-from spectraloom.operators.levels import site_levels, spectra_levels
+from spectraloom.operators.levels import level_counts, site_levels, spectra_levels
+from spectraloom.operators.library import extract_library
 from spectraloom.operators.resample import resample, resample_table
 from spectraloom.operators.spectra import SpectralFrame, from_array
 from spectraloom.plans.skew import SkewPolicy
@@ -213,7 +215,7 @@ def domain_errors(t: Tables) -> DataFrame:
 
 
 def spec_meta_filter(t: Tables) -> DataFrame:
-    spec = ExtractSpec(spectra_meta=("instrument_txt",), spectra_filters={"instrument_txt": (1, 4, 7)}, step=2)
+    spec = ExtractSpec(spectra_meta=("instrument_txt",), spectra_filters={"instrument_txt": (1, 4, 7)})
     return long(select_spectra(t.spectra(), spec), DEFAULT_ID, "instrument_txt")
 
 
@@ -223,11 +225,11 @@ def band_range_thin(t: Tables) -> DataFrame:
 
 def export_projection(t: Tables) -> DataFrame:
     """A wide extract whose bands come first and unordered; bands are written last and ascending."""
-    spec = ExtractSpec(spectra_meta=("instrument_txt",), step=10)
+    spec = ExtractSpec(spectra_meta=("instrument_txt",))
     table = select_spectra(t.wide(descending=True), spec).wide()
     shuffled = table.select(*map(col, reversed(table.columns)))
     exported = plain(export_columns(shuffled, [DEFAULT_ID, "instrument_txt"]))
-    return exported.withColumnsRenamed({c: f"b{c}" for c in exported.columns if c.isdigit()})
+    return exported.withColumnsRenamed({c: f"b{c}" for c in exported.columns if c[0].isdigit()})
 
 
 SOIL = ExtractSpec(lab=("price_w.usd", "order_n"), site=("segment_txt", "balance_m"), site_filters={"balance_m": Between(lo=0)})
@@ -245,7 +247,7 @@ def soil_name_clash(t: Tables) -> DataFrame:
 
 
 def extract_spec(how: str, **changes) -> ExtractSpec:
-    options = dict(lab=SOIL.lab, site=SOIL.site, site_filters=SOIL.site_filters, spectra_meta=("instrument_txt",), step=10, how=how)
+    options = dict(lab=SOIL.lab, site=SOIL.site, site_filters=SOIL.site_filters, spectra_meta=("instrument_txt",), how=how)
     return ExtractSpec(**{**options, **changes})
 
 
@@ -269,26 +271,78 @@ def extract_wide_file(t: Tables) -> DataFrame:
 HOT_LAB = "case when o_orderstatus = 'F' then 7L else o_custkey end"
 HOT_SPECTRA = "case when label <= 2 then 8L else vec_id end"
 NO_SPECTRA = "case when label <= 2 then null else vec_id end"
-SALTED = SkewPolicy(share=0.02, min_rows=100)
+SALTED = SkewPolicy(partitions=0.1, min_rows=100)
+
+
+def spread_extract(star: Star, spec: ExtractSpec, policy: SkewPolicy = SALTED) -> DataFrame:
+    """An extract whose hot keys are looked for and spread."""
+    return as_numbers(wide(extract(star, replace(spec, hot_keys=find_hot_keys(star, spec, policy)))))
 
 
 def extract_hot_lab(t: Tables, how: str) -> DataFrame:
-    star = Star(t.site(), t.lab(HOT_LAB), t.spectra())
-    return as_numbers(wide(extract(star, extract_spec(how, skew=SALTED))))
+    return spread_extract(Star(t.site(), t.lab(HOT_LAB), t.spectra()), extract_spec(how))
+
+
+def extract_hot_default(t: Tables) -> DataFrame:
+    """With the default policy, which leaves tables this small alone."""
+    return spread_extract(Star(t.site(), t.lab(HOT_LAB), t.spectra()), extract_spec("inner"), SkewPolicy())
 
 
 def extract_hot_spectra(t: Tables, how: str) -> DataFrame:
-    star = Star(t.site(), t.lab(HOT_LAB), t.spectra(HOT_SPECTRA))
-    return as_numbers(wide(extract(star, extract_spec(how, skew=SALTED))))
+    return spread_extract(Star(t.site(), t.lab(HOT_LAB), t.spectra(HOT_SPECTRA)), extract_spec(how))
 
 
 def extract_null_keys(t: Tables) -> DataFrame:
     """A third of the spectra have no key: the full join keeps them all, each by itself."""
-    star = Star(t.site(), t.lab(HOT_LAB), t.spectra(NO_SPECTRA))
-    found = as_numbers(wide(extract(star, extract_spec("full", skew=SALTED))))
+    found = spread_extract(Star(t.site(), t.lab(HOT_LAB), t.spectra(NO_SPECTRA)), extract_spec("full"))
     return found.withColumn("id", F.col("id").cast("double"))
 
 
+def extract_shuffled(t: Tables) -> DataFrame:
+    """Tables that come out of a shuffle, hot keys spread."""
+    star = Star(t.site().repartition(3), t.lab(HOT_LAB).repartition(5, "order_n"), t.spectra(HOT_SPECTRA))
+    return spread_extract(star, extract_spec("full"))
+
+
+def site_typed_levels(t: Tables) -> DataFrame:
+    """Levels of integer, double and boolean columns, given as numbers and as text."""
+    site = t.site().withColumns({"owes_logical": F.col("balance_m") < 0, "share_code": F.col("nation_code") / 8})
+    rules = {"nation_code": Among((1, "2", 3, 5, 8, 13, 40)), "owes_logical": Among((False,)), "share_code": Among((0.125, 0.25, "0.625", 1.0, "none"))}
+    return plain(select_site(site, ExtractSpec(site=("nation_code", "owes_logical", "share_code", "balance_m"), site_filters={**rules, "balance_m": Between(lo=-1e9)})))
+
+
+def lab_default_property(t: Tables) -> DataFrame:
+    """Without a choice the first property by name is taken."""
+    return plain(select_lab(t.lab(), ExtractSpec()))
+
+
+def site_stale_selection(t: Tables) -> DataFrame:
+    """Selections and rules on columns the dataset lacks are ignored."""
+    rules = {"segment_txt": Among(("BUILDING",)), "gone_txt": Among(("x",)), "depth.upper_cm": Between(hi=20)}
+    return plain(select_site(t.site(), ExtractSpec(site=("segment_txt", "gone_txt", "name_txt"), site_filters=rules)))
+
+
+def sample_extract(t: Tables) -> DataFrame:
+    """A sample of a sample of an extract."""
+    found = plain(soil_table(t.star(), SOIL))
+    half = sampling.sample(found, pct=50, identity=["order_n"])
+    return sampling.sample(half, pct=10, by="segment_txt", identity=["order_n"])
+
+
+def extract_many(t: Tables) -> DataFrame:
+    """Two datasets, one with spectra on a coarser axis, in one extract on a common axis."""
+    spectra = t.spectra()
+    coarse = spectra.take(range(0, BANDS, 2))
+    even = Star(t.site(), t.lab().where("order_n % 2 = 0"), spectra)
+    odd = Star(t.site().drop("segment_txt"), t.lab().where("order_n % 2 = 1"), coarse)
+    found = extract_library({"EVEN": even, "ODD": odd}, extract_spec("inner"), step=10, lo=400, hi=550)
+    return rounded(as_numbers(wide(found)))
+
+
+def preprocessed(t: Tables, method: Callable[[SpectralFrame], SpectralFrame]) -> DataFrame:
+    return long(method(t.spectra()), DEFAULT_ID, digits=6)
+
+
 def overview_filter(t: Tables) -> DataFrame:
     table = overview.overview_table(t.library_overview(), {"extent": "extent", "spectral_range": "ranges"})
     return overview.filter_overview(table, {"ranges": "MIR", "extent": "a"})
@@ -332,8 +386,8 @@ def summary_stats_extract(t: Tables) -> DataFrame:
 
 
 def summary_stats_brackets(t: Tables) -> DataFrame:
-    """A coarse sketch, so that quartiles are looked for inside brackets as they are in large tables."""
-    return profile.summary_stats(t.lineitem, ["l_extendedprice", "l_quantity"], accuracy=200)
+    """Few values are ranked, so that quartiles are looked for inside brackets as they are in large tables."""
+    return profile.summary_stats(t.lineitem, ["l_extendedprice", "l_quantity"], ranked=200)
 
 
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
@@ -363,7 +417,7 @@ def sample_n(t: Tables) -> DataFrame:
 
 
 def sample_pct(t: Tables) -> DataFrame:
-    return sampling.sample(t.orders.drop("o_orderdate"), pct=12.5, identity=["o_orderkey"])
+    return sampling.sample(t.orders, pct=12.5, identity=["o_orderkey"])
 
 
 def sample_stratified(t: Tables) -> DataFrame:
@@ -373,7 +427,7 @@ def sample_stratified(t: Tables) -> DataFrame:
 def sample_stratified_pct(t: Tables) -> DataFrame:
     """Documents by source; documents in English have no group and are left out."""
     source = F.when(F.col("lang") != "en", F.col("source"))
-    documents = t.documents.select("doc_id", "lang", "n_chars", source.alias("source_c"))
+    documents = t.documents.select("doc_id", "text", "lang", "n_chars", source.alias("source_c"))
     return sampling.sample(documents, pct=20, by="source_c", identity=["doc_id"])
 
 
@@ -389,7 +443,7 @@ def sample_copies_stratified(t: Tables) -> DataFrame:
 def sample_hot_group(t: Tables) -> DataFrame:
     """Two thirds of the rows in one group."""
     group = F.when(F.col("o_orderstatus") != "F", F.lit("hot")).otherwise(F.col("o_orderpriority"))
-    return sampling.sample(t.orders.select("o_orderkey", group.alias("group_c")), pct=10, by="group_c", identity=["o_orderkey"])
+    return sampling.sample(t.orders.withColumn("group_c", group), pct=10, by="group_c", identity=["o_orderkey"])
 
 
 def resample_linear(t: Tables) -> DataFrame:
@@ -401,7 +455,7 @@ def resample_extrapolate(t: Tables) -> DataFrame:
 
 
 def resample_gaps(t: Tables) -> DataFrame:
-    return long(resample(t.gappy(), 2, lo=401, hi=500), DEFAULT_ID, digits=8)
+    return long(resample(t.gappy(), 2, lo=401), DEFAULT_ID, digits=8)
 
 
 def resample_descending(t: Tables) -> DataFrame:
@@ -413,12 +467,12 @@ def resample_descending(t: Tables) -> DataFrame:
 
 def resample_extract(t: Tables) -> DataFrame:
     """An extract at full resolution, brought to a common axis."""
-    spectra = select_spectra(t.spectra(), ExtractSpec(step=2.5, lo=400, hi=500))
+    spectra = select_spectra(t.spectra(), ExtractSpec())
     return long(resample(spectra, 10), DEFAULT_ID, digits=8)
 
 
 def step_counts(t: Tables) -> DataFrame:
-    return checks.step_counts(t.star(), extract_spec("inner", spectra_filters={"instrument_txt": (1, 2)}))
+    return checks.step_counts(t.star(), extract_spec("inner", spectra_filters={"instrument_txt": (1, 2)}), joined=True)
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -462,6 +516,18 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "extract_full": partial(extract_joined, how="full"),
     "extract_left": partial(extract_joined, how="left"),
     "extract_wide_file": extract_wide_file,
+    "site_levels_first": lambda t: site_levels(t.site(), ["segment_txt", "name_txt", "nation_code"], limit=7),
+    "level_counts": lambda t: level_counts(t.documents, ["lang", "source", "n_chars"]),
+    "site_typed_levels": site_typed_levels,
+    "site_stale_selection": site_stale_selection,
+    "lab_default_property": lab_default_property,
+    "extract_many": extract_many,
+    "extract_shuffled": extract_shuffled,
+    "extract_hot_default": extract_hot_default,
+    "sample_extract": sample_extract,
+    "preprocess_snv": partial(preprocessed, method=preprocess.snv),
+    "preprocess_area": partial(preprocessed, method=preprocess.unit_area),
+    "preprocess_derivative": partial(preprocessed, method=preprocess.derivative),
     "extract_hot_lab_inner": partial(extract_hot_lab, how="inner"),
     "extract_hot_lab_full": partial(extract_hot_lab, how="full"),
     "extract_hot_spectra_left": partial(extract_hot_spectra, how="left"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 N_BANDS = 64
+ALL = list(range(N_BANDS))
 TENS = [4 * i for i in range(16)]
 
 def even(expression: str, digits: int) -> str:
@@ -40,7 +41,7 @@ def label(i: int) -> str:
 
 
 def bands(positions: list[int], prefix: str = "b") -> str:
-    return ", ".join(f'y[{i + 1}] as "{prefix}{label(i)}"' for i in positions)
+    return ", ".join(f'y[{i + 1}] as "{prefix}{label(i).replace(".", "_")}"' for i in positions)
 
 
 REGISTRY = """select p_brand as dataset_code,
@@ -103,7 +104,7 @@ def soil(key: str) -> str:
 def extract(how: str, lab_key: str = "o_custkey", spectra_key: str = "vec_id", id_type: str = "bigint") -> str:
     return f"""with soil as ({soil(lab_key)}), spec as ({spectra(spectra_key)})
     select cast(coalesce(soil.id, spec.id) as {id_type}) as id, price_w_usd, cast(order_n as double) as order_n,
-        segment_txt, balance_m, cast(instrument_txt as double) as instrument_txt, {bands(TENS)}
+        segment_txt, balance_m, cast(instrument_txt as double) as instrument_txt, {bands(ALL)}
     from soil {how} join spec on soil.id = spec.id"""
 
 
@@ -155,10 +156,10 @@ COPIES = "select o_orderstatus, o_orderpriority from orders"
 COPY_KEY = "o_orderstatus || '|' || o_orderpriority"
 
 
-def levels(table: str, columns: list[str], limit: int) -> str:
+def levels(table: str, columns: list[str], limit: int | None = None) -> str:
     return "\nunion all\n".join(
         f"""(select '{c}' as "column", level from (select distinct cast({c} as varchar) as level from ({table}))
-        where level is not null order by level limit {limit})"""
+        where level is not null{f" order by level limit {limit}" if limit else ""})"""
         for c in columns
     )
 
@@ -169,6 +170,26 @@ def transformed(transform: str) -> str:
     return f"select id, {columns} from ({lab()}) where price_w_usd is not null and age_index is not null"
 
 
+def preprocessed(value: str, shift: float = 0) -> str:
+    return f"""select id, 400 + 2.5 * (pos - 1) + {shift} as band, {r('x', 6)} as value from (select id, pos, {value} as x from (
+        select id, unnest(y) as v, generate_subscripts(y, 1) as pos from ({spectra()})) window w as (partition by id))
+        where x is not null"""
+
+
+def _many() -> str:
+    """Even orders with whole spectra, odd ones with every second band; both on 400, 410, ... 550, where no value is missing."""
+    tens = ", ".join(f"{r(f'b{400 + 10 * i}', 8)} as b{400 + 10 * i}" for i in range(16))
+    parts = [
+        f"""select '{code}' as dataset_code, id, price_w_usd, order_n, {segment} as segment_txt, balance_m, instrument_txt, {tens}
+        from ({extract('')}) where cast(order_n as bigint) % 2 = {rest}"""
+        for code, rest, segment in (("EVEN", 0, "segment_txt"), ("ODD", 1, "null"))
+    ]
+    return " union all ".join(parts)
+
+
+MANY = _many()
+
+
 def oracle_sql() -> dict[str, str]:
     lineitem_properties = {c: c for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")}
     pivot = ", ".join(f"max(value) filter (where band = {x}) as \"b{x}\"" for x in range(405, 556, 10))
@@ -182,9 +203,10 @@ def oracle_sql() -> dict[str, str]:
         "catalog_types": f"""select dataset_code, string_agg(distinct role, ',' order by role) as spectra_types
             from ({CLASSIFIED}) where role in ('mir', 'visnir', 'nir') group by 1""",
         "catalog_complete": f"""select *, has_site and has_lab and has_spectra as complete from (
-            select dataset_code, bool_or(role = 'soilsite') as has_site, bool_or(role = 'soillab') as has_lab,
-                bool_or(role in ('mir', 'visnir', 'nir')) as has_spectra
-            from ({CLASSIFIED}) where role is not null group by 1)""",
+            select dataset_code, coalesce(bool_or(role = 'soilsite'), false) as has_site,
+                coalesce(bool_or(role = 'soillab'), false) as has_lab,
+                coalesce(bool_or(role in ('mir', 'visnir', 'nir')), false) as has_spectra
+            from (select distinct dataset_code from ({REGISTRY})) left join ({CLASSIFIED}) using (dataset_code) group by 1)""",
         "catalog_resolve": f"""with first as ({FIRST})
             select p.dataset_code, p.role as spectra_type, p.public_url as spectra_url, s.public_url as site_url,
                 l.public_url as lab_url
@@ -220,8 +242,15 @@ def oracle_sql() -> dict[str, str]:
             c_nationkey as nation_code from customer where c_mktsegment in ('BUILDING', 'MACHINERY')
             and c_acctbal >= 0 and c_acctbal <= 5000 and c_nationkey::varchar in ('1', '2', '3', '5', '8', '13')""",
         "site_lower_bound": "select c_custkey as id, c_acctbal as balance_m, c_name as name_txt from customer where c_acctbal >= 2500",
-        "site_levels": levels(SITE, ["segment_txt", "name_txt", "nation_code"], 500),
-        "spec_levels": levels("select * from documents", ["lang", "source", "n_chars"], 100),
+        "site_levels": levels(SITE, ["segment_txt", "name_txt", "nation_code"]),
+        "site_levels_first": levels(SITE, ["segment_txt", "name_txt", "nation_code"], 7),
+        "spec_levels": levels("select * from documents", ["lang", "source", "n_chars"]),
+        "level_counts": f"""select "column", count(*) as levels from ({levels("select * from documents", ["lang", "source", "n_chars"])}) group by 1""",
+        "site_typed_levels": """select c_custkey as id, c_nationkey as nation_code, c_acctbal < 0 as owes_logical,
+            c_nationkey / 8 as share_code, c_acctbal as balance_m from customer
+            where c_nationkey in (1, 2, 3, 5, 8, 13) and not (c_acctbal < 0) and c_nationkey / 8 in (0.125, 0.25, 0.625, 1.0)""",
+        "site_stale_selection": "select c_custkey as id, c_mktsegment as segment_txt, c_name as name_txt from customer where c_mktsegment = 'BUILDING'",
+        "lab_default_property": f"select id, age_index from ({lab()}) where age_index is not null",
         "lab_complete_case": f"select * from ({lab()}) where price_w_usd is not null and age_index is not null",
         "lab_log1p": transformed("log1p"),
         "lab_sqrt": transformed("sqrt"),
@@ -231,9 +260,9 @@ def oracle_sql() -> dict[str, str]:
         "domain_errors": "select 'balance_m' as property, count(*) as out_of_domain from customer where c_acctbal <= -1",
         "spec_meta_filter": f"""select id, instrument_txt, 400 + 2.5 * (pos - 1) as band, v as value from (
             select id, instrument_txt, unnest(y) as v, generate_subscripts(y, 1) as pos from ({spectra()})
-            where instrument_txt in (1, 4, 7)) where (400 + 2.5 * (pos - 1)) % 2 = 0""",
+            where instrument_txt in (1, 4, 7))""",
         "band_range_thin": f"select id, {bands([i for i in TENS if 420 <= 400 + 2.5 * i <= 530])} from ({spectra()})",
-        "export_projection": f"select id, instrument_txt, {bands(TENS)} from ({spectra()})",
+        "export_projection": f"select id, instrument_txt, {bands(ALL)} from ({spectra()})",
         "preview_rows": f"select *, {even('p_retailprice / 3', 5)} as third from (select * replace ({even('p_retailprice', 5)} as p_retailprice) from part) order by p_partkey limit 10",
         "soil_preview": SOIL,
         "soil_name_clash": f"""select l.id, l.age_index, l.order_n, s.segment_txt from ({lab()}) l
@@ -246,13 +275,25 @@ def oracle_sql() -> dict[str, str]:
         "extract_hot_lab_full": extract("full", HOT_LAB),
         "extract_hot_spectra_left": extract("left", HOT_LAB, HOT_SPECTRA),
         "extract_hot_spectra_full": extract("full", HOT_LAB, HOT_SPECTRA),
+        "extract_hot_default": extract("", HOT_LAB),
+        "extract_shuffled": extract("full", HOT_LAB, HOT_SPECTRA),
+        "extract_many": MANY,
+        "sample_extract": stratified(
+            sampled(f"select * from ({SOIL})", "* exclude (rn, total)", "order_n", "greatest(1, floor(total * 50 / 100))"),
+            "* exclude (rn, total, size)", "order_n", "segment_txt", "floor(total * 10 / 100)",
+        ),
+        "preprocess_snv": preprocessed("(v - avg(v) over w) / stddev_samp(v) over w"),
+        "preprocess_area": preprocessed("v / sum(abs(v)) over w"),
+        "preprocess_derivative": preprocessed("(lead(v) over (partition by id order by pos) - v) / 2.5", 1.25),
         "extract_null_keys": extract("full", HOT_LAB, NO_SPECTRA, "double"),
         "step_counts": f"""select 'site' as step, count(*) as rows from customer
             union all select 'site_filtered', count(*) from customer where c_acctbal >= 0
             union all select 'lab', count(*) from orders
             union all select 'lab_complete', count(*) from ({lab()}) where price_w_usd is not null
             union all select 'spectra', count(*) from embeddings
-            union all select 'spectra_filtered', count(*) from embeddings where label in (1, 2)""",
+            union all select 'spectra_filtered', count(*) from embeddings where label in (1, 2)
+            union all select 'soil', count(*) from ({SOIL})
+            union all select 'extract', count(*) from ({extract('')}) where instrument_txt in (1, 2)""",
         "key_duplicates": "select o_custkey, count(*) as rows from orders group by 1 having count(*) > 1",
         "summary_stats": summary(
             f"select * from ({lab()}) where price_w_usd is not null and age_index is not null",
@@ -282,14 +323,14 @@ def oracle_sql() -> dict[str, str]:
             select pos, count(v) as n, {r('avg(v)', 8)} as mean, {r('stddev_pop(v)', 8)} as sd,
                 {r('avg(v) - stddev_pop(v)', 8)} as lower, {r('avg(v) + stddev_pop(v)', 8)} as upper
             from (select unnest(y) as v, generate_subscripts(y, 1) as pos from ({SOIL}) soil
-                join ({spectra()}) spec on soil.id = spec.id) group by pos) where (pos - 1) % 4 = 0""",
+                join ({spectra()}) spec on soil.id = spec.id) group by pos)""",
         "band_extent": f"""select count(*) as bands, min(band) as x_min, max(band) as x_max, min(lower) as y_min,
             max(upper) as y_max from ({profile(spectra())})""",
         "sample_n": sampled("select * from customer", "* exclude (rn, total)", "c_custkey", "200"),
-        "sample_pct": sampled("select * exclude (o_orderdate) from orders", "* exclude (rn, total)", "o_orderkey", "greatest(1, floor(total * 12.5 / 100))"),
+        "sample_pct": sampled("select * from orders", "* exclude (rn, total)", "o_orderkey", "greatest(1, floor(total * 12.5 / 100))"),
         "sample_stratified": stratified("select * from customer", "* exclude (rn, total, size)", "c_custkey", "c_mktsegment", "333"),
         "sample_stratified_pct": stratified(
-            "select doc_id, lang, n_chars, case when lang <> 'en' then source end as source_c from documents",
+            "select doc_id, text, lang, n_chars, case when lang <> 'en' then source end as source_c from documents",
             "* exclude (rn, total, size)", "doc_id", "source_c", "floor(total * 20 / 100)",
         ),
         "sample_copies": sampled(COPIES, "o_orderstatus, o_orderpriority", COPY_KEY, "floor(total * 30 / 100)"),
@@ -297,13 +338,13 @@ def oracle_sql() -> dict[str, str]:
             COPIES, "o_orderstatus, o_orderpriority", COPY_KEY, "o_orderstatus", "floor(total * 30 / 100)"
         ),
         "sample_hot_group": stratified(
-            "select o_orderkey, case when o_orderstatus <> 'F' then 'hot' else o_orderpriority end as group_c from orders",
-            "o_orderkey, group_c", "o_orderkey", "group_c", "floor(total * 10 / 100)",
+            "select *, case when o_orderstatus <> 'F' then 'hot' else o_orderpriority end as group_c from orders",
+            "* exclude (rn, total, size)", "o_orderkey", "group_c", "floor(total * 10 / 100)",
         ),
         "resample_linear": resampled(spectra(), 400, 557.5, 2),
         "resample_extrapolate": resampled(spectra(), 390, 570, 10, "id, instrument_txt"),
-        "resample_gaps": resampled(GAPPY, 401, 500, 2),
+        "resample_gaps": resampled(GAPPY, 401, 557.5, 2),
         "resample_descending": f"""select id, instrument_txt, {pivot} from (
             {resampled(spectra(), 405, 557.5, 10, 'id, instrument_txt')}) group by id, instrument_txt""",
-        "resample_extract": resampled(spectra(), 400, 500, 10, n=41),
+        "resample_extract": resampled(spectra(), 400, 557.5, 10),
     }

@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +44,11 @@ def col(name: str) -> Column:
 
 def number_array(values: Iterable[float]) -> Column:
     """A constant array. One parsed expression: building thousands of literal columns one by one takes seconds."""
-    items = ", ".join(str(v) if isinstance(v, int) else f"{v!r}D" for v in values)
-    return F.expr(f"array({items})")
+
+    def written(v: float) -> str:
+        return str(v) if isinstance(v, int) else f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+
+    return F.expr(f"array({', '.join(map(written, values))})")
 
 
 def column_family(name: str) -> str:
@@ -101,8 +105,14 @@ def scan_value(name: Column) -> Column:
 
 
 def band_label(value: float) -> str:
-    """Whole numbers without a point, others with at most two decimals."""
-    return str(int(value)) if value == int(value) else f"{value:.2f}".rstrip("0").rstrip(".")
+    """The number with at most two decimals and no zeros at the end."""
+    return np.format_float_positional(value, precision=2, unique=False, trim="-")
+
+
+def clashing(columns: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """The columns that Spark would take for one of ``taken``: it ignores case."""
+    taken = {c.lower() for c in taken}
+    return [c for c in columns if c.lower() in taken]
 
 
 def check_names(columns: Iterable[str]) -> None:

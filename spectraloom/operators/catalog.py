@@ -27,6 +27,7 @@ FILE_TYPE = (
 DOCUMENT_SCHEMA = (
     f"dataset_code string, generated_at timestamp, spectra_types array<string>, files map<string, {FILE_TYPE}>"
 )
+DATASET_TYPE = f"struct<spectra_types: array<string>, files: map<string, {FILE_TYPE}>>"
 
 
 def parquet_rows(registry: DataFrame) -> DataFrame:
@@ -68,13 +69,17 @@ def available_types(registry: DataFrame) -> DataFrame:
 
 
 def complete_datasets(registry: DataFrame) -> DataFrame:
-    """Per dataset: which of site, lab and spectra are listed, and whether all are."""
-    role = F.col("role")
-    found = classified(registry).groupBy("dataset_code").agg(
-        F.bool_or(role == SITE_MARK).alias("has_site"),
-        F.bool_or(role == LAB_MARK).alias("has_lab"),
-        F.bool_or(~role.isin(SITE_MARK, LAB_MARK)).alias("has_spectra"),
-    )
+    """Per dataset of the registry: which of site, lab and spectra are listed, and whether all are."""
+    name = F.col("file_name")
+    listed = F.coalesce(name.contains(PARQUET_MARK), F.lit(False))
+    spectra = (file_role(name) == "spectra") & spectra_type(name).isNotNull()
+
+    def any_row(test: Column) -> Column:
+        return F.bool_or(listed & F.coalesce(test, F.lit(False)))
+
+    found = registry.groupBy("dataset_code").agg(
+        any_row(file_role(name) == SITE_MARK).alias("has_site"), any_row(file_role(name) == LAB_MARK).alias("has_lab"), any_row(spectra).alias("has_spectra"),
+    )
     return found.withColumn("complete", F.col("has_site") & F.col("has_lab") & F.col("has_spectra"))
 
 
@@ -128,18 +133,20 @@ def build_catalog(registry: DataFrame, columns: DataFrame) -> DataFrame:
     ``columns`` has ``(public_url, column)`` for every readable file. A role stands for the first file listed for site
     and lab (none, when that one is unreadable), and for the last readable one of a spectral range.
     """
-    described = describe_columns(columns, "public_url").withColumn("readable", F.lit(True))
-    files = classified(registry).join(described, "public_url", "left")
+    # Files are chosen by their registry lines alone; only the chosen ones are described.
+    readable = columns.select("public_url").distinct().withColumn("readable", F.lit(True))
+    files = classified(registry).join(readable, "public_url", "left")
     soil = F.col("role").isin(SITE_MARK, LAB_MARK)
-    content = ("public_url", "columns", "scan_min", "scan_max", "scan_count", "meta_columns", "readable")
     rank = F.when(soil, -F.col("line_no")).when(F.col("readable"), F.col("line_no"))
-    chosen = files.groupBy("dataset_code", "role").agg(F.max_by(F.struct(*content), rank).alias("file"))
-    return chosen.where(F.col("file.readable")).select(
+    file = F.max_by(F.struct("public_url", "readable"), rank).alias("file")
+    chosen = files.groupBy("dataset_code", "role").agg(file).where(F.col("file.readable")).select("dataset_code", "role", "file.public_url")
+    described = describe_columns(columns.join(chosen.select("public_url").distinct(), "public_url", "left_semi"), "public_url")
+    return chosen.join(described, "public_url").select(
         "dataset_code",
         "role",
-        F.col("file.public_url").alias("url"),
-        F.when(soil, F.col("file.columns")).alias("columns"),
-        *[F.when(~soil, F.col(f"file.{c}")).alias(c) for c in ("scan_min", "scan_max", "scan_count", "meta_columns")],
+        F.col("public_url").alias("url"),
+        F.when(soil, F.col("columns")).alias("columns"),
+        *[F.when(~soil, F.col(c)).alias(c) for c in ("scan_min", "scan_max", "scan_count", "meta_columns")],
     )
 
 
@@ -160,11 +167,14 @@ def documents(registry: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def catalog_of(spark: SparkSession, registry_path: str, threads: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Build the catalog documents of a registry file; also returns ``(public_url, error)`` of unreadable files."""
+def catalog_of(spark: SparkSession, registry_path: str, threads: int = 16, schemas_into: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Build the catalog documents of a registry file; also returns ``(public_url, error)`` of unreadable files.
+
+    ``schemas_into`` names a folder in which the files' column names are collected in batches and found again.
+    """
     registry = read_registry(spark, registry_path)
     urls = [row[0] for row in classified(registry).select("public_url").distinct().collect()]
-    schemas = read_schemas(spark, urls, threads)
+    schemas = read_schemas(spark, urls, threads, into=schemas_into)
     columns = schemas.select("public_url", F.explode("columns").alias("column"))
     failed = schemas.where(F.col("error").isNotNull()).select("public_url", "error")
     return documents(registry, build_catalog(registry, columns)), failed

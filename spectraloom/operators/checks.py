@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from spectraloom.functions.expressions import out_of_domain
 from spectraloom.functions.names import col
-from spectraloom.operators.extract import ExtractSpec, Star, lab_properties, select_lab, select_site, select_spectra
+from spectraloom.operators.extract import ExtractSpec, Star, extract, lab_predicate, lab_properties, site_predicate, soil_table, spectra_predicate
 
 
 def key_duplicates(df: DataFrame, key: str) -> DataFrame:
@@ -24,20 +26,24 @@ def domain_errors(lab: DataFrame, spec: ExtractSpec) -> DataFrame:
     return lab.agg(*counts).select(F.inline(F.array(*pairs)))
 
 
-def step_counts(star: Star, spec: ExtractSpec) -> DataFrame:
-    """``(step, rows)``: rows of each table before and after its filter.
+def step_counts(star: Star, spec: ExtractSpec, joined: bool = False) -> DataFrame:
+    """``(step, rows)``: rows of each table before and after its filter, by one scan of each.
 
-    Each count is a scan of the filtered columns alone; for the rows of the extract itself see ``counted``.
+    ``joined`` adds ``soil`` and ``extract``, the rows of laboratory values with sites and of the whole extract, for which
+    the joins run; ``counted`` has the latter without an extra pass.
     """
-    steps = {"site": star.site, "site_filtered": select_site(star.site, spec)}
-    steps |= {"lab": star.lab, "lab_complete": select_lab(star.lab, spec)}
+    tables = {"site": ("site_filtered", star.site, site_predicate(star.site, spec)), "lab": ("lab_complete", star.lab, lab_predicate(star.lab, spec))}
     if star.spectra is not None:
-        steps |= {"spectra": star.spectra_df, "spectra_filtered": select_spectra(star.spectra, spec).df}
-    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(s).alias("step"), "rows") for s, df in steps.items()]
-    result = counts[0]
-    for count in counts[1:]:
-        result = result.unionByName(count)
-    return result
+        tables["spectra"] = ("spectra_filtered", star.spectra_df, spectra_predicate(star.spectra_df, spec))
+    counts = []
+    for step, (kept, df, test) in tables.items():
+        both = df.agg(F.count(F.lit(1)).alias("all"), F.count_if(test).alias("kept"))
+        rows = [F.struct(F.lit(step).alias("step"), F.col("all").alias("rows")), F.struct(F.lit(kept).alias("step"), F.col("kept").alias("rows"))]
+        counts.append(both.select(F.inline(F.array(*rows))))
+    if joined:
+        results = {"soil": soil_table(star, spec)} | ({"extract": extract(star, spec).df} if star.spectra is not None else {})
+        counts += [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(step).alias("step"), "rows") for step, df in results.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:

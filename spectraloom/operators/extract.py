@@ -5,32 +5,31 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectraloom.functions.expressions import TRANSFORMS, transformed
-from spectraloom.functions.names import DEFAULT_ID, check_names, col, numeric_bands, scan_metadata
+from spectraloom.functions.names import DEFAULT_ID, check_names, clashing, col, numeric_bands, scan_metadata
 from spectraloom.operators.filters import (
     Filter,
+    complete,
     complete_cases,
     filter_site,
     filter_spectra,
     present,
+    site_test,
+    spectra_test,
     validate_site_filters,
 )
-from spectraloom.operators.spectra import DEFAULT_RANGE, SpectralFrame, thin
-from spectraloom.plans.skew import CELL, SkewPolicy, drop_unpaired, frequent_keys, present_keys, salt_count, spread
+from spectraloom.operators.spectra import SpectralFrame, thin
+from spectraloom.plans.skew import CELL, HotKeys, SkewPolicy, drop_unpaired, frequent_keys, present_keys, salt_count, spread
 
 JOINS = ("inner", "full", "left")
 
 
 @dataclass(frozen=True)
 class Star:
-    """The three linked tables of a dataset. Spectra may be wide or already packed.
-
-    The tables should be as read from files, or checkpointed: hot keys are split by row position, which a scan repeats
-    exactly when a task is run again.
-    """
+    """The three linked tables of a dataset. Spectra may be wide or already packed."""
 
     site: DataFrame
     lab: DataFrame
@@ -45,9 +44,9 @@ class Star:
 class ExtractSpec:
     """What to extract.
 
-    ``lab=None`` takes the first property by name, as the default selection does. ``hot_keys`` names the join keys known
-    to hold a large share of a table, as ``{"lab": keys, "site": keys, "spectra": keys}``; None looks for them with one
-    scan of each key column, ``{}`` keeps the call lazy.
+    ``lab=None`` takes the first property by name, as the default selection does. Without ``lo``, ``hi`` and ``step`` all
+    bands are kept. ``hot_keys`` are join keys that hold a large share of a table, as ``find_hot_keys`` finds them; without
+    them the joins are Spark's own.
     """
 
     lab: tuple[str, ...] | None = None
@@ -56,13 +55,12 @@ class ExtractSpec:
     site_filters: Mapping[str, Filter] = field(default_factory=dict)
     spectra_meta: tuple[str, ...] = ()
     spectra_filters: Mapping[str, tuple] = field(default_factory=dict)
-    lo: float = DEFAULT_RANGE[0]
-    hi: float = DEFAULT_RANGE[1]
-    step: float = 2
+    lo: float | None = None
+    hi: float | None = None
+    step: float | None = None
     how: str = "inner"
     id_col: str = DEFAULT_ID
-    hot_keys: Mapping[str, tuple] | None = None
-    skew: SkewPolicy = SkewPolicy()
+    hot_keys: HotKeys | None = None
 
 
 def _check(star: Star, spec: ExtractSpec, with_spectra: bool) -> None:
@@ -127,21 +125,52 @@ def select_spectra(spectra: DataFrame | SpectralFrame, spec: ExtractSpec) -> Spe
     return thin(spectra, [spec.id_col, *meta], spec.lo, spec.hi, spec.step)
 
 
+def site_predicate(site: DataFrame, spec: ExtractSpec) -> Column:
+    return site_test(site, spec.site_filters)
+
+
+def lab_predicate(lab: DataFrame, spec: ExtractSpec) -> Column:
+    return complete(lab, lab_properties(lab, spec))
+
+
+def spectra_predicate(spectra: DataFrame, spec: ExtractSpec) -> Column:
+    return spectra_test(spectra, spec.spectra_filters)
+
+
 def without_clashes(right: DataFrame, left: DataFrame, key: str) -> DataFrame:
-    """Drop the right columns the left side already has: the left one wins."""
-    taken = set(left.columns) - {key}
+    """Drop the right columns the left side already has, in whatever case: the left one wins."""
+    taken = clashing([c for c in right.columns if c != key], left.columns)
     return right.select(*[col(c) for c in right.columns if c not in taken])
 
 
-def _hot_keys(spec: ExtractSpec, **tables: DataFrame) -> dict[str, dict]:
-    """Hot keys of each table with their share. NULL keys only matter where rows with one reach a shuffle."""
-    if spec.hot_keys is not None:
-        return {name: dict.fromkeys(spec.hot_keys.get(name, ()), spec.skew.share) for name in tables}
-    hot = frequent_keys(tables, spec.id_col, spec.skew)
+def _sides(star: Star, spec: ExtractSpec) -> tuple[DataFrame, DataFrame, SpectralFrame | None]:
+    """Laboratory, site and spectra tables, filtered, each without the columns of those before."""
+    lab = select_lab(star.lab, spec)
+    site = without_clashes(select_site(star.site, spec), lab, spec.id_col)
+    if star.spectra is None:
+        return lab, site, None
+    spectra = select_spectra(star.spectra, spec)
+    return lab, site, spectra.with_df(without_clashes(without_clashes(spectra.df, lab, spec.id_col), site, spec.id_col))
+
+
+def find_hot_keys(star: Star, spec: ExtractSpec, policy: SkewPolicy = SkewPolicy()) -> HotKeys:
+    """Join keys of the filtered tables that an extract should spread, for ``ExtractSpec.hot_keys``.
+
+    Reads the key columns once and, if any key is hot, once more to see which of these keys occur in all tables. Worth it
+    for tables known to be skewed.
+    """
+    _check(star, spec, with_spectra=star.spectra is not None)
+    lab, site, spectra = _sides(star, spec)
+    tables = {"lab": lab, "site": site} | ({"spectra": spectra.df} if spectra else {})
+    hot = frequent_keys(tables, spec.id_col, policy)
     for name, keys in hot.items():
+        # NULL keys only matter where rows with one reach a shuffle.
         if name != "spectra" or spec.how != "full":
             keys.pop(None, None)
-    return hot
+    every = list({k: None for keys in hot.values() for k in keys})
+    # Copies along or onto the spectra's axis need partners to meet: in an outer join, only keys that are in all tables.
+    matched = every if spec.how == "inner" else present_keys(list(tables.values()), spec.id_col, every)
+    return HotKeys(hot, tuple(matched))
 
 
 def _join_soil(lab: DataFrame, site: DataFrame, on: list[str]) -> DataFrame:
@@ -154,11 +183,10 @@ def soil_table(star: Star, spec: ExtractSpec) -> DataFrame:
     _check(star, spec, with_spectra=False)
     if not lab_properties(star.lab, spec):
         raise ValueError("select at least one soil property")
-    key, lab = spec.id_col, select_lab(star.lab, spec)
-    site = without_clashes(select_site(star.site, spec), lab, key)
-    hot = _hot_keys(spec, lab=lab, site=site)
-    if not any(hot.values()):
+    key, (lab, site, _) = spec.id_col, _sides(Star(star.site, star.lab), spec)
+    if not spec.hot_keys:
         return _join_soil(lab, site, [key])
+    hot = {name: spec.hot_keys.by_table.get(name, {}) for name in ("lab", "site")}
     salts = salt_count(lab, hot)
     lab, site = spread(lab, "lab", key, hot, hot, salts), spread(site, "site", key, hot, hot, salts)
     return _join_soil(lab, site, [key, CELL]).drop(CELL)
@@ -168,21 +196,16 @@ def extract(star: Star, spec: ExtractSpec) -> SpectralFrame:
     """The full join of soil data and spectra.
 
     ``how``: ``inner`` keeps soil rows with spectra, ``full`` keeps every soil row and every spectrum, ``left`` every
-    soil row. The spectrum is NULL where there is none.
+    soil row. The spectrum is NULL where there is none. The call itself runs no job.
     """
     _check(star, spec, with_spectra=True)
-    key, lab = spec.id_col, select_lab(star.lab, spec)
-    site = without_clashes(select_site(star.site, spec), lab, key)
-    spectra = select_spectra(star.spectra, spec)
-    spectral = without_clashes(without_clashes(spectra.df, lab, key), site, key)
-    hot = _hot_keys(spec, lab=lab, site=site, spectra=spectral)
-    if not any(hot.values()):
+    key, (lab, site, spectra) = spec.id_col, _sides(star, spec)
+    spectral = spectra.df
+    if not spec.hot_keys:
         return spectra.with_df(_join_soil(lab, site, [key]).join(spectral, key, spec.how))
 
-    salts, on = salt_count(lab, hot), [key, CELL]
-    # Copies along or onto the spectra's axis need partners to meet: in an outer join, only keys that are in all tables.
-    every = list({k: None for keys in hot.values() for k in keys})
-    matched = every if spec.how == "inner" else present_keys([lab, site, spectral], key, every)
+    hot = {name: spec.hot_keys.by_table.get(name, {}) for name in ("lab", "site", "spectra")}
+    salts, on, matched = salt_count(lab, hot), [key, CELL], spec.hot_keys.matched
     meeting = {name: [k for k in keys if k in matched] for name, keys in hot.items()}
     soil_copies = {"lab": hot["lab"], "site": hot["site"], "spectra": meeting["spectra"]}
     soil = _join_soil(

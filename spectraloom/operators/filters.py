@@ -16,7 +16,11 @@ from spectraloom.functions.names import col, column_family
 
 @dataclass(frozen=True)
 class Among:
-    """Keep rows whose value, as text, is one of ``values``; no values keep all rows."""
+    """Keep rows whose value is one of ``values``; no values keep all rows.
+
+    Values are read as the column's type: the text ``"3"`` is the number 3 in a column of integers. One that can't be read
+    so matches nothing.
+    """
 
     values: tuple = ()
 
@@ -56,7 +60,9 @@ def predicate(df: DataFrame, name: str, rule: Filter) -> Column:
     if isinstance(rule, Among):
         if not rule.values:
             return F.lit(True)
-        return col(name).cast("string").isin([as_text(v) for v in rule.values])
+        # Literals of the column's own type, so that the scan can test them.
+        kind = df.schema[name].dataType
+        return col(name).isin([F.lit(as_text(v)).try_cast(kind) for v in rule.values if v is not None])
     lo, hi = rule.bounds()
     x = col(name).cast("double")
     return all_of(([x >= lo] if lo is not None else []) + ([x <= hi] if hi is not None else []))
@@ -67,26 +73,37 @@ def validate_site_filters(selected: Iterable[str], rules: Mapping[str, Filter])
     for name in selected:
         rule, family = rules.get(name), column_family(name)
         if family == "range" and not (isinstance(rule, Between) and rule.bounds() != (None, None)):
-            raise ValueError(f"give at least one bound for {name!r}, or deselect it")
+            raise ValueError(f"the range column {name!r} is selected without a finite bound")
         if family == "levels" and isinstance(rule, Between):
             raise ValueError(f"{name!r} is categorical: filter it by levels")
         if family == "plain" and rule is not None:
             raise ValueError(f"{name!r} cannot be filtered: its name has no known suffix")
 
 
-def filter_site(site: DataFrame, rules: Mapping[str, Filter]) -> DataFrame:
+def site_test(site: DataFrame, rules: Mapping[str, Filter]) -> Column:
     """Conjunction of the site rules; rules on absent columns are ignored."""
     names = present(rules, site)
     validate_site_filters(names, rules)
-    return site.where(all_of(predicate(site, n, rules[n]) for n in names))
+    return all_of(predicate(site, n, rules[n]) for n in names)
 
 
-def filter_spectra(spectra: DataFrame, levels: Mapping[str, tuple]) -> DataFrame:
+def spectra_test(spectra: DataFrame, levels: Mapping[str, tuple]) -> Column:
     """Level filters on spectral metadata, whatever the column's suffix."""
-    names = present(levels, spectra)
-    return spectra.where(all_of(predicate(spectra, n, Among(tuple(levels[n]))) for n in names))
+    return all_of(predicate(spectra, n, Among(tuple(levels[n]))) for n in present(levels, spectra))
+
+
+def complete(lab: DataFrame, properties: Iterable[str]) -> Column:
+    """Every selected property is recorded. NaN is recorded, NULL is not."""
+    return all_of(col(c).isNotNull() for c in present(properties, lab))
+
+
+def filter_site(site: DataFrame, rules: Mapping[str, Filter]) -> DataFrame:
+    return site.where(site_test(site, rules))
+
+
+def filter_spectra(spectra: DataFrame, levels: Mapping[str, tuple]) -> DataFrame:
+    return spectra.where(spectra_test(spectra, levels))
 
 
 def complete_cases(lab: DataFrame, properties: Iterable[str]) -> DataFrame:
-    """Rows in which every selected property is recorded. NaN is recorded, NULL is not."""
-    return lab.where(all_of(col(c).isNotNull() for c in present(properties, lab)))
+    return lab.where(complete(lab, properties))

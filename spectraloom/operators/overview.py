@@ -24,10 +24,10 @@ RANGE_WORDS = {"vnir": "visnir"}
 
 def overview_table(overview: DataFrame, titles: Mapping[str, str] = TITLES) -> DataFrame:
     """The available display columns, without repeated rows, under their titles."""
-    available = [c for c in titles if c in overview.columns]
-    if not available:
-        raise ValueError("none of the expected columns found")
-    return overview.select(*map(col, available)).distinct().withColumnsRenamed({c: titles[c] for c in available})
+    shown = [col(c).alias(title) for c, title in titles.items() if c in overview.columns]
+    if not shown:
+        raise ValueError(f"the overview has no column to show; it may show {', '.join(titles)}")
+    return overview.select(*shown).dropDuplicates()
 
 
 def filter_overview(table: DataFrame, conditions: Mapping[str, str | Between]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -19,7 +21,10 @@ STATISTICS = ("count", "min", "mean", "std", "median", "iqr", "max", "skewness",
 DECIMALS = 4
 
 QUARTILES = (0.25, 0.5, 0.75)
-ACCURACY = 10_000
+# Bins a bracket is cut into, and the distinct values of a bracket that are ranked.
+BINS = 1024
+RANKED = 100_000
+MOST = sys.float_info.max
 
 
 def numeric_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -33,30 +38,69 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
 
 
-def _moments(values: DataFrame, accuracy: int) -> list[dict]:
-    """One row per property: exact moments, and brackets sure to hold the quartiles.
-
-    Groups of moderate size are bracketed by their extremes. For larger ones a quantile sketch is off by at most
-    ``n / accuracy`` ranks, which is several: twice that to either side is enough. The sketch gets a pass of its own
-    because it would take the other aggregates out of generated code.
-    """
+def _moments(values: DataFrame) -> list[dict]:
+    """One row per property."""
     x, group = F.col("value"), values.groupBy("property")
     moments = group.agg(
         F.count(x).alias("count"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
         F.max(x).alias("max"), sample_skewness(x).alias("skewness"), sample_kurtosis(x).alias("kurtosis"),
     )
-    rows = moments.toArrow().to_pylist()
-    large = [row["property"] for row in rows if row["count"] > 5 * accuracy]
-    ends = {}
-    if large:
-        wanted = [p + side * 2 / accuracy for p in QUARTILES for side in (-1, 1)]
-        sketch = values.where(F.col("property").isin(large)).groupBy("property")
-        sketch = sketch.agg(F.percentile_approx(x, wanted, accuracy).alias("ends"))
-        ends = {row["property"]: row["ends"] for row in sketch.toArrow().to_pylist()}
-    for row in rows:
-        found = ends.get(row["property"])
-        row["brackets"] = list(zip(found[::2], found[1::2])) if found else [(row["min"], row["max"])]
-    return rows
+    return moments.toArrow().to_pylist()
+
+
+class Target:
+    """An order statistic of a property, looked for inside a bracket: ``below`` values are smaller than all in it."""
+
+    def __init__(self, row: dict, rank: int):
+        self.property, self.rank, self.below, self.inside = row["property"], rank, 0, row["count"]
+        self.lo, self.hi = row["min"], row["max"]
+
+    @property
+    def bracket(self) -> tuple[float, float]:
+        return self.lo, self.hi
+
+    def finished(self, ranked: int) -> bool:
+        return self.lo == self.hi or self.inside <= ranked
+
+    def narrow(self, bins: list[dict]) -> None:
+        """``bins``: number, smallest and largest value of the bracket's occupied bins, ascending."""
+        for found in bins:
+            if self.rank < self.below + found["n"]:
+                self.lo, self.hi, self.inside = found["lo"], found["hi"], found["n"]
+                return
+            self.below += found["n"]
+        raise ValueError("the values changed from one read to the next: store them first")
+
+
+def _targets(values: DataFrame, moments: list[dict], ranked: int) -> dict[int, list[tuple[float, float]]]:
+    """Brackets by property, ascending, that hold the order statistics of the quartiles and at most ``ranked`` values each,
+    or one value however often.
+
+    A bracket with more is cut into ``BINS`` equal bins, which are counted; the one with the wanted rank is the next
+    bracket. Each round is one aggregation, after which at most six times ``BINS`` rows per property come to the driver.
+    """
+    targets = [Target(row, rank(p * (row["count"] - 1))) for row in moments for p in QUARTILES for rank in (math.floor, math.ceil)]
+    x = F.col("value")
+    while wide := [t for t in targets if not t.finished(ranked)]:
+        brackets = sorted({(t.property, *t.bracket) for t in wide})
+        pairs = []
+        for number, (place, lo, hi) in enumerate(brackets):
+            # Halves first: the width of all doubles is no double. Infinite ends have bins of their own.
+            low, high = (max(lo, -MOST), min(hi, MOST))
+            width = high / 2 - low / 2
+            at = F.least(F.lit(BINS - 1), F.floor((x / 2 - low / 2) / (width or 1.0) * BINS))
+            at = F.when(x < low, -1).when(x > high, BINS).otherwise(at).cast("int")
+            inside = (F.col("property") == place) & (x >= lo) & (x <= hi)
+            pairs.append((inside, F.struct(F.lit(number).alias("bracket"), at.alias("bin"))))
+        hit = F.coalesce(*[F.when(inside, struct) for inside, struct in pairs])
+        counted = values.select("value", hit.alias("hit")).where(F.col("hit").isNotNull()).groupBy("hit.bracket", "hit.bin")
+        counted = counted.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).toArrow().to_pylist()
+        found: dict[tuple, list[dict]] = {}
+        for row in sorted(counted, key=lambda r: (r["bracket"], r["bin"])):
+            found.setdefault(brackets[row["bracket"]], []).append(row)
+        for t in wide:
+            t.narrow(found[(t.property, *t.bracket)])
+    return {row["property"]: sorted({t.bracket for t in targets if t.property == row["property"]}) for row in moments}
 
 
 def _quartiles(values: DataFrame, moments: list[dict], size: int) -> DataFrame:
@@ -75,8 +119,8 @@ def _quartiles(values: DataFrame, moments: list[dict], size: int) -> DataFrame:
 
     zone, inside = F.lit(0), F.lit(False)
     for k in range(max(len(row["brackets"]) for row in moments)):
-        lo = constant(lambda row: row["brackets"][min(k, len(row["brackets"]) - 1)][0])
-        hi = constant(lambda row: row["brackets"][min(k, len(row["brackets"]) - 1)][1])
+        lo = constant(lambda row, k=k: row["brackets"][min(k, len(row["brackets"]) - 1)][0])
+        hi = constant(lambda row, k=k: row["brackets"][min(k, len(row["brackets"]) - 1)][1])
         zone = zone + (value >= lo).cast("int") + (value > hi).cast("int")
         inside = inside | ((value >= lo) & (value <= hi))
     counted = values.groupBy("property", zone.alias("zone"), F.when(inside, value).alias("value"))
@@ -88,28 +132,30 @@ def _quartiles(values: DataFrame, moments: list[dict], size: int) -> DataFrame:
         return F.max(F.when((F.col("before") <= rank) & (rank < F.col("after")), value))
 
     statistics, results = [], []
-    missed = F.raise_error(F.lit("a quartile fell outside its bracket")).cast("double")
     for p, name in zip(QUARTILES, ("q25", "median", "q75")):
         rank = constant(lambda row: p * (row["count"] - 1))
         statistics += [order_statistic(F.floor(rank)).alias(f"{name}_a"), order_statistic(F.ceil(rank)).alias(f"{name}_b")]
         a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
-        between = a + (b - a) * (rank - F.floor(rank))
-        results.append(F.when(a.isNull() | b.isNull(), missed).otherwise(between).alias(name))
+        results.append((a + (b - a) * (rank - F.floor(rank))).alias(name))
     return ranked.groupBy("property").agg(*statistics).select("property", *results)
 
 
-def summary_stats(df: DataFrame, columns: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
+def summary_stats(df: DataFrame, columns: Sequence[str], ranked: int = RANKED) -> DataFrame:
     """One row per numeric property in the order given, rounded; missing values are left out.
 
-    All quantiles are exact. The columns asked for are read here for the moments, and in large tables for a sketch (one
-    row per property comes to the driver), and again for the quartiles when the result is used. When the input is
-    expensive to compute, pass it through ``plans.lineage.cut`` first.
+    All quantiles are exact. The columns asked for are read here for the moments, and in tables with more than ``ranked``
+    values to narrow down where the quartiles lie (a bounded number of counts per property comes to the driver), and again
+    for the quartiles when the result is used. When the input is expensive to compute, pass it through
+    ``plans.lineage.cut`` first.
     """
     names = numeric_columns(df, columns)
     if not names:
-        raise ValueError("the selected properties are not numeric")
+        raise ValueError(f"no numbers in any of {list(columns)}")
     values = _long(df, names)
-    moments = {row["property"]: row for row in _moments(values, accuracy)}
+    moments = {row["property"]: row for row in _moments(values)}
+    brackets = _targets(values, list(moments.values()), ranked)
+    for place, row in moments.items():
+        row["brackets"] = brackets[place]
     measures = ("min", "mean", "std", "max", "skewness", "kurtosis")
     rows = [
         (i, name, moments[i]["count"], *[moments[i][m] for m in measures]) if i in moments

@@ -17,19 +17,22 @@ from pyspark.sql import types as T
 
 from spectraloom.functions.names import col, column_family
 from spectraloom.plans.lineage import cut
-from spectraloom.plans.skew import SkewPolicy
 
 # Fixed value: the seed of every sample.
 SEED = 42
 
-# First hash digits a group is counted by: at most 65 536 counters per group, ~N / 65 536 rows left to look at.
+# Hash digits by which rows are counted at a time: at most 65 536 counters per group.
 PREFIX = 4
+HASH_DIGITS = 32
+# Hashes of one group that are ranked; a quota that ends among more is first looked for by further digits.
+RANKED = 100_000
 # Sorts after every hexadecimal digit, so ``prefix + PAST`` bounds all hashes that start with ``prefix``.
 PAST = "g"
 # Up to this many groups the bounds are held on the driver and broadcast; beyond, they are joined.
 BROADCAST_GROUPS = 10_000
 # Which of many groups are broadcast all the same: at most a hundred, by the share.
-HOT = SkewPolicy()
+HOT_SHARE = 0.01
+HOT_ROWS = 100_000
 # Copies of one row written out per task.
 COPIES_PER_TASK = 1_000_000
 
@@ -65,12 +68,13 @@ def _running(counts: DataFrame, key: str) -> DataFrame:
 
 
 def _cut(counts: DataFrame, key: str, quota: str) -> DataFrame:
-    """Per group: the last ``key`` that fits the quota whole, the one that does not, and how many that one gives."""
+    """Per group: the last ``key`` that fits the quota whole, the one that does not, how many that one gives and has."""
     straddles = (F.col("_before") < F.col(quota)) & (F.col("_upto") > F.col(quota))
     return _running(counts, key).groupBy("_g").agg(
         F.max(F.when(F.col("_upto") <= F.col(quota), F.col(key))).alias("full"),
         F.max(F.when(straddles, F.col(key))).alias("edge"),
         F.max(F.when(straddles, F.col(quota) - F.col("_before"))).alias("rest"),
+        F.max(F.when(straddles, F.col("n"))).alias("size"),
     )
 
 
@@ -130,31 +134,53 @@ def _quotas(df: DataFrame, group: Column, n: int, pct: float) -> PerGroup | None
     target = target_size(total, n, pct)
     if target >= total:
         return None
-    if few:
-        rows = rows.filter(rows["_g"].is_valid())
-        shares = [max(1, round(target * size / total)) for size in rows["size"].to_pylist()]
-        return PerGroup.held(df.sparkSession, rows.select(["_g"]).append_column("quota", pa.array(shares, pa.int64())))
     known = sizes.where(F.col("_g").isNotNull())
-    share = F.greatest(F.lit(1).cast("long"), F.bround(F.lit(target) * F.col("size") / F.lit(total)).cast("long"))
-    hot = known.where(F.col("size") >= max(HOT.min_rows, HOT.share * total)).select("_g").collect()
-    return PerGroup(known.select("_g", share.alias("quota")), None, [row[0] for row in hot])
+    if isinstance(sizes.schema["_g"].dataType, (T.DoubleType, T.FloatType)):
+        known = known.where(~F.isnan("_g"))
+    quotas = known.select("_g", _share(target, total).alias("quota"))
+    if few:
+        return PerGroup.held(df.sparkSession, quotas.toArrow())
+    hot = known.where(F.col("size") >= max(HOT_ROWS, HOT_SHARE * total)).select("_g").collect()
+    return PerGroup(quotas, None, [row[0] for row in hot])
+
 
+def _share(target: int, total: int) -> Column:
+    """``target * size / total`` in whole numbers, halves to even, at least 1."""
+    product = f"(cast(size as decimal(19, 0)) * cast({target} as decimal(19, 0)))"
+    whole = f"({product} div cast({total} as decimal(19, 0)))"
+    twice = f"(2 * ({product} - {whole} * cast({total} as decimal(19, 0))))"
+    up = f"({twice} > {total} or {twice} = {total} and {whole} % 2 = 1)"
+    return F.expr(f"greatest(1L, cast({whole} as bigint) + if({up}, 1L, 0L))")
 
-def _bounds(keyed: DataFrame, quotas: PerGroup) -> DataFrame:
-    """``(_g, bound, tie, quota)``: take hashes below ``bound``, and ``quota`` of the rows hashed to ``tie``."""
-    prefix = F.substring("_h", 1, PREFIX)
-    prefixes = keyed.groupBy("_g", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    coarse = quotas.like(_cut(quotas.attach(prefixes, "quota"), "p", "quota"))
-    edges = coarse.having("edge")
-    if edges.is_empty():
-        return coarse.df.selectExpr("_g", f"coalesce(full || '{PAST}', '') AS bound", "CAST(NULL AS STRING) AS tie", "rest AS quota")
 
-    # Only the prefix in which a quota ends is looked at closer. Copies of a row collapse before they are ranked.
-    hashes = edges.attach(keyed, "edge", "rest").where(prefix == F.col("edge"))
-    hashes = hashes.groupBy("_g", "_h", "rest").agg(F.count(F.lit(1)).alias("n"))
-    fine = _cut(hashes, "_h", "rest").toDF("_g", "fine", "tie", "quota")
-    last = F.coalesce("fine", "full")
-    return coarse.df.join(fine, "_g", "left").select("_g", _past(last).alias("bound"), "tie", "quota")
+def _bounds(keyed: DataFrame, quotas: PerGroup, first: DataFrame | None = None) -> DataFrame:
+    """``(_g, bound, tie, quota)``: take hashes below ``bound``, and ``quota`` of the rows hashed to ``tie``.
+
+    Digit by digit, ``PREFIX`` at a time, only the prefix in which a quota ends is looked at closer, until few enough
+    hashes are left there to rank them. ``first`` has the counts ``(_g, p, n)`` by the first digits, where they are known.
+    """
+    state, depth = quotas.like(quotas.df.selectExpr("_g", "quota AS rest", "'' AS edge", "CAST(NULL AS STRING) AS full")), PREFIX
+    while True:
+        open_ = state.having("edge")
+        if open_.is_empty() or depth > HASH_DIGITS:
+            break
+        if first is not None and depth == PREFIX:
+            counts = open_.attach(first, "rest")
+        else:
+            # Copies of a row collapse before they are ranked.
+            inside = open_.attach(keyed, "edge", "rest").where(F.col("_h").startswith(F.col("edge")))
+            counts = inside.groupBy("_g", "rest", F.substring("_h", 1, depth).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        found = _cut(counts, "p", "rest").toDF("_g", "found", "next", "left", "size")
+        # Where a level is looked at, it says all about the edge; elsewhere the state stays.
+        merged = state.df.select("_g", "rest", "edge", "full").join(found.withColumn("seen", F.lit(True)), "_g", "left")
+        last = F.coalesce("found", "full").alias("full")
+        state = state.like(merged.select("_g", F.when(F.col("seen"), F.col("left")).otherwise(F.col("rest")).alias("rest"),
+                                         F.when(F.col("seen"), F.col("next")).otherwise(F.col("edge")).alias("edge"), last, "size"))
+        if depth == HASH_DIGITS:
+            break
+        largest = state.df.agg(F.max("size")).first()[0] or 0
+        depth = HASH_DIGITS if largest <= RANKED else depth + PREFIX
+    return state.df.select("_g", _past(F.col("full")).alias("bound"), F.col("edge").alias("tie"), F.col("rest").alias("quota"))
 
 
 def _past(last: Column | str) -> Column:
@@ -181,12 +207,12 @@ def _copies(ties: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _take(df: DataFrame, columns: Sequence[str], quotas: PerGroup, hashes: Sequence[Column]) -> DataFrame:
+def _take(df: DataFrame, columns: Sequence[str], quotas: PerGroup, hashes: Sequence[Column], first: DataFrame | None = None) -> DataFrame:
     """``quota`` rows of each group ``_g`` by hash order; later hashes settle ties of earlier ones."""
     if not hashes:
         return _copies(quotas.attach(df, "quota"), columns)
     keyed = df.withColumn("_h", hashes[0])
-    bounds = quotas.like(_bounds(keyed.select("_g", "_h"), quotas))
+    bounds = quotas.like(_bounds(keyed.select("_g", "_h"), quotas, first))
     taken = bounds.attach(keyed, "bound").where(F.col("_h") < F.col("bound")).select(*map(col, columns))
     ties = bounds.having("tie")
     if ties.is_empty():
@@ -207,13 +233,17 @@ def sample(
 
     ``identity`` names the columns that identify a row (default: all that are not nested); the same rows are drawn
     however the data is partitioned. With ``by`` a group's share is rounded, so the total may differ from ``n``, and
-    rows without a group are left out. Up to three narrow jobs over identity and group find where each quota ends; the
-    sample itself is lazy. When the input is expensive to compute, pass it through ``plans.lineage.cut`` first.
+    rows without a group (NULL or NaN) are left out. Narrow jobs over identity and group find where each quota ends, two
+    for most tables; the sample itself is lazy. When the input is expensive to compute, pass it through ``plans.lineage.cut`` first.
     """
     identity = list(identity or identity_columns(df))
     group = (F.lit(0) if by is None else col(by)).alias("_g")
+    hashes, first = [row_hash(identity, seed)], None
     if by is None:
-        total = df.count()
+        # At most 65 536 counts; they tell the total as well.
+        prefixes = df.groupBy(F.lit(0).alias("_g"), F.substring(hashes[0], 1, PREFIX).alias("p")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+        total = pc.sum(prefixes["n"]).as_py() or 0
+        first = df.sparkSession.createDataFrame(prefixes) if total else None
         target = target_size(total, n, pct)
         whole = pa.table({"_g": pa.array([0], pa.int32()), "quota": pa.array([target], pa.int64())})
         quotas = PerGroup.held(df.sparkSession, whole) if target < total else None
@@ -221,7 +251,7 @@ def sample(
         quotas = _quotas(df, group, n, pct)
     if quotas is None:
         return df
-    hashes = [row_hash(identity, seed)]
     if set(identity) != set(df.columns):
-        hashes.append(F.lower(F.lpad(F.hex(F.xxhash64(*map(col, df.columns))), 16, "0")))
-    return _take(df.withColumn("_g", group), df.columns, quotas, hashes)
+        content = F.lower(F.lpad(F.hex(F.xxhash64(*map(col, df.columns))), 16, "0"))
+        hashes.append(F.rpad(content, HASH_DIGITS, "0"))
+    return _take(df.withColumn("_g", group), df.columns, quotas, hashes, first)

@@ -7,6 +7,7 @@ unpacked only for an export.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.names import Band, band_label, col, number_array, numeric_bands, q, scan_bands
 
-# How far a band may lie off the grid, and the default band range.
+# Fixed value: how far a band may lie off the grid.
 GRID_TOLERANCE = 0.001
-DEFAULT_RANGE = (0.0, 10000.0)
 
 
 @dataclass(frozen=True)
@@ -58,25 +58,29 @@ class SpectralFrame:
 
 
 def from_array(df: DataFrame, axis: Iterable[float], column: str = "spectrum") -> SpectralFrame:
-    """Adopt a table that already stores its spectra as arrays on a known ascending axis."""
+    """Adopt a table that already stores its spectra as arrays on a known ascending axis.
+
+    A spectrum with more or fewer values than the axis is an error when it is read; a NULL one is allowed.
+    """
     axis = tuple(float(v) for v in axis)
     if any(a >= b for a, b in zip(axis, axis[1:])):
         raise ValueError("the axis must ascend")
     others = [col(c) for c in df.columns if c != column]
-    df = df.select(*others, col(column).cast("array<double>").alias(column))
+    size = F.size(col(column))
+    wrong = F.raise_error(F.concat(F.lit(f"a spectrum has not {len(axis)} values but "), size.cast("string"))).cast("array<double>")
+    df = df.select(*others, F.when(size != len(axis), wrong).otherwise(col(column).cast("array<double>")).alias(column))
     return SpectralFrame(df, axis, tuple(band_label(v) for v in axis), column)
 
 
-def on_grid(value: float, lo: float, hi: float, step: float) -> bool:
-    """Inside the range, ends included, and on the absolute grid of multiples of ``step``."""
-    if not lo <= value <= hi:
+def wanted(value: float, lo: float | None, hi: float | None, step: float | None) -> bool:
+    """Whether a band is asked for: within the bounds given, and near a multiple of the step where one is given."""
+    if lo is not None and value < lo or hi is not None and value > hi:
         return False
-    rest = value % step
-    return rest < GRID_TOLERANCE or step - rest < GRID_TOLERANCE
+    return step is None or abs(math.remainder(value, step)) < GRID_TOLERANCE
 
 
-def thin_bands(bands: Iterable[Band], lo: float, hi: float, step: float) -> list[Band]:
-    return [band for band in bands if on_grid(band.value, lo, hi, step)]
+def thin_bands(bands: Iterable[Band], lo: float | None, hi: float | None, step: float | None) -> list[Band]:
+    return [band for band in bands if wanted(band.value, lo, hi, step)]
 
 
 def pack_bands(df: DataFrame, bands: Sequence[Band], keep: Sequence[str], column: str = "spectrum") -> SpectralFrame:
@@ -89,11 +93,13 @@ def pack_bands(df: DataFrame, bands: Sequence[Band], keep: Sequence[str], column
     return SpectralFrame(packed, tuple(band.value for band in bands), tuple(labels), column)
 
 
-def thin(spectra: DataFrame | SpectralFrame, keep: Sequence[str], lo: float, hi: float, step: float) -> SpectralFrame:
-    """Descriptive columns plus the bands on the grid, from a wide table or a packed one."""
+def thin(
+    spectra: DataFrame | SpectralFrame, keep: Sequence[str], lo: float | None = None, hi: float | None = None, step: float | None = None
+) -> SpectralFrame:
+    """Descriptive columns plus the bands asked for (default: all), from a wide table or a packed one."""
     if isinstance(spectra, SpectralFrame):
         kept = spectra.with_df(spectra.df.select(*map(col, keep), col(spectra.column)))
-        return kept.take([i for i, v in enumerate(kept.axis) if on_grid(v, lo, hi, step)])
+        return kept.take([i for i, v in enumerate(kept.axis) if wanted(v, lo, hi, step)])
     return pack_bands(spectra, thin_bands(scan_bands(spectra.columns), lo, hi, step), keep)
 
 

@@ -19,40 +19,57 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spectraloom.functions.names import col
 
-# How many candidates the frequent-items sketch returns, and how many it tracks meanwhile. It cannot miss a key
-# holding more than about 1/500 of the rows.
-CANDIDATES = 200
-TRACKED = 2_000
-
 # The column that numbers a row's cell, and joins on beside the key.
 CELL = "_cell"
 
 
 @dataclass(frozen=True)
 class SkewPolicy:
-    """A key is hot when it holds ``share`` of a table's rows and at least ``min_rows`` of them."""
+    """A key is hot when it holds more than ``partitions`` times the rows of an even shuffle partition, and ``min_rows``.
+
+    What counts is the partition a key makes, so the bound follows from the table's size and the number of partitions.
+    """
 
-    share: float = 0.01
+    partitions: float = 3.0
     min_rows: int = 100_000
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """Hot keys of each table with their share of its rows, and those of them that occur in all tables."""
+
+    by_table: Mapping[str, Mapping[object, float]]
+    matched: tuple = ()
+
+    def __bool__(self) -> bool:
+        return any(self.by_table.values())
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def frequent_keys(tables: Mapping[str, DataFrame], key: str, policy: SkewPolicy = SkewPolicy()) -> dict[str, dict]:
     """Hot keys of each table, NULL among them, with their share of its rows.
 
-    One job that scans the key columns, with a bounded sketch per task. Nothing depends on the sketch being exact: any
-    set of keys gives the same join result.
+    One job that scans the key columns, with a sketch per task whose size follows from the number of partitions: it tracks
+    ten times as many keys as can be hot, and cannot miss one. Nothing depends on the sketch being exact: any set of keys
+    gives the same join result.
     """
     hot: dict[str, dict] = {name: {} for name in tables}
     keys = [df.select(F.lit(name).alias("t"), col(key).alias("k")) for name, df in tables.items() if not df.isStreaming]
     if not keys:
         return hot
-    sketch = F.expr(f"approx_top_k(k, {CANDIDATES}, {TRACKED})")
+    share = policy.partitions / max(shuffle_partitions(next(iter(tables.values()))), 1)
+    candidates = min(100_000, math.ceil(1 / min(share, 1.0)) + 1)
+    sketch = F.expr(f"approx_top_k(k, {candidates}, {10 * candidates})")
     every = reduce(DataFrame.unionAll, keys)
     for found in every.groupBy("t").agg(F.count(F.lit(1)).alias("n"), sketch.alias("top")).collect():
-        least = max(policy.min_rows, policy.share * found.n)
+        least = max(policy.min_rows, share * found.n)
         hot[found.t] = {t["item"]: t["count"] / found.n for t in found.top if t["count"] >= least}
     return hot
 
@@ -68,16 +85,17 @@ def present_keys(tables: Sequence[DataFrame], key: str, wanted: Sequence[object]
 
 
 def add_salt(df: DataFrame, name: str, salts: int) -> DataFrame:
-    """A row's cell number, by its position in the input split, so that even exact copies are spread.
+    """A row's cell number, by a hash of its content, so that a row has the same one whenever it is computed again.
 
-    Call it on a scan, before any shuffle: a task that is run again reads the same split in the same order.
+    Exact copies of a row share a cell.
     """
-    return df.withColumn(name, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    hashable = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return df.withColumn(name, F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
 
 
 def salt_count(df: DataFrame, hot: Mapping[str, Mapping[object, float]]) -> int:
     """Cells per axis, so that a cell holds about as many rows as an ordinary shuffle partition."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = shuffle_partitions(df)
     cells = 2
     for key in {k for keys in hot.values() for k in keys}:
         shares = [keys[key] for keys in hot.values() if key in keys]

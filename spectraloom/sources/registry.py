@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ OVERVIEW_COLUMNS = (
     "url", "relevant_publication_1", "relevant_publication_2", "relevant_publication_3", "map_url",
 )
 
+#: Files whose schemas the driver holds at a time.
+SCHEMA_BATCH = 1000
 SCHEMA_ROW = "public_url string, columns array<string>, error string"
 
 
@@ -27,36 +30,76 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_overview(spark: SparkSession, path: str) -> DataFrame:
-    """The library overview; quoted fields may hold commas. An unreadable file gives an empty table."""
+    """The library overview; quoted fields may hold commas. No file gives an empty table, any other fault is raised."""
     schema = ", ".join(f"{c} string" for c in OVERVIEW_COLUMNS)
     try:
         return spark.read.schema(schema).csv(path, header=True, escape='"')
-    except Exception:  # a missing overview is no reason to stop
-        return spark.createDataFrame([], schema)
+    except AnalysisException as problem:
+        if not_found(problem):
+            return spark.createDataFrame([], schema)
+        raise
 
 
-def read_schemas(spark: SparkSession, urls: Iterable[str], threads: int = 16) -> DataFrame:
+def not_found(problem: AnalysisException) -> bool:
+    return problem.getCondition() == "PATH_NOT_FOUND"
+
+
+def first_line(problem: Exception) -> str:
+    """A message's first line, or the kind of fault where there is no message."""
+    return next(iter(str(problem).splitlines()), "") or type(problem).__name__
+
+
+def read_schemas(spark: SparkSession, urls: Iterable[str], threads: int = 16, batch: int = SCHEMA_BATCH, into: str | None = None) -> DataFrame:
     """Column names of each Parquet file, or why they could not be read.
 
-    Each read is a Spark job on one footer; a file that fails has NULL columns and its message, and the others go on.
+    Each read is a Spark job on one footer; a file that fails has NULL columns and its message, and the others go on. The
+    driver holds ``batch`` files at a time when ``into`` names a folder of Parquet files to collect them in; files read
+    there before are not read again.
     """
 
     def names(url: str) -> tuple[str, list[str] | None, str | None]:
         try:
             return url, spark.read.parquet(url).columns, None
-        except Exception as problem:
-            return url, None, str(problem).splitlines()[0]
+        except Exception as problem:  # noqa: BLE001: whatever is wrong with one file is reported with it
+            return url, None, first_line(problem)
 
+    urls = list(dict.fromkeys(urls))
+    if into is None:
+        with ThreadPoolExecutor(threads) as pool:
+            return spark.createDataFrame(list(pool.map(names, urls)), SCHEMA_ROW)
+    try:
+        known = {row[0] for row in spark.read.schema(SCHEMA_ROW).parquet(into).where("error is null").select("public_url").collect()}
+    except AnalysisException as problem:
+        if not not_found(problem):
+            raise
+        known = set()
+    new = [url for url in urls if url not in known]
     with ThreadPoolExecutor(threads) as pool:
-        found = list(pool.map(names, dict.fromkeys(urls)))
-    return spark.createDataFrame(found, SCHEMA_ROW)
+        for i in range(0, len(new), batch):
+            found = list(pool.map(names, new[i : i + batch]))
+            spark.createDataFrame(found, SCHEMA_ROW).coalesce(1).write.mode("append").parquet(into)
+    rows = spark.read.schema(SCHEMA_ROW).parquet(into) if urls else spark.createDataFrame([], SCHEMA_ROW)
+    # A file that failed once and was read later has two rows.
+    return rows.groupBy("public_url").agg(F.max("columns").alias("columns"), F.min("error").alias("error")).withColumn("error", F.when(F.col("columns").isNull(), F.col("error")))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored catalog (one JSON document per dataset), or None when there is none."""
-    from spectraloom.operators.catalog import DOCUMENT_SCHEMA
+    """A stored catalog, or None when there is none: one JSON document per dataset, or a single one with all by code.
+
+    Any other layout is an error.
+    """
+    from spectraloom.operators.catalog import DATASET_TYPE, DOCUMENT_SCHEMA
 
     try:
+        fields = {f.name for f in spark.read.json(path, multiLine=True, samplingRatio=1.0).schema.fields}
+    except AnalysisException as problem:
+        if not_found(problem):
+            return None
+        raise
+    if "dataset_code" in fields:
         return spark.read.schema(DOCUMENT_SCHEMA).json(path)
-    except Exception:
-        return None
+    if "datasets" not in fields:
+        raise ValueError(f"{path} holds no catalog: its fields are {sorted(fields)}")
+    whole = spark.read.schema(f"generated_at timestamp, datasets map<string, {DATASET_TYPE}>").json(path, multiLine=True)
+    each = whole.select("generated_at", F.explode("datasets").alias("dataset_code", "dataset"))
+    return each.select("dataset_code", "generated_at", "dataset.spectra_types", "dataset.files")

@@ -94,9 +94,9 @@ def read_spectra_csv(
     return spectra.with_df(spectra.df.select(*typed, col(spectra.column)))
 
 
-def save_bucketed(df: DataFrame, table: str, buckets: int, id_col: str = DEFAULT_ID) -> None:
+def save_bucketed(df: DataFrame, table: str, buckets: int, id_col: str = DEFAULT_ID, mode: str = "error") -> None:
     """Store a star table bucketed and sorted by its key: later extracts join it without a shuffle."""
-    df.write.bucketBy(buckets, id_col).sortBy(id_col).mode("overwrite").saveAsTable(table)
+    df.write.bucketBy(buckets, id_col).sortBy(id_col).mode(mode).saveAsTable(table)
 
 
 def register_views(star: Star) -> None:

@@ -9,7 +9,7 @@ from spectraloom.operators import catalog, checks, overview
 from spectraloom.operators.extract import Star
 from spectraloom.operators.filters import Between
 from spectraloom.sinks.files import write_catalog
-from spectraloom.sources.registry import OVERVIEW_COLUMNS, read_catalog, read_overview, read_registry, read_schemas
+from spectraloom.sources.registry import OVERVIEW_COLUMNS, first_line, read_catalog, read_overview, read_registry, read_schemas
 from spectraloom.sources.tables import column_names, read_csv_twin, read_star, register_views
 from tests import fixtures
 
@@ -53,7 +53,7 @@ def test_registry(spark, library):
     types = {r.dataset_code: r.spectra_types for r in catalog.available_types(registry).collect()}
     assert types == {"FULL": ["mir", "visnir"], "PART": ["nir"], "BAD": ["mir"]}
     complete = {r.dataset_code: r.complete for r in catalog.complete_datasets(registry).collect()}
-    assert complete == {"FULL": True, "PART": False, "BAD": False}
+    assert complete == {"FULL": True, "PART": False, "BAD": False, "NAMELESS": False}
 
 
 def test_schemas_isolate_failures(spark, library):
@@ -152,3 +152,33 @@ def test_checks(spark):
     assert steps == {"site": 7, "site_filtered": 7, "lab": 8, "lab_complete": 6, "spectra": 6, "spectra_filtered": 3}
     df, observed = checks.counted(soil_table(star, spec), "soil")
     assert df.groupBy(F.lit(1)).count().first()[1] == observed.get["rows"]
+
+
+def test_nested_catalog(spark, library, tmp_path):
+    """A single document with all datasets by code is written, and read like the lines."""
+    documents, _ = catalog.catalog_of(spark, str(library / "registry.csv"))
+    write_catalog(documents, str(tmp_path / "nested"), nested=True)
+    whole = json.loads("".join(p.read_text() for p in (tmp_path / "nested").glob("part-*")))
+    assert set(whole) == {"generated_at", "datasets"} and set(whole["datasets"]["FULL"]) == {"spectra_types", "files"}
+    (tmp_path / "pretty.json").write_text(json.dumps(whole, indent=2))
+    write_catalog(documents, str(tmp_path / "lines"))
+    lines = {r.dataset_code: (r.spectra_types, r.files) for r in read_catalog(spark, str(tmp_path / "lines")).collect()}
+    for path in ("nested", "pretty.json"):
+        assert {r.dataset_code: (r.spectra_types, r.files) for r in read_catalog(spark, str(tmp_path / path)).collect()} == lines
+    (tmp_path / "other.json").write_text('{"a": 1}')
+    with pytest.raises(ValueError, match="no catalog"):
+        read_catalog(spark, str(tmp_path / "other.json"))
+
+
+def test_schemas_in_batches(spark, library, tmp_path):
+    urls = [str(library / p) for p in ("mir", "broken", "soillab", "gone")]
+    kept = str(tmp_path / "schemas")
+    read_schemas(spark, urls[:2], batch=1, into=kept)
+    found = {r.public_url: r for r in read_schemas(spark, urls, batch=2, into=kept).collect()}
+    plain = {r.public_url: r for r in read_schemas(spark, urls).collect()}
+    assert {u: r["columns"] for u, r in found.items()} == {u: r["columns"] for u, r in plain.items()}
+    assert {u for u, r in found.items() if r.error} == {urls[1], urls[3]}
+
+
+def test_messages():
+    assert first_line(KeyError()) == "KeyError" and first_line(ValueError("a\nb")) == "a"

@@ -2,7 +2,8 @@ import pytest
 
 from spectraloom.functions.names import DEFAULT_ID
 from spectraloom.operators.filters import Among, Between, complete_cases, filter_site, filter_spectra
-from spectraloom.operators.levels import levels, site_levels
+from spectraloom.operators import levels as levels_module
+from spectraloom.operators.levels import level_counts, levels, site_levels
 from tests import fixtures
 
 
@@ -74,3 +75,15 @@ def test_levels_are_sorted_and_limited(spark):
     first = {r.level for r in levels(many, ["many_id"], 500).collect()}
     assert first == set(sorted(str(i) for i in range(2000))[:500])
     assert levels(many, [], 5).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 3, 40])
+def test_first_levels_without_one_task(spark, monkeypatch, limit):
+    """The way for large limits gives the same levels as the one for small limits."""
+    df = spark.range(300).selectExpr("string(id % 37) AS a_txt", "id % 5 AS b_code", "cast(null as string) AS c_txt")
+    small = sorted(map(tuple, levels(df, ["a_txt", "b_code", "c_txt"], limit).collect()))
+    monkeypatch.setattr(levels_module, "GROUP_LIMIT", 0)
+    assert sorted(map(tuple, levels(df, ["a_txt", "b_code", "c_txt"], limit).collect())) == small
+    every = [("a_txt", str(i)) for i in sorted(map(str, range(37)))[:limit]] + [("b_code", str(i)) for i in range(5)][:limit]
+    assert small == sorted(every)
+    assert {r.column: r.levels for r in level_counts(df, ["a_txt", "b_code", "c_txt"]).collect()} == {"a_txt": 37, "b_code": 5}

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spectraloom.functions.expressions import round_half_even
+from spectraloom.operators import profile
 from spectraloom.operators.profile import band_profile, numeric_columns, preview, profile_extent, summary_stats
 from spectraloom.operators.spectra import from_array
 from tests import fixtures
@@ -54,10 +55,10 @@ def test_summary_equals_pandas(spark, random_frame):
     compare(spark, random_frame)
 
 
-@pytest.mark.parametrize("accuracy", [50, 200])
-def test_summary_with_brackets_equals_pandas(spark, random_frame, accuracy):
+@pytest.mark.parametrize("ranked", [5, 50, 200])
+def test_summary_with_brackets_equals_pandas(spark, random_frame, ranked):
     """A coarse sketch: the quartiles are found inside brackets, as in large tables."""
-    compare(spark, random_frame, accuracy=accuracy)
+    compare(spark, random_frame, ranked=ranked)
 
 
 def test_quartiles_are_found_in_parallel(spark, random_frame):
@@ -72,7 +73,7 @@ def test_summary_of_nothing(spark):
     empty = spark.createDataFrame([], "a double, b int")
     found = summary_stats(empty, ["b", "a"]).collect()
     assert [(r.property, r["count"], r.median) for r in found] == [("b", 0, None), ("a", 0, None)]
-    with pytest.raises(ValueError, match="not numeric"):
+    with pytest.raises(ValueError, match="no numbers"):
         summary_stats(fixtures.lab(spark), ["method_txt"])
 
 
@@ -120,3 +121,27 @@ def test_preview(spark):
     found = preview(df, order_by="id")
     assert found.count() == 10 and len(found.columns) == 10
     assert found.collect()[1]["a"] == 0.14286
+
+
+def test_what_is_ranked_stays_bounded(spark):
+    """However many values there are, no more than the bound of distinct ones enter a window, and quartiles stay exact."""
+    for n in (2_000, 200_000):
+        values = spark.range(n).selectExpr("0 AS property", "double(pmod(xxhash64(id), 1000000007)) AS value")
+        moments = profile._moments(values)
+        brackets = profile._targets(values, moments, ranked=50)[0]
+        inside = [values.where((F.col("value") >= lo) & (F.col("value") <= hi)).distinct().count() for lo, hi in brackets]
+        assert len(brackets) <= 6 and max(inside) <= 50
+        table = values.select("value")
+        found = summary_stats(table, ["value"], ranked=50).first()
+        frame = table.toPandas()["value"]
+        assert found.median == round(frame.median(), 4) and found.iqr == round(frame.quantile(0.75) - frame.quantile(0.25), 4)
+
+
+def test_quartiles_of_extreme_values(spark):
+    big = 1.7e308
+    rows = [(float(v),) for v in [float("-inf"), -big, -1e-300, 0.0, 1e-300, 1.0, big, big, float("inf")] * 3]
+    values = spark.createDataFrame(rows, "value double").selectExpr("0 AS property", "value")
+    brackets = profile._targets(values, profile._moments(values), ranked=1)[0]
+    assert [lo for lo, hi in brackets if lo == hi] == [lo for lo, _ in brackets]
+    ordered = sorted(v for (v,) in rows)
+    assert {ordered[r] for q in (0.25, 0.5, 0.75) for r in (math.floor(q * 26), math.ceil(q * 26))} == {lo for lo, _ in brackets}

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from spectraloom.functions.names import DEFAULT_ID, scan_bands
 from spectraloom.operators.resample import plan_axis, report, resample, resample_table, target_axis
-from spectraloom.operators.spectra import from_array, on_grid, pack_bands, split_roles
+from spectraloom.operators.spectra import from_array, pack_bands, split_roles, wanted
 from spectraloom.sinks.files import csv_name, write_csv, write_parquet
 from spectraloom.sources.tables import csv_header, read_spectra_csv
 from spectraloom.streaming.uploads import resample_arrivals
@@ -77,13 +77,13 @@ def test_no_shuffle_no_python(spark, sf_dir):
 
 
 def test_absolute_grid():
-    assert [v for v in (599, 600, 601.9995, 602.0005, 601, 640, 641) if on_grid(v, 600, 640, 2)] == [600, 601.9995, 602.0005, 640]
+    assert [v for v in (599, 600, 601.9995, 602.0005, 601, 640, 641) if wanted(v, 600, 640, 2)] == [600, 601.9995, 602.0005, 640]
 
 
 def test_thinning_packed_equals_thinning_columns(spark):
     spectra = fixtures.spectra(spark)
     every = scan_bands(spectra.columns)
-    keep = [i for i, b in enumerate(every) if on_grid(b.value, 600, 640, 10)]
+    keep = [i for i, b in enumerate(every) if wanted(b.value, 600, 640, 10)]
     packed = pack_bands(spectra, every, [DEFAULT_ID]).take(keep)
     columns = pack_bands(spectra, [every[i] for i in keep], [DEFAULT_ID])
     assert packed.labels == columns.labels
@@ -193,3 +193,11 @@ def test_uploads_are_resampled_once_each(spark, tmp_path):
     resample_arrivals(*args).awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out")).orderBy("sample").collect()
     assert [(r.sample, r.spectrum) for r in found] == [("a", [1.0, 1.5, 2.0]), ("b", [3.0, None, None])]
+
+
+def test_kept_columns_of_a_table(spark, tmp_path):
+    df = spark.createDataFrame([("x", 2.0, 1.0, "y")], "a string, `402` double, `400` double, b string")
+    write_csv(df, str(tmp_path / "some.csv"), keep=["a"], single_file=True)
+    assert spark.read.csv(str(tmp_path / "some.csv"), header=True).columns == ["a", "400", "402"]
+    with pytest.raises(Exception, match="already exists"):
+        write_csv(df, str(tmp_path / "some.csv"))

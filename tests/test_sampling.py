@@ -1,4 +1,5 @@
 import hashlib
+from fractions import Fraction
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -7,7 +8,6 @@ from pyspark.sql import functions as F
 
 from spectraloom.operators import sampling
 from spectraloom.operators.sampling import group_choices, sample, target_size
-from spectraloom.plans.skew import SkewPolicy
 
 
 @pytest.fixture(scope="module")
@@ -71,7 +71,8 @@ def test_stratified(table, target):
 def test_stratified_by_many_groups(table, monkeypatch):
     """Beyond the broadcast limit the bounds are checkpointed and joined, with a hot group split."""
     monkeypatch.setattr(sampling, "BROADCAST_GROUPS", 2)
-    monkeypatch.setattr(sampling, "HOT", SkewPolicy(share=0.2, min_rows=100))
+    monkeypatch.setattr(sampling, "HOT_SHARE", 0.2)
+    monkeypatch.setattr(sampling, "HOT_ROWS", 100)
     assert ids(sample(table, n=500, by="group_c", identity=["id"])) == stratified_wanted(table, 500)
 
 
@@ -116,3 +117,31 @@ def test_plain_sample_is_one_scan(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/customer.parquet")
     plan = sample(df, n=20, identity=["c_custkey"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_shares_are_exact_whole_numbers(spark):
+    """Products beyond 64 bits, and halves rounded to the even number."""
+    target, total = 4_000_000_000, 10_000_000_001
+    sizes = [5_000_000_000, 5_000_000_001, 1]
+    found = spark.createDataFrame([(s,) for s in sizes], "size long").select(sampling._share(target, total).alias("q")).collect()
+    assert [r.q for r in found] == [max(1, round(Fraction(target * s, total))) for s in sizes]
+    halves = spark.createDataFrame([(1,), (3,), (5,), (7,)], "size long").select(sampling._share(1, 2).alias("q")).collect()
+    assert [r.q for r in halves] == [1, 2, 2, 4]
+
+
+def test_nan_is_no_group(spark):
+    rows = [(i, float("nan") if i % 3 == 0 else float(i % 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g double")
+    assert {r.g for r in sample(df, pct=20, by="g").collect()} == {1.0, 2.0}
+
+
+@pytest.mark.parametrize("by", [None, "group_c"])
+@pytest.mark.parametrize("many", [False, True])
+def test_few_hashes_are_ranked(table, monkeypatch, by, many):
+    """Prefixes are refined until few hashes are left; the sample is the same."""
+    wanted = ids(sample(table, n=321, by=by, identity=["id"]))
+    monkeypatch.setattr(sampling, "PREFIX", 1)
+    monkeypatch.setattr(sampling, "RANKED", 3)
+    if many:
+        monkeypatch.setattr(sampling, "BROADCAST_GROUPS", 1)
+    assert ids(sample(table, n=321, by=by, identity=["id"])) == wanted
