@@ -1,0 +1,116 @@
+import random
+from functools import reduce
+
+import numpy as np
+import pytest
+import xxhash
+
+from spectraloom.llm import simhash
+from spectraloom.llm.queries import op6_simhash
+
+
+def fingerprint(text):
+    """Shingle by shingle, bit by bit."""
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = reduce(lambda parts, c: [p for part in parts for p in part.split(c)], " \t\n\v\f\r", [words])
+    words = [w for w in words if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(prints, max_bits=2):
+    """Smallest reachable index by linking all pairs."""
+    parent = list(range(len(prints)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= max_bits:
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(prints))]
+
+
+def test_query_equals_brute_force(spark, sf_dir, documents):
+    rows = sorted((r.doc_id, r.text) for r in documents.collect())
+    prints = [fingerprint(t) for _, t in rows]
+    wanted = [(d, f"{p:016x}", rows[c][0]) for (d, _), p, c in zip(rows, prints, components(prints))]
+    assert sorted(map(tuple, op6_simhash(spark, sf_dir).collect())) == wanted
+
+
+@pytest.mark.parametrize("text", ["", " \t\n", "One", "a b", "a b c", "É A\x1cB  c d a b c a b c", "x " * 250_001])
+def test_fingerprints(text):
+    assert simhash.simhash(text.encode()) == fingerprint(text)
+
+
+def signed(p):
+    return p - (1 << 64) if p >> 63 else p
+
+
+def close_prints(seed, clouds, size, spread):
+    """Clouds of fingerprints few bits apart, in which chains form."""
+    choice, prints = random.Random(seed), set()
+    for _ in range(clouds):
+        at = choice.getrandbits(64)
+        for _ in range(size):
+            prints.add(at)
+            at ^= reduce(lambda a, b: a | 1 << b, choice.sample(range(64), choice.randint(1, spread)), 0)
+    return sorted(prints, key=signed)
+
+
+@pytest.mark.parametrize(
+    ("max_bits", "dense", "parts"),
+    [(2, 32, None), (2, 2, None), (2, 2, [(list(range(32)), 1), (list(range(32, 64)), 0)]), (1, 2, None), (3, 1, None), (0, 4, None)],
+)
+def test_links_equal_brute_force(spark, max_bits, dense, parts):
+    """Pairs in buckets and stars around middles, equal and unequal thresholds: the same components as all pairs."""
+    prints = close_prints(max_bits, 6, 15, 3)
+    df = spark.createDataFrame([(signed(p),) for p in prints], "print long")
+    edges = simhash.links(df, max_bits, dense, parts)
+    assert all((int(r.a) ^ int(r.b)).bit_count() <= max_bits or ((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= max_bits for r in edges.collect())
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    found = [prints.index(roots.get(signed(p), signed(p)) & (1 << 64) - 1) for p in prints]
+    assert found == components(prints, max_bits)
+
+
+def test_long_chains(spark):
+    chain = [(i, i + 1) for i in range(200)] + [(1000, 1001)]
+    random.Random(1).shuffle(chain)
+    found = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000}
+
+
+def test_thresholds_are_the_cheapest():
+    costs = [[0, 5, 9, 20], [0, 1, 2, 3], [0, 50, 60, 70]]
+    assert simhash.allocate(costs, 2) == [-1, 2, -1]
+    assert simhash.allocate([[0, 1, 100, 1000]] * 3, 2) == [0, 0, 0]
+
+
+def test_correlated_bits_share_a_part():
+    choice = np.random.default_rng(3)
+    bits = choice.integers(0, 2, (500, 64))
+    bits[:, 40] = bits[:, 3]
+    bits[:, 50] = 1 - bits[:, 3]
+    parts = simhash.correlated_parts(500, bits.T @ bits, 3)
+    assert sorted(b for p in parts for b in p) == list(range(64))
+    assert any({3, 40, 50} <= set(p) for p in parts)
+
+
+def test_odd_tables(spark, odd_documents):
+    found = simhash.simhash_groups(odd_documents).collect()
+    assert len(found) == odd_documents.count()
+    groups = {r.doc_id: r.component_id for r in found if r.doc_id}
+    # NULL, empty and blank texts have fingerprint zero, and so one group
+    assert groups[1] == 1 and groups[2] == groups[3] == groups[4] == 2
+    assert {r.component_id for r in found if r.doc_id is None} == {None}
+    kept = simhash.keep_one(odd_documents)
+    assert kept.columns == odd_documents.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 6, 7]
+    assert simhash.simhash_groups(odd_documents.limit(0)).collect() == simhash.keep_one(odd_documents.limit(0)).collect() == []
