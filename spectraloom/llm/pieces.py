@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.units import Lists, UnitTable, between, blocks, grown
+from spectraloom.llm.units import Lists, UnitTable, between, blocks, grown, kept
 
 N = 3
 #: Ids remembered for known units; beyond that all are forgotten.
-KNOWN_IDS = 8_000_000
+KNOWN_IDS = 6_000_000
 #: No UTF-8 text has this byte.
 SEPARATOR = b"\xff"
 #: What a character without a piece costs more than the least piece.
@@ -39,8 +39,6 @@ Segmentation = tuple[float, list[int]]
 class Pieces:
     """The pieces of a model file, and the units' segmentations found so far."""
 
-    known: dict[tuple[str, int], Pieces] = {}
-
     def __init__(self, path: str, n: int = N):
         from sentencepiece import SentencePieceProcessor
 
@@ -59,20 +57,18 @@ class Pieces:
             data = piece.encode()
             joined[list(data[:-1]), list(data[1:])] = True
         joined[0xFF, :] = joined[:, 0xFF] = False
-        self.units, self.best = UnitTable(between(joined), self.learn), Lists()
+        self.units, self.lists = UnitTable(between(joined), self.learn), Lists()
         self.forget()
 
     @classmethod
     def of(cls, path: str, n: int) -> Pieces:
-        if (path, n) not in cls.known:
-            cls.known[path, n] = cls(path, n)
-        return cls.known[path, n]
+        return kept((cls, path, n), lambda: cls(path, n))
 
     def forget(self) -> None:
         self.units.forget()
-        self.best.clear()
-        # By unit: the best score, how far the second best is from it, and all but the best.
-        self.tops, self.gaps, self.others = np.zeros(1 << 14), np.zeros(1 << 14), {}
+        self.lists.clear()
+        # By unit the n best scores, -inf where there are fewer; their ids are the lists n * unit, n * unit + 1, ...
+        self.scored = np.zeros((1 << 14, self.n))
 
     # ---- one lattice ----------------------------------------------------------------------------------------------
 
@@ -133,11 +129,10 @@ class Pieces:
 
     def learn(self, units: list[bytes]) -> np.ndarray:
         found = [[(0.0, [])] if u == SEPARATOR else self.search(u.decode(), self.n) for u in units]
-        numbers = self.best.add([f[0][1] for f in found])
-        self.tops, self.gaps = grown(self.tops, self.best.size), grown(self.gaps, self.best.size)
-        self.tops[numbers] = [f[0][0] for f in found]
-        self.gaps[numbers] = [f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found]
-        self.others.update((k, f[1:]) for k, f in zip(numbers.tolist(), found) if len(f) > 1)
+        found = [f + [(-np.inf, [])] * (self.n - len(f)) for f in found]
+        numbers = self.lists.add([ids for f in found for _, ids in f])[:: self.n] // self.n
+        self.scored = grown(self.scored, self.lists.size // self.n)
+        self.scored[numbers] = [[score for score, _ in f] for f in found]
         return numbers
 
     def normalized(self, text: str) -> str:
@@ -146,11 +141,11 @@ class Pieces:
     def encode(self, texts: list[str]) -> Iterator[list[tuple[float, np.ndarray]]]:
         """For each text its best segmentations: scores and ids."""
         for data, begins in blocks(pa.array([self.normalized(t) for t in texts], pa.string()), separator=SEPARATOR):
-            if self.best.filled > KNOWN_IDS:
+            if self.lists.filled > KNOWN_IDS:
                 self.forget()
             starts, ends = self.units.split(data)
             numbers = self.units.numbers(data, starts, ends)
-            ids, after = self.best.joined(numbers)
+            ids, after = self.lists.joined(numbers * self.n)
             after = np.append(0, after)
             stops = np.append(begins[1:] - 1, len(data))
             for a, b in zip(np.searchsorted(starts, begins).tolist(), np.searchsorted(starts, stops).tolist()):
@@ -159,21 +154,22 @@ class Pieces:
 
     def ranked(self, units: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> list[tuple[float, np.ndarray]]:
         """The best segmentations of a text from those of its units."""
-        gaps, few = self.gaps[units], self.n - 1
+        scores, few = self.scored[units], self.n - 1
+        gaps = scores[:, 0] - scores[:, 1] if few else np.zeros(0)
         nearest = np.argpartition(gaps, few - 1)[:few] if 0 < few < len(gaps) else np.arange(len(gaps) if few else 0)
         nearest = sorted((k for k in nearest.tolist() if gaps[k] < np.inf), key=lambda k: (gaps[k], k))
         lost: list[tuple[float, tuple]] = [(0.0, ())]
         for k in nearest:
-            top, others = self.tops[units[k]], self.others[int(units[k])]
-            more = [(loss + top - score, (*changes, (k, j))) for loss, changes in lost for j, (score, _) in enumerate(others)]
+            own = [(j, s) for j, s in enumerate(scores[k].tolist()) if j and s > -np.inf]
+            more = [(loss + scores[k, 0] - s, (*changes, (k, j))) for loss, changes in lost for j, s in own]
             lost = sorted([*lost, *more])[: self.n]
-        best = float(self.tops[units].sum())
+        best = float(scores[:, 0].sum())
         return [(best - loss, self.changed(units, ids, bounds, changes)) for loss, changes in lost]
 
     def changed(self, units: np.ndarray, ids: np.ndarray, bounds: np.ndarray, changes: tuple) -> np.ndarray:
         parts, at = [], 0
         for k, j in sorted(changes):
-            parts += [ids[at : bounds[k]], np.array(self.others[int(units[k])][j][1], ids.dtype)]
+            parts += [ids[at : bounds[k]], self.lists.joined(units[k : k + 1] * self.n + j)[0]]
             at = bounds[k + 1]
         return np.concatenate([*parts, ids[at:]]) if changes else ids
 
