@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.llm import langid, packing, secrets, simhash, toxicity
-from spectraloom.llm.common import fresh
+from spectraloom.llm.common import fresh, small_batches
 from spectraloom.llm.queries import tokenizer_path
 from spectraloom.plans.lineage import shared_folder
 
@@ -23,6 +23,7 @@ TOXIC = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told. Texts without letters go; where no document says its language, only they."""
+    small_batches(spark)
     model = langid.learn_languages(langid.taught(docs))
     if not model.languages:
         return docs.where(F.col("text").rlike("\\p{L}"))
@@ -34,6 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, does not call toxic."""
+    small_batches(spark)
     net = toxicity.learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = fresh(docs, "score")
     return docs.withColumn(score, toxicity.scored(F.col("text"), net, docs)).where(F.col(score) < TOXIC).drop(score)
@@ -41,6 +43,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -51,6 +54,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What a Python task gets at a time: a bounded number of bytes, whatever the length of the texts.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Set the session's Arrow batches to a size that leaves Python workers room."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def remainder(key: Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo ``divisor``; NULL for a NULL key."""
     return F.crc32(key.cast("string")) % divisor

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import remainder
-from spectraloom.llm.units import SPACE, UnitTable, blocks, by_classes, byte_classes, grown
+from spectraloom.llm.units import SPACE, UnitTable, blocks, by_classes, byte_classes, grown, kept
 
 #: About so many documents of each language are learned from.
 SAMPLE = 2000
@@ -34,7 +34,7 @@ UNKNOWN = "und"
 #: Added to every count.
 SMOOTHING = 0.1
 #: Units remembered by a task.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -52,7 +52,7 @@ class LanguageModel:
 
     languages: list[str] = field(default_factory=list)
     words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=list)
+    grams: list[dict[str, np.ndarray]] = field(default_factory=lambda: [{} for _ in range(LONGEST_GRAM)])
 
     @classmethod
     def of(cls, counts: dict[str, Counter]) -> LanguageModel:
@@ -110,6 +110,10 @@ class Scorer:
         self.units = UnitTable(by_classes(word_classes()), self.learn)
         self.forget()
 
+    @classmethod
+    def of(cls, model: LanguageModel) -> Scorer:
+        return kept((cls, id(model)), lambda: cls(model))
+
     def forget(self) -> None:
         self.units.forget()
         self.rows, self.known = np.zeros((1 << 12, len(self.model.languages) + 1)), 0
@@ -179,7 +183,7 @@ def predicted(text: Column, model: LanguageModel, docs: DataFrame) -> Column:
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer.of(sent.value)
         for texts in batches:
             names, score = verdicts(scorer.model, scorer.sums(texts))
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score)], names=["lang_pred", "score"])

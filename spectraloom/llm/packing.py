@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from spectraloom.llm.units import Lists, UnitTable, blocks, by_classes, byte_classes
+from spectraloom.llm.units import Lists, UnitTable, blocks, by_classes, byte_classes, kept
 
 WINDOW = 2048
 END_ID = 1
@@ -32,7 +32,7 @@ GROUP_TOKENS = 8_000_000
 SLACK = 16
 
 #: Ids remembered for known units; beyond that all are forgotten.
-KNOWN_IDS = 8_000_000
+KNOWN_IDS = 4_000_000
 
 
 class WordTokenizer:
@@ -42,8 +42,6 @@ class WordTokenizer:
     between such places are encoded once (``units``).
     """
 
-    known: dict[str, WordTokenizer] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -54,9 +52,7 @@ class WordTokenizer:
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
-        if path not in cls.known:
-            cls.known[path] = cls(path)
-        return cls.known[path]
+        return kept((cls, path), lambda: cls(path))
 
     def forget(self) -> None:
         self.units.forget()

@@ -1,4 +1,4 @@
-"""Registered queries of the operators, and the SQL of those that SQL can express.
+"""Registered queries of the operators; ``SQL`` states those that SQL can express.
 
 Each query applies its operator with production parameters to whole tables and derives the columns of its contract.
 """
@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.llm import ctph, langid, packing, pieces, pii, secrets, simhash, topk, toxicity, warc
-from spectraloom.llm.common import remainder
+from spectraloom.llm.common import remainder, small_batches
+from spectraloom.llm.sql import SQL  # noqa: F401
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def tokenizer_path(name: str) -> str:
@@ -110,5 +111,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
-
-SQL: dict[str, str] = {}

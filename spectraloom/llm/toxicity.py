@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.llm.common import remainder
 from spectraloom.llm.langid import letters, word_classes
-from spectraloom.llm.units import UnitTable, blocks, by_classes, grown
+from spectraloom.llm.units import UnitTable, blocks, by_classes, grown, kept
 
 #: About so many labelled documents of each label are learned from.
 SAMPLE = 3000
@@ -42,7 +42,7 @@ ENDINGS = (4,)
 CALIBRATION = 5
 #: A language with fewer toxic documents there shares the common threshold.
 LEAST_TOXIC = 20
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Words convolved together, to bound memory on long texts.
 STRETCH = 200_000
 
@@ -260,6 +260,10 @@ class Scorer:
         self.units = UnitTable(by_classes(word_classes()), self.learn)
         self.forget()
 
+    @classmethod
+    def of(cls, net: ConvNet) -> Scorer:
+        return kept((cls, id(net)), lambda: cls(net))
+
     def forget(self) -> None:
         self.units.forget()
         self.vectors, self.guesses, self.known = np.zeros((1 << 12, DIMENSIONS)), np.zeros(1 << 12, np.int64), 0
@@ -332,7 +336,7 @@ def scored(text: Column, net: ConvNet, docs: DataFrame) -> Column:
 
     @F.arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer(sent.value)
+        scorer = Scorer.of(sent.value)
         for texts in batches:
             yield pa.array(list(scorer.scores(texts)), pa.float64())
 

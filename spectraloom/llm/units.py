@@ -8,6 +8,7 @@ Keys hold the whole word, so no two words are ever mixed up.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -70,14 +71,14 @@ def between(joined: np.ndarray) -> Callable[[bytes], Spans]:
 class UnitTable:
     """Numbers of units. ``learn`` gets new units and returns their numbers."""
 
-    def __init__(self, split: Callable[[bytes], Spans], learn: Callable[[list[bytes]], np.ndarray], slots: int = 1 << 21, long_units: int = 200_000):
+    def __init__(self, split: Callable[[bytes], Spans], learn: Callable[[list[bytes]], np.ndarray], slots: int = 1 << 20, long_units: int = 50_000):
         self.split, self.learn, self.slots, self.long_units = split, learn, slots, long_units
         self.masks = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
         self.forget()
 
     def forget(self) -> None:
         self.keys = [np.zeros(self.slots, np.uint64) for _ in range(3)]
-        self.number = np.zeros(self.slots, np.int64)
+        self.number = np.zeros(self.slots, np.int32)
         self.long: dict[bytes, int] = {}
 
     def numbers(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -92,7 +93,7 @@ class UnitTable:
         known = size <= SHORT
         for mine, theirs in zip(self.keys, keys):
             known &= mine[place] == theirs
-        result = self.number[place]
+        result = self.number[place].astype(np.int64)
         missing = np.flatnonzero(~known)
         if len(missing):
             units = [data[a:b] for a, b in zip(starts[missing].tolist(), ends[missing].tolist())]
@@ -114,6 +115,18 @@ class UnitTable:
         return result
 
 
+KEPT: list[tuple] = []
+
+
+def kept(key: tuple, make: Callable):
+    """What ``make`` made for this key in this Python worker. Only the latest is kept, which bounds a worker's memory."""
+    if not KEPT or KEPT[0][0] != key:
+        KEPT.clear()
+        gc.collect()  # tables and their owners refer to each other
+        KEPT.append((key, make()))
+    return KEPT[0][1]
+
+
 class Lists:
     """Lists of small numbers, one after another."""
 
@@ -153,7 +166,8 @@ def grown(array: np.ndarray, size: int) -> np.ndarray:
 def blocks(texts: pa.Array, size: int = BLOCK, separator: bytes = b"\n") -> Iterator[tuple[bytes, np.ndarray]]:
     """Texts (NULL: empty) joined to blocks of about ``size`` bytes, and where each one begins."""
     joined, begins, at = [], [], 0
-    for text in texts.cast(pa.binary()).to_pylist():
+    few = (texts.slice(i, 100).cast(pa.binary()).to_pylist() for i in range(0, len(texts), 100))
+    for text in chain.from_iterable(few):
         text = text or b""
         joined.append(text)
         begins.append(at)

@@ -1,0 +1,94 @@
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from spectraloom.llm import warc
+from spectraloom.llm.queries import capture_records
+
+SCHEMA = "record_id long, kind string, url string, at timestamp, status int, headers map<string,string>, digest string, found string"
+START = datetime(2024, 1, 1)
+
+
+def when(seconds):
+    return START + timedelta(seconds=seconds)
+
+
+def brute(rows):
+    """Each revisit against all responses of its URL. Rows have canonical URLs and lower-case headers."""
+    found = {}
+    for record, kind, url, at, _, headers, *_ in rows:
+        if kind != "revisit":
+            continue
+        earlier = [r for r in rows if r[1] == "response" and r[4] == 200 and r[2] == url and None not in (url, at, r[3]) and r[3] < at]
+        if not earlier:
+            found[record] = ("missing", None, None, None)
+            continue
+        last, own = max(earlier, key=lambda r: (r[3], r[0])), headers or {}
+        theirs = last[5] or {}
+        key = "etag" if "etag" in own and "etag" in theirs else "last-modified"
+        if key not in own or key not in theirs:
+            outcome = "unchecked"
+        else:
+            outcome = "resolved" if own[key].removeprefix("W/") == theirs[key].removeprefix("W/") else "mismatch"
+        merged = theirs | {k: v for k, v in own.items() if k not in warc.KEPT_HEADERS}
+        found[record] = (outcome, None, None, None) if outcome == "mismatch" else (outcome, last[0], merged, last[6])
+    return found
+
+
+def generated(count, seed=0):
+    choice, rows = random.Random(seed), []
+    for i in range(count):
+        url = choice.choice(["http://hot", "http://hot", "http://a/x", "http://b/y"]) if choice.random() > 0.03 else None
+        headers = {k: v for k, v in [("etag", choice.choice(['"1"', 'W/"1"', '"2"'])), ("last-modified", choice.choice("mn")), ("server", str(i)), ("content-length", "9")] if choice.random() < 0.6}
+        kind = choice.choice(["response", "revisit", "revisit", "request"])
+        rows.append((i, kind, url, when(choice.randrange(count)) if choice.random() > 0.03 else None, choice.choice([200, 200, 200, 404, None]), headers if choice.random() > 0.1 else None, f"d{i}", "f"))
+    return rows
+
+
+@pytest.mark.parametrize("crowded", [20_000, 30, 4])
+def test_equals_brute_force(spark, crowded):
+    rows = generated(400)
+    found = warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA).repartition(3), crowded).collect()
+    assert {r.record_id: (r.outcome, r.refers_to, r.headers, r.digest) for r in found} == brute(rows)
+    assert len(found) == sum(r[1] == "revisit" for r in rows)
+
+
+def test_canonical_urls(spark):
+    urls = {
+        "HTTPS://user:pw@WWW.Example.COM:443/a//b/?b=2&a=1&utm_source=x#top": "http://example.com/a/b?a=1&b=2", "http://example.com": "http://example.com",
+        "http://example.com:8080/A/": "http://example.com:8080/A", " http://e.com/?PHPSESSID=1 ": "http://e.com", "ftp://X/y": "ftp://x/y", "": "", None: None,
+        "http://e.com./p?&&q": "http://e.com/p?q",
+    }
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert {r.url: r.c for r in df.select("url", warc.canonical_url(F.col("url")).alias("c")).collect()} == urls
+
+
+def test_header_names_ignore_case(spark):
+    rows = [(1, "response", "http://a", when(0), 200, {"ETag": "x", "Server": "s"}, "d", ""), (2, "revisit", "http://A", when(1), 304, {"eTAG": "W/x", "SERVER": "t", "Content-Length": "0"}, None, "")]
+    (row,) = warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert row.outcome == "resolved" and row.headers == {"etag": "W/x", "server": "t"} and row.digest == "d"
+
+
+def test_stretches_are_bounded_and_ordered(spark):
+    rows = [(i, "response", "http://hot", when(i % 977), 200, None, None, "") for i in range(3000)]
+    known = spark.createDataFrame(rows, SCHEMA).withColumn("at", F.unix_micros("at"))
+    found = warc.stretches(known, 200).groupBy("stretch").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("stretch").collect()
+    assert max(r.n for r in found) <= 200 and sum(r.n for r in found) == 3000
+    assert all(a.hi < b.lo for a, b in zip(found, found[1:]))
+
+
+def test_nothing(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert warc.resolve_revisits(empty).collect() == []
+
+
+def test_derived_records(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    records = capture_records(pages)
+    rows = [(r.record_id, r.kind, r.url, r.at, r.status, {k.lower(): v for k, v in r.headers.items()}, r.digest)
+            for r in records.withColumn("url", warc.canonical_url(F.col("url"))).collect()]
+    found = warc.resolve_revisits(records, crowded=10).collect()
+    assert {r.record_id: (r.outcome, r.refers_to, r.headers, r.digest) for r in found} == brute(rows)
+    assert {r.outcome for r in found} == {"resolved", "mismatch", "unchecked", "missing"}
