@@ -4,8 +4,8 @@ A revisit record (status 304) has no body: it says that a page is as it was. It
 earlier full response of the same canonical URL, whose validators must agree with the revisit's. The result has the response's
 headers, updated by those a 304 may change, and refers to the response's body, which stays where it is.
 
-The join is one ordered pass over the records of a URL. A URL with more than ``CROWDED`` records is cut into stretches of
-time first; each stretch is passed on its own and begins with the last response of the stretches before, so no task gets
+The join is one ordered pass over the records of a URL. A URL with more records than two even shuffle partitions (and than
+``CROWDED``) is cut into stretches of time first; each stretch is passed on its own and begins with the last response of the stretches before, so no task gets
 all records of a frequent URL.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from spectraloom.plans.lineage import cut
 
-#: A URL with more records than this is passed in stretches of about half as many.
-CROWDED = 20_000
+#: URLs with no more records than this are passed in one go.
+CROWDED = 500
 
 # Headers that describe the transfer or the body of one message, and stay those of the stored response.
 KEPT_HEADERS = (
@@ -96,20 +96,22 @@ def stretches(records: DataFrame, crowded: int) -> DataFrame:
     return fine.join(cut(numbered), ["url", "interval"], "left").withColumn("stretch", F.coalesce("stretch", F.lit(0).cast("long"))).drop("interval")
 
 
-def resolve_revisits(records: DataFrame, crowded: int = CROWDED) -> DataFrame:
+def resolve_revisits(records: DataFrame, crowded: int | None = None) -> DataFrame:
     """One row for each revisit: ``record_id, url, outcome, refers_to, headers, digest``.
 
     ``records`` has ``record_id, kind, url, at, status, headers, digest``: ``kind`` is ``response`` or ``revisit`` (others are
     passed over), full responses have status 200, ``at`` is a timestamp. Further columns are ignored. ``url`` comes back in
     canonical form. ``outcome``: ``resolved``; ``unchecked`` where revisit and response have no validator in common;
     ``mismatch`` where it differs; ``missing`` without an earlier full response, or without URL or time. The other columns
-    are NULL for the last two. Earlier is strictly earlier; of responses at one instant the largest ``record_id`` counts.
+    are NULL for the last two. URLs with more than ``crowded`` records are passed in stretches of about half as many. Earlier is strictly earlier; of responses at one instant the largest ``record_id`` counts.
     """
     known = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", "kind", "digest", canonical_url(F.col("url")).alias("url"), F.unix_micros("at").alias("at"), lower_keys(F.col("headers")).alias("headers"),
         ((F.col("kind") == "response") & F.coalesce(F.col("status") == 200, F.lit(False))).alias("full"),
     )
     known = known.where((F.col("kind") == "revisit") | F.col("full"))
+    if crowded is None:
+        crowded = max(CROWDED, 2 * known.count() // int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = F.col("url").isNotNull() & F.col("at").isNotNull()
     cutting = stretches(known.where(placed), crowded)
     # Arrays of headers can be compared, which a maximum over records needs; time and identifier decide.
