@@ -41,8 +41,8 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, "ip|host|server|address", "[0-9]\\."),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.7, "card|visa|credit|payment|expires", "[0-9]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile|fax", "\\+[0-9]"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", 0.7, "iban|bank|account|konto|cuenta|compte", "[A-Z]{2}[0-9]{2}", base=False),
-    Kind("identity", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social security|passport|identity|taxpayer", "[0-9]-[0-9]{2}-[0-9]", base=False),
+    Kind("iban", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", 0.7, "iban|bank|account|konto|cuenta|compte", "[A-Z]{2}[0-9]{2}", base=False),
+    Kind("identity", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.3, "ssn|social security|passport|identity|taxpayer", "[0-9]-[0-9]{2}-[0-9]", base=False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
@@ -106,5 +106,4 @@ def digest(found: DataFrame) -> DataFrame:
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.concat(*BASE)
     everything = F.concat(*[k.name for k in KINDS])
-    best = F.array_max(F.transform(everything, lambda s: s["score"]))
-    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(everything).alias("spans"), best.alias("top_score"))
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(everything).alias("spans"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from spectraloom.llm.pii import KINDS
+from spectraloom.llm.secrets import BASE, CLASS, NEEDS, WEAK
 from spectraloom.llm.warc import KEPT_HEADERS, VISIT_PARAMETERS
 
 TOPK = """
@@ -16,6 +18,8 @@ scores as (
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from scores qualify rank <= 10"""
 
+PII = {k.name: k for k in KINDS}
+
 
 def names(values: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
@@ -73,4 +77,81 @@ select record_id, url, outcome, case when good then response end as refers_to, c
     case when good then body end as digest
 from (select *, outcome in ('resolved', 'unchecked') as good from judged)"""
 
-SQL = {"op4_topk": TOPK, "op7_warc": WARC}
+
+# ---- spans --------------------------------------------------------------------------------------------------------
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def rows_of(kind: str, number: int, pattern: str, test: str, source: str = "texts") -> str:
+    """Rows ``key, nth, kind, s, e, value, context`` of the valid matches of one kind; ``source`` has ``key, t``."""
+    inner = f"select *, regexp_extract_all(t, {quoted(pattern)}) as m, string_split_regex(t, {quoted(pattern)}) as g from {source}"
+    spans = """unnest(list_transform(range(1, len(m) + 1), lambda i: {
+        's': cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint),
+        'value': m[i], 'context': right(g[i], 40) || chr(10) || left(g[i + 1], 40)})) as x"""
+    return f"""select key, {number} as nth, '{kind}' as kind, x.s as s, x.s + length(x.value) as e, x.value as value, x.context as context
+        from (select key, {spans} from ({inner})) where {test}"""
+
+
+DIGITS = "regexp_replace(x.value, '[^0-9]', '', 'g')"
+LUHN = f"""list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda i:
+    case when i % 2 = 1 then cast(reverse({DIGITS})[i] as integer) when cast(reverse({DIGITS})[i] as integer) > 4
+    then 2 * cast(reverse({DIGITS})[i] as integer) - 9 else 2 * cast(reverse({DIGITS})[i] as integer) end)) % 10 = 0"""
+COMPACT = "replace(x.value, ' ', '')"
+MOD97 = f"""list_reduce(list_transform(string_split({COMPACT}[5:] || {COMPACT}[1:4], ''), lambda c: case when c >= 'A' then ascii(c) - 55 else ascii(c) - 48 end),
+    lambda a, b: (a * case when b > 9 then 100 else 10 end + b) % 97, 0) = 1"""
+PII_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x.value, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast('0' || right(p, 3) as integer) > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({DIGITS}) between 16 and 19 and {LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) between 8 and 15"),
+    "iban": (PII["iban"].pattern, MOD97),
+    "identity": (PII["identity"].pattern, f"not regexp_matches(x.value, '^(?:000|666|9)|-00-|-0000$') and regexp_matches(x.context, '(?i)\\b(?:{PII['identity'].words})\\b')"),
+}
+
+
+def written(kinds: int, order: str) -> str:
+    return f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by {order}) filter (where nth < {kinds}), '')"
+
+
+def digest(kinds: dict[str, tuple[str, str]], base: int, order: str) -> str:
+    """Counts, hash and text of the spans of each document, repeated rows by themselves."""
+    found = " union all ".join(rows_of(k, i, *rule) for i, (k, rule) in enumerate(kinds.items()))
+    counts = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in list(kinds)[:base])
+    return f"""with texts as (select row_number() over () as key, doc_id, coalesce(text, '') as t from documents),
+    found as ({found})
+    select doc_id, {counts}, sha256({written(base, order)}) as base_sha256, {written(len(kinds), order)} as spans
+    from texts left join found using (key) group by key, doc_id"""
+
+
+SECRET_KINDS = {
+    "assign": (BASE["assign"], f"length(regexp_extract(x.value, {quoted(BASE['assign'])}, 1)) >= 8"),
+    "access": (BASE["access"], "length(x.value) >= 16"),
+    "hex": (BASE["hex"], "true"),
+    # A run of just 40 characters; an equals sign beside it would be part of the run.
+    "bare_key": ("[A-Za-z0-9+/=]+", "length(x.value) = 40 and not contains(x.value, '=') and regexp_matches(x.value, '[0-9]') and regexp_matches(x.value, '[A-Z]') and regexp_matches(x.value, '[a-z]')"),
+    "identifier": (WEAK["identifier"], "true"),
+    "endpoint": (WEAK["endpoint"], "true"),
+}
+
+
+def secrets_sql() -> str:
+    """Weak parts are held against all parts of their scope."""
+    every = " union all ".join(rows_of(k, i, *rule) for i, (k, rule) in enumerate(SECRET_KINDS.items()))
+    blank = "list_filter(string_split(t[1:s], chr(10))[2:-2], lambda line: regexp_full_match(line, '[ \\t\\r]*'))"
+    classes = " ".join(f"when '{k}' then '{c}'" for k, c in CLASS.items())
+    near = "b.key = a.key and b.scope = a.scope and (b.s <= a.s and a.s - b.e <= 400 or b.s >= a.s and b.s - a.e <= 400)"
+    tests = " or ".join(
+        f"kind = '{k}' and " + " and ".join(f"exists (select 1 from parts b where b.class = '{c}' and {near})" for c in needs) for k, needs in NEEDS.items()
+    )
+    return f"""with texts as (select row_number() over () as key, doc_id, coalesce(text, '') as t from documents),
+    parts as (select every.*, case kind {classes} end as class, len({blank}) as scope from ({every}) every join texts using (key)),
+    found as (select * from parts where nth < 3 union all select * from parts a where nth >= 3 and ({tests}))
+    select doc_id, {", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in BASE)},
+        sha256({written(3, "s, nth")}) as base_sha256, {written(6, "s, nth")} as spans
+    from texts left join found using (key) group by key, doc_id"""
+
+
+SQL = {"op1_pii": digest(PII_KINDS, 4, "nth, s"), "op4_topk": TOPK, "op5_secrets": secrets_sql(), "op7_warc": WARC}
