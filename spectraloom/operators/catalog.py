@@ -6,7 +6,7 @@ files, not with their contents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spectraloom.functions.names import (
@@ -133,15 +133,14 @@ def build_catalog(registry: DataFrame, columns: DataFrame) -> DataFrame:
     ``columns`` has ``(public_url, column)`` for every readable file. A role stands for the first file listed for site
     and lab (none, when that one is unreadable), and for the last readable one of a spectral range.
     """
-    # Files are chosen by their registry lines alone; only the chosen ones are described.
-    readable = columns.select("public_url").distinct().withColumn("readable", F.lit(True))
-    files = classified(registry).join(readable, "public_url", "left")
+    described = describe_columns(columns, "public_url").withColumn("readable", F.lit(True))
+    files = classified(registry).join(described, "public_url", "left")
     soil = F.col("role").isin(SITE_MARK, LAB_MARK)
     rank = F.when(soil, -F.col("line_no")).when(F.col("readable"), F.col("line_no"))
-    file = F.max_by(F.struct("public_url", "readable"), rank).alias("file")
-    chosen = files.groupBy("dataset_code", "role").agg(file).where(F.col("file.readable")).select("dataset_code", "role", "file.public_url")
-    described = describe_columns(columns.join(chosen.select("public_url").distinct(), "public_url", "left_semi"), "public_url")
-    return chosen.join(described, "public_url").select(
+    # A limit by group: tasks pass on one file of each role, so few lists of columns are shuffled.
+    order = Window.partitionBy("dataset_code", "role").orderBy(F.desc("rank"))
+    ranked = files.withColumn("rank", rank).where(F.col("rank").isNotNull()).withColumn("nth", F.row_number().over(order))
+    return ranked.where((F.col("nth") == 1) & F.col("readable")).select(
         "dataset_code",
         "role",
         F.col("public_url").alias("url"),
