@@ -68,13 +68,23 @@ def capture_records(pages: DataFrame) -> DataFrame:
         f"when 2 then map('Via', 'proxy') else map('ETag', concat('W/', {etag})) end"
     )
     at = "1000000 + (page_id * 7919 % 100003) * 60"
-    seconds = pages.select(
-        F.explode(F.array(
-            F.expr(f"struct(4 * page_id as record_id, 'response' as kind, url as url, {at} as s, 200 as status, map('ETag', {etag}, 'Last-Modified', concat('day ', page_id % 50), 'Content-Type', 'text/html', 'Content-Length', cast(length(html) as string), 'Server', 'one') as headers, md5(html) as digest)"),
-            F.expr(f"struct(4 * page_id + 1 as record_id, 'revisit' as kind, {spelled} as url, {at} + {later} as s, 304 as status, map_concat({validators}, map('Cache-Control', concat('max-age=', page_id % 100), 'Content-Length', '0', 'Server', 'two')) as headers, cast(null as string) as digest)"),
-            F.expr(f"struct(4 * page_id + 2 as record_id, if(page_id % 50 = 0, 'response', 'revisit') as kind, concat('https://static.example.com:443/site.js?sid=', page_id) as url, 1000000 + page_id * 10 as s, if(page_id % 50 = 0, 200, 304) as status, map('ETag', {script}) as headers, if(page_id % 50 = 0, cast(page_id as string), cast(null as string)) as digest)"),
-        )).alias("r")
-    )
+    first = (
+        f"struct(4 * page_id as record_id, 'response' as kind, url as url, {at} as s, 200 as status, "
+        f"map('ETag', {etag}, 'Last-Modified', concat('day ', page_id % 50), 'Content-Type', 'text/html', "
+        "'Content-Length', cast(length(html) as string), 'Server', 'one') as headers, md5(html) as digest)"
+    )
+    again = (
+        f"struct(4 * page_id + 1 as record_id, 'revisit' as kind, {spelled} as url, {at} + {later} as s, 304 as status, "
+        f"map_concat({validators}, map('Cache-Control', concat('max-age=', page_id % 100), 'Content-Length', '0', 'Server', 'two')) as headers, "
+        "cast(null as string) as digest)"
+    )
+    shared = (
+        "struct(4 * page_id + 2 as record_id, if(page_id % 50 = 0, 'response', 'revisit') as kind, "
+        "concat('https://static.example.com:443/site.js?sid=', page_id) as url, 1000000 + page_id * 10 as s, "
+        f"if(page_id % 50 = 0, 200, 304) as status, map('ETag', {script}) as headers, "
+        "if(page_id % 50 = 0, cast(page_id as string), cast(null as string)) as digest)"
+    )
+    seconds = pages.select(F.explode(F.array(*map(F.expr, (first, again, shared)))).alias("r"))
     return seconds.select("r.*").withColumn("at", F.timestamp_seconds("s")).drop("s")
 
 

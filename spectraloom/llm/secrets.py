@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import bind, fresh, spans, written
+from spectraloom.llm.common import fresh, spans, written
 from spectraloom.plans.lineage import cut
 
 REACH = 400

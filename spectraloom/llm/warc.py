@@ -5,8 +5,8 @@ earlier full response of the same canonical URL, whose validators must agree wit
 headers, updated by those a 304 may change, and refers to the response's body, which stays where it is.
 
 The join is one ordered pass over the records of a URL. A URL with more records than two even shuffle partitions (and than
-``CROWDED``) is cut into stretches of time first; each stretch is passed on its own and begins with the last response of the stretches before, so no task gets
-all records of a frequent URL.
+``CROWDED``) is cut into stretches of time first; each stretch is passed on its own and begins with the last response of
+the stretches before, so no task gets all records of a frequent URL.
 """
 
 from __future__ import annotations
@@ -106,8 +106,8 @@ def resolve_revisits(records: DataFrame, crowded: int | None = None) -> DataFram
     are NULL for the last two. URLs with more than ``crowded`` records are passed in stretches of about half as many. Earlier is strictly earlier; of responses at one instant the largest ``record_id`` counts.
     """
     known = records.where(F.col("kind").isin("response", "revisit")).select(
-        "record_id", "kind", "digest", canonical_url(F.col("url")).alias("url"), F.unix_micros("at").alias("at"), lower_keys(F.col("headers")).alias("headers"),
-        ((F.col("kind") == "response") & F.coalesce(F.col("status") == 200, F.lit(False))).alias("full"),
+        "record_id", "kind", "digest", canonical_url(F.col("url")).alias("url"), F.unix_micros("at").alias("at"),
+        lower_keys(F.col("headers")).alias("headers"), ((F.col("kind") == "response") & F.coalesce(F.col("status") == 200, F.lit(False))).alias("full"),
     )
     known = known.where((F.col("kind") == "revisit") | F.col("full"))
     if crowded is None:
