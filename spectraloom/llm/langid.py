@@ -46,13 +46,39 @@ def word_classes() -> np.ndarray:
     return classes
 
 
+class Logs:
+    """Log frequencies of items by language, as rows of one table."""
+
+    def __init__(self, languages: list[str], counts: dict[str, Counter]):
+        items = sorted(set().union(*counts.values())) if counts else []
+        self.places = {x: i for i, x in enumerate(items)}
+        table = np.array([[counts[name][x] for name in languages] for x in items], float).reshape(len(items), len(languages)) + SMOOTHING
+        self.table = np.log(table / table.sum(axis=0)) if items else table
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __contains__(self, item: str) -> bool:
+        return item in self.places
+
+    def __getitem__(self, item: str) -> np.ndarray:
+        return self.table[self.places[item]]
+
+    def get(self, item: str) -> np.ndarray | None:
+        at = self.places.get(item)
+        return None if at is None else self.table[at]
+
+
+NOTHING = Logs([], {})
+
+
 @dataclass
 class LanguageModel:
     """Log frequencies by language, in the order of ``languages``, of words and of n-grams."""
 
     languages: list[str] = field(default_factory=list)
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: list[dict[str, np.ndarray]] = field(default_factory=lambda: [{} for _ in range(LONGEST_GRAM)])
+    words: Logs = NOTHING
+    grams: list[Logs] = field(default_factory=lambda: [NOTHING] * LONGEST_GRAM)
 
     @classmethod
     def of(cls, counts: dict[str, Counter]) -> LanguageModel:
@@ -66,7 +92,7 @@ class LanguageModel:
                     own = grams[size - 1][name]
                     for i in range(len(marked) - size + 1):
                         own[marked[i : i + size]] += n
-        return cls(languages, frequencies(languages, counts), [frequencies(languages, g) for g in grams])
+        return cls(languages, Logs(languages, counts), [Logs(languages, g) for g in grams])
 
     def backed_off(self, word: str) -> np.ndarray:
         """The sum over n-grams of an unseen word: at each place the longest known one."""
@@ -96,12 +122,6 @@ def letters(text: str) -> list[str]:
     return words if all(map(str.isalpha, words)) else ["".join(filter(str.isalpha, w)) for w in words if any(map(str.isalpha, w))]
 
 
-def frequencies(languages: list[str], counts: dict[str, Counter]) -> dict[str, np.ndarray]:
-    items = sorted(set().union(*counts.values())) if counts else []
-    totals = [sum(counts[name].values()) + SMOOTHING * len(items) for name in languages]
-    return {x: np.array([math.log((counts[name][x] + SMOOTHING) / t) for name, t in zip(languages, totals)]) for x in items}
-
-
 class Scorer:
     """Scores of texts, with the sums of units remembered."""
 
@@ -170,10 +190,10 @@ def learn_languages(labelled: DataFrame, sample: int = SAMPLE, words: int = WORD
     word = F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("word")
     counts = labelled.where(drawn).select("lang", word).where("word != ''").groupBy("lang", "word").count()
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= words).collect()
-    found: dict[str, Counter] = {r["lang"]: Counter() for r in top}
-    for r in top:
-        found[r["lang"]][r["word"]] = r["count"]
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= words).select("lang", "word", "count").toArrow()
+    found: dict[str, Counter] = {}
+    for name, word, count in zip(*(top[c].to_pylist() for c in top.column_names)):
+        found.setdefault(name, Counter())[word] = count
     return LanguageModel.of(found)
 
 

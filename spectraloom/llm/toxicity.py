@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from spectraloom.llm.langid import letters, word_classes
 from spectraloom.llm.units import UnitTable, blocks, by_classes, grown, kept
 
 #: About so many labelled documents of each label are learned from.
-SAMPLE = 3000
+SAMPLE = 2000
 BUCKETS = 1 << 20
 DIMENSIONS = 8
 WIDTHS = (1, 2, 3)
@@ -215,7 +216,7 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def train(texts: list[Encoded], labels: list[int], seed: int = 0) -> ConvNet:
-    """A net of labelled texts; every ``CALIBRATION``-th one is kept for the thresholds. Without both labels: a net that says 0."""
+    """A net of labelled texts, which are given up to it (the list is emptied); every ``CALIBRATION``-th one is kept for the thresholds. Without both labels: a net that says 0."""
     documents = np.zeros(BUCKETS, np.int64)
     for text in texts:
         documents[np.unique(text.parts)] += 1
@@ -231,11 +232,13 @@ def train(texts: list[Encoded], labels: list[int], seed: int = 0) -> ConvNet:
     learned = [i for i in range(len(texts)) if i % CALIBRATION != CALIBRATION - 1]
     toxic = sum(labels[i] for i in learned)
     # A text without words is clean: it is among the examples of either kind.
-    texts, labels = [*texts, encoded("")], [*labels, 0]
-    inputs.append(Text(texts[-1], rows))
-    learned, kept = learned + [len(texts) - 1] * max(1, len(learned) // 100), kept + [len(texts) - 1] * bool(kept)
+    last = len(texts)
+    languages, labels = [*(text.language for text in texts), 0], [*labels, 0]
+    texts.clear()
+    inputs.append(Text(encoded(""), rows))
+    learned, kept = learned + [last] * max(1, len(learned) // 100), kept + [last] * bool(kept)
     if not kept or toxic in (0, len(learned)):
-        kept = learned = list(range(len(texts)))
+        kept = learned = list(range(last + 1))
         toxic = sum(labels)
     weight = {1: len(learned) / (2 * toxic), 0: len(learned) / (2 * (len(learned) - toxic))}
     trainer, random = Trainer(net), np.random.default_rng(seed)
@@ -243,7 +246,7 @@ def train(texts: list[Encoded], labels: list[int], seed: int = 0) -> ConvNet:
         for i in random.permutation(learned):
             trainer.step(inputs[i], labels[i], weight[labels[i]])
     logits = np.array([net.logit(inputs[i].vectors(net)) for i in kept])
-    truth, language = np.array([labels[i] for i in kept]), np.array([texts[i].language for i in kept])
+    truth, language = np.array([labels[i] for i in kept]), np.array([languages[i] for i in kept])
     common = best_threshold(logits, truth)
     for name in range(GUESSES):
         own = language == name
@@ -321,9 +324,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, di
             yield pa.array([encoded(t)._asdict() for t in texts.to_pylist()], kind)
 
     found = rows.select("doc_id", "toxic", F.xxhash64("text").alias("hash"), encode("text").alias("e")).select("doc_id", "toxic", "hash", "e.*").toArrow()
-    found = found.sort_by([("doc_id", "ascending"), ("hash", "ascending")])
+    # Views of the table's memory, in a fixed order.
+    order = pc.sort_indices(found, [("doc_id", "ascending"), ("hash", "ascending")]).to_pylist()
     lists = [[x.values.to_numpy(zero_copy_only=False) for x in found[c]] for c in ("parts", "counts", "order")]
-    return [Encoded(*x) for x in zip(*lists, found["language"].to_pylist())], found["toxic"].to_pylist()
+    texts, toxic = [Encoded(*x) for x in zip(*lists, found["language"].to_pylist())], found["toxic"].to_pylist()
+    return [texts[i] for i in order], [toxic[i] for i in order]
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ConvNet:
