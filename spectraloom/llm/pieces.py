@@ -24,7 +24,7 @@ from spectraloom.llm.units import Lists, UnitTable, between, blocks, grown, kept
 
 N = 3
 #: Ids remembered for known units; beyond that all are forgotten.
-KNOWN_IDS = 6_000_000
+KNOWN_IDS = 10_000_000
 #: No UTF-8 text has this byte.
 SEPARATOR = b"\xff"
 #: What a character without a piece costs more than the least piece.
@@ -48,7 +48,7 @@ class Pieces:
         self.ids = {self.model.id_to_piece(i).replace("▁", " "): i for i in own}
         self.scores = {piece: self.model.get_score(i) for piece, i in self.ids.items()}
         # Beginnings of pieces are in here as well, without a score.
-        self.begun = {piece[:k]: None for piece in self.ids for k in range(1, len(piece))} | self.scores
+        self.begun = {piece[:k]: None for piece in self.ids for k in range(1, len(piece))} | {p: (s, self.ids[p]) for p, s in self.scores.items()}
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
         self.bytes = [self.model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         joined = np.zeros((256, 256), bool)
@@ -72,25 +72,26 @@ class Pieces:
 
     # ---- one lattice ----------------------------------------------------------------------------------------------
 
-    def edges(self, text: str) -> tuple[list[float], list[list[tuple[int, float]]]]:
-        """The forward pass: the best score up to each place, and the edges that end there as start and score.
+    def edges(self, text: str) -> tuple[list[float], list[list[tuple[int, float, int]]]]:
+        """The forward pass: the best score up to each place, and the edges that end there as start, score and id.
 
-        A character without a piece is an edge of its own.
+        A character without a piece is an edge of its own, with id -1.
         """
         size, look = len(text), self.begun.get
         best, arriving = [0.0] + [-np.inf] * size, [[] for _ in range(size + 1)]
         for start in range(size):
             here = best[start]
             for end in range(start + 1, size + 1):
-                score = look(text[start:end], ABSENT)
-                if score is None or score is ABSENT:
+                piece = look(text[start:end], ABSENT)
+                if piece is None or piece is ABSENT:
                     if end == start + 1:
-                        arriving[end].append((start, self.unknown))
+                        arriving[end].append((start, self.unknown, -1))
                         best[end] = max(best[end], here + self.unknown)
-                    if score is ABSENT:
+                    if piece is ABSENT:
                         break
                     continue
-                arriving[end].append((start, score))
+                score, number = piece
+                arriving[end].append((start, score, number))
                 if here + score > best[end]:
                     best[end] = here + score
         return best, arriving
@@ -108,21 +109,23 @@ class Pieces:
                 found.append((behind, self.numbers(text, path)))
                 wanted -= 1
                 continue
-            for start, score in arriving[end]:
+            for start, score, number in arriving[end]:
                 score += behind
                 total = -(ahead[start] + score)
                 if len(paths) < wanted or total < paths[-1][0]:
                     tie += 1
-                    insort(paths, (total, tie, start, score, (start, end, path)))
+                    insort(paths, (total, tie, start, score, (number, start, path)))
                     del paths[wanted:]
         return found
 
     def numbers(self, text: str, path) -> list[int]:
         ids = []
         while path is not None:
-            start, end, path = path
-            piece = self.ids.get(text[start:end])
-            ids += [self.bytes[b] for b in text[start:end].encode()] if piece is None else [piece]
+            number, start, path = path
+            if number < 0:
+                ids += [self.bytes[b] for b in text[start].encode()]
+            else:
+                ids.append(number)
         return ids
 
     # ---- whole texts ----------------------------------------------------------------------------------------------
