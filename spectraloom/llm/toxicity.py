@@ -5,8 +5,9 @@ word are known by their parts. Filters over one, two and three words in a row ar
 text, and a logistic layer weighs the maxima. Thresholds are calibrated by language on labelled rows kept out of the
 training; a language is guessed from the text's own function words, and the score is shifted so that 0.5 is its threshold.
 
-Training takes a bounded sample of labelled documents (about ``SAMPLE`` rows of either label); scoring covers every
-document's whole text.
+The weights are learned from a bounded sample of labelled documents (about ``SAMPLE`` rows of either label). All other
+labelled rows, one in ``CALIBRATION`` at least, are scored and counted in bins by Spark for the thresholds, weighted to the
+ratio of the labels among all labelled rows. Scoring covers every document's whole text.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ RATE = 0.1
 LEAST_DOCUMENTS = 3
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 ENDINGS = (4,)
-#: One in so many documents of the sample calibrates the thresholds.
+#: One in so many labelled documents is never learned from: with those not drawn, it calibrates the thresholds.
 CALIBRATION = 5
+#: Logits are counted in so many bins for each unit, those beyond ``FARTHEST`` in the outermost ones.
+BINS, FARTHEST = 64, 64
 #: A language with fewer toxic documents there shares the common threshold.
 LEAST_TOXIC = 20
 REMEMBERED = 250_000
@@ -204,19 +207,46 @@ class Trainer:
         net.bias -= RATE * error / np.sqrt(self.seen["bias"])
 
 
-def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The logit that separates the labels with the fewest errors; of equal ones the middle of the widest gap."""
-    order = np.argsort(logits, kind="stable")
-    z, y = logits[order], labels[order]
-    errors = np.concatenate([[0], np.cumsum(y)]) + (len(y) - y.sum()) - np.concatenate([[0], np.cumsum(1 - y)])
-    edges = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    gaps = np.where(errors == errors.min(), np.diff(edges), -1.0)
+def best_threshold(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, width: float = 0.0) -> float:
+    """The logit that separates the labels with the fewest errors; of equal ones the middle of the widest gap.
+
+    With ``width``, a logit stands for those from itself to as much above.
+    """
+    weights = np.ones(len(labels)) if weights is None else weights
+    z, at = np.unique(logits, return_inverse=True)
+    toxic, clean = np.bincount(at, weights * labels, len(z)), np.bincount(at, weights * (1 - labels), len(z))
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + clean.sum() - np.concatenate([[0], np.cumsum(clean)])
+    lower, upper = np.concatenate([[z[0] - 1], z + width]), np.concatenate([z, [z[-1] + width + 1]])
+    gaps = np.where(np.isclose(errors, errors.min(), rtol=1e-9, atol=1e-9), upper - lower, -1.0)
     k = int(gaps.argmax())
-    return float((edges[k] + edges[k + 1]) / 2)
+    return float((lower[k] + upper[k]) / 2)
 
 
-def train(texts: list[Encoded], labels: list[int], seed: int = 0) -> ConvNet:
-    """A net of labelled texts, which are given up to it (the list is emptied); every ``CALIBRATION``-th one is kept for the thresholds. Without both labels: a net that says 0."""
+def bins(logits: np.ndarray) -> np.ndarray:
+    return np.floor(np.clip(logits, -FARTHEST, FARTHEST) * BINS).astype(np.int64)
+
+
+def calibrate(net: ConvNet, counts: np.ndarray, learned: np.ndarray) -> None:
+    """Set the thresholds by rows ``toxic, language, bin, n`` of ``counts`` and how many of either label were learned from.
+
+    Rows of a label are weighted so that they stand for those learned from as well. A text without words counts as clean.
+    """
+    counts = np.concatenate([counts, [[0, 0, bins(np.array([net.logit(np.zeros((0, DIMENSIONS)))]))[0], 1]]])
+    toxic, language, logits, n = counts[:, 0], counts[:, 1], counts[:, 2] / BINS, counts[:, 3]
+    kept = np.bincount(toxic, n, 2)
+    weights = n * ((kept + learned) / np.maximum(kept, 1))[toxic]
+    common = best_threshold(logits, toxic, weights, 1 / BINS)
+    for name in range(GUESSES):
+        own = language == name
+        enough = min(np.bincount(toxic[own], n[own], 2)) >= LEAST_TOXIC
+        net.thresholds[name] = best_threshold(logits[own], toxic[own], weights[own], 1 / BINS) if enough else common
+
+
+def fit(texts: list[Encoded], labels: list[int], seed: int = 0, learned: list[int] | None = None) -> ConvNet:
+    """A net of labelled texts, which are given up to it (the list is emptied), or of those of them that ``learned`` numbers; all thresholds are 0.
+
+    Without both labels: a net that says 0.
+    """
     documents = np.zeros(BUCKETS, np.int64)
     for text in texts:
         documents[np.unique(text.parts)] += 1
@@ -228,30 +258,35 @@ def train(texts: list[Encoded], labels: list[int], seed: int = 0) -> ConvNet:
     rows = np.zeros(BUCKETS, np.int32)
     rows[known] = np.arange(1, len(known) + 1)
     inputs = [Text(text, rows) for text in texts]
-    kept = [i for i in range(len(texts)) if i % CALIBRATION == CALIBRATION - 1]
-    learned = [i for i in range(len(texts)) if i % CALIBRATION != CALIBRATION - 1]
-    toxic = sum(labels[i] for i in learned)
-    # A text without words is clean: it is among the examples of either kind.
+    # A text without words is clean: it is among the examples.
     last = len(texts)
-    languages, labels = [*(text.language for text in texts), 0], [*labels, 0]
+    labels = [*labels, 0]
     texts.clear()
     inputs.append(Text(encoded(""), rows))
-    learned, kept = learned + [last] * max(1, len(learned) // 100), kept + [last] * bool(kept)
-    if not kept or toxic in (0, len(learned)):
-        kept = learned = list(range(last + 1))
-        toxic = sum(labels)
+    learned = list(range(last)) if learned is None else learned
+    learned, toxic = learned + [last] * max(1, len(learned) // 100), sum(labels[i] for i in learned)
     weight = {1: len(learned) / (2 * toxic), 0: len(learned) / (2 * (len(learned) - toxic))}
     trainer, random = Trainer(net), np.random.default_rng(seed)
     for _ in range(max(EPOCHS, min(MOST_EPOCHS, STEPS // len(learned)))):
         for i in random.permutation(learned):
             trainer.step(inputs[i], labels[i], weight[labels[i]])
-    logits = np.array([net.logit(inputs[i].vectors(net)) for i in kept])
-    truth, language = np.array([labels[i] for i in kept]), np.array([languages[i] for i in kept])
-    common = best_threshold(logits, truth)
-    for name in range(GUESSES):
-        own = language == name
-        enough = truth[own].sum() >= LEAST_TOXIC and (1 - truth[own]).sum() >= LEAST_TOXIC
-        net.thresholds[name] = best_threshold(logits[own], truth[own]) if enough else common
+    return net
+
+
+def train(texts: list[Encoded], labels: list[int], seed: int = 0) -> ConvNet:
+    """A net of labelled texts in memory; every ``CALIBRATION``-th one is kept for the thresholds."""
+    kept = [i for i in range(len(texts)) if i % CALIBRATION == CALIBRATION - 1]
+    learned = [i for i in range(len(texts)) if i % CALIBRATION != CALIBRATION - 1]
+    if len({labels[i] for i in kept}) < 2 or len({labels[i] for i in learned}) < 2:
+        kept = learned = list(range(len(texts)))
+    net = fit(list(texts), labels, seed, learned)
+    if len(set(labels)) < 2:
+        return net
+    rows = np.zeros(BUCKETS, np.int32)
+    rows[list(net.rows)] = list(net.rows.values())
+    logits = np.array([net.logit(Text(texts[i], rows).vectors(net)) for i in kept])
+    counts = np.stack([[labels[i] for i in kept], [texts[i].language for i in kept], bins(logits), np.ones(len(kept), int)], axis=1)
+    calibrate(net, counts, np.bincount([labels[i] for i in learned], minlength=2) * (kept is not learned))
     return net
 
 
@@ -281,7 +316,8 @@ class Scorer:
         self.known = total
         return numbers
 
-    def scores(self, texts: pa.Array) -> Iterator[float]:
+    def logits(self, texts: pa.Array) -> Iterator[tuple[float, int]]:
+        """Logits and languages as guessed."""
         for data, begins in blocks(texts):
             if self.known > REMEMBERED:
                 self.forget()
@@ -293,29 +329,42 @@ class Scorer:
                 own = numbers[a:b]
                 counts = np.bincount(self.guesses[own], minlength=GUESSES)
                 counts[0] = 0
-                z = self.net.logit(self.vectors[own]) - self.net.thresholds[counts.argmax() if counts.any() else 0]
-                yield float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+                yield self.net.logit(self.vectors[own]), int(counts.argmax()) if counts.any() else 0
+
+    def scores(self, texts: pa.Array) -> Iterator[float]:
+        for logit, language in self.logits(texts):
+            yield float(1 / (1 + np.exp(-np.clip(logit - self.net.thresholds[language], -500, 500))))
 
 
 # ---- on tables ----------------------------------------------------------------------------------------------------
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, divisor: int = 5, held: int = 0) -> tuple[list[Encoded], list[int]]:
-    """Encoded texts and labels of about ``sample`` documents of either label, drawn by a hash of ``doc_id``, in order of it.
+def learnable(labels: DataFrame, divisor: int = 5, held: int = 0) -> DataFrame:
+    """``doc_id, toxic`` of the labels whose crc32 of ``doc_id`` modulo ``divisor`` isn't ``held``. A document labelled both ways is toxic."""
+    own = labels.where((remainder(F.col("doc_id"), divisor) != held) & F.col("toxic").isNotNull())
+    return own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
 
-    Only labels whose crc32 of ``doc_id`` modulo ``divisor`` isn't ``held`` are read. A document labelled both ways is
-    toxic; rows with the same ``doc_id`` and text count once.
+
+def drawn(own: DataFrame, sample: int, spare: bool) -> Column:
+    """Whether a row of ``learnable`` is to be learned from: about ``sample`` of either label, by a hash of ``doc_id``.
+
+    With ``spare``, one in ``CALIBRATION`` rows isn't, whatever their number.
+    """
+    key, grain = F.col("doc_id").cast("string"), 1_000_000
+    open_ = F.pmod(F.xxhash64(key, F.lit("calibration")), F.lit(CALIBRATION)) != 0 if spare else F.lit(True)
+    found = F.lit(False)
+    for k, n in own.where(open_).groupBy("toxic").count().collect():
+        found = found | ((F.col("toxic") == k) & (F.pmod(F.xxhash64(key), F.lit(grain)) < int(grain * min(1.0, sample / n)) + 1))
+    return open_ & found
+
+
+def labelled_sample(docs: DataFrame, own: DataFrame) -> tuple[list[Encoded], list[int]]:
+    """Encoded texts and labels of the documents that ``own`` has, which are few, in order of ``doc_id``.
+
+    Rows with the same ``doc_id`` and text count once.
     """
-    own = labels.where((remainder(F.col("doc_id"), divisor) != held) & F.col("toxic").isNotNull())
-    own = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    grain = 1_000_000
-    drawn = [(F.col("toxic") == k) & (F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(grain)) < int(grain * min(1.0, sample / n)) + 1) for k, n in sizes.items() if k in (0, 1)]
-    if not drawn:
-        return [], []
     # At most about 2 * sample rows, so this side may be broadcast.
-    chosen = F.broadcast(own.where(drawn[0] if len(drawn) == 1 else drawn[0] | drawn[1]))
-    rows = docs.select("doc_id", "text").dropna().join(chosen, "doc_id").distinct()
+    rows = docs.select("doc_id", "text").dropna().join(F.broadcast(own), "doc_id").distinct()
 
     @F.arrow_udf("struct<parts:array<int>,counts:array<int>,order:array<int>,language:int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -331,8 +380,46 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, di
     return [texts[i] for i in order], [toxic[i] for i in order]
 
 
+def binned(docs: DataFrame, own: DataFrame, net: ConvNet) -> np.ndarray:
+    """Rows ``toxic, language, bin, n``: how many documents that ``own`` has fall in each bin of logits.
+
+    Rows with the same ``doc_id`` and text count once. The result is bounded by the number of bins.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(net)  # bounded: see SAMPLE
+
+    @F.arrow_udf("struct<language:int,bin:int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer.of(sent.value)
+        for texts in batches:
+            found = np.array(list(scorer.logits(texts))).reshape(-1, 2)
+            yield pa.StructArray.from_arrays([pa.array(found[:, 1].astype(np.int32)), pa.array(bins(found[:, 0]).astype(np.int32))], names=["language", "bin"])
+
+    # Scored before the join, so that texts are not shuffled.
+    rows = docs.select("doc_id", "text").dropna().select("doc_id", F.xxhash64("text").alias("hash"), run("text").alias("found"))
+    found = rows.select("doc_id", "hash", "found.*").join(own, "doc_id").distinct()
+    counts = found.groupBy("toxic", "language", "bin").count().toArrow()
+    return np.stack([c.to_numpy().astype(np.int64) for c in counts.columns], axis=1).reshape(-1, 4)
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ConvNet:
-    return train(*labelled_sample(docs, labels, sample))
+    """A net fitted to about ``sample`` documents of either label; its thresholds are from all others that are learnable.
+
+    Where too few are labelled for both, all labelled rows serve for both.
+    """
+    own = learnable(labels)
+    for spare in (True, False):
+        chosen = drawn(own, sample, spare)
+        texts, toxic = labelled_sample(docs, own.where(chosen))
+        if len(set(toxic)) == 2:
+            break
+    learned, net = np.bincount(toxic, minlength=2) if toxic else np.zeros(2, int), fit(texts, toxic)
+    if learned.min() == 0:
+        return net
+    counts = binned(docs, own.where(~chosen), net)
+    if set(counts[:, 0].tolist()) != {0, 1}:
+        counts, learned = binned(docs, own, net), np.zeros(2, int)
+    calibrate(net, counts, learned)
+    return net
 
 
 def scored(text: Column, net: ConvNet, docs: DataFrame) -> Column:

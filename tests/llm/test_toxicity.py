@@ -78,3 +78,28 @@ def test_odd_tables(spark, odd_documents):
     nothing = toxicity.learn_toxicity(odd_documents, labels.limit(0))
     assert {r.predicted for r in toxicity.score_toxicity(odd_documents, nothing).collect()} == {0}
     assert toxicity.score_toxicity(odd_documents.limit(0), nothing).collect() == []
+
+
+def test_thresholds_count_all_rows_left_out(spark, monkeypatch):
+    """At any size of the sample, every learnable row is learned from or counted, at the ratio of all of them."""
+    texts, labels = examples(600, seed=3)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1, texts[1])], "doc_id long, text string")
+    known = spark.createDataFrame([(i, t) for i, t in enumerate(labels)], "doc_id long, toxic int")
+    own = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5]
+    given, calibrate = [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda net, counts, learned: (given.append((counts, learned)), calibrate(net, counts, learned)))
+    for sample in (40, 10_000):
+        net = toxicity.learn_toxicity(docs, known, sample)
+        counts, learned = given.pop()
+        kept = np.bincount(counts[:, 0], counts[:, 3], 2)
+        assert (kept + learned).tolist() == [sum(labels[i] == k for i in own) for k in (0, 1)]
+        assert kept.min() > 0 and len(own) // 10 < kept.sum() and learned.max() < 2 * sample
+        scores = np.array(list(toxicity.Scorer(net).scores(pa.array([texts[i] for i in own]))))
+        assert ((scores >= 0.5) == np.array([labels[i] for i in own])).mean() > 0.7
+
+
+def test_weighted_thresholds():
+    """Where labels overlap, the ratio of the labels decides; a bin's edge is a threshold, its inside is not."""
+    logits, labels = np.array([0.0, 1.0, 1.0, 2.0]), np.array([0, 0, 1, 1])
+    assert toxicity.best_threshold(logits, labels, np.array([10, 5, 1, 3]), 0.5) == 1.75
+    assert toxicity.best_threshold(logits, labels, np.array([10, 1, 5, 3]), 0.5) == 0.75
