@@ -2,8 +2,9 @@
 
 A hash rolling over seven bytes ends a chunk wherever its low bits are all ones; each chunk leaves one character, a hash of
 its content. An edit changes the chunks around it only. The block size, a power of two, follows from the text's length,
-so that a signature has about 64 characters; a second one has twice that block size. Signatures of equal block sizes are
-compared by their edit distance (insertions and deletions).
+so that a signature has about 64 characters; a second one has twice that block size. A chunk is half the block size long at
+least, so that 128 characters cover the whole text also where triggers recur. Signatures of equal block sizes are compared
+by their edit distance (insertions and deletions).
 
 For comparing a document with the next one, documents are dealt out by ranges of their identifiers, cut at identifiers
 that occur. The first document of a range is dealt to the range before it as well, so every document meets its successor
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 ROLLING = 7
 TARGET = 64
-#: The last character stands for all that is left.
-LONGEST = 2 * TARGET
+#: Texts have no more chunks, as these have at least ``1 / SHORTEST`` of a block.
+SHORTEST = 2
+LONGEST = SHORTEST * TARGET
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: Signatures without so many characters in a row in common are unlike.
 COMMON = 4
@@ -62,12 +64,20 @@ def with_forced_ends(ends: np.ndarray, size: int, widest: int) -> np.ndarray:
     return np.sort(np.concatenate([ends, *forced]))
 
 
+def spaced(ends: np.ndarray, least: int) -> np.ndarray:
+    """Those of the ends that are ``least`` bytes or more after the last one kept, or the start."""
+    kept, at = [], int(np.searchsorted(ends, least))
+    while at < len(ends):
+        kept.append(int(ends[at]))
+        at = int(np.searchsorted(ends, kept[-1] + least))
+    return np.array(kept, np.int64)
+
+
 def signature(data: bytes, ends: np.ndarray, block: int) -> str:
-    ends = with_forced_ends(ends, len(data), WIDEST * block)[: LONGEST - 1].tolist()
+    """One character for each chunk of the whole text."""
+    ends = with_forced_ends(spaced(ends, max(1, block // SHORTEST)), len(data), WIDEST * block).tolist()
     if not ends or ends[-1] < len(data):
         ends.append(len(data))
-    elif len(ends) == LONGEST - 1:
-        ends[-1] = len(data)
     starts = [0, *ends[:-1]]
     return "".join([ALPHABET[xxhash.xxh32_intdigest(data[a:b]) & 63] for a, b in zip(starts, ends)]) if data else ""
 

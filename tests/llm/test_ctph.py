@@ -80,3 +80,24 @@ def test_odd_tables(spark, odd_documents):
     known = [(r.doc_id, r.text or "") for r in odd_documents.collect() if r.doc_id is not None]
     assert sorted(tuple(r) for r in found if r.doc_id is not None) == sorted(brute(known))
     assert ctph.compare_edits(odd_documents.limit(0)).collect() == []
+
+
+def test_signatures_cover_texts_of_repeated_lines():
+    """Where triggers recur with the lines, the signature still ends with the text."""
+    choice, long = random.Random(7), 0
+    for _ in range(300):
+        line = "".join(choice.choice("abcdefgh ") for _ in range(choice.randint(3, 30))) + "\n"
+        text = line * (20_000 // len(line))
+        data, size = text.encode(), len(text)
+        block = 1
+        while size > block * ctph.TARGET:
+            block *= 2
+        if len(ctph.triggers(data, block)) < ctph.LONGEST:
+            continue
+        long += 1
+        tail = "".join(choice.choice("ijklmnop ") for _ in range(size // 3))
+        changed = text[: size - len(tail)] + tail
+        assert all(len(s) <= ctph.LONGEST for s in ctph.fingerprint(text).split(":")[1:])
+        assert ctph.fingerprint(text) == ctph.fingerprint(line * (20_000 // len(line)))
+        assert ctph.likeness(ctph.fingerprint(text), ctph.fingerprint(changed)) < 0.95
+    assert long > 5
