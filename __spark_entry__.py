@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+import oracle_models
 import oracle_queries
 from spectraloom.functions.names import DEFAULT_ID, band_label, col, scan_bands
-from spectraloom.operators import catalog, checks, overview, preprocess, profile, sampling
+from spectraloom.operators import baseline, catalog, checks, components, correction, overview, preprocess, profile, regression, sampling, smoothing
 from spectraloom.operators.extract import ExtractSpec, Star, export_columns, extract, find_hot_keys, select_lab, select_site, select_spectra, soil_table
 from spectraloom.operators.filters import Among, Between
 from spectraloom.operators.levels import level_counts, site_levels, spectra_levels
@@ -343,6 +344,70 @@ def preprocessed(t: Tables, method: Callable[[SpectralFrame], SpectralFrame]) ->
     return long(method(t.spectra()), DEFAULT_ID, digits=6)
 
 
+def pca_loadings(t: Tables) -> DataFrame:
+    """Three components of all spectra, with what they explain."""
+    spectra = t.spectra()
+    return rounded(components.loadings_table(spectra, components.fit_components(spectra, 3)), 6)
+
+
+def component_scores(spectra: SpectralFrame, count: int) -> DataFrame:
+    found = components.scores(spectra, components.fit_components(spectra, count))
+    return rounded(plain(found.select(col(DEFAULT_ID), *[F.get("scores", F.lit(k)).alias(f"score_{k + 1}") for k in range(count)])), 6)
+
+
+def pca_missing(t: Tables) -> DataFrame:
+    """Components of the spectra without gaps, and no scores for the others."""
+    spectra = t.spectra()
+    gaps = F.when(col(DEFAULT_ID) % 10 == 0, F.transform("spectrum", lambda x, i: F.when(i != 3, x)))
+    gaps = gaps.when(col(DEFAULT_ID) % 10 != 1, F.col("spectrum"))
+    return component_scores(spectra.with_df(spectra.df.withColumn("spectrum", gaps)), 2)
+
+
+def pca_outliers(t: Tables) -> DataFrame:
+    """Score and residual distances of all spectra, and which go beyond what 97.5 % of ordinary ones stay within."""
+    spectra = t.spectra()
+    return rounded(plain(components.outliers(spectra, components.fit_components(spectra, 3))), 6)
+
+
+def property_of_spectra(t: Tables) -> SpectralFrame:
+    """The instrument's number as the property to predict; two in fifty spectra have none."""
+    spectra, place = t.spectra(), col(DEFAULT_ID) % 50
+    known = F.when(place == 8, F.lit(float("nan"))).when(place != 7, F.col("instrument_txt").cast("double"))
+    return spectra.with_df(spectra.df.withColumn("number_index", known))
+
+
+def pls_predict(t: Tables) -> DataFrame:
+    spectra = property_of_spectra(t)
+    model = regression.fit_regression(spectra, "number_index", 3)
+    return rounded(plain(regression.predict(spectra, model).select(col(DEFAULT_ID), "predicted")), 6)
+
+
+def pls_importance(t: Tables) -> DataFrame:
+    spectra = property_of_spectra(t)
+    return rounded(regression.importance_table(spectra, regression.fit_regression(spectra, "number_index", 3)), 6)
+
+
+def pls_cross_validation(t: Tables) -> DataFrame:
+    """Four folds by the remainder of the key, one to three components."""
+    return rounded(regression.cross_validate(property_of_spectra(t), "number_index", 3, col(DEFAULT_ID) % 4), 6)
+
+
+def preprocess_scatter(t: Tables) -> DataFrame:
+    spectra = t.spectra()
+    return long(correction.correct_scatter(spectra, correction.learn_scatter(spectra)), DEFAULT_ID, digits=6)
+
+
+def preprocess_scaled(t: Tables) -> DataFrame:
+    """Two-pass scaling of the bands of spectra with gaps."""
+    spectra = t.gappy()
+    return long(correction.scale_bands(spectra, correction.learn_scale(spectra)), DEFAULT_ID, digits=6)
+
+
+def trimmed_tails(t: Tables) -> DataFrame:
+    """Noise and signal of every band, and which bands at the ends are dropped."""
+    return rounded(correction.trim_tails(t.spectra(), least=1.02)[1], 6)
+
+
 def overview_filter(t: Tables) -> DataFrame:
     table = overview.overview_table(t.library_overview(), {"extent": "extent", "spectral_range": "ranges"})
     return overview.filter_overview(table, {"ranges": "MIR", "extent": "a"})
@@ -528,6 +593,21 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "preprocess_snv": partial(preprocessed, method=preprocess.snv),
     "preprocess_area": partial(preprocessed, method=preprocess.unit_area),
     "preprocess_derivative": partial(preprocessed, method=preprocess.derivative),
+    "preprocess_length": partial(preprocessed, method=preprocess.unit_length),
+    "preprocess_smooth": partial(preprocessed, method=partial(smoothing.savitzky_golay, width=7, degree=2)),
+    "preprocess_slope": partial(preprocessed, method=partial(smoothing.savitzky_golay, width=9, degree=2, order=1)),
+    "preprocess_spikes": partial(preprocessed, method=partial(smoothing.without_spikes, width=7, threshold=2.5)),
+    "preprocess_baseline": partial(preprocessed, method=baseline.without_baseline),
+    "preprocess_scatter": preprocess_scatter,
+    "preprocess_scaled": preprocess_scaled,
+    "trimmed_tails": trimmed_tails,
+    "pca_loadings": pca_loadings,
+    "pca_scores": lambda t: component_scores(t.spectra(), 3),
+    "pca_missing": pca_missing,
+    "pca_outliers": pca_outliers,
+    "pls_predict": pls_predict,
+    "pls_importance": pls_importance,
+    "pls_cross_validation": pls_cross_validation,
     "extract_hot_lab_inner": partial(extract_hot_lab, how="inner"),
     "extract_hot_lab_full": partial(extract_hot_lab, how="full"),
     "extract_hot_spectra_left": partial(extract_hot_spectra, how="left"),
@@ -577,7 +657,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = oracle_queries.oracle_sql()
+    found = oracle_queries.oracle_sql() | oracle_models.oracle_sql()
     if llm:
         found |= llm.SQL
         if corpus_pipeline.ORACLE_SQL:

@@ -57,11 +57,16 @@ def resample(spectra: SpectralFrame, step: float, lo: float | None = None, hi: f
     """
     if not spectra.axis:
         raise ValueError("no spectral bands: their names must be plain numbers")
-    plan = plan_axis(spectra.axis, target_axis(spectra.axis, step, lo, hi))
-    labels = tuple(band_label(x) for x in plan.axis)
+    target = target_axis(spectra.axis, step, lo, hi)
+    labels = tuple(band_label(x) for x in target)
     if len(set(labels)) < len(labels):
         raise ValueError("the step is too fine for two-decimal band names")
+    return interpolated_on(spectra, target, labels)
 
+
+def interpolated_on(spectra: SpectralFrame, target: Sequence[float], labels: tuple[str, ...]) -> SpectralFrame:
+    """Spectra on any ascending axis, by linear interpolation; a missing neighbour gives a missing value."""
+    plan = plan_axis(spectra.axis, target)
     nodes, weights = (number_array(part) for part in zip(*plan.nodes))
 
     def interpolated(y: Column) -> Column:

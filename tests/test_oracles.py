@@ -9,7 +9,8 @@ import __spark_entry__ as entry_module
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # Queries of the training-data operators have tests of their own in tests/llm.
-QUERIES, SQL = {name: entry_module.queries()[name] for name in entry_module.QUERIES}, entry_module.oracle_queries.oracle_sql()
+QUERIES = {name: entry_module.queries()[name] for name in entry_module.QUERIES}
+SQL = {name: text for name, text in entry_module.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="session")
@@ -33,11 +34,15 @@ def rows(columns, records):
     return sorted(normalised, key=lambda row: tuple((v is None, v or "") for v in row))
 
 
+#: Fitted again and again until nothing changes: held against dense solutions in test_preprocessing.
+WITHOUT_SQL = {"preprocess_baseline"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) - WITHOUT_SQL == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(name, spark, duck, sf_dir):
     df = QUERIES[name](spark, sf_dir)
     found = rows(df.columns, df.collect())
