@@ -596,7 +596,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "preprocess_length": partial(preprocessed, method=preprocess.unit_length),
     "preprocess_smooth": partial(preprocessed, method=partial(smoothing.savitzky_golay, width=7, degree=2)),
     "preprocess_slope": partial(preprocessed, method=partial(smoothing.savitzky_golay, width=9, degree=2, order=1)),
-    "preprocess_spikes": partial(preprocessed, method=partial(smoothing.without_spikes, width=7, threshold=2.5)),
+    "preprocess_spikes": partial(preprocessed, method=partial(smoothing.without_spikes, width=7, threshold=1.5)),
     "preprocess_baseline": partial(preprocessed, method=baseline.without_baseline),
     "preprocess_scatter": preprocess_scatter,
     "preprocess_scaled": preprocess_scaled,

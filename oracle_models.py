@@ -37,15 +37,12 @@ def spikes(width: int, threshold: float, least: float) -> str:
     reach = f"greatest(least({width // 2}, i - 1, {N_BANDS} - i), 1)"
     start = f"least(greatest(i - {reach}, 1), {N_BANDS - 2})"
 
-    def end(i: int, inner: int) -> str:
-        line = f"2 * m[{i}] - m[{inner}]"
-        return f"when i = {i} and abs(y[{i}] - ({line})) < abs(y[{i}] - m[{i}]) then {line}"
-
     return f"""with a as (select id, y, [list_median(y[{start} : {start} + 2 * {reach}]) for i in {EACH}] as m from ({spectra()})),
-        e as (select *, [case {end(1, 3)} {end(N_BANDS, N_BANDS - 2)} else m[i] end for i in {EACH}] as e from a),
+        e as (select *, [case i when 1 then 2 * m[1] - m[3] when {N_BANDS} then 2 * m[{N_BANDS}] - m[{N_BANDS - 2}] else m[i] end for i in {EACH}] as e from a),
         b as (select *, greatest({threshold} * 1.4826 * list_median([abs(y[i] - e[i]) for i in {EACH}]),
             {least} * (list_max(m) - list_min(m))) as bar from e),
-        c as (select *, [case when abs(y[i] - e[i]) <= bar then y[i] end for i in {EACH}] as k from b),
+        c as (select *, [case when greatest(y[i] - list_max(e[greatest(i - 1, 1) : i + 1]), list_min(e[greatest(i - 1, 1) : i + 1]) - y[i]) <= bar
+            then y[i] end for i in {EACH}] as k from b),
         d as (select id, [coalesce(k[i], list_median(k[{near} : {near} + {width - 1}]), m[i]) for i in {EACH}] as f from c)
         {by_band('id', 'd')}"""
 
@@ -196,7 +193,7 @@ def oracle_sql() -> dict[str, str]:
         "preprocess_length": preprocessed("v / sqrt(sum(v * v) over w)"),
         "preprocess_smooth": local_fit(7, 0),
         "preprocess_slope": local_fit(9, 1),
-        "preprocess_spikes": spikes(7, 2.5, 0.05),
+        "preprocess_spikes": spikes(7, 1.5, 0.02),
         "preprocess_scatter": SCATTER,
         "preprocess_scaled": SCALED,
         "trimmed_tails": TAILS,

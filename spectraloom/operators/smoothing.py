@@ -68,13 +68,14 @@ def middle(values: Column) -> Column:
     return bound(F.array_sort(F.filter(values, lambda x: x.isNotNull())), of)
 
 
-def without_spikes(spectra: SpectralFrame, width: int = 7, threshold: float = 6.0, least: float = 0.05) -> SpectralFrame:
+def without_spikes(spectra: SpectralFrame, width: int = 7, threshold: float = 6.0, least: float = 0.02) -> SpectralFrame:
     """Values that stand out from the running median are replaced by the median of their unsuspicious neighbours.
 
-    One stands out if its distance from the median of its window is more than ``threshold`` robust standard deviations of
-    all such distances in the spectrum, and more than ``least`` of the extent of the medians. Windows are centred and get
-    narrower towards the ends, down to three bands; the outermost values may also lie on the line of the next two medians,
-    so a slope is no spike. Where no neighbour is left, the running median stands in. Other values, and missing ones, stay.
+    One stands out if it lies beyond the medians at its band and the next ones by more than ``threshold`` robust standard
+    deviations of the spectrum's distances from its medians, and by more than ``least`` of their extent. Windows are centred
+    and get narrower towards the ends, down to three bands; at an end the line of the next two medians counts as one. So
+    neither a slope nor the neighbour of a spike is one. Where no neighbour is left, the running median stands in. Other
+    values, and missing ones, stay.
     """
     size, half = len(spectra.axis), width // 2
     if width < 3:
@@ -86,13 +87,12 @@ def without_spikes(spectra: SpectralFrame, width: int = 7, threshold: float = 6.
 
     def expected(y: Column) -> Column:
         def ends(medians: Column) -> Column:
-            def on_line(m: Column, end: int, inner: int) -> Column:
-                line = 2 * m - F.get(medians, F.lit(inner))
-                return F.when(F.abs(F.get(y, F.lit(end)) - line) < F.abs(F.get(y, F.lit(end)) - m), line).otherwise(m)
+            def line(end: int, inner: int) -> Column:
+                return 2 * F.get(medians, F.lit(end)) - F.get(medians, F.lit(inner))
 
-            first, last = on_line(F.get(medians, F.lit(0)), 0, 2), on_line(F.get(medians, F.lit(size - 1)), size - 1, size - 3)
-            at_ends = F.transform(medians, lambda m, i: F.when(i == 0, first).when(i == size - 1, last).otherwise(m))
-            return F.struct(medians.alias("medians"), at_ends.alias("at"))
+            first, last = line(0, 2), line(size - 1, size - 3)
+            at = F.transform(medians, lambda m, i: F.when(i == 0, first).when(i == size - 1, last).otherwise(m))
+            return F.struct(medians.alias("medians"), at.alias("at"))
 
         return bound(F.zip_with(starts, widths, lambda start, n: middle(F.slice(y, start + 1, n))), ends)
 
@@ -108,6 +108,13 @@ def without_spikes(spectra: SpectralFrame, width: int = 7, threshold: float = 6.
 
             return F.transform(y, value)
 
-        return bound(limit, lambda bar: bound(F.zip_with(y, at, lambda x, m: F.when(F.abs(x - m) <= bar, x)), mended))
+        def unsuspicious(bar: Column) -> Column:
+            def kept(x: Column, i: Column) -> Column:
+                around = F.slice(at, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3))
+                return F.when(F.greatest(x - F.array_max(around), F.array_min(around) - x) <= bar, x)
+
+            return F.transform(y, kept)
+
+        return bound(limit, lambda bar: bound(unsuspicious(bar), mended))
 
     return changed(spectra, lambda y: F.when(y.isNotNull(), bound(expected(y), lambda found: repaired(y, found))))
