@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import ctph, langid, packing, pieces, pii, secrets, simhash, topk, toxicity, warc
+from spectraloom.llm import ctph, langid, packing, pieces, pii, secrets, sharding, simhash, topk, toxicity, warc, whitening
 from spectraloom.llm.common import remainder, small_batches
 from spectraloom.llm.sql import SQL  # noqa: F401
 
@@ -109,6 +109,17 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    found = sharding.shard(table(spark, folder, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = whitening.whole_numbers(table(spark, folder, "embeddings"))
+    return whitening.whiten(vectors, whitening.learn_whitening(vectors)).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -120,4 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
+    "op11_sharding": op11_sharding,
+    "op12_whitening": op12_whitening,
 }
