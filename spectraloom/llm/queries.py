@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spectraloom.llm import ctph, langid, packing, pieces, pii, secrets, sharding, simhash, topk, toxicity, warc, whitening
+from spectraloom.llm import conversations, ctph, langid, packing, pieces, pii, secrets, sharding, simhash, topk, toxicity, warc, whitening
 from spectraloom.llm.common import remainder, small_batches
 from spectraloom.llm.sql import SQL  # noqa: F401
 
@@ -120,6 +120,24 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.learn_whitening(vectors)).withColumnRenamed("id", "vec_id")
 
 
+def damaged(turns: DataFrame) -> tuple[DataFrame, Column]:
+    """Conversations with faults by a checksum of their key, and how many times each row stands then."""
+    key = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fault, text = F.crc32(F.concat_ws(":", *key)) % 20, F.coalesce("text", F.lit(" "))
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(fault == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    copies = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("stands")), F.col("stands")
+
+
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    turns, copies = damaged(table(spark, folder, "conversations"))
+    found, rows = conversations.repair(turns, copies=copies)
+    hashes = conversations.digests(rows, found).withColumnRenamed("conv", "conv_")
+    whole = found.join(hashes, F.col("conv").eqNullSafe(F.col("conv_")))
+    return whole.drop("conv_").withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -133,4 +151,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_sharding": op11_sharding,
     "op12_whitening": op12_whitening,
+    "op13_conversations": op13_conversations,
 }
