@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from spectraloom.functions.names import number_array
 from spectraloom.functions.vectors import minus, projected
 from spectraloom.llm.common import bind
-from spectraloom.plans.moments import complete, moments
+from spectraloom.plans.moments import moments
 
 EPSILON = float(np.finfo(float).eps)
 #: Whole-number vectors: entries are cut to 1 / GRID and moved by OFFSET.
 GRID, OFFSET = 1024, 100_000
 COMPONENTS = 8
 LARGEST_LONG = 2**63 - 1
+#: Entries times the grid stay below this, so that the offset can be added.
+LARGEST_DOUBLE = 2.0**62
 
 
 def polar_factor(a: np.ndarray) -> np.ndarray:
@@ -143,13 +145,16 @@ class Whitening:
 def whole_numbers(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", grid: int = GRID, offset: int = OFFSET) -> DataFrame:
     """``id, vector``: every entry cut to a whole number, floor(grid * entry) + offset.
 
-    Rows whose vector is NULL or holds a NULL or an entry that is not finite are left out, as are vectors of another length
-    than the longest (an empty one too). Repeated rows stay.
+    Rows whose vector is NULL or holds a NULL or an entry that is not finite (or whose number no long can hold) are left out,
+    as are vectors of another length than the longest (an empty one too). Repeated rows stay.
     """
     df = df.select(df[id_column].alias("id"), df[vector_column].cast("array<double>").alias("vector"))
-    size = df.where(complete(F.col("vector"), F.size("vector"))).agg(F.max(F.size("vector"))).first()[0] or 0
-    cut = F.transform("vector", lambda c: F.floor(c * float(grid)) + F.lit(offset).cast("long"))
-    return df.where(complete(F.col("vector"), size) & F.lit(size > 0)).select("id", cut.alias("vector"))
+    fits = F.coalesce(F.forall("vector", lambda c: c.isNotNull() & (F.abs(c * float(grid)) < LARGEST_DOUBLE)), F.lit(False))
+    df = df.where(fits)
+    size = df.agg(F.max(F.size("vector"))).first()[0] or 0
+    # Guarded, because the order in which a plan tests and computes is not fixed.
+    cut = F.transform("vector", lambda c: F.when(F.abs(c * float(grid)) < LARGEST_DOUBLE, F.floor(c * float(grid)) + F.lit(offset).cast("long")))
+    return df.where((F.size("vector") == size) & F.lit(size > 0)).select("id", cut.alias("vector"))
 
 
 def centred(model: Whitening) -> Column:
