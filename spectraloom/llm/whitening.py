@@ -9,16 +9,15 @@ The covariance is one distributed pass over centred vectors; the driver holds ma
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.functions.names import number_array
-from spectraloom.functions.vectors import minus, projected
-from spectraloom.llm.common import bind
-from spectraloom.plans.moments import moments
+from spectraloom.plans.moments import matrix, moments
 
 EPSILON = float(np.finfo(float).eps)
 #: Whole-number vectors: entries are cut to 1 / GRID and moved by OFFSET.
@@ -157,17 +156,14 @@ def whole_numbers(df: DataFrame, id_column: str = "vec_id", vector_column: str =
     return df.where((F.size("vector") == size) & F.lit(size > 0)).select("id", cut.alias("vector"))
 
 
-def centred(model: Whitening) -> Column:
-    return minus(F.col("vector"), model.means)
-
-
-def whitened(model: Whitening) -> Column:
-    """The components of a vector of whole numbers, as an array."""
-    return bind(centred(model), lambda c: projected(c, model.directions))
+def whitened(numbers: np.ndarray, model: Whitening) -> np.ndarray:
+    """The components of vectors of whole numbers, one vector per row."""
+    return (numbers - np.asarray(model.means)) @ model.directions.T
 
 
 def learn_whitening(vectors: DataFrame, count: int = COMPONENTS) -> Whitening | None:
-    """From all rows of ``whole_numbers``, in three passes: sums and extents, centred products, and a check of the result.
+    """From all rows of ``whole_numbers``, in three passes: sums and extents, products of centred vectors, and a check of the
+    result.
 
     Components without variance (to double precision) are none. None for an empty table.
     """
@@ -177,43 +173,53 @@ def learn_whitening(vectors: DataFrame, count: int = COMPONENTS) -> Whitening |
         return None
     size, rows, sums = len(found), found[0].n, tuple(r.s for r in found)
     model = Whitening(rows, sums, tuple((r.lo, r.hi) for r in found), np.zeros(0), 0.0, np.zeros((0, size)))
-    products = moments(vectors, centred(model), size)[0].scatter / rows
+    products = moments(vectors, F.col("vector"), size)[0].scatter / rows
     values, basis = spectrum(products)
     used = [k for k in range(min(count, size)) if values[k] > 4 * size * EPSILON * values[0]]
     directions = basis[:, used].T / np.sqrt(values[used])[:, None]
     model = Whitening(rows, sums, model.extent, values[used], float(np.trace(products)), directions)
     if not used:
         return model
-    check = moments(vectors, whitened(model), len(used))[0].scatter / rows
+    @F.arrow_udf("array<double>")
+    def projected(batch: pa.Array) -> pa.Array:
+        found = whitened(matrix(batch, size), model)
+        return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), len(used)).cast(pa.list_(pa.float64()))
+
+    check = moments(vectors.select(projected("vector").alias("found")), F.col("found"), len(used))[0].scatter / rows
     error = float(np.abs(check - np.eye(len(used))).max())
     return Whitening(rows, sums, model.extent, values[used], model.trace, directions, error)
 
 
-def deviation(model: Whitening) -> Column:
-    """The exact sum over dimensions of (rows * x - sum)^2 as a long, NULL where no long can hold it."""
-    n = model.rows
-    bound = sum(max(abs(n * hi - s), abs(n * lo - s)) ** 2 for s, (lo, hi) in zip(model.sums, model.extent))
-    fits = bound <= LARGEST_LONG
-    sums = number_array(model.sums) if fits else F.array(*[F.lit(str(s)).cast("decimal(38,0)") for s in model.sums])
-    kind, part = ("long", "long") if fits else ("decimal(38,0)", "decimal(19,0)")
-
-    def step(x: Column, s: Column) -> Column:
-        return (x.cast("long") * F.lit(n).cast("long") - s) if fits else (x.cast("decimal(19,0)") * F.lit(n).cast("decimal(19,0)") - s).cast(part)
-
-    squares = F.zip_with("vector", sums.cast(f"array<{kind}>"), lambda x, s: bind(step(x, s), lambda d: (d * d).cast(kind)))
-    total = F.aggregate(squares, F.lit(0).cast(kind), lambda a, b: (a + b).cast(kind))
-    return total if fits else total.try_cast("long")
+def deviations(numbers: np.ndarray, model: Whitening) -> list[int | None]:
+    """For each vector the exact sum over dimensions of (rows * x - sum)^2; None where no long can hold it."""
+    most = sum(max(abs(model.rows * hi - s), abs(model.rows * lo - s)) ** 2 for s, (lo, hi) in zip(model.sums, model.extent))
+    # Whole numbers of any size where those of 64 bits may overflow.
+    kind = np.int64 if most <= LARGEST_LONG else object
+    found = ((numbers.astype(kind) * model.rows - np.array(model.sums, kind)) ** 2).sum(axis=1)
+    return [d if d <= LARGEST_LONG else None for d in found.tolist()]
 
 
 def whiten(vectors: DataFrame, model: Whitening | None) -> DataFrame:
     """A row per vector and component: ``id, component`` (from 1, by falling eigenvalue), ``n, deviation, whitened, explained``
-    and ``identity_error``, the largest entry by which the covariance of all whitened rows differs from the identity."""
+    and ``identity_error``, the largest entry by which the covariance of all whitened rows differs from the identity.
+
+    A projection in batches with the model as a constant: nothing is shuffled.
+    """
+    kinds = f"id {vectors.schema['id'].dataType.simpleString()}, component int, n long, deviation long, whitened double, explained double, identity_error double"
     if model is None or not len(model.values):
-        nothing = "id, 0 as component, 0L as n, 0L as deviation, 0D as whitened, 0D as explained, 0D as identity_error"
-        return vectors.where(F.lit(False)).selectExpr(*nothing.split(", "))
-    rows = vectors.select("id", deviation(model).alias("deviation"), F.posexplode(whitened(model)).alias("at", "whitened"))
-    explained = number_array(float(v / model.trace) for v in model.values)
-    return rows.select(
-        "id", (F.col("at") + 1).alias("component"), F.lit(model.rows).cast("long").alias("n"), "deviation", "whitened",
-        F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"),
-    )
+        return vectors.sparkSession.createDataFrame([], kinds)
+    size, count = len(model.sums), len(model.values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            rows = len(numbers)
+            at, component = np.repeat(np.arange(rows), count), np.tile(np.arange(count, dtype=np.int32), rows)
+            columns = [
+                batch.column(0).take(pa.array(at)), pa.array(component + 1), pa.array(np.full(rows * count, model.rows)),
+                pa.array(deviations(numbers, model), pa.int64()).take(pa.array(at)), pa.array(whitened(numbers, model).ravel()),
+                pa.array((model.values / model.trace)[component]), pa.array(np.full(rows * count, model.identity_error)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "component", "n", "deviation", "whitened", "explained", "identity_error"])
+
+    return vectors.mapInArrow(run, kinds)
