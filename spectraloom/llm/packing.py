@@ -19,6 +19,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -39,7 +40,8 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that lower-cases, drops white space and never looks across it.
 
     It also never joins ASCII letters, digits and signs to one another, apart from an apostrophe and letters, so units
-    between such places are encoded once (``units``).
+    between such places are encoded once (``units``). The tokens its file adds, such as an end of text, are found before all
+    that: a text in which one occurs is encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -47,7 +49,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.units, self.ids = UnitTable(by_classes(byte_classes(glue=b"'")), self.learn), Lists()
 
     @classmethod
@@ -65,6 +67,16 @@ class WordTokenizer:
         return self.ids.add([next(rest).ids if ids is None else ids for ids in found])
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        whole = self.with_added(texts)
+        for at, ids in enumerate(self.by_units(texts)):
+            yield np.array(self.tokenizer.encode(texts[at].as_py(), add_special_tokens=False).ids, "<u4") if at in whole else ids
+
+    def with_added(self, texts: pa.Array) -> set[int]:
+        """Places of the texts that hold an added token, in whatever case."""
+        found = (pc.match_substring(texts, token, ignore_case=True) for token in self.added)
+        return {i for hits in found for i in pc.indices_nonzero(pc.fill_null(hits, False)).to_pylist()}
+
+    def by_units(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for data, begins in blocks(texts):
             if self.ids.filled > KNOWN_IDS:
                 self.forget()

@@ -16,7 +16,6 @@ from spectraloom.llm.queries import op10_packing
 @pytest.fixture(scope="module")
 def reference(word_model):
     tokenizer = Tokenizer.from_file(word_model)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -52,7 +51,7 @@ def test_query_equals_the_tokenizer(spark, sf_dir, documents, reference):
     assert padding <= 0.005 * sum(map(len, ids.values()))
 
 
-ODD = ["a'sb!'s 12'34 don't  stop... …. x\x1c\x1dy  \x00 áB É'S", "", "  ", "<|endoftext|> x", "İstanbul ſs K 　z  q", "é ́x 'll'", "1" * 500, "x" * 5000, "...“a”…b ß'"]
+ODD = ["a'sb!'s 12'34 don't  stop... …. x\x1c\x1dy  \x00 áB É'S", "", "  ", "<|endoftext|> x", "É x<|startoftext|><|endoftext|>y <|endoftext|", "a <|ENDOFTEXT|> é<|endoftext|>'s", "İstanbul ſs K 　z  q", "é ́x 'll'", "1" * 500, "x" * 5000, "...“a”…b ß'"]
 
 
 def test_units_do_not_change_the_ids(word_model, reference):
