@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectraloom.plans.lineage import shared_folder
 
 #: What a Python task gets at a time: a bounded number of bytes, whatever the length of the texts.
 BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
@@ -28,6 +31,13 @@ def fresh(df: DataFrame, stem: str) -> str:
     return next(name for i in range(len(taken) + 1) if (name := f"{stem}_{i}") not in taken)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared folder, as a table that is read from there."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bind(value: Column, use) -> Column:
     """``use(value)`` with ``value`` evaluated once: lambdas that mention a computed column would compute it per element."""
     return F.transform(F.array(value), use)[0]

@@ -23,12 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import remainder
+from spectraloom.functions.names import number_array
+from spectraloom.llm.common import fresh, remainder, stored
 from spectraloom.llm.langid import letters, word_classes
 from spectraloom.llm.units import UnitTable, blocks, by_classes, grown, kept
 
 #: About so many labelled documents of each label are learned from.
-SAMPLE = 2000
+SAMPLE = 3000
 BUCKETS = 1 << 20
 DIMENSIONS = 8
 WIDTHS = (1, 2, 3)
@@ -348,20 +349,42 @@ def learnable(labels: DataFrame, divisor: int = 5, held: int = 0) -> DataFrame:
 def drawn(own: DataFrame, sample: int, spare: bool) -> Column:
     """Whether a row of ``learnable`` is to be learned from: about ``sample`` of either label, by a hash of ``doc_id``.
 
-    With ``spare``, one in ``CALIBRATION`` rows isn't, whatever their number.
+    With ``spare``, one in ``CALIBRATION`` rows isn't, whatever their number. All bits of the hash count, so the number drawn
+    does not grow with the table.
     """
-    key, grain = F.col("doc_id").cast("string"), 1_000_000
+    key, top = F.col("doc_id").cast("string"), 2**63 - 1
     open_ = F.pmod(F.xxhash64(key, F.lit("calibration")), F.lit(CALIBRATION)) != 0 if spare else F.lit(True)
     found = F.lit(False)
     for k, n in own.where(open_).groupBy("toxic").count().collect():
-        found = found | ((F.col("toxic") == k) & (F.pmod(F.xxhash64(key), F.lit(grain)) < int(grain * min(1.0, sample / n)) + 1))
+        within = F.shiftrightunsigned(F.xxhash64(key), 1) <= F.lit(top if n <= sample else sample * top // n).cast("long")
+        found = found | ((F.col("toxic") == k) & within)
     return open_ & found
 
 
+def embeddable(parts: pa.Array, counts: pa.Array, known: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Parts and their numbers without those that get no embedding; a word without any keeps its first part."""
+    kept_parts, kept_counts = [], []
+    for own, sizes in zip(parts, counts):
+        own, sizes = own.values.to_numpy(), sizes.values.to_numpy()
+        ends = np.cumsum(sizes)
+        begins = (ends - sizes)[sizes > 0]
+        good = np.zeros(len(own), bool)
+        if len(own):
+            good = known[own]
+            none = ~np.logical_or.reduceat(good, begins)
+            good[begins[none]] = True
+        sums = np.append(0, np.cumsum(good))
+        kept_parts.append(own[good])
+        kept_counts.append((sums[ends] - sums[ends - sizes]).astype(np.int32))
+    kind = pa.list_(pa.int32())
+    return pa.array(kept_parts, kind), pa.array(kept_counts, kind)
+
+
 def labelled_sample(docs: DataFrame, own: DataFrame) -> tuple[list[Encoded], list[int]]:
     """Encoded texts and labels of the documents that ``own`` has, which are few, in order of ``doc_id``.
 
-    Rows with the same ``doc_id`` and text count once.
+    Rows with the same ``doc_id`` and text count once. Parts of words that too few of them have are left out before the texts
+    reach the driver.
     """
     # At most about 2 * sample rows, so this side may be broadcast.
     rows = docs.select("doc_id", "text").dropna().join(F.broadcast(own), "doc_id").distinct()
@@ -372,7 +395,18 @@ def labelled_sample(docs: DataFrame, own: DataFrame) -> tuple[list[Encoded], lis
         for texts in batches:
             yield pa.array([encoded(t)._asdict() for t in texts.to_pylist()], kind)
 
-    found = rows.select("doc_id", "toxic", F.xxhash64("text").alias("hash"), encode("text").alias("e")).select("doc_id", "toxic", "hash", "e.*").toArrow()
+    rows = stored(rows.select("doc_id", "toxic", F.xxhash64("text").alias("hash"), encode("text").alias("e")).select("doc_id", "toxic", "hash", "e.*"))
+    common = rows.select(F.explode(F.array_distinct("parts")).alias("part")).groupBy("part").count().where(F.col("count") >= LEAST_DOCUMENTS)
+    known = np.zeros(BUCKETS, bool)
+    known[common.select("part").toArrow()["part"].to_numpy()] = True
+    sent = docs.sparkSession.sparkContext.broadcast(known)  # bounded: one flag for each bucket
+
+    @F.arrow_udf("struct<parts:array<int>,counts:array<int>>")
+    def narrowed(parts: pa.Array, counts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(embeddable(parts, counts, sent.value), names=["parts", "counts"])
+
+    found = rows.select("doc_id", "toxic", "hash", narrowed("parts", "counts").alias("e"), "order", "language")
+    found = found.select("doc_id", "toxic", "hash", "e.*", "order", "language").toArrow()
     # Views of the table's memory, in a fixed order.
     order = pc.sort_indices(found, [("doc_id", "ascending"), ("hash", "ascending")]).to_pylist()
     lists = [[x.values.to_numpy(zero_copy_only=False) for x in found[c]] for c in ("parts", "counts", "order")]
@@ -380,62 +414,97 @@ def labelled_sample(docs: DataFrame, own: DataFrame) -> tuple[list[Encoded], lis
     return [texts[i] for i in order], [toxic[i] for i in order]
 
 
-def binned(docs: DataFrame, own: DataFrame, net: ConvNet) -> np.ndarray:
-    """Rows ``toxic, language, bin, n``: how many documents that ``own`` has fall in each bin of logits.
+def fitted(docs: DataFrame, own: DataFrame, sample: int) -> tuple[ConvNet, Column, np.ndarray]:
+    """A net without thresholds, which rows of ``own`` it was learned from, and how many of either label."""
+    for spare in (True, False):
+        chosen = drawn(own, sample, spare)
+        texts, toxic = labelled_sample(docs, own.where(chosen))
+        if len(set(toxic)) == 2:
+            break
+    learned = np.bincount(toxic, minlength=2) if toxic else np.zeros(2, int)
+    return fit(texts, toxic), chosen, learned
 
-    Rows with the same ``doc_id`` and text count once. The result is bounded by the number of bins.
-    """
+
+def told(text: Column, net: ConvNet, docs: DataFrame) -> Column:
+    """Logit and guessed language of a text column of ``docs``; a NULL text is an empty one."""
     sent = docs.sparkSession.sparkContext.broadcast(net)  # bounded: see SAMPLE
 
-    @F.arrow_udf("struct<language:int,bin:int>")
+    @F.arrow_udf("struct<logit:double,language:int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer.of(sent.value)
         for texts in batches:
-            found = np.array(list(scorer.logits(texts))).reshape(-1, 2)
-            yield pa.StructArray.from_arrays([pa.array(found[:, 1].astype(np.int32)), pa.array(bins(found[:, 0]).astype(np.int32))], names=["language", "bin"])
+            found = list(scorer.logits(texts))
+            yield pa.StructArray.from_arrays([pa.array([z for z, _ in found], pa.float64()), pa.array([k for _, k in found], pa.int32())], names=["logit", "language"])
+
+    return run(text)
+
+
+def counted(rows: DataFrame, own: DataFrame) -> np.ndarray:
+    """Rows ``toxic, language, bin, n``: how many documents that ``own`` has fall in each bin of logits.
 
-    # Scored before the join, so that texts are not shuffled.
-    rows = docs.select("doc_id", "text").dropna().select("doc_id", F.xxhash64("text").alias("hash"), run("text").alias("found"))
-    found = rows.select("doc_id", "hash", "found.*").join(own, "doc_id").distinct()
-    counts = found.groupBy("toxic", "language", "bin").count().toArrow()
+    ``rows`` has ``doc_id, hash`` (of the text; NULL without one) and ``told``. Rows with the same ``doc_id`` and text count
+    once. The result is bounded by the number of bins.
+    """
+    logit = F.greatest(F.least(F.col("told.logit"), F.lit(float(FARTHEST))), F.lit(float(-FARTHEST)))
+    found = rows.where("doc_id is not null and hash is not null")
+    found = found.select("doc_id", "hash", F.col("told.language").alias("language"), F.floor(logit * BINS).cast("long").alias("bin"))
+    counts = found.join(own, "doc_id").distinct().groupBy("toxic", "language", "bin").count().toArrow()
     return np.stack([c.to_numpy().astype(np.int64) for c in counts.columns], axis=1).reshape(-1, 4)
 
 
+def settle(net: ConvNet, rows: DataFrame, own: DataFrame, chosen: Column, learned: np.ndarray) -> None:
+    """Thresholds from all learnable rows that the net was not learned from; where one label has none, from all."""
+    if learned.min() == 0:
+        return
+    counts = counted(rows, own.where(~chosen))
+    if set(counts[:, 0].tolist()) != {0, 1}:
+        counts, learned = counted(rows, own), np.zeros(2, int)
+    calibrate(net, counts, learned)
+
+
+def hashed(text: str = "text") -> Column:
+    return F.when(F.col(text).isNotNull(), F.xxhash64(text)).alias("hash")
+
+
 def learn_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ConvNet:
     """A net fitted to about ``sample`` documents of either label; its thresholds are from all others that are learnable.
 
-    Where too few are labelled for both, all labelled rows serve for both.
+    Where too few are labelled for both, all labelled rows serve for both. Labels are told apart by ``doc_id``; repeated rows
+    of a document count once, and a document labelled both ways is toxic. To score the documents learned from, ``classify``
+    does so in the same pass.
     """
     own = learnable(labels)
-    for spare in (True, False):
-        chosen = drawn(own, sample, spare)
-        texts, toxic = labelled_sample(docs, own.where(chosen))
-        if len(set(toxic)) == 2:
-            break
-    learned, net = np.bincount(toxic, minlength=2) if toxic else np.zeros(2, int), fit(texts, toxic)
-    if learned.min() == 0:
-        return net
-    counts = binned(docs, own.where(~chosen), net)
-    if set(counts[:, 0].tolist()) != {0, 1}:
-        counts, learned = binned(docs, own, net), np.zeros(2, int)
-    calibrate(net, counts, learned)
+    net, chosen, learned = fitted(docs, own, sample)
+    settle(net, docs.select("doc_id", hashed(), told(F.col("text"), net, docs).alias("told")), own, chosen, learned)
     return net
 
 
-def scored(text: Column, net: ConvNet, docs: DataFrame) -> Column:
-    """Scores of a text column of ``docs``; a NULL text is scored as an empty one."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)  # bounded: see SAMPLE
+def score_of(told: Column, net: ConvNet) -> Column:
+    """The score of a logit and language: 0.5 at the language's threshold."""
+    shifted = told["logit"] - F.get(number_array(map(float, net.thresholds)), told["language"])
+    return 1 / (1 + F.exp(-F.greatest(F.least(shifted, F.lit(500.0)), F.lit(-500.0))))
 
-    @F.arrow_udf("double")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = Scorer.of(sent.value)
-        for texts in batches:
-            yield pa.array(list(scorer.scores(texts)), pa.float64())
 
-    return run(text)
+def classify(docs: DataFrame, labels: DataFrame, kept: list[str], column: str = "score", sample: int = SAMPLE) -> DataFrame:
+    """The columns ``kept`` of ``docs`` and a score for each row, by a net learned from the labels.
+
+    Every text is convolved once: logits and guessed languages are written beside the kept columns to the shared folder; the
+    thresholds are counted from them and applied to them. A NULL text is an empty one; repeated rows are scored alike.
+    """
+    own = learnable(labels)
+    net, chosen, learned = fitted(docs, own, sample)
+    names = {c: fresh(docs, c) for c in ("hash", "told")}
+    rows = docs.select(*[docs[c] for c in kept], docs["doc_id"].alias(fresh(docs, "key")), hashed().alias(names["hash"]), told(docs["text"], net, docs).alias(names["told"]))
+    rows = stored(rows)
+    narrow = rows.select(F.col(fresh(docs, "key")).alias("doc_id"), F.col(names["hash"]).alias("hash"), F.col(names["told"]).alias("told"))
+    settle(net, narrow, own, chosen, learned)
+    return rows.select(*[rows[c] for c in kept], score_of(F.col(names["told"]), net).alias(column))
 
 
 def score_toxicity(docs: DataFrame, net: ConvNet, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, score, predicted`` for each row of ``docs``; ``predicted`` is 1 from a score of 0.5."""
-    found = docs.select(docs[id_column].alias("doc_id"), scored(docs[text_column], net, docs).alias("score"))
+    """``doc_id, score, predicted`` for each row of ``docs``; ``predicted`` is 1 from a score of 0.5.
+
+    A NULL text is scored as an empty one, repeated rows alike; rows with NULL identifiers stay.
+    """
+    found = docs.select(docs[id_column].alias("doc_id"), score_of(told(docs[text_column], net, docs), net).alias("score"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
