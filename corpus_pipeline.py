@@ -34,11 +34,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learned from the labels, does not call toxic."""
+    """Documents that the classifier, learned from the labels, does not call toxic; a NULL text is judged as an empty one."""
     small_batches(spark)
-    net = toxicity.learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = fresh(docs, "score")
-    return docs.withColumn(score, toxicity.scored(F.col("text"), net, docs)).where(F.col(score) < TOXIC).drop(score)
+    found = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), docs.columns, score)
+    return found.where(F.col(score) < TOXIC).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
