@@ -9,7 +9,7 @@ every document is then scored, over its whole text.
 
 from __future__ import annotations
 
-import math
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,10 +25,12 @@ from spectraloom.llm.units import SPACE, UnitTable, blocks, by_classes, byte_cla
 
 #: About so many documents of each language are learned from.
 SAMPLE = 2000
-#: The most frequent words of each language that are kept.
+#: The most frequent words of each language that are kept, where they fit the budget below.
 WORDS = 20_000
-#: Languages learned, the most frequent first.
-LANGUAGES = 100
+#: A model has a number for each word and language: so many in all, spread evenly over the languages.
+NUMBERS = 16_000_000
+#: But so many words of each language in any case.
+LEAST_WORDS = 50
 LONGEST_GRAM = 4
 UNKNOWN = "und"
 #: Added to every count.
@@ -79,6 +81,8 @@ class LanguageModel:
     languages: list[str] = field(default_factory=list)
     words: Logs = NOTHING
     grams: list[Logs] = field(default_factory=lambda: [NOTHING] * LONGEST_GRAM)
+    #: Distinct words of the sample that found no room; they are scored by their n-grams.
+    left_out: int = 0
 
     @classmethod
     def of(cls, counts: dict[str, Counter]) -> LanguageModel:
@@ -155,9 +159,12 @@ class Scorer:
             data = data.lower()  # bytes.lower: ASCII only, learn() does the rest
             starts, ends = self.units.split(data)
             numbers = self.units.numbers(data, starts, ends)  # may learn new rows
-            totals = np.cumsum(self.rows[numbers], axis=0)
-            totals = np.concatenate([np.zeros((1, self.rows.shape[1])), totals])
-            found.append(np.diff(totals[np.searchsorted(starts, np.append(begins, len(data) + 1))], axis=0))
+            bounds = np.searchsorted(starts, np.append(begins, len(data) + 1))
+            # Each text by itself, so that its sum does not depend on its neighbours.
+            totals, some = np.zeros((len(begins), self.rows.shape[1])), np.flatnonzero(np.diff(bounds))
+            if len(some):
+                totals[some] = np.add.reduceat(self.rows[numbers], bounds[some], axis=0)
+            found.append(totals)
         return np.concatenate(found) if found else np.zeros((0, self.rows.shape[1]))
 
 
@@ -175,26 +182,39 @@ def verdicts(model: LanguageModel, sums: np.ndarray) -> tuple[list[str], np.ndar
 # ---- on tables ----------------------------------------------------------------------------------------------------
 
 
-def learn_languages(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> LanguageModel:
+def words_each(languages: int, words: int = WORDS, numbers: int = NUMBERS) -> int:
+    """How many words of each language fit: a word takes a number for each language."""
+    return min(words, max(LEAST_WORDS, numbers // languages**2))
+
+
+def learn_languages(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS, numbers: int = NUMBERS) -> LanguageModel:
     """The model of rows ``doc_id, text, lang``; rows without any of the three teach nothing.
 
-    Words are counted by Spark; the driver gets the counts of at most ``words`` words for each of ``LANGUAGES`` languages.
+    Every language is learned. Words are counted by Spark; the driver gets the counts of the most frequent ones, as many of
+    each language as ``words_each`` says, in the order of their counts and then of the words.
     """
     labelled = labelled.dropna(subset=["doc_id", "text", "lang"])
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
         return LanguageModel()
-    grain = 1_000_000
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], math.ceil(grain * min(1.0, sample / r["count"])))])
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(grain)) < F.element_at(share, F.col("lang"))
+    top_hash = 2**63 - 1
+    bounds = {str(r["lang"]): top_hash if r["count"] <= sample else sample * top_hash // r["count"] for r in sizes}
+    # One literal, however many languages there are.
+    bound = F.element_at(F.from_json(F.lit(json.dumps(bounds)), "map<string,bigint>"), F.col("lang").cast("string"))
+    drawn = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 1) <= bound
     word = F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("word")
     counts = labelled.where(drawn).select("lang", word).where("word != ''").groupBy("lang", "word").count()
-    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= words).select("lang", "word", "count").toArrow()
-    found: dict[str, Counter] = {}
-    for name, word, count in zip(*(top[c].to_pylist() for c in top.column_names)):
-        found.setdefault(name, Counter())[word] = count
-    return LanguageModel.of(found)
+    order, kept = Window.partitionBy("lang").orderBy(F.desc("count"), "word"), words_each(len(sizes), words, numbers)
+    counts = counts.withColumn("rank", F.row_number().over(order)).withColumn("distinct", F.count("word").over(Window.partitionBy("lang")))
+    top = counts.where(F.col("rank") <= kept).select("lang", "word", "count", "rank", "distinct").toArrow()
+    found: dict[str, Counter] = {r["lang"]: Counter() for r in sizes}
+    left_out = 0
+    for name, word, count, rank, distinct in zip(*(top[c].to_pylist() for c in top.column_names)):
+        found[name][word] = count
+        left_out += max(distinct - kept, 0) * (rank == 1)
+    model = LanguageModel.of({name: own for name, own in found.items() if own})
+    model.left_out = left_out
+    return model
 
 
 def predicted(text: Column, model: LanguageModel, docs: DataFrame) -> Column:
@@ -214,7 +234,8 @@ def predicted(text: Column, model: LanguageModel, docs: DataFrame) -> Column:
 def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score`` for each row of ``docs``.
 
-    ``und`` with score 0 where a text is NULL or has no letter, or where nothing could be learned.
+    ``und`` with score 0 where a text is NULL or has no letter, or where nothing could be learned. Of languages that score
+    alike the first by name is taken. Repeated rows are scored alike; rows with NULL identifiers stay.
     """
     found = predicted(docs[text_column], model, docs).alias("found")
     return docs.select(docs[id_column].alias("doc_id"), found).select("doc_id", "found.*")

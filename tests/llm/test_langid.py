@@ -56,3 +56,34 @@ def test_the_sample_is_bounded(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.learn_languages(df, sample=100, words=3)
     assert model.languages == ["xx"] and len(model.words) == 3 and "tail" in model.words
+
+
+def test_every_language_is_learned(spark):
+    """However many there are, each has a word of its own; what has no room is counted."""
+    rows = [(i, f"{letters_of(i % 130)} common", f"lang{i % 130}") for i in range(390)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn_languages(df)
+    assert len(model.languages) == 130 and model.left_out == 0
+    assert all(r.lang_pred == f"lang{r.doc_id % 130}" for r in langid.identify(df, model).collect())
+    assert langid.words_each(4) == langid.WORDS and langid.words_each(200) == 400 and langid.words_each(10_000) == langid.LEAST_WORDS
+    assert langid.learn_languages(df, words=1).left_out == 130
+
+
+def letters_of(number):
+    """Words without letters in common places."""
+    return "".join(chr(ord("a") + number // 26**k % 26) * 2 for k in range(3))
+
+
+def test_scores_do_not_depend_on_the_batch(spark, documents):
+    texts = [r.text for r in documents.limit(60).collect()]
+    model = langid.learn_languages(langid.taught(documents))
+    every = langid.Scorer(model).sums(pa.array(texts, pa.string()))
+    alone = [langid.Scorer(model).sums(pa.array([t], pa.string()))[0] for t in texts]
+    assert all((a == b).all() for a, b in zip(every, alone))
+    sums = [model.score(t) for t in texts]
+    names, scores = langid.verdicts(model, every)
+    for (wanted, words), name, score in zip(sums, names, scores):
+        best = int(wanted.argmax())
+        assert (name, score) == ("und", 0) if not words else name == model.languages[best]
+        if words:
+            assert score == pytest.approx(1 / sum(2.718281828459045 ** ((w - wanted[best]) / words**0.5) for w in wanted))
