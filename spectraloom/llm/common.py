@@ -72,27 +72,44 @@ SPAN = "struct<start:bigint,end:bigint,value:string,before:string,after:string,s
 def spans(text: Column, pattern: str, context: int = 0, hint: Column | None = None, scopes: bool = False) -> Column:
     """Matches of a pattern that never matches nothing: leftmost, not overlapping, in code points, end exclusive.
 
-    Each has up to ``context`` characters of its surroundings between the neighbouring matches and, with ``scopes``, the
-    number of blank lines before it (no match may hold a line break then). Rows where ``hint`` is false have no matches.
+    Each has up to ``context`` characters of its surroundings on either side, whatever these hold (matches must have two
+    characters at least then), and, with ``scopes``, the number of blank lines before it (no match may hold a line break
+    then). Rows where ``hint`` is false have no matches.
     """
     regex, nothing, zero = F.lit(pattern), F.array().cast(f"array<{SPAN}>"), F.lit(0).cast("long")
 
-    def struct(gaps: Column, begins: Column, blanks: Column | None, value: Column, i: Column) -> Column:
+    empty = F.array().cast("array<string>")
+
+    def struct(gaps: Column, begins: Column, blanks: Column | None, value: Column, i: Column, sides: Column | None) -> Column:
         gap = F.get(gaps, i)
         start = F.get(begins, i) + F.char_length(gap)
-        before = F.right(gap, F.lit(context)) if context else F.lit("")
-        after = F.left(F.get(gaps, i + 1), F.lit(context)) if context else F.lit("")
+        before = after = F.lit("")
+        if sides is not None:
+            # A neighbouring match and the gap beyond it have two characters at least: half as many of them reach far enough.
+            reach = context // 2 + 1
+            earlier = F.slice(sides["left"], F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)))
+            later = F.slice(sides["right"], i + 2, F.lit(reach))
+            before = F.right(F.concat(F.array_join(earlier, ""), F.right(gap, F.lit(context))), F.lit(context))
+            after = F.left(F.concat(F.left(F.get(gaps, i + 1), F.lit(context)), F.array_join(later, "")), F.lit(context))
         scope = zero if blanks is None else F.get(blanks, i) + blank_lines(gap)
         end = start + F.char_length(value)
         return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), before.alias("before"), after.alias("after"), scope.alias("scope"))
 
+    def around(values: Column, gaps: Column) -> Column:
+        """The ends of what lies before and after each gap: a match and the gap on its other side."""
+        left = F.transform(values, lambda v, i: F.right(F.concat(F.get(gaps, i), v), F.lit(context)))
+        right = F.transform(values, lambda v, i: F.left(F.concat(v, F.get(gaps, i + 1)), F.lit(context)))
+        return F.struct(F.coalesce(left, empty).alias("left"), F.coalesce(right, empty).alias("right"))
+
     def placed(values: Column, gaps: Column) -> Column:
         own = F.slice(gaps, 1, F.size(values))
         begins = running_totals(F.zip_with(own, values, lambda g, v: (F.char_length(g) + F.char_length(v)).cast("long")))
         if not scopes:
-            return bind(begins, lambda at: F.transform(values, lambda v, i: struct(gaps, at, None, v, i)))
+            if context:
+                return bind(begins, lambda at: bind(around(values, gaps), lambda sides: F.transform(values, lambda v, i: struct(gaps, at, None, v, i, sides))))
+            return bind(begins, lambda at: F.transform(values, lambda v, i: struct(gaps, at, None, v, i, None)))
         blanks = running_totals(F.transform(own, blank_lines))
-        return bind(begins, lambda at: bind(blanks, lambda no: F.transform(values, lambda v, i: struct(gaps, at, no, v, i))))
+        return bind(begins, lambda at: bind(blanks, lambda no: F.transform(values, lambda v, i: struct(gaps, at, no, v, i, None))))
 
     def of(values: Column) -> Column:
         return F.when(F.size(values) == 0, nothing).otherwise(bind(F.split(text, pattern, -1), lambda gaps: placed(values, gaps)))

@@ -102,8 +102,10 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, a hash of their spans and all spans as text; kinds as listed, then by start."""
+    """Counts of the base kinds, a hash of their spans, all spans as text (kinds as listed, then by start), and their scores in
+    the same order, with a decimal each."""
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
     base = F.concat(*BASE)
     everything = F.concat(*[k.name for k in KINDS])
-    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(everything).alias("spans"))
+    scores = F.array_join(F.transform(everything, lambda s: F.round(s["score"], 1).cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(everything).alias("spans"), scores.alias("scores"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spectraloom.llm.pii import KINDS
+from spectraloom.llm.pii import CONTEXT_BONUS, KINDS
 from spectraloom.llm.secrets import BASE, CLASS, NEEDS, WEAK
 from spectraloom.llm.warc import KEPT_HEADERS, VISIT_PARAMETERS
 
@@ -85,14 +85,15 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def rows_of(kind: str, number: int, pattern: str, test: str, source: str = "texts") -> str:
-    """Rows ``key, nth, kind, s, e, value, context`` of the valid matches of one kind; ``source`` has ``key, t``."""
+def rows_of(kind: str, number: int, pattern: str, test: str, score: str = "''", source: str = "texts") -> str:
+    """Rows ``key, nth, kind, s, e, value, context, score`` of the valid matches of one kind; ``source`` has ``key, t``."""
     inner = f"select *, regexp_extract_all(t, {quoted(pattern)}) as m, string_split_regex(t, {quoted(pattern)}) as g from {source}"
     spans = """unnest(list_transform(range(1, len(m) + 1), lambda i: {
         's': cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint),
-        'value': m[i], 'context': right(g[i], 40) || chr(10) || left(g[i + 1], 40)})) as x"""
-    return f"""select key, {number} as nth, '{kind}' as kind, x.s as s, x.s + length(x.value) as e, x.value as value, x.context as context
-        from (select key, {spans} from ({inner})) where {test}"""
+        'value': m[i]})) as x"""
+    context = "t[greatest(x.s - 39, 1) : x.s] || chr(10) || t[x.s + length(x.value) + 1 : x.s + length(x.value) + 40] as context"
+    return f"""select key, {number} as nth, '{kind}' as kind, x.s as s, x.s + length(x.value) as e, x.value as value, context, {score} as score
+        from (select *, {context} from (select key, t, {spans} from ({inner}))) where {test}"""
 
 
 DIGITS = "regexp_replace(x.value, '[^0-9]', '', 'g')"
@@ -108,7 +109,7 @@ PII_KINDS = {
     "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({DIGITS}) between 16 and 19 and {LUHN}"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) between 8 and 15"),
     "iban": (PII["iban"].pattern, MOD97),
-    "identity": (PII["identity"].pattern, f"not regexp_matches(x.value, '^(?:000|666|9)|-00-|-0000$') and regexp_matches(x.context, '(?i)\\b(?:{PII['identity'].words})\\b')"),
+    "identity": (PII["identity"].pattern, f"not regexp_matches(x.value, '^(?:000|666|9)|-00-|-0000$') and regexp_matches(context, '(?i)\\b(?:{PII['identity'].words})\\b')"),
 }
 
 
@@ -116,13 +117,19 @@ def written(kinds: int, order: str) -> str:
     return f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by {order}) filter (where nth < {kinds}), '')"
 
 
+def scored(kind: str) -> str:
+    plain, near = (f"{min(1.0, PII[kind].score + bonus):.1f}" for bonus in (0, CONTEXT_BONUS))
+    return f"case when regexp_matches(context, '(?i)\\b(?:{PII[kind].words})\\b') then '{near}' else '{plain}' end"
+
+
 def digest(kinds: dict[str, tuple[str, str]], base: int, order: str) -> str:
     """Counts, hash and text of the spans of each document, repeated rows by themselves."""
-    found = " union all ".join(rows_of(k, i, *rule) for i, (k, rule) in enumerate(kinds.items()))
+    found = " union all ".join(rows_of(k, i, *rule, scored(k)) for i, (k, rule) in enumerate(kinds.items()))
     counts = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in list(kinds)[:base])
     return f"""with texts as (select row_number() over () as key, doc_id, coalesce(text, '') as t from documents),
     found as ({found})
-    select doc_id, {counts}, sha256({written(base, order)}) as base_sha256, {written(len(kinds), order)} as spans
+    select doc_id, {counts}, sha256({written(base, order)}) as base_sha256, {written(len(kinds), order)} as spans,
+        coalesce(string_agg(score, ',' order by {order}), '') as scores
     from texts left join found using (key) group by key, doc_id"""
 
 

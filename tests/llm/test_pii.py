@@ -74,6 +74,8 @@ def test_generated(spark, texts):
     [
         ("my IBAN: DE89 3704 0044 0532 0130 00.", ["iban:9:36"]), ("GB82WEST12345698765432", ["iban:0:22"]), ("GB82WEST12345698765433", []),
         ("her ssn is 123-45-6789", ["identity:11:22"]), ("part 123-45-6789", []), ("ssn 000-45-6789", []),
+        ("SSN: 123-45-6789, 234-56-7890", ["identity:5:16", "identity:18:29"]), ("123-45-6789/234-56-7890/345-67-8901 ssn", ["identity:0:11", "identity:12:23", "identity:24:35"]),
+        ("ssn" + " " * 38 + "123-45-6789", []), ("ssn" + " " * 37 + "123-45-6789", ["identity:40:51"]),
     ],
 )
 def test_checksums_and_context(spark, text, added):
@@ -81,6 +83,14 @@ def test_checksums_and_context(spark, text, added):
     assert [s for s in row.spans.split(",") if s and s.split(":")[0] not in BASE] == added
 
 
+def test_scores_follow_the_words_nearby(spark):
+    rows = spans_of(spark, ["e-mail a@b.c or x@y.z", "a@b.c" + "." * 41 + "e-mail", "call +1 234 567 890, IP 10.0.0.1", ""])
+    assert [rows[i].scores for i in range(4)] == ["1.0,1.0", "0.9", "0.9,0.9", ""]
+    text = " ".join(f"{i}@b.c" for i in range(30)) + " contact"
+    near = [s == "1.0" for s in spans_of(spark, [text])[0].scores.split(",")]
+    assert near == ["contact" in text[m.end() : m.end() + 40] for m in re.finditer(BASE["email"][0], text)]
+
+
 def test_odd_tables(spark, odd_documents):
     found = pii.digest(pii.find_pii(odd_documents)).collect()
     assert len(found) == odd_documents.count()
