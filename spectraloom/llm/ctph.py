@@ -28,8 +28,8 @@ TARGET = 64
 SHORTEST = 2
 LONGEST = SHORTEST * TARGET
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-#: Signatures without so many characters in a row in common are unlike.
-COMMON = 4
+#: Signatures of unlike texts have about so much in common: this share in long ones, half of it at ``CHANCE_LENGTH``.
+CHANCE, CHANCE_LENGTH = 0.22, 16
 #: Bytes hashed together, to bound memory.
 BLOCK = 1 << 20
 #: A chunk is ended after so many times the block size in any case: repeated lines may have no trigger at all.
@@ -123,16 +123,16 @@ def common_length(a: str, b: str) -> int:
 
 
 def signatures_alike(a: str, b: str) -> float:
-    """1 - edit distance over the lengths together; 0 without a common run."""
+    """1 - edit distance (insertions and deletions) over the lengths together, above what chance gives, from 0 to 1.
+
+    The edit distance counts for every pair; 0 where just one signature is empty.
+    """
     if a == b:
         return 1.0
-    run = min(COMMON, len(a), len(b))
-    if not run:
-        return 0.0
-    runs = {a[i : i + run] for i in range(len(a) - run + 1)}
-    if not any(b[i : i + run] in runs for i in range(len(b) - run + 1)):
-        return 0.0
-    return 2 * common_length(a, b) / (len(a) + len(b))
+    share = 2 * common_length(a, b) / (len(a) + len(b))
+    short = min(len(a), len(b))
+    chance = CHANCE * short / (short + CHANCE_LENGTH)
+    return max(0.0, (share - chance) / (1 - chance))
 
 
 def likeness(a: str, b: str) -> float:

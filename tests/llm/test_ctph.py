@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -10,14 +11,83 @@ from spectraloom.llm import ctph
 from spectraloom.llm.queries import op9_fingerprints
 
 
-def brute(rows):
+def plain_fingerprint(text):
+    """Byte by byte: a rolling hash of seven bytes, chunks no shorter than half a block and no longer than four."""
+    data, block = text.encode(), 1
+    while len(data) > 64 * block:
+        block *= 2
+    hashes = []
+    for i in range(len(data)):
+        h = sum((data[i - k] + 1) * ctph.WEIGHTS[k] for k in range(min(7, i + 1))) % 2**32
+        h = (h ^ h >> 16) * 0x85EBCA6B % 2**32
+        hashes.append(h ^ h >> 13)
+
+    def written(size):
+        own, last = [], 0
+        for i, h in enumerate(hashes):
+            if h % size == size - 1 and i + 1 - last >= max(1, size // 2):
+                own.append(i + 1)
+                last = i + 1
+        chunks, last = [], 0
+        for end in [*own, len(data)]:
+            while end - last > 4 * size:
+                chunks.append(data[last : last + 4 * size])
+                last += 4 * size
+            if end > last:
+                chunks.append(data[last:end])
+            last = end
+        return "".join(ctph.ALPHABET[xxhash.xxh32(c).intdigest() % 64] for c in chunks)
+
+    return f"{block}:{written(block)}:{written(2 * block)}"
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    (size_a, *signatures_a), (size_b, *signatures_b) = a.split(":"), b.split(":")
+    best = 0.0
+    for i in range(2):
+        for j in range(2):
+            if int(size_a) << i == int(size_b) << j:
+                x, y = signatures_a[i], signatures_b[j]
+                if x == y:
+                    return 1.0
+                distance = list(range(len(y) + 1))
+                for n, c in enumerate(x, 1):
+                    before, distance = distance, [n]
+                    for k, d in enumerate(y):
+                        distance.append(before[k] if c == d else 1 + min(before[k + 1], distance[k]))
+                least = min(len(x), len(y))
+                chance = 0.22 * least / (least + 16)
+                best = max(best, (1 - distance[-1] / (len(x) + len(y)) - chance) / (1 - chance))
+    return best
+
+
+def brute(rows, fingerprint=ctph.fingerprint, likeness=ctph.likeness):
     """By the order of identifiers, one after another."""
     rows = sorted(rows, key=lambda r: (-r[0], r[1]))
     for i, (doc, text) in enumerate(rows):
         following = rows[(i + 1) % len(rows)][1]
-        changed, mark = ctph.edited(text, following), ctph.fingerprint(text)
-        new = ctph.fingerprint(changed)
-        yield doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), mark, new, ctph.likeness(mark, new), ctph.likeness(mark, ctph.fingerprint(following))
+        third = len(text) // 3
+        changed, mark = text[: len(text) - third] + following[:third], fingerprint(text)
+        new = fingerprint(changed)
+        yield doc, len(text), hashlib.sha256(changed.encode()).hexdigest(), mark, new, likeness(mark, new), likeness(mark, fingerprint(following))
+
+
+def test_a_second_way_to_sign_and_compare(documents):
+    """Beginnings of forty documents and some odd texts: plain loops over bytes and tables."""
+    rows = [(r.doc_id, (r.text or "")[:3000]) for r in documents.orderBy("doc_id").limit(40).collect()]
+    rows += [(-1, "abc"), (-2, "abd"), (-3, ""), (-4, "same line\n" * 200), (-5, "É𝔘 " * 150), (-6, "a" * 700)]
+    for found, wanted in zip(brute(rows), brute(rows, plain_fingerprint, plain_likeness), strict=True):
+        assert found[:5] == wanted[:5] and found[5:] == pytest.approx(wanted[5:], abs=1e-12)
+
+
+def test_scattered_edits_are_seen():
+    """One character in every three differs: no long run in common, and yet alike."""
+    a = ctph.ALPHABET
+    b = "".join("+" if i % 3 == 0 else c for i, c in enumerate(a))
+    assert ctph.signatures_alike(a, b) > 0.5
+    assert 0 < ctph.likeness(ctph.fingerprint("abc"), ctph.fingerprint("abd")) < 1
 
 
 def test_query_equals_brute_force(spark, sf_dir, documents):
