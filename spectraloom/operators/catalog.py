@@ -6,7 +6,7 @@ files, not with their contents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.functions.names import (
@@ -127,20 +127,22 @@ def describe_columns(columns: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def build_catalog(registry: DataFrame, columns: DataFrame) -> DataFrame:
+def build_catalog(registry: DataFrame, columns: DataFrame, readable: DataFrame | None = None) -> DataFrame:
     """One row per dataset and role: ``url``, column list or band range, descriptive columns.
 
-    ``columns`` has ``(public_url, column)`` for every readable file. A role stands for the first file listed for site
-    and lab (none, when that one is unreadable), and for the last readable one of a spectral range.
+    ``columns`` has ``(public_url, column)`` for every readable file, ``readable`` their ``public_url`` where that is known
+    without reading all columns. A role stands for the first file listed for site and lab (none, when that one is unreadable),
+    and for the last readable one of a spectral range. Files are chosen first; only the columns of those are put together.
     """
-    described = describe_columns(columns, "public_url").withColumn("readable", F.lit(True))
-    files = classified(registry).join(described, "public_url", "left")
+    found = (columns if readable is None else readable).select("public_url").distinct().withColumn("readable", F.lit(True))
+    files = classified(registry).select("dataset_code", "role", "public_url", "line_no")
     soil = F.col("role").isin(SITE_MARK, LAB_MARK)
+    seen = files.join(found, "public_url", "left")
     rank = F.when(soil, -F.col("line_no")).when(F.col("readable"), F.col("line_no"))
-    # A limit by group: tasks pass on one file of each role, so few lists of columns are shuffled.
-    order = Window.partitionBy("dataset_code", "role").orderBy(F.desc("rank"))
-    ranked = files.withColumn("rank", rank).where(F.col("rank").isNotNull()).withColumn("nth", F.row_number().over(order))
-    return ranked.where((F.col("nth") == 1) & F.col("readable")).select(
+    chosen = seen.groupBy("dataset_code", "role").agg(F.max_by(F.struct("public_url", "readable"), rank).alias("file"))
+    chosen = chosen.where("file.readable").select("dataset_code", "role", F.col("file.public_url").alias("public_url"))
+    described = describe_columns(columns.join(chosen, "public_url"), "dataset_code", "role", "public_url")
+    return described.select(
         "dataset_code",
         "role",
         F.col("public_url").alias("url"),
@@ -169,11 +171,12 @@ def documents(registry: DataFrame, catalog: DataFrame) -> DataFrame:
 def catalog_of(spark: SparkSession, registry_path: str, threads: int = 16, schemas_into: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Build the catalog documents of a registry file; also returns ``(public_url, error)`` of unreadable files.
 
-    ``schemas_into`` names a folder in which the files' column names are collected in batches and found again.
+    ``schemas_into`` names a folder in which the files' column names are collected and found again (default: a new one in the
+    shared folder). The driver holds one batch of files at a time.
     """
     registry = read_registry(spark, registry_path)
-    urls = [row[0] for row in classified(registry).select("public_url").distinct().collect()]
-    schemas = read_schemas(spark, urls, threads, into=schemas_into)
+    schemas = read_schemas(spark, classified(registry).select("public_url"), threads, into=schemas_into)
     columns = schemas.select("public_url", F.explode("columns").alias("column"))
+    readable = schemas.where(F.col("columns").isNotNull() & (F.size("columns") > 0)).select("public_url")
     failed = schemas.where(F.col("error").isNotNull()).select("public_url", "error")
-    return documents(registry, build_catalog(registry, columns)), failed
+    return documents(registry, build_catalog(registry, columns, readable)), failed

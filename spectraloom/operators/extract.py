@@ -22,7 +22,7 @@ from spectraloom.operators.filters import (
     validate_site_filters,
 )
 from spectraloom.operators.spectra import SpectralFrame, thin
-from spectraloom.plans.skew import CELL, HotKeys, SkewPolicy, drop_unpaired, frequent_keys, present_keys, salt_count, spread
+from spectraloom.plans.skew import CELL, HotKeys, SkewPolicy, drop_unpaired, frequent_copies, frequent_keys, present_keys, salt_count, spread, written_out
 
 JOINS = ("inner", "full", "left")
 
@@ -156,8 +156,8 @@ def _sides(star: Star, spec: ExtractSpec) -> tuple[DataFrame, DataFrame, Spectra
 def find_hot_keys(star: Star, spec: ExtractSpec, policy: SkewPolicy = SkewPolicy()) -> HotKeys:
     """Join keys of the filtered tables that an extract should spread, for ``ExtractSpec.hot_keys``.
 
-    Reads the key columns once and, if any key is hot, once more to see which of these keys occur in all tables. Worth it
-    for tables known to be skewed.
+    Reads the key columns once and, if any key is hot, once more to see which of these keys occur in all tables, and the rows
+    of hot keys to see which occur often. Worth it for tables known to be skewed.
     """
     _check(star, spec, with_spectra=star.spectra is not None)
     lab, site, spectra = _sides(star, spec)
@@ -170,7 +170,7 @@ def find_hot_keys(star: Star, spec: ExtractSpec, policy: SkewPolicy = SkewPolicy
     every = list({k: None for keys in hot.values() for k in keys})
     # Copies along or onto the spectra's axis need partners to meet: in an outer join, only keys that are in all tables.
     matched = every if spec.how == "inner" else present_keys(list(tables.values()), spec.id_col, every)
-    return HotKeys(hot, tuple(matched))
+    return HotKeys(hot, tuple(matched), frequent_copies(tables, spec.id_col, hot, policy))
 
 
 def _join_soil(lab: DataFrame, site: DataFrame, on: list[str]) -> DataFrame:
@@ -188,8 +188,9 @@ def soil_table(star: Star, spec: ExtractSpec) -> DataFrame:
         return _join_soil(lab, site, [key])
     hot = {name: spec.hot_keys.by_table.get(name, {}) for name in ("lab", "site")}
     salts = salt_count(lab, hot)
-    lab, site = spread(lab, "lab", key, hot, hot, salts), spread(site, "site", key, hot, hot, salts)
-    return _join_soil(lab, site, [key, CELL]).drop(CELL)
+    often = spec.hot_keys.repeated
+    lab, site = spread(lab, "lab", key, hot, hot, salts, often), spread(site, "site", key, hot, hot, salts, often)
+    return written_out(_join_soil(lab, site, [key, CELL]).drop(CELL))
 
 
 def extract(star: Star, spec: ExtractSpec) -> SpectralFrame:
@@ -208,16 +209,17 @@ def extract(star: Star, spec: ExtractSpec) -> SpectralFrame:
     salts, on, matched = salt_count(lab, hot), [key, CELL], spec.hot_keys.matched
     meeting = {name: [k for k in keys if k in matched] for name, keys in hot.items()}
     soil_copies = {"lab": hot["lab"], "site": hot["site"], "spectra": meeting["spectra"]}
+    often = spec.hot_keys.repeated
     soil = _join_soil(
-        spread(lab, "lab", key, hot, soil_copies, salts), spread(site, "site", key, hot, soil_copies, salts), on
+        spread(lab, "lab", key, hot, soil_copies, salts, often), spread(site, "site", key, hot, soil_copies, salts, often), on
     )
-    spectral = spread(spectral, "spectra", key, hot, meeting, salts)
+    spectral = spread(spectral, "spectra", key, hot, meeting, salts, often)
     if spec.how == "inner":
         joined = soil.join(spectral, on, "inner")
     else:
         marked = soil.withColumn("_in_soil", F.lit(True)), spectral.withColumn("_in_spectra", F.lit(True))
         joined = drop_unpaired(marked[0].join(marked[1], on, spec.how), key, matched, "_in_soil", "_in_spectra")
-    return spectra.with_df(joined.drop(CELL, "_in_soil", "_in_spectra"))
+    return spectra.with_df(written_out(joined.drop(CELL, "_in_soil", "_in_spectra")))
 
 
 def export_columns(df: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +25,8 @@ from spectraloom.functions.names import col
 
 # The column that numbers a row's cell, and joins on beside the key.
 CELL = "_cell"
+# How many rows a row stands for; with the table's name behind it while tables are joined.
+STANDS = "_stands"
 
 
 @dataclass(frozen=True)
@@ -40,10 +42,12 @@ class SkewPolicy:
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hot keys of each table with their share of its rows, and those of them that occur in all tables."""
+    """Hot keys of each table with their share of its rows, those of them that occur in all tables, and for each table the
+    hashes of rows that occur often among those of its hot keys."""
 
     by_table: Mapping[str, Mapping[object, float]]
     matched: tuple = ()
+    repeated: Mapping[str, tuple[int, ...]] = field(default_factory=dict)
 
     def __bool__(self) -> bool:
         return any(self.by_table.values())
@@ -84,13 +88,27 @@ def present_keys(tables: Sequence[DataFrame], key: str, wanted: Sequence[object]
     return [k for k in wanted if all((k, i) in seen for i in range(len(tables)))]
 
 
+def content(df: DataFrame) -> Column:
+    return F.xxhash64(*[col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)])
+
+
 def add_salt(df: DataFrame, name: str, salts: int) -> DataFrame:
     """A row's cell number, by a hash of its content, so that a row has the same one whenever it is computed again.
 
-    Exact copies of a row share a cell.
+    Exact copies of a row share a cell; those that occur often are counted before, see ``spread``.
+    """
+    return df.withColumn(name, F.pmod(content(df), F.lit(salts)).cast("int"))
+
+
+def frequent_copies(tables: Mapping[str, DataFrame], key: str, hot: Mapping[str, Iterable], policy: SkewPolicy = SkewPolicy()) -> dict[str, tuple[int, ...]]:
+    """For each table the hashes of rows that hold as large a share of its hot keys' rows as makes a key hot.
+
+    Tables whose rows cannot be grouped (they hold maps) have none. One job, with the sketches of ``frequent_keys``; as there,
+    any set of hashes gives the same join result.
     """
-    hashable = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
-    return df.withColumn(name, F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
+    grouped = {name: df for name, df in tables.items() if hot.get(name) and not any(isinstance(f.dataType, T.MapType) for f in df.schema.fields)}
+    rows = {name: df.where(among(key, hot[name]) | col(key).isNull()).select(content(df).alias("h")) for name, df in grouped.items()}
+    return {name: tuple(found) for name, found in frequent_keys(rows, "h", policy).items() if found}
 
 
 def salt_count(df: DataFrame, hot: Mapping[str, Mapping[object, float]]) -> int:
@@ -108,18 +126,35 @@ def among(key: str, keys: Iterable[object]) -> Column:
     return F.coalesce(col(key).isin(keys), F.lit(False)) if keys else F.lit(False)
 
 
-def spread(df: DataFrame, own: str, key: str, hot: Mapping[str, Iterable], copied: Mapping[str, Iterable], salts: int) -> DataFrame:
+def counted_copies(df: DataFrame, salts: int) -> DataFrame:
+    """One row for each of ``salts`` shares of a row's copies: its cell on the own axis and how many copies it stands for."""
+    counted = df.groupBy(*map(col, df.columns)).agg(F.count(F.lit(1)).alias("_n"))
+    shares = counted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    held = F.floor(col("_n") / salts) + (col("_salt") < col("_n") % salts).cast("long")
+    return shares.withColumn(STANDS, held).where(col(STANDS) > 0).drop("_n")
+
+
+def spread(
+    df: DataFrame, own: str, key: str, hot: Mapping[str, Iterable], copied: Mapping[str, Iterable], salts: int, repeated: Mapping[str, Iterable[int]] = {}
+) -> DataFrame:
     """Add the cell's number to the rows of one table.
 
     ``hot`` names the hot keys of every table, ``copied`` those along whose axis this table's rows are to be copied.
-    Rows without a key have no partner and are spread without copies.
+    Rows without a key have no partner and are spread without copies. Rows whose hash is among the table's ``repeated`` ones
+    are counted and dealt out evenly; they stand for several rows until ``written_out``.
     """
     axes = [name for name, keys in hot.items() if keys]
-    df = df.withColumn(CELL, F.lit(0).cast("long"))
     if own in axes:
-        here = among(key, hot[own]) | col(key).isNull()
-        position = F.when(here, col("_salt") * salts ** axes.index(own)).otherwise(F.lit(0))
-        df = add_salt(df, "_salt", salts).withColumn(CELL, col(CELL) + position).drop("_salt")
+        here, step = among(key, hot[own]) | col(key).isNull(), salts ** axes.index(own)
+        often = [int(h) for h in repeated.get(own, ())]
+        several = here & content(df).isin(often) if often else F.lit(False)
+        single = add_salt(df.where(~several) if often else df, "_salt", salts).withColumn("_salt", F.when(here, col("_salt")).otherwise(0))
+        if often:
+            single = single.withColumn(STANDS, F.lit(1).cast("long")).unionByName(counted_copies(df.where(several), salts))
+            single = single.withColumnRenamed(STANDS, f"{STANDS}_{own}")
+        df = single.withColumn(CELL, (col("_salt") * step).cast("long")).drop("_salt")
+    else:
+        df = df.withColumn(CELL, F.lit(0).cast("long"))
     for i, axis in enumerate(axes):
         keys = [k for k in copied.get(axis, ()) if k is not None]
         if axis != own and keys:
@@ -130,6 +165,17 @@ def spread(df: DataFrame, own: str, key: str, hot: Mapping[str, Iterable], copie
     return df
 
 
+def written_out(joined: DataFrame) -> DataFrame:
+    """Rows that stand for several, as so many rows."""
+    counts = [c for c in joined.columns if c.startswith(f"{STANDS}_")]
+    if not counts:
+        return joined
+    times = reduce(Column.__mul__, [F.coalesce(col(c), F.lit(1).cast("long")) for c in counts])
+    one = F.lit(1).cast("long")
+    # One at a time is the rule: no array is built for it.
+    return joined.withColumn(STANDS, F.explode(F.when(times == 1, F.array(one)).otherwise(F.sequence(one, times)))).drop(STANDS, *counts)
+
+
 def drop_unpaired(joined: DataFrame, key: str, matched: Iterable[object], left_mark: str, right_mark: str) -> DataFrame:
     """After an outer join: a key that occurs on both sides has partners for all its rows, so an unpaired copy of one is
     an empty cell and not a result."""

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectraloom.plans.lineage import cut, shared_folder
+
 # The columns of the two tables, in file order.
 REGISTRY_COLUMNS = ("dataset_code", "file_name", "public_url")
 OVERVIEW_COLUMNS = (
@@ -49,12 +53,13 @@ def first_line(problem: Exception) -> str:
     return next(iter(str(problem).splitlines()), "") or type(problem).__name__
 
 
-def read_schemas(spark: SparkSession, urls: Iterable[str], threads: int = 16, batch: int = SCHEMA_BATCH, into: str | None = None) -> DataFrame:
-    """Column names of each Parquet file, or why they could not be read.
+def read_schemas(spark: SparkSession, urls: DataFrame | Iterable[str], threads: int = 16, batch: int = SCHEMA_BATCH, into: str | None = None) -> DataFrame:
+    """Column names of each Parquet file, or why they could not be read: ``public_url, columns, error``.
 
-    Each read is a Spark job on one footer; a file that fails has NULL columns and its message, and the others go on. The
-    driver holds ``batch`` files at a time when ``into`` names a folder of Parquet files to collect them in; files read
-    there before are not read again.
+    ``urls`` is a table with a column of that name, or some texts. Each read is a Spark job on one footer; a file that fails
+    has NULL columns and its message, and the others go on. Results are collected as Parquet files in the folder ``into``
+    (default: a new one in the shared folder), a batch at a time, and that is all the driver holds; files that were read there
+    before are not read again.
     """
 
     def names(url: str) -> tuple[str, list[str] | None, str | None]:
@@ -63,24 +68,19 @@ def read_schemas(spark: SparkSession, urls: Iterable[str], threads: int = 16, ba
         except Exception as problem:  # noqa: BLE001: whatever is wrong with one file is reported with it
             return url, None, first_line(problem)
 
-    urls = list(dict.fromkeys(urls))
-    if into is None:
-        with ThreadPoolExecutor(threads) as pool:
-            return spark.createDataFrame(list(pool.map(names, urls)), SCHEMA_ROW)
-    try:
-        known = {row[0] for row in spark.read.schema(SCHEMA_ROW).parquet(into).where("error is null").select("public_url").collect()}
-    except AnalysisException as problem:
-        if not not_found(problem):
-            raise
-        known = set()
-    new = [url for url in urls if url not in known]
+    if not isinstance(urls, DataFrame):
+        urls = spark.createDataFrame([(url,) for url in urls], "public_url string")
+    into = into or f"{shared_folder(spark)}/schemas-{uuid.uuid4()}"
+    # The folder must be there before it is read.
+    spark.createDataFrame([], SCHEMA_ROW).coalesce(1).write.mode("append").parquet(into)
+    known = spark.read.schema(SCHEMA_ROW).parquet(into).where("error is null").select("public_url")
+    missing = urls.select("public_url").where("public_url is not null").distinct().join(known, "public_url", "left_anti")
     with ThreadPoolExecutor(threads) as pool:
-        for i in range(0, len(new), batch):
-            found = list(pool.map(names, new[i : i + batch]))
-            spark.createDataFrame(found, SCHEMA_ROW).coalesce(1).write.mode("append").parquet(into)
-    rows = spark.read.schema(SCHEMA_ROW).parquet(into) if urls else spark.createDataFrame([], SCHEMA_ROW)
+        for some in batched((row[0] for row in cut(missing).toLocalIterator()), batch):
+            spark.createDataFrame(list(pool.map(names, some)), SCHEMA_ROW).coalesce(1).write.mode("append").parquet(into)
     # A file that failed once and was read later has two rows.
-    return rows.groupBy("public_url").agg(F.max("columns").alias("columns"), F.min("error").alias("error")).withColumn("error", F.when(F.col("columns").isNull(), F.col("error")))
+    rows = spark.read.schema(SCHEMA_ROW).parquet(into).groupBy("public_url").agg(F.max("columns").alias("columns"), F.min("error").alias("error"))
+    return rows.withColumn("error", F.when(F.col("columns").isNull(), F.col("error")))
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame | None:

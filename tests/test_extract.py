@@ -12,7 +12,7 @@ from spectraloom.operators.filters import filter_site
 from spectraloom.operators.library import extract_library
 from spectraloom.operators.preprocess import derivative, snv, unit_area, unit_length
 from spectraloom.operators.spectra import from_array, thin
-from spectraloom.plans.skew import HotKeys, SkewPolicy, add_salt, frequent_keys
+from spectraloom.plans.skew import HotKeys, SkewPolicy, add_salt, content, frequent_keys, spread, written_out
 from spectraloom.sources.tables import save_bucketed
 from tests import fixtures
 
@@ -264,6 +264,36 @@ def test_salt_follows_content(spark):
     assert salts[0] == salts[1] == salts[2] and len(set(salts[0].values())) == 5
 
 
+def copied_star(spark):
+    """Three contents make up most rows of a hot key; some rows of others, and rows without a key."""
+    lab = spark.range(0, 3000, 1, 4).selectExpr("IF(id % 10 = 0, id DIV 10, 7L) AS k", "IF(id % 10 = 0, id, id % 3) AS prop", "0D AS zero")
+    site = spark.range(0, 400, 1, 3).selectExpr("IF(id < 30, 7L, id) AS k", "IF(id < 30, 0L, id) AS site_n")
+    spectra = spark.range(0, 300, 1, 2).selectExpr("IF(id < 5, 7L, IF(id < 90, NULL, id)) AS k", "IF(id < 90, 1, id) AS spec_n", "array(1D, id % 2D) AS spectrum")
+    return Star(site, lab, from_array(spectra, [400, 402]))
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "full"])
+def test_copies_of_hot_rows_are_counted_and_written_out(spark, how):
+    star = copied_star(spark)
+    spec = ExtractSpec(lab=("prop", "zero"), site=("site_n",), spectra_meta=("spec_n",), id_col="k", how=how)
+    hot = replace(spec, hot_keys=find_hot_keys(star, spec, SkewPolicy(partitions=0.2, min_rows=20)))
+    assert set(hot.hot_keys.repeated) == {"lab", "site"} | ({"spectra"} if how == "full" else set()) and len(hot.hot_keys.repeated["lab"]) >= 3
+    found, wanted = extract(star, hot).df, extract(star, spec).df
+    assert found.columns == wanted.columns
+    groups = [{tuple(map(str, r[:-1])): r["count"] for r in df.groupBy(*df.columns).count().collect()} for df in (found, wanted)]
+    assert groups[0] == groups[1]
+
+
+def test_copies_of_a_hot_row_fill_many_cells(spark):
+    """A hundred thousand copies of three rows: every cell gets its share, as counts."""
+    df = spark.range(100_000).selectExpr("7L AS k", "id % 3 AS prop")
+    hashes = [r[0] for r in df.select(content(df)).distinct().collect()]
+    cells = spread(df, "lab", "k", {"lab": [7]}, {}, 64, {"lab": hashes})
+    rows = cells.groupBy("_cell").agg(F.sum("_stands_lab").alias("n")).collect()
+    assert len(rows) == 64 and sum(r.n for r in rows) == 100_000 and max(r.n for r in rows) <= 100_000 / 64 + 3
+    assert cells.count() == 3 * 64 and written_out(cells.drop("_cell")).count() == 100_000
+
+
 def test_names_that_differ_in_case_clash(spark):
     lab = spark.createDataFrame([(1, 2.0)], "k long, age_index double")
     site = spark.createDataFrame([(1, 9.0, "x")], "k long, AGE_INDEX double, name_txt string")
