@@ -115,6 +115,12 @@ class Tables:
         joined = self.lineitem.join(self.part, F.col("l_partkey") == F.col("p_partkey"))
         return joined.select(url.alias("public_url"), name.alias("column")).distinct()
 
+    def readable_files(self) -> DataFrame:
+        """The registered files that have columns."""
+        url = F.concat_ws("/", F.lit("store"), "p_brand", F.col("p_partkey").cast("string"))
+        listed = self.lineitem.select(F.col("l_partkey").alias("p_partkey")).distinct()
+        return self.part.join(listed, "p_partkey").select(url.alias("public_url"))
+
     def library_overview(self) -> DataFrame:
         """Regions and nations as listed libraries."""
         joined = self.nation.join(self.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -172,13 +178,13 @@ def catalog_column_lists(t: Tables) -> DataFrame:
 
 
 def catalog_build(t: Tables) -> DataFrame:
-    built = joined(catalog.build_catalog(t.registry(), t.file_columns()), "columns", "meta_columns")
+    built = joined(catalog.build_catalog(t.registry(), t.file_columns(), t.readable_files()), "columns", "meta_columns")
     return built.withColumn("scan_count", F.col("scan_count").cast("double"))
 
 
 def catalog_documents(t: Tables) -> DataFrame:
     registry = t.registry()
-    documents = catalog.documents(registry, catalog.build_catalog(registry, t.file_columns()))
+    documents = catalog.documents(registry, catalog.build_catalog(registry, t.file_columns(), t.readable_files()))
     roles = F.array_join(F.array_sort(F.map_keys("files")), ",")
     bands = F.aggregate(F.map_values("files"), F.lit(0).cast("long"), lambda n, f: n + F.coalesce(f["scan_count"], F.lit(0)))
     types = F.array_join("spectra_types", ",")
