@@ -43,15 +43,15 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def running_totals(numbers: Column, block: int = 64) -> Column:
-    """For an array of long: the sum of the elements before each one.
+def running_totals(numbers: Column, block: int = 64, combine=lambda x, y: x + y) -> Column:
+    """For an array of long: the sum of the elements before each one, or what else ``combine`` makes of them and zero.
 
     Blocks are summed first, so n elements cost about n * block steps instead of n * n.
     """
     zero = F.lit(0).cast("long")
 
     def total(a: Column) -> Column:
-        return F.aggregate(a, zero, lambda x, y: x + y)
+        return F.aggregate(a, zero, combine)
 
     def blocks(a: Column) -> Column:
         count = F.ceil(F.size(a) / block).cast("int")
@@ -61,7 +61,7 @@ def running_totals(numbers: Column, block: int = 64) -> Column:
         return F.transform(sums, lambda _, b: total(F.slice(sums, 1, b)))
 
     def each(a: Column, offsets: Column) -> Column:
-        return F.transform(a, lambda _, i: F.get(offsets, F.floor(i / block).cast("int")) + total(F.slice(a, F.floor(i / block).cast("int") * block + 1, i % block)))
+        return F.transform(a, lambda _, i: combine(F.get(offsets, F.floor(i / block).cast("int")), total(F.slice(a, F.floor(i / block).cast("int") * block + 1, i % block))))
 
     return bind(numbers, lambda a: bind(blocks(a), lambda sums: bind(before(sums), lambda offsets: each(a, offsets))))
 

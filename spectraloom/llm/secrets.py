@@ -15,10 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import fresh, spans, written
-from spectraloom.plans.lineage import cut
+from spectraloom.llm.common import bind, fresh, running_totals, spans, stored, written
 
 REACH = 400
+#: Links are broadcast up to so many bytes; a span, or a key, takes less than SPAN_BYTES.
+SMALL, SPAN_BYTES = 8 << 20, 128
 MASK = "[SECRET]"
 
 _VALUE = r"[\"']?\x20*[:=]\x20*[\"']?"
@@ -104,11 +105,14 @@ def linked(rows: DataFrame, reach: int = REACH) -> DataFrame:
 def with_links(rows: DataFrame, texts: DataFrame, key: str, weak: str, reach: int) -> DataFrame:
     """``rows`` with the array ``weak`` of the linked weak parts of their text; ``key`` holds a hash of it.
 
-    ``texts`` has ``key, text``.
+    ``texts`` has ``key, text``. Links of up to ``SMALL`` bytes, as counted, are broadcast, so that ``rows`` stay in
+    place; more are joined by a shuffle, and their size is known to it, so that it can split the rows of a frequent text.
     """
-    # Stored, so that the join sees its size and can split the rows of a frequent text.
-    links = cut(linked(parts(texts), reach)).withColumnsRenamed({"key": key, "weak": weak})
+    links = stored(linked(parts(texts), reach)).withColumnsRenamed({"key": key, "weak": weak})
+    bytes_held = links.agg(F.sum(F.size(weak) * SPAN_BYTES + SPAN_BYTES)).first()[0] or 0
     nothing = F.array().cast("array<struct<start:bigint,nth:int,kind:string,end:bigint,scope:bigint>>")
+    if bytes_held <= SMALL:
+        return rows.join(F.broadcast(links), key, "left").withColumn(weak, F.coalesce(weak, nothing))
     return rows.join(links, key, "left").withColumn(weak, F.coalesce(weak, nothing))
 
 
@@ -136,17 +140,36 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, found: Column) -> Column:
-    """The text with each span, or run of overlapping spans, replaced by ``MASK``."""
+    """The text with each span, or run of overlapping spans, replaced by ``MASK``; spans come in order of their starts.
 
-    def step(done: Column, s: Column) -> Column:
-        before = F.substring(text, done["at"] + 1, s["start"] - done["at"])
-        out = F.when(s["start"] >= done["at"], F.concat(done["out"], before, F.lit(MASK))).otherwise(done["out"])
-        at = F.greatest(done["at"], s["end"])
-        return F.struct(out.alias("out"), at.alias("at"))
+    What lies between runs is cut out of pieces of the text that hold about as many gaps as there are pieces, since
+    finding a position in a text means passing all characters before it.
+    """
+    nothing = F.array().cast("array<string>")
+
+    def gaps(heads: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(heads))).cast("int")
+
+        def of_piece(part: Column) -> Column:
+            first, last = F.get(part, F.lit(0))["after"], F.get(part, F.size(part) - 1)["start"]
+            piece = F.substring(text, first + 1, last - first)
+            return bind(piece, lambda p: F.transform(part, lambda h: F.substring(p, h["after"] - first + 1, h["start"] - h["after"])))
+
+        firsts = F.sequence(F.lit(0), F.size(heads) - 1, width)
+        return F.flatten(F.transform(firsts, lambda i: bind(F.slice(heads, i + 1, width), of_piece)))
+
+    def runs(ends: Column) -> Column:
+        """Where each run starts, and where the one before ends."""
+        before = running_totals(ends, combine=lambda x, y: F.greatest(x, y))
+        both = F.zip_with(F.transform(found, lambda s: s["start"]), before, lambda s, e: F.struct(e.alias("after"), s.alias("start")))
+        return F.filter(both, lambda h: h["start"] >= h["after"])
+
+    def of(ends: Column) -> Column:
+        tail = F.substring(text, F.array_max(ends) + 1, F.char_length(text))
+        kept = bind(runs(ends), lambda heads: F.when(F.size(heads) > 0, gaps(heads)).otherwise(nothing))
+        return F.concat(F.array_join(kept, MASK), F.lit(MASK), tail)
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    rest = F.char_length(text).cast("long")
-    return F.aggregate(found, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, rest - done["at"])))
+    return F.when(F.size(found) == 0, text).otherwise(bind(F.transform(found, lambda s: s["end"]), of))
 
 
 def redact(docs: DataFrame, text_column: str = "text", length_column: str | None = "n_chars", reach: int = REACH) -> DataFrame:

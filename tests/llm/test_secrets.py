@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -93,6 +94,29 @@ def test_redaction(spark):
     assert found[0].n_chars == len("[SECRET] rest") and found[2].n_chars == 5 and found[0].key == "k"
 
 
+@pytest.mark.parametrize("small", [0, secrets.SMALL])
+def test_redaction_of_many_spans(spark, small, monkeypatch):
+    """Against a pass over the characters; linked parts are masked whether links are broadcast or not."""
+    monkeypatch.setattr(secrets, "SMALL", small)
+    choice = random.Random(5)
+    pieces = ["token=abcdefgh1 ", "é𝔘 ", "password:" + "0a" * 20, " ", "0123456789abcdef" * 2, f" AKIAABCDEFGHIJKL {KEY} ", "login=someone ", "\n\n"]
+    texts = ["".join(choice.choice(pieces) for _ in range(choice.randrange(60))) for _ in range(30)] + ["token=abcdefgh1 é " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
+
+    def plain(text, spans):
+        out, at = [], 0
+        for s in spans:
+            if s.start >= at:
+                out += [text[at : s.start], secrets.MASK]
+            at = max(at, s.end)
+        return "".join(out) + text[at:]
+
+    got = {r.doc_id: r.text for r in secrets.redact(docs, length_column=None).collect()}
+    assert got == {i: plain(t, found[i]) for i, t in enumerate(texts)}
+    assert sum(any(s.kind in secrets.WEAK for s in f) for f in found.values()) > 5
+
+
 def test_odd_tables(spark, odd_documents):
     assert len(secrets.digest(secrets.find_secrets(odd_documents)).collect()) == odd_documents.count()
     assert secrets.digest(secrets.find_secrets(odd_documents.limit(0))).collect() == []
