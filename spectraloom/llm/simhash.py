@@ -280,5 +280,5 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     roots = grouped_prints(prints.select("print"), max_bits).withColumnsRenamed({"node": "print"})
     rooted = prints.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
     chosen = cut(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(key)).distinct())
-    # The join deals rows out by this key already, so exact repeats meet without another shuffle.
-    return keyed.join(chosen, key, "left_semi").dropDuplicates([key]).drop(key, own)
+    # Repeats of a row collapse in each task before they are dealt out, and the join goes by the same key.
+    return keyed.dropDuplicates([key]).join(chosen, key, "left_semi").drop(key, own)
