@@ -6,7 +6,8 @@ headers, updated by those a 304 may change, and refers to the response's body, w
 
 The join is one ordered pass over the records of a URL. A URL with more records than two even shuffle partitions (and than
 ``CROWDED``) is cut into stretches of time first; each stretch is passed on its own and begins with the last response of
-the stretches before, so no task gets all records of a frequent URL.
+the stretches before, so no task gets all records of a frequent URL. A crowded instant is a stretch that needs no pass: its
+revisits all refer to what the stretches before leave behind.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spectraloom.llm.common import stored
 from spectraloom.plans.lineage import cut
 
 #: URLs with no more records than this are passed in one go.
 CROWDED = 500
+#: A crowded time is cut into so many intervals for each stretch that its records fill.
+FINE = 32
+#: Tables of no more rows than this, with a row for each crowded URL, interval or stretch, are broadcast.
+FEW = 10_000
 
 # Headers that describe the transfer or the body of one message, and stay those of the stored response.
 KEPT_HEADERS = (
@@ -78,22 +84,48 @@ def merged(revisit: Column, response: Column) -> Column:
     return F.map_concat(F.map_filter(response, lambda k, _: ~F.array_contains(names, k)), new)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A fixed table, marked for a broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def intervals(records: DataFrame, most: int, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """``records`` with the start ``lo`` of the interval of time they are in, NULL but for URLs with more than ``crowded``;
+    and the intervals, ``url, lo, first, last, n``, with more than ``most`` records only in an instant.
+
+    The time of a URL is cut into equal intervals by its span. Those that hold too many still, as in a burst between
+    outliers, are cut again by their own span. Every round divides it by ``FINE`` at least, so there are few.
+    """
+    span = [F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")]
+    grain = F.ceil((F.col("last") - F.col("first") + 1) / F.ceil(FINE * F.col("n") / most)).cast("long").alias("grain")
+    start = F.col("first").alias("start")
+    placed, key = records.withColumn("lo", F.lit(None).cast("long")), ["url"]
+    wide = cut(records.groupBy("url").agg(*span).where(F.col("n") > crowded))
+    while True:
+        inner = small(cut(wide.select(*key, start, grain)))
+        placed = placed.join(inner, key, "left").withColumn("lo", F.coalesce(F.expr("start + ((at - start) div grain) * grain"), "lo")).drop("start", "grain")
+        found, key = cut(placed.where(F.col("lo").isNotNull()).groupBy("url", "lo").agg(*span)), ["url", "lo"]
+        wide = found.where((F.col("n") > most) & (F.col("last") > F.col("first")))
+        if wide.isEmpty():
+            return placed, found
+
+
 def stretches(records: DataFrame, crowded: int) -> DataFrame:
-    """``records`` with the number of the stretch of time they are in: 0 but for crowded URLs.
+    """``records`` with the number of the stretch of time they are in, 0 but for URLs with more than ``crowded`` records, and
+    whether it is a crowded ``instant``.
 
-    A crowded URL's time is cut finely into equal intervals, and neighbouring intervals are joined until they hold about
-    half of ``crowded`` records. Records of one instant stay together.
+    Neighbouring intervals are joined until they hold about half of ``crowded`` records, and never more than ``crowded``,
+    but for instants with more than half of it, which stay alone. Stretches rise with time.
     """
-    times = [F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last")]
-    sizes = cut(records.groupBy("url").agg(*times).where(F.col("n") > crowded))
-    grain = F.ceil((F.col("last") - F.col("first") + 1) * crowded / (32 * F.col("n"))).cast("long")
-    busy = F.broadcast(sizes) if sizes.count() <= 10_000 else sizes
-    fine = records.join(busy.select("url", "first", grain.alias("grain")), "url", "left").withColumn("interval", F.expr("(at - first) div grain")).drop("first", "grain")
-    counts = fine.where(F.col("interval").isNotNull()).groupBy("url", "interval").count()
-    before = Window.partitionBy("url").orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)
-    stretch = F.floor(F.coalesce(F.sum("count").over(before), F.lit(0)) / max(1, crowded // 2)).alias("stretch")
-    numbered = counts.select("url", "interval", stretch)
-    return fine.join(cut(numbered), ["url", "interval"], "left").withColumn("stretch", F.coalesce("stretch", F.lit(0).cast("long"))).drop("interval")
+    half = max(1, crowded // 2)
+    placed, found = intervals(records, half, crowded)
+    before = Window.partitionBy("url").orderBy("lo").rowsBetween(Window.unboundedPreceding, -1)
+    alone = F.col("n") > half
+    # What follows a crowded instant has passed another half at least: odd numbers are its own.
+    number = 2 * F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / half) + alone.cast("long")
+    numbered = small(cut(found.select("url", "lo", number.alias("stretch"), alone.alias("instant"))))
+    whole = {"stretch": F.coalesce("stretch", F.lit(0).cast("long")), "instant": F.coalesce("instant", F.lit(False))}
+    return placed.join(numbered, ["url", "lo"], "left").withColumns(whole).drop("lo")
 
 
 def resolve_revisits(records: DataFrame, crowded: int | None = None) -> DataFrame:
@@ -103,25 +135,33 @@ def resolve_revisits(records: DataFrame, crowded: int | None = None) -> DataFram
     passed over), full responses have status 200, ``at`` is a timestamp. Further columns are ignored. ``url`` comes back in
     canonical form. ``outcome``: ``resolved``; ``unchecked`` where revisit and response have no validator in common;
     ``mismatch`` where it differs; ``missing`` without an earlier full response, or without URL or time. The other columns
-    are NULL for the last two. URLs with more than ``crowded`` records are passed in stretches of about half as many. Earlier is strictly earlier; of responses at one instant the largest ``record_id`` counts.
+    are NULL for the last two. URLs with more than ``crowded`` records are passed in stretches of about half as many.
+    Earlier is strictly earlier; of responses at one instant the largest ``record_id`` counts. Revisits with the same
+    ``record_id``, exact copies too, give a row each; of responses with the same ``record_id`` and time the largest counts,
+    by digest, then headers.
     """
     known = records.where(F.col("kind").isin("response", "revisit")).select(
         "record_id", "kind", "digest", canonical_url(F.col("url")).alias("url"), F.unix_micros("at").alias("at"),
         lower_keys(F.col("headers")).alias("headers"), ((F.col("kind") == "response") & F.coalesce(F.col("status") == 200, F.lit(False))).alias("full"),
     )
     known = known.where((F.col("kind") == "revisit") | F.col("full"))
+    partitions = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written once, without bodies: what follows reads times first, and headers only where they are needed.
+    known = stored(known)
     if crowded is None:
-        crowded = max(CROWDED, 2 * known.count() // int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        crowded = max(CROWDED, 2 * known.count() // partitions)
     placed = F.col("url").isNotNull() & F.col("at").isNotNull()
     cutting = stretches(known.where(placed), crowded)
     # Arrays of headers can be compared, which a maximum over records needs; time and identifier decide.
     candidate = F.when(F.col("full"), F.struct("at", "record_id", "digest", F.array_sort(F.map_entries("headers")).alias("headers")))
-    earlier = Window.partitionBy("url", "stretch").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    seen = cutting.withColumn("found", F.max(candidate).over(earlier)).where("kind = 'revisit'")
+    # Records of a crowded instant see none before them in their stretch: these are dealt out anyhow.
+    cell = F.when(F.col("instant"), F.pmod(F.xxhash64("record_id"), F.lit(partitions))).otherwise(0).alias("cell")
+    earlier = Window.partitionBy("url", "stretch", "cell").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    seen = cutting.withColumn("cell", cell).withColumn("found", F.max(candidate).over(earlier)).where("kind = 'revisit'")
     # What the stretches before leave behind, for crowded URLs.
     last = cutting.groupBy("url", "stretch").agg(F.max(candidate).alias("left"))
     before = Window.partitionBy("url").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = cut(last.withColumn("carried", F.max("left").over(before)).where("stretch > 0").select("url", "stretch", "carried"))
+    carried = small(cut(last.withColumn("carried", F.max("left").over(before)).where("stretch > 0").select("url", "stretch", "carried")))
     seen = seen.join(carried, ["url", "stretch"], "left").withColumn("found", F.coalesce("found", "carried"))
     lost = known.where(~placed & (F.col("kind") == "revisit")).withColumn("found", F.lit(None).cast(seen.schema["found"].dataType))
     columns = ["record_id", "url", "headers", "found"]

@@ -79,6 +79,24 @@ def test_stretches_are_bounded_and_ordered(spark):
     assert all(a.hi < b.lo for a, b in zip(found, found[1:]))
 
 
+def test_bursts_and_instants(spark):
+    """A burst of 5 ms, 900 records of one instant and outliers: windows stay bounded, and all rows are right."""
+    at = [START + timedelta(microseconds=i) for i in range(5000)] + [when(3600)] * 900 + [when(-(10**9)), when(10**9), when(10**9)]
+    choice, rows = random.Random(2), []
+    for i, t in enumerate(at):
+        rows.append((i, choice.choice(["response", "revisit", "revisit"]), "http://hot", t, 200, {"etag": choice.choice("ab")}, f"d{i}", ""))
+    table = spark.createDataFrame(rows, SCHEMA)
+    times = table.withColumn("at", F.unix_micros("at"))
+    found = warc.stretches(times, 200).groupBy("stretch", "instant").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("stretch").collect()
+    assert max(r.n for r in found if not r.instant) <= 200 and [r.n for r in found if r.instant] == [900]
+    assert sum(r.n for r in found) == len(rows) and all(a.hi < b.lo for a, b in zip(found, found[1:]))
+    some = [r for r in rows if r[0] % 10 == 0 or r[0] >= 4990]
+    got = warc.resolve_revisits(spark.createDataFrame(some, SCHEMA), 40).collect()
+    assert {r.record_id: (r.outcome, r.refers_to, r.headers, r.digest) for r in got} == brute(some)
+    copies = warc.resolve_revisits(spark.createDataFrame([(1, "response", "http://a", when(0), 200, None, "d", "")] + 3 * [(2, "revisit", "http://a", when(5), 304, None, None, "")], SCHEMA)).collect()
+    assert [(r.record_id, r.outcome, r.refers_to) for r in copies] == 3 * [(2, "unchecked", 1)]
+
+
 def test_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert warc.resolve_revisits(empty).collect() == []
