@@ -10,6 +10,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spectraloom.functions.names import col, column_family
 
@@ -18,8 +19,8 @@ from spectraloom.functions.names import col, column_family
 class Among:
     """Keep rows whose value is one of ``values``; no values keep all rows.
 
-    Values are read as the column's type: the text ``"3"`` is the number 3 in a column of integers. One that can't be read
-    so matches nothing.
+    Values are read as the column's type: the text ``"3"`` and the fraction ``3.0`` are the number 3 in a column of integers. One
+    that can't be read so, such as ``3.5`` there, matches nothing.
     """
 
     values: tuple = ()
@@ -49,10 +50,12 @@ def present(wanted: Iterable[str], df: DataFrame) -> list[str]:
     return [c for c in dict.fromkeys(wanted) if c in have]
 
 
-def as_text(value: object) -> str:
-    """A level as Spark's own cast to string renders it."""
+def as_text(value: object, kind: T.DataType) -> str:
+    """A level as Spark's own cast to string renders it; a whole number written as a fraction fits whole-number columns."""
     if isinstance(value, bool):
         return "true" if value else "false"
+    if isinstance(value, float) and value.is_integer() and isinstance(kind, T.IntegralType):
+        return str(int(value))
     return str(value)
 
 
@@ -62,7 +65,7 @@ def predicate(df: DataFrame, name: str, rule: Filter) -> Column:
             return F.lit(True)
         # Literals of the column's own type, so that the scan can test them.
         kind = df.schema[name].dataType
-        return col(name).isin([F.lit(as_text(v)).try_cast(kind) for v in rule.values if v is not None])
+        return col(name).isin([F.lit(as_text(v, kind)).try_cast(kind) for v in rule.values if v is not None])
     lo, hi = rule.bounds()
     x = col(name).cast("double")
     return all_of(([x >= lo] if lo is not None else []) + ([x <= hi] if hi is not None else []))

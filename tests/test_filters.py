@@ -20,6 +20,8 @@ def keys(df):
         ({"irrigated_logical": Among(("true",))}, ["", "a", "d"]),
         ({"irrigated_logical": Among((True,))}, ["", "a", "d"]),
         ({"year_uint16": Among((2012, "2015"))}, ["b", "c", "e", "e"]),
+        ({"year_uint16": Among((2012.0, "2015"))}, ["b", "c", "e", "e"]),
+        ({"year_uint16": Among((2012.5,))}, []),
         ({"depth.upper_cm": Between(10, 20)}, ["b", "c", "e", "e"]),
         ({"depth.upper_cm": Between(lo=20)}, ["c", "e"]),
         ({"depth.upper_cm": Between(float("-inf"), 5)}, ["", "a"]),
