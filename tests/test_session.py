@@ -1,4 +1,6 @@
-from spectraloom.plans.lineage import cut, shared_folder
+import pytest
+
+from spectraloom.plans.lineage import cut, shared_folder, warehouse_folder
 from spectraloom.session import SQL_SETTINGS, tune
 
 
@@ -13,3 +15,11 @@ def test_cut_writes_to_the_folder_of_the_session(spark):
     assert df.count() == 7
     assert folder in spark.sparkContext.getCheckpointDir()
     assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_local_warehouse_serves_one_machine_only():
+    assert warehouse_folder("file:/w/", "local[8]") == "file:/w/_checkpoints"
+    assert warehouse_folder("hdfs://n/w", "yarn") == "hdfs://n/w/_checkpoints"
+    for warehouse in ("file:/w", "/w"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            warehouse_folder(warehouse, "spark://host:7077")
