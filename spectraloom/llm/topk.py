@@ -10,7 +10,9 @@ row's score is the sum of its local scores. The lists are spread over many tasks
    reach it, its missing local scores taken at the bound, goes.
 3. Missing local scores of the rest are looked up, and the best k remain.
 
-Queries meet rows in blocks of bounded size: row blocks stay where they are, each block of queries visits all of them.
+Queries meet rows in blocks of bounded size: row blocks stay where they are, each block of queries visits all of them in
+the first two phases, and in the third only those that hold a missing score. Of large tables blocks are larger, so that
+fewer copies of queries travel; a block is multiplied in tiles.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ LISTS = 2
 HEAD = 4
 ROWS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 1024
+#: Beyond so many blocks these grow instead of their number, up to ``GROWTH`` times.
+BLOCKS = 64
+GROWTH = 4
+#: Products held at a time.
+TILE = ROWS_PER_BLOCK * QUERIES_PER_BLOCK
 
 #: Sums below this are exact in doubles.
 EXACT = 2**53
@@ -62,17 +69,22 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
+def block_count(rows: int, per_block: int) -> int:
+    """How many blocks ``rows`` make: of ``per_block`` rows, or of up to ``GROWTH`` times as many where there are many."""
+    return max(1, math.ceil(rows / min(max(per_block, math.ceil(rows / BLOCKS)), per_block * GROWTH)))
+
+
 class Search:
     """Blocks of rows and of queries, and the passes over them."""
 
-    def __init__(self, vectors: DataFrame, queries: DataFrame, lists: int, rows_per_block: int, queries_per_block: int):
+    def __init__(self, vectors: DataFrame, queries: DataFrame, lists: int, rows_per_block: int, queries_per_block: int, tile: int):
         size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
         self.width, self.lists = size["width"] or 0, max(1, min(lists, size["width"] or 1))
         self.slice = max(1, math.ceil(self.width / self.lists))
-        self.row_blocks = max(1, math.ceil(size["n"] / rows_per_block))
-        self.query_blocks = max(1, math.ceil(queries.count() / queries_per_block))
+        self.row_blocks = block_count(size["n"], rows_per_block)
+        self.query_blocks = block_count(queries.count(), queries_per_block)
         self.rows = self.blocks(vectors, self.block_of(F.col("vec_id")))
-        self.queries = queries
+        self.queries, self.tile = queries, tile
 
     def block_of(self, row: Column) -> Column:
         return F.pmod(F.xxhash64(row), F.lit(self.row_blocks)).cast("int")
@@ -90,17 +102,27 @@ class Search:
         columns = [F.col("rows.vec_id").alias("ids"), F.flatten("rows.part").alias("values")]
         return packed.select("block", "list", *columns, *[F.col(f"rows.{c}").alias(c) for c in extra])
 
-    def met(self, extra: DataFrame | None = None) -> DataFrame:
-        """Each block of queries beside each block of rows, slice by slice; ``extra`` has a bigint for each query."""
+    def met(self, extra: DataFrame | None = None, asked: DataFrame | None = None) -> DataFrame:
+        """Each block of queries beside each block of rows, slice by slice; ``extra`` has a bigint for each query.
+
+        ``asked``, with ``block, query_block, list`` and other columns, names the only ones to meet.
+        """
         queries = self.queries if extra is None else self.queries.join(extra, F.col("vec_id") == F.col("query")).drop("query")
         columns = [] if extra is None else [c for c in extra.columns if c != "query"]
         packed = self.blocks(queries, self.query_block_of(F.col("vec_id")), *columns)
         packed = packed.withColumnsRenamed({"block": "query_block", "ids": "query_ids", "values": "query_values"})
-        visiting = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.row_blocks - 1))))
+        if asked is None:
+            visiting = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.row_blocks - 1))))
+        else:
+            visiting = packed.join(asked, ["query_block", "list"])
         return self.rows.join(visiting, ["block", "list"])
 
-    def run(self, met: DataFrame, emit: Callable, columns: list[str], kinds: str) -> DataFrame:
-        """``emit`` gets the local scores (rows by queries), both id arrays and the extra arrays; it gives arrays of longs."""
+    def run(self, met: DataFrame, emit: Callable, columns: list[str], kinds: str, tiled: bool = True) -> DataFrame:
+        """``emit`` gets rows and queries as matrices, both id arrays and the extra arrays; it gives arrays of longs.
+
+        With ``tiled`` the extra arrays have an entry for each query, and queries come a few at a time.
+        """
+        names, tile = [k.split()[0] for k in kinds.split(", ")], self.tile
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -108,9 +130,13 @@ class Search:
                     row = {name: batch.column(batch.schema.get_field_index(name)).slice(i, 1) for name in ["list", "ids", "values", "query_ids", "query_values", *columns]}
                     ids, queries = (row[c].flatten().to_numpy(zero_copy_only=False) for c in ("ids", "query_ids"))
                     own, theirs = matrix(row["values"], len(ids)), matrix(row["query_values"], len(queries))
-                    found = emit(own, theirs, ids, queries, *[row[c].flatten() for c in columns])
-                    number = np.full(len(found[0]), row["list"][0].as_py(), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number, *found)], names=[k.split()[0] for k in kinds.split(", ")])
+                    extra = [row[c].flatten() for c in columns]
+                    step = max(1, tile // max(1, len(ids))) if tiled else max(1, len(queries))
+                    for at in range(0, len(queries), step):
+                        some = slice(at, at + step)
+                        found = emit(own, theirs[some], ids, queries[some], *([x[some] for x in extra] if tiled else extra))
+                        number = np.full(len(found[0]), row["list"][0].as_py(), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (number, *found)], names=names)
 
         wanted = ["list", "ids", "values", "query_ids", "query_values", *columns]
         return met.select(*[F.col(c).cast("long") if c == "list" else F.col(c) for c in wanted]).mapInArrow(task, kinds)
@@ -158,8 +184,7 @@ class Search:
             a, b = own[np.searchsorted(ids, vec)], theirs[np.searchsorted(queries, query)]
             return query, vec, np.einsum("ij,ij->i", a, b)
 
-        met = self.met().join(asked, ["block", "query_block", "list"])
-        return self.run(met, emit, ["asked_query", "asked_vec"], "list long, query long, vec long, local long")
+        return self.run(self.met(asked=asked), emit, ["asked_query", "asked_vec"], "list long, query long, vec long, local long", tiled=False)
 
     def totals(self, entries: DataFrame) -> DataFrame:
         """``query, vec, known, seen``: sum of the known local scores, and a bit for each list they are from."""
@@ -191,6 +216,7 @@ def kth(scores: DataFrame, k: int) -> DataFrame:
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = K, lists: int = LISTS, head: int = HEAD,
     rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK,
+    tile: int = TILE,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows with the largest integer inner product, for each query, by the smaller
     ``vec_id`` where equal; all rows if there are fewer.
@@ -198,7 +224,7 @@ def top_k(
     Both tables have ``vec_id, v`` with distinct identifiers (see ``quantised``); a query does not find its own identifier.
     Vectors of different lengths are multiplied as if the shorter ended in zeros. Scores must fit a long.
     """
-    search = Search(vectors, queries, lists, rows_per_block, queries_per_block)
+    search = Search(vectors, queries, lists, rows_per_block, queries_per_block, tile)
     every = queries.select(F.col("vec_id").alias("query"))
     first = cut(search.totals(search.heads(head * k)))
     cutoffs = cut(every.join(kth(search.scored(first), k), "query", "left"))
@@ -208,7 +234,9 @@ def top_k(
     bounds = cut(cutoffs.join(raised, "query", "left").select("query", "cutoff", F.greatest("cutoff", "raised").alias("least")))
     # A local score that was not given up is below cutoff / lists.
     left = F.lit(search.lists) - F.bit_count("seen")
-    above = F.col("known").cast("decimal(38,6)") + left * F.col("cutoff") / search.lists
-    open_ = entries.join(bounds, "query").where(F.col("least").isNull() | (above >= F.col("least")))
+    known, cutoff, least = (F.col(c).cast("decimal(19,0)") for c in ("known", "cutoff", "least"))
+    number = F.lit(search.lists).cast("decimal(9,0)")
+    above = known * number + left.cast("decimal(9,0)") * cutoff
+    open_ = entries.join(bounds, "query").where(F.col("least").isNull() | (above >= least * number))
     found = best(search.scored(cut(open_.select("query", "vec", "known", "seen"))), k)
     return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("vec").alias("vec_id"), "score")
