@@ -213,7 +213,8 @@ def compare_edits(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), F.coalesce(docs[text_column], F.lit("")).alias("text"))
     ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = dealt(docs, range_cuts(docs, ranges), ranges)
-    order = placed.repartition("range").sortWithinPartitions("range", "guest", F.desc("doc_id"), "text")
+    # One partition for each range: hashed, several ranges would meet in one task.
+    order = placed.repartitionById(ranges, F.col("range").cast("int")).sortWithinPartitions("range", "guest", F.desc("doc_id"), "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
