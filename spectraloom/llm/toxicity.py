@@ -145,26 +145,37 @@ def encoded(text: str) -> Encoded:
     )
 
 
+class Words:
+    """Words that all texts share, each by its parts, one word after another; ``counts`` has the number of parts of each."""
+
+    def __init__(self, parts: np.ndarray, counts: np.ndarray):
+        self.parts, self.ends = parts, np.cumsum(counts, dtype=np.int64)
+        self.begins = self.ends - counts
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of the words with these numbers, one after another, and how many each has."""
+        begins, counts = self.begins[numbers], self.ends[numbers] - self.begins[numbers]
+        after = np.cumsum(counts)
+        return self.parts[np.repeat(begins - (after - counts), counts) + np.arange(counts.sum())], counts
+
+
 class Text:
-    """The words of a text as rows of embeddings, each distinct word once. Unknown parts have row 0."""
+    """A text as numbers of words, whose parts are rows of embeddings. Unknown parts have row 0."""
 
-    def __init__(self, text: Encoded, rows: np.ndarray):
-        self.rows, self.order = rows[text.parts], text.order
-        self.ends = np.cumsum(text.counts, dtype=np.int64)
-        self.begins = np.append(0, self.ends)[:-1]
+    def __init__(self, order: np.ndarray, words: Words):
+        self.order, self.words = order, words
 
     def vectors(self, net: ConvNet) -> np.ndarray:
         if not len(self.order):
             return np.zeros((0, DIMENSIONS))
-        return np.add.reduceat(net.embeddings[self.rows], self.begins, axis=0)[self.order]
+        distinct, order = np.unique(self.order, return_inverse=True)
+        rows, counts = self.words.of(distinct)
+        return np.add.reduceat(net.embeddings[rows], np.cumsum(counts) - counts, axis=0)[order]
 
     def parts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the words at these places, and for each row which of the places it is from. Places beyond the end have none."""
         inside = np.flatnonzero(at < len(self.order))
-        words = self.order[at[inside]] if len(inside) else inside
-        begins, counts = self.begins[words], self.ends[words] - self.begins[words]
-        after = np.cumsum(counts)
-        rows = self.rows[np.repeat(begins - (after - counts), counts) + np.arange(counts.sum())]
+        rows, counts = self.words.of(self.order[at[inside]])
         return rows, np.repeat(inside, counts)
 
 
@@ -243,27 +254,25 @@ def calibrate(net: ConvNet, counts: np.ndarray, learned: np.ndarray) -> None:
         net.thresholds[name] = best_threshold(logits[own], toxic[own], weights[own], 1 / BINS) if enough else common
 
 
-def fit(texts: list[Encoded], labels: list[int], seed: int = 0, learned: list[int] | None = None) -> ConvNet:
-    """A net of labelled texts, which are given up to it (the list is emptied), or of those of them that ``learned`` numbers; all thresholds are 0.
+def rows_of(known: np.ndarray) -> np.ndarray:
+    """For each hash its row of embeddings, 0 for those not known."""
+    rows = np.zeros(BUCKETS, np.int32)
+    rows[known] = np.arange(1, len(known) + 1)
+    return rows
+
 
-    Without both labels: a net that says 0.
+def fit(known: np.ndarray, words: Words, texts: list[np.ndarray], labels: list[int], seed: int = 0, learned: list[int] | None = None) -> ConvNet:
+    """A net of labelled texts, or of those of them that ``learned`` numbers; all thresholds are 0.
+
+    ``known`` has the hashes that are embedded, ``words`` the rows of these; the texts are numbers of words. Without both
+    labels: a net that says 0.
     """
-    documents = np.zeros(BUCKETS, np.int64)
-    for text in texts:
-        documents[np.unique(text.parts)] += 1
-    known = np.flatnonzero(documents >= LEAST_DOCUMENTS)
     net = ConvNet.new(known.tolist(), seed)
     if len(set(labels)) < 2:
         net.weights[:], net.bias = 0, 5.0 if labels and labels[0] else -5.0
         return net
-    rows = np.zeros(BUCKETS, np.int32)
-    rows[known] = np.arange(1, len(known) + 1)
-    inputs = [Text(text, rows) for text in texts]
     # A text without words is clean: it is among the examples.
-    last = len(texts)
-    labels = [*labels, 0]
-    texts.clear()
-    inputs.append(Text(encoded(""), rows))
+    inputs, labels, last = [Text(t, words) for t in [*texts, np.zeros(0, np.int32)]], [*labels, 0], len(texts)
     learned = list(range(last)) if learned is None else learned
     learned, toxic = learned + [last] * max(1, len(learned) // 100), sum(labels[i] for i in learned)
     weight = {1: len(learned) / (2 * toxic), 0: len(learned) / (2 * (len(learned) - toxic))}
@@ -280,12 +289,17 @@ def train(texts: list[Encoded], labels: list[int], seed: int = 0) -> ConvNet:
     learned = [i for i in range(len(texts)) if i % CALIBRATION != CALIBRATION - 1]
     if len({labels[i] for i in kept}) < 2 or len({labels[i] for i in learned}) < 2:
         kept = learned = list(range(len(texts)))
-    net = fit(list(texts), labels, seed, learned)
+    documents = np.zeros(BUCKETS, np.int64)
+    for text in texts:
+        documents[np.unique(text.parts)] += 1
+    known, nothing = np.flatnonzero(documents >= LEAST_DOCUMENTS), [np.zeros(0, np.int32)]
+    words = Words(rows_of(known)[np.concatenate([t.parts for t in texts] + nothing)], np.concatenate([t.counts for t in texts] + nothing))
+    before = np.cumsum([0, *(len(t.counts) for t in texts)])
+    orders = [t.order + n for t, n in zip(texts, before)]
+    net = fit(known, words, orders, labels, seed, learned)
     if len(set(labels)) < 2:
         return net
-    rows = np.zeros(BUCKETS, np.int32)
-    rows[list(net.rows)] = list(net.rows.values())
-    logits = np.array([net.logit(Text(texts[i], rows).vectors(net)) for i in kept])
+    logits = np.array([net.logit(Text(orders[i], words).vectors(net)) for i in kept])
     counts = np.stack([[labels[i] for i in kept], [texts[i].language for i in kept], bins(logits), np.ones(len(kept), int)], axis=1)
     calibrate(net, counts, np.bincount([labels[i] for i in learned], minlength=2) * (kept is not learned))
     return net
@@ -361,68 +375,105 @@ def drawn(own: DataFrame, sample: int, spare: bool) -> Column:
     return open_ & found
 
 
-def embeddable(parts: pa.Array, counts: pa.Array, known: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Parts and their numbers without those that get no embedding; a word without any keeps its first part."""
-    kept_parts, kept_counts = [], []
-    for own, sizes in zip(parts, counts):
-        own, sizes = own.values.to_numpy(), sizes.values.to_numpy()
-        ends = np.cumsum(sizes)
-        begins = (ends - sizes)[sizes > 0]
-        good = np.zeros(len(own), bool)
-        if len(own):
-            good = known[own]
-            none = ~np.logical_or.reduceat(good, begins)
-            good[begins[none]] = True
-        sums = np.append(0, np.cumsum(good))
-        kept_parts.append(own[good])
-        kept_counts.append((sums[ends] - sums[ends - sizes]).astype(np.int32))
-    kind = pa.list_(pa.int32())
-    return pa.array(kept_parts, kind), pa.array(kept_counts, kind)
-
-
-def labelled_sample(docs: DataFrame, own: DataFrame) -> tuple[list[Encoded], list[int]]:
-    """Encoded texts and labels of the documents that ``own`` has, which are few, in order of ``doc_id``.
-
-    Rows with the same ``doc_id`` and text count once. Parts of words that too few of them have are left out before the texts
-    reach the driver.
+class Sample(NamedTuple):
+    """What ``fit`` learns from."""
+
+    known: np.ndarray
+    words: Words
+    texts: list[np.ndarray]
+    labels: list[int]
+
+
+def numbered(words: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Places of ``own`` among the sorted ``words``, from 1; 0 for those that aren't there."""
+    at = np.searchsorted(words, own)
+    there = at < len(words)
+    there[there] = words[at[there]] == own[there]
+    return np.where(there, at + 1, 0).astype(np.int32)
+
+
+def encodings(texts: pa.Array) -> pa.StructArray:
+    """For each text its distinct words, as a hash and the hashes of their parts, and the text as numbers of these words."""
+    # Kept as numbers in arrays: lists of Python's own would take ten times the memory.
+    hashes, parts, counts, orders, distinct = [], [], [], [], []
+    for text in texts:
+        words = letters(text.as_py().lower())
+        places = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        found = [features(w) for w in places]
+        hashes.append(np.array([xxhash.xxh64_intdigest(w) for w in places], np.uint64).view(np.int64))
+        parts.append(np.array([h for p in found for h in p], np.int32))
+        counts.append(np.array(list(map(len, found)), np.int32))
+        orders.append(np.array([places[w] for w in words], np.int32))
+        distinct.append(len(places))
+
+    def lists(sizes: np.ndarray | list[int], values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes, dtype=np.int64)).astype(np.int32), values)
+
+    def flat(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+        return np.concatenate([*arrays, np.zeros(0, kind)], dtype=kind)
+
+    words = pa.StructArray.from_arrays([pa.array(flat(hashes, np.int64)), lists(flat(counts, np.int32), pa.array(flat(parts, np.int32)))], names=["word", "parts"])
+    return pa.StructArray.from_arrays([lists(distinct, words), lists([len(o) for o in orders], pa.array(flat(orders, np.int32)))], names=["words", "order"])
+
+
+def labelled_sample(docs: DataFrame, own: DataFrame) -> Sample:
+    """Texts and labels of the documents that ``own`` has, which are few, in order of ``doc_id``.
+
+    Rows with the same ``doc_id`` and text count once. Words go by a hash of 64 bits, and reach the driver once each, with
+    their parts that are in enough documents; the texts do as numbers of words. All words without such parts are word 0.
     """
     # At most about 2 * sample rows, so this side may be broadcast.
     rows = docs.select("doc_id", "text").dropna().join(F.broadcast(own), "doc_id").distinct()
 
-    @F.arrow_udf("struct<parts:array<int>,counts:array<int>,order:array<int>,language:int>")
+    @F.arrow_udf("struct<words:array<struct<word:long,parts:array<int>>>,order:array<int>>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("parts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("order", pa.list_(pa.int32())), ("language", pa.int32())])
         for texts in batches:
-            yield pa.array([encoded(t)._asdict() for t in texts.to_pylist()], kind)
+            yield encodings(texts)
 
     rows = stored(rows.select("doc_id", "toxic", F.xxhash64("text").alias("hash"), encode("text").alias("e")).select("doc_id", "toxic", "hash", "e.*"))
-    common = rows.select(F.explode(F.array_distinct("parts")).alias("part")).groupBy("part").count().where(F.col("count") >= LEAST_DOCUMENTS)
-    known = np.zeros(BUCKETS, bool)
-    known[common.select("part").toArrow()["part"].to_numpy()] = True
-    sent = docs.sparkSession.sparkContext.broadcast(known)  # bounded: one flag for each bucket
-
-    @F.arrow_udf("struct<parts:array<int>,counts:array<int>>")
-    def narrowed(parts: pa.Array, counts: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays(embeddable(parts, counts, sent.value), names=["parts", "counts"])
-
-    found = rows.select("doc_id", "toxic", "hash", narrowed("parts", "counts").alias("e"), "order", "language")
-    found = found.select("doc_id", "toxic", "hash", "e.*", "order", "language").toArrow()
+    common = rows.select(F.explode(F.array_distinct(F.flatten("words.parts"))).alias("part")).groupBy("part").count().where(F.col("count") >= LEAST_DOCUMENTS)
+    known = np.sort(common.select("part").toArrow()["part"].to_numpy())
+    flags = np.zeros(BUCKETS, bool)
+    flags[known] = True
+    sent = docs.sparkSession.sparkContext.broadcast(flags)  # bounded: one flag for each bucket
+
+    def embeddable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, sizes = batch["parts"].flatten().to_numpy(), pc.list_value_length(batch["parts"]).to_numpy()
+            good = sent.value[parts]
+            ends = np.append(0, np.cumsum(good))[np.append(0, np.cumsum(sizes))]
+            some = ends[1:] > ends[:-1]
+            kept = pa.ListArray.from_arrays(np.append(0, ends[1:][some]).astype(np.int32), pa.array(parts[good]))
+            yield pa.RecordBatch.from_arrays([batch["word"].filter(pa.array(some)), kept], names=["word", "parts"])
+
+    entries = rows.select(F.explode("words").alias("w")).groupBy("w.word").agg(F.min("w.parts").alias("parts"))
+    # In one pass of Python: a filter on a column that Python makes would make it twice, by twice the workers.
+    entries = entries.mapInArrow(embeddable, "word long, parts array<int>").toArrow().sort_by("word").combine_chunks()
+    sizes = pc.list_value_length(entries["parts"]).to_numpy()
+    parts = pc.list_flatten(entries["parts"]).to_numpy()
+    words = Words(np.append(np.int32(0), rows_of(known)[parts]), np.append(1, sizes))
+    hashes = docs.sparkSession.sparkContext.broadcast(entries["word"].to_numpy())  # bounded: the words of the sample
+
+    @F.arrow_udf("array<int>")
+    def number(own: pa.Array, order: pa.Array) -> pa.Array:
+        return pa.array([numbered(hashes.value, w.values.to_numpy())[o.values.to_numpy()] for w, o in zip(own, order)], pa.list_(pa.int32()))
+
+    found = rows.select("doc_id", "toxic", "hash", number("words.word", "order").alias("order")).toArrow()
     # Views of the table's memory, in a fixed order.
     order = pc.sort_indices(found, [("doc_id", "ascending"), ("hash", "ascending")]).to_pylist()
-    lists = [[x.values.to_numpy(zero_copy_only=False) for x in found[c]] for c in ("parts", "counts", "order")]
-    texts, toxic = [Encoded(*x) for x in zip(*lists, found["language"].to_pylist())], found["toxic"].to_pylist()
-    return [texts[i] for i in order], [toxic[i] for i in order]
+    texts, toxic = [x.values.to_numpy() for x in found["order"]], found["toxic"].to_pylist()
+    return Sample(known, words, [texts[i] for i in order], [toxic[i] for i in order])
 
 
 def fitted(docs: DataFrame, own: DataFrame, sample: int) -> tuple[ConvNet, Column, np.ndarray]:
     """A net without thresholds, which rows of ``own`` it was learned from, and how many of either label."""
     for spare in (True, False):
         chosen = drawn(own, sample, spare)
-        texts, toxic = labelled_sample(docs, own.where(chosen))
-        if len(set(toxic)) == 2:
+        found = labelled_sample(docs, own.where(chosen))
+        if len(set(found.labels)) == 2:
             break
-    learned = np.bincount(toxic, minlength=2) if toxic else np.zeros(2, int)
-    return fit(texts, toxic), chosen, learned
+    learned = np.bincount(found.labels, minlength=2) if found.labels else np.zeros(2, int)
+    return fit(*found), chosen, learned
 
 
 def told(text: Column, net: ConvNet, docs: DataFrame) -> Column:

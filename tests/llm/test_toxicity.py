@@ -103,3 +103,30 @@ def test_weighted_thresholds():
     logits, labels = np.array([0.0, 1.0, 1.0, 2.0]), np.array([0, 0, 1, 1])
     assert toxicity.best_threshold(logits, labels, np.array([10, 5, 1, 3]), 0.5) == 1.75
     assert toxicity.best_threshold(logits, labels, np.array([10, 1, 5, 3]), 0.5) == 0.75
+
+
+def test_words_reach_the_driver_once(spark, monkeypatch):
+    """The sample goes to the driver as numbers of words, each of which has its parts there once; the net is that of whole texts."""
+    texts, labels = examples(600, seed=4)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(600, ""), (601, "seldom")], "doc_id long, text string")
+    own = spark.createDataFrame(list(enumerate(labels + [0, 0])), "doc_id long, toxic int")
+    sizes, plans, collect = [], [], type(docs).toArrow
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        sizes.append((found := collect(df)).nbytes)
+        return found
+
+    monkeypatch.setattr(type(docs), "toArrow", kept)
+    known, words, orders, toxic = toxicity.labelled_sample(docs, own)
+    monkeypatch.undo()
+    assert all(p.count("ArrowEvalPython [") <= 1 for p in plans), "each stage of Python needs workers of its own"
+    tokens, distinct = sum(len(t.split()) for t in texts), len({w for t in texts for w in t.split()})
+    assert sum(sizes) < 4 * tokens + 40 * 602 + 100 * distinct
+    assert toxic == labels + [0, 0] and orders[600].tolist() == [] and orders[601].tolist() == [0]
+    net = toxicity.fit(known, words, orders, toxic)
+    whole = [toxicity.encoded(t) for t in [*texts, "", "seldom"]]
+    documents = np.bincount(np.concatenate([np.unique(t.parts) for t in whole]), minlength=toxicity.BUCKETS)
+    assert known.tolist() == np.flatnonzero(documents >= toxicity.LEAST_DOCUMENTS).tolist()
+    for text, order in zip(texts[:50], orders):
+        assert toxicity.Text(order, words).vectors(net) == pytest.approx(np.array([net.vector(w) for w in toxicity.letters(text.lower())]))
